@@ -9,12 +9,15 @@ incidence matrix with its transpose. The product is never formed as a whole:
   first n - ceil(8 n / 9) + 1 of the shorter one, so only these entries are multiplied.
 * Blocks. The entries are dealt by column and sorted; each task multiplies its block of
   columns as a stream and keeps no column in memory in the first product.
-* Bounds. Products of documents whose sizes can't reach the threshold are discarded, the rest
-  are accumulated, and the exact overlap of the surviving pairs is taken from whole texts.
+* Bounds. An entry knows how many earlier columns of its document no other document has; these
+  can't be in an overlap. Products whose sizes, less that, can't reach the threshold are
+  discarded, the rest are accumulated, and the exact overlap of the surviving pairs is taken
+  from whole texts.
 
 Documents with equal sets are one class from the start. A first product pairs each class of a
-column with one leader of that column, which joins large groups of near copies with
-as many pairs as classes. The second product then takes every pair of a column whose classes
+column with one leader of that column, the class with the fewest columns of its own (the
+text that the copies come from, where it is there), which joins large groups of near copies
+with as many pairs as classes. The second product then takes every pair of a column whose classes
 are still in different components. A pair inside a component can't change it, so no
 component is lost and no group is expanded into all its pairs.
 """
@@ -28,10 +31,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from palimpsest.llm.components import connected
-from palimpsest.llm.shared import Memo, slices, utf8, written
+from palimpsest.llm.shared import Memo, dealt, slices, utf8, written
 
 WORDS = 5  # words in a shingle
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -136,42 +139,42 @@ def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each class of a column with the first class, in the order of the stream, that leads its size there."""
+    """Each class of a column with the first class, in the order of the stream, that may link with it."""
     column, leaders = None, []
     for batch in batches:
         a, b = [], []
-        for c, x, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for c, x, n, own in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if c != column:
-                column, leaders = c, [(x, n)]
+                column, leaders = c, [(x, n, n - own)]
                 continue
-            for y, m in leaders:
-                if 5 * min(n, m) >= 4 * max(n, m):
+            for y, m, most in leaders:
+                if 9 * min(n - own, most) >= 4 * (n + m):
                     a.append(x)
                     b.append(y)
                     break
             else:
                 if len(leaders) < 64:
-                    leaders.append((x, n))
+                    leaders.append((x, n, n - own))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a stream sorted by column and size: the pairs of a column, of two components, that the size bounds allow."""
+    """Of a stream sorted by column and size: the pairs of a column, of two components, that the bounds allow."""
     column, held = None, []
     a, b = [], []
     for batch in batches:
-        for c, x, n, indexed, comp in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for c, x, n, own, indexed, comp in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
             if c != column:
                 column, held = c, []
             elif held and 5 * held[0][1] < 4 * n:
                 held = [h for h in held if 5 * h[1] >= 4 * n]
-            for y, m, other in held:
-                if other != comp and 5 * m >= 4 * n:
+            for y, m, most, other in held:
+                if other != comp and 9 * min(n - own, most) >= 4 * (n + m):
                     a.append(min(x, y))
                     b.append(max(x, y))
             if indexed:
-                held.append((x, n, comp))
+                held.append((x, n, n - own, comp))
             if len(a) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -224,9 +227,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     signed = written(docs.mapInArrow(lambda it: _signatures(it, levels.value), "doc_id long, n long, class long, columns array<long>"), "jaccard-columns")
 
     classes = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("columns").alias("columns"))
-    entries = classes.select("class", "n", F.posexplode("columns").alias("at", "column")).select("column", "class", F.col("n").cast("int"), (F.col("at") < F.expr("n - (8 * n + 8) div 9 + 1")).alias("indexed"))
-    entries = entries.repartition("column").sortWithinPartitions("column", "class")
-    entries = written(entries.mapInArrow(_shared_columns, entries.schema), "jaccard-entries")
+    entries = classes.select("class", "n", F.posexplode("columns").alias("at", "column")).select("column", "class", F.col("n").cast("int"), "at")
+    entries = dealt(entries, "column").mapInArrow(_shared_columns, entries.schema)
+    # own: the earlier columns of the class that no other class has
+    entries = entries.withColumn("own", F.col("at") + 1 - F.row_number().over(W.partitionBy("class").orderBy("at")))
+    entries = written(entries.select("column", "class", "n", "own", F.expr("at < n - (8L * n + 8) div 9 + 1").alias("indexed")), "jaccard-entries")
 
     reps = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     asked = entries.select("class").distinct().join(reps, "class")
@@ -234,14 +239,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = docs.join(asked, docs["doc_id"].eqNullSafe(asked["rep"])).select("class", "text")
     texts = written(texts.mapInArrow(_own, "class long, text string"), "jaccard-texts")
 
-    stars = entries.repartition("column").sortWithinPartitions("column", "class").select("column", "class", "n").mapInArrow(_leaders, "a long, b long")
+    stars = dealt(entries.select("column", "class", "n", "own"), "column", "own", "class").mapInArrow(_leaders, "a long, b long")
     stars = stars.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     links = written(_verified(stars, texts), "jaccard-links")
     first = written(connected(links, "a", "b"), "jaccard-components")
 
     named = entries.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class"))
     mixed = named.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("indexed").alias("any")).where("low <> high and any")
-    pairs = named.join(mixed.select("column"), "column", "left_semi").repartition("column").sortWithinPartitions("column", "n", "class").select("column", "class", "n", "indexed", "comp").mapInArrow(_products, "a long, b long").distinct()
+    mixed = named.join(mixed.select("column"), "column", "left_semi").select("column", "class", "n", "own", "indexed", "comp")
+    pairs = dealt(mixed, "column", "n", "class").mapInArrow(_products, "a long, b long").distinct()
     links = links.unionByName(written(_verified(pairs, texts), "jaccard-links"))
 
     joined = connected(links, "a", "b").withColumnRenamed("node", "class")

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,6 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """``df`` dealt out by ``key`` and sorted by it and ``order``, for a Python stage that reads a key's rows in a run.
+
+    The expression is dealt by no other operator, so Spark can't take a join's exchange for it:
+    that one may be read locally or split later, which would part the rows of a key.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column's values."""
     return column.cast(pa.binary() if pa.types.is_string(column.type) else pa.large_binary()).to_pylist()
