@@ -23,11 +23,27 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from its record files."""
+    import public_tokenizers
+
+    from palimpsest.llm.token_records import read_records, write_records
+
+    manifest = write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), separator="<|endoftext|>", end_id=2)
+    return read_records(manifest)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens of every document under the unigram vocabulary of the 32k piece model."""
+    import public_tokenizers
+
+    from palimpsest.llm.token_count import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
-    return {
-        "op1_decontamination": op1_decontamination,
-        "op2_jaccard_join": op2_jaccard_join,
-    }
+    return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_records, op6_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
