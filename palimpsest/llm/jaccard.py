@@ -9,10 +9,10 @@ incidence matrix with its transpose. The product is never formed as a whole:
   first n - ceil(8 n / 9) + 1 of the shorter one, so only these entries are multiplied.
 * Blocks. The entries are dealt by column and sorted; each task multiplies its block of
   columns as a stream and keeps no column in memory in the first product.
-* Bounds. An entry knows how many earlier columns of its document no other document has; these
-  can't be in an overlap. Products whose sizes, less that, can't reach the threshold are
-  discarded, the rest are accumulated, and the exact overlap of the surviving pairs is taken
-  from whole texts.
+* Bounds. An entry knows its room: the columns of its document from this one on. The first
+  column that two linked documents share leaves both of them room for the overlap that their
+  sizes ask for. Other products are discarded, the rest are accumulated, and the exact
+  overlap of the surviving pairs is taken from whole texts.
 
 Documents with equal sets are one class from the start. A first product pairs each class of a
 column with one leader of that column, the class with the fewest columns of its own (the
@@ -66,11 +66,6 @@ def probe_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def index_length(n):
-    """How many of its n columns a document finds longer ones by."""
-    return n - (8 * n + 8) // 9 + 1
-
-
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(SLOTS, np.uint32)
     for batch in slices(batches, 1000):
@@ -148,7 +143,7 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column, leaders = c, [(x, n, n - own)]
                 continue
             for y, m, most in leaders:
-                if 9 * min(n - own, most) >= 4 * (n + m):
+                if 9 * min(n - own, most) >= 4 * (n + m):  # 9 * overlap >= 4 * (n + m) is the threshold
                     a.append(x)
                     b.append(y)
                     break
@@ -164,17 +159,17 @@ def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     column, held = None, []
     a, b = [], []
     for batch in batches:
-        for c, x, n, own, indexed, comp in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+        for c, x, n, room, comp in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
             if c != column:
                 column, held = c, []
             elif held and 5 * held[0][1] < 4 * n:
                 held = [h for h in held if 5 * h[1] >= 4 * n]
             for y, m, most, other in held:
-                if other != comp and 9 * min(n - own, most) >= 4 * (n + m):
+                if other != comp and 9 * min(room, most) >= 4 * (n + m):
                     a.append(min(x, y))
                     b.append(max(x, y))
-            if indexed:
-                held.append((x, n, n - own, comp))
+            if 9 * room >= 8 * n:  # for a longer one to find
+                held.append((x, n, room, comp))
             if len(a) > 100_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
                 a, b = [], []
@@ -231,7 +226,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     entries = dealt(entries, "column").mapInArrow(_shared_columns, entries.schema)
     # own: the earlier columns of the class that no other class has
     entries = entries.withColumn("own", F.col("at") + 1 - F.row_number().over(W.partitionBy("class").orderBy("at")))
-    entries = written(entries.select("column", "class", "n", "own", F.expr("at < n - (8L * n + 8) div 9 + 1").alias("indexed")), "jaccard-entries")
+    entries = written(entries.select("column", "class", "n", "own", (F.col("n") - F.col("at")).alias("room")), "jaccard-entries")
 
     reps = signed.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     asked = entries.select("class").distinct().join(reps, "class")
@@ -245,8 +240,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     first = written(connected(links, "a", "b"), "jaccard-components")
 
     named = entries.join(first.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("component", "class"))
-    mixed = named.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("indexed").alias("any")).where("low <> high and any")
-    mixed = named.join(mixed.select("column"), "column", "left_semi").select("column", "class", "n", "own", "indexed", "comp")
+    mixed = named.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.expr("9L * room >= 8L * n")).alias("held")).where("low <> high and held")
+    mixed = named.join(mixed.select("column"), "column", "left_semi").select("column", "class", "n", "room", "comp")
     pairs = dealt(mixed, "column", "n", "class").mapInArrow(_products, "a long, b long").distinct()
     links = links.unionByName(written(_verified(pairs, texts), "jaccard-links"))
 
