@@ -29,7 +29,7 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from palimpsest.llm.token_records import read_records, write_records
 
-    manifest = write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), separator="<|endoftext|>", end_id=2)
+    manifest = write_records(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True, end_id=2)
     return read_records(manifest)
 
 

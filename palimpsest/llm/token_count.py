@@ -14,6 +14,7 @@ them) are counted on their own, each distinct one once for as long as it stays i
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -126,8 +127,12 @@ class Counter:
         return len(model.encode(MARK + text.replace(" ", MARK), add_special_tokens=False).ids)
 
 
+#: One for a worker process, so that its tasks share what it knows.
+_counter = functools.lru_cache(1)(lambda path: Counter(read_vocabulary(path)))
+
+
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    counter = Counter(read_vocabulary(path))
+    counter = _counter(path)
     for batch in slices(batches, 1000):
         counts = np.fromiter((counter(t.as_py()) for t in batch.column(1)), np.int64, batch.num_rows)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts)], names=["doc_id", "n_tokens"])

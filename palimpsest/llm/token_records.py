@@ -19,7 +19,10 @@ attempts that succeeded, says which files count.
 
 from __future__ import annotations
 
+import functools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -38,6 +41,8 @@ INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("offset", "<u8"), ("n_ids
 MANIFEST = "shard long, records string, index string, n_records long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, offset long"
 
+_MARKED = re.compile(r"[^\W\d_]+[!-/:-@\[-^`{-~]+")
+
 
 def masked(data: bytes) -> int:
     """The masked CRC-32 of the data."""
@@ -70,19 +75,23 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 class TextEncoder:
     """Ids of whole texts by a tokenizer file of the tokenizers library.
 
-    ``separator`` is for tokenizers that drop white space before they split (so that a text's ids are
-    those of its words, one after the other): the name of a special token. Distinct words are then
-    encoded once each, many in a call with that token between them. Their memory is bounded.
+    ``by_word`` is for lower-casing tokenizers that drop white space before they split, so that a text's ids
+    are those of its words, one after the other. Distinct words are then encoded once each, many
+    in a call; their memory is bounded.
     """
 
-    LIMIT = 400_000
+    LIMIT = 700_000
 
-    def __init__(self, path: str, separator: str | None = None) -> None:
+    def __init__(self, path: str, by_word: bool = False) -> None:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator = separator
+        self.by_word = by_word
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        tokens = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(tokens.values()) + 1 if suffix else 0, bool)
+        self.ends[[i for t, i in tokens.items() if suffix and t.endswith(suffix)]] = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.clear()
 
@@ -103,25 +112,30 @@ class TextEncoder:
         self.used += total
 
     def _encode_words(self, words: list[bytes]) -> None:
-        sep, texts = self.tokenizer.token_to_id(self.separator), [w.decode() for w in words]
-        plain = [i for i, t in enumerate(texts) if "<" not in t]  # others may hold a special token
+        texts = [w.decode() for w in words]
+        # letters, or letters and marks after them, are one or two units of the tokenizer, whose last token says that it ends
+        units = [1 if t.isalpha() else 2 if _MARKED.fullmatch(t) else 0 for t in texts]
+        plain = [i for i, u in enumerate(units) if u] if len(self.ends) else []
         out: list = [None] * len(words)
         for at in range(0, len(plain), 5000):
             part = plain[at : at + 5000]
-            ids = np.array(self.tokenizer.encode(self.separator.join(texts[i] for i in part), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(ids == sep)
-            for i, x in zip(part, np.split(ids, cut), strict=True):
-                out[i] = x
-            for i in part[1:]:
-                out[i] = out[i][1:]
+            ids = np.array(self._ids(" ".join(texts[i] for i in part)), np.uint32)
+            cuts = np.flatnonzero(self.ends[ids])[np.cumsum([units[i] for i in part]) - 1] + 1
+            start = 0
+            for i, end in zip(part, cuts.tolist(), strict=True):
+                out[i] = ids[start:end]
+                start = end
         for i, x in enumerate(out):
             if x is None:
-                out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                out[i] = np.array(self._ids(texts[i]), np.uint32)
         self._add(out)
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """The ids of each text; none of null."""
-        if not self.separator:
+        if not self.by_word:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([(t or b"").decode() for t in texts], add_special_tokens=False)]
         if len(self.known) > self.LIMIT:
             self.clear()
@@ -146,8 +160,12 @@ class TextEncoder:
         return np.split(flat, cuts[:-1])
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, encoder: TextEncoder | None, path: str, separator: str | None, end_id: int | None) -> Iterator[pa.RecordBatch]:
-    encoder = encoder or TextEncoder(path, separator)
+#: One for a worker process, so that its tasks share what it knows.
+_encoder = functools.lru_cache(1)(TextEncoder)
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, by_word: bool, end_id: int | None) -> Iterator[pa.RecordBatch]:
+    encoder = _encoder(path, by_word)
     shard = TaskContext.get().partitionId()
     filesystem, root = _place(folder)
     filesystem.create_dir(root, recursive=True)
@@ -169,12 +187,12 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, encoder: TextEncoder
         yield pa.RecordBatch.from_pylist([{"shard": shard, "records": f"{name}.records", "index": f"{name}.index", "n_records": len(entries), "n_tokens": n_tokens}])
 
 
-def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, separator: str | None = None, end_id: int | None = None) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, by_word: bool = False, end_id: int | None = None) -> DataFrame:
     """Write the ids of every whole text as record files in ascending order of doc_id, and return their manifest.
 
     One row for each shard: shard, records and index (paths), n_records, n_tokens. ``tokenizer``
-    is a file of the tokenizers library that every executor can read, ``end_id`` closes each
-    document. ``folder`` (by default a new one in the shared folder) may be in any store that pyarrow
+    is a file of the tokenizers library that every executor can read, ``by_word`` as in
+    ``TextEncoder``, and ``end_id`` closes each document. ``folder`` (by default a new one in the shared folder) may be in any store that pyarrow
     opens. A null text is empty; a row with a null doc_id comes first and is marked in the index;
     rows with equal doc_id are ordered by text; an empty table writes no shard. Other columns
     are not read.
@@ -182,7 +200,7 @@ def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, se
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-records")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(texts.mapInArrow(lambda it: _write(it, folder, None, tokenizer, separator, end_id), MANIFEST), "token-manifest")
+    return written(texts.mapInArrow(lambda it: _write(it, folder, tokenizer, by_word, end_id), MANIFEST), "token-manifest")
 
 
 def read_shard(records: str, index: str, order_seed: int | None = None) -> Iterator[tuple[int | None, int, np.ndarray]]:
