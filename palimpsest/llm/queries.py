@@ -33,6 +33,25 @@ def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_records(manifest)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and its edited text, and their likeness."""
+    from palimpsest.llm.fingerprint import fingerprints
+
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every formatted conversation, and of -7, whose texts hold control strings."""
+    from pyspark.sql import functions as F
+
+    from palimpsest.llm.chat import as_parts, digests, format_chats
+
+    rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], rows.schema))
+    return digests(format_chats(rows.withColumn("parts", as_parts(F.col("text")))))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens of every document under the unigram vocabulary of the 32k piece model."""
     import public_tokenizers
@@ -43,7 +62,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_records, op6_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_records, op4_fingerprints, op5_chat_formatting, op6_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
