@@ -94,8 +94,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     single row is its own next one; an empty table gives no rows; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(texts.withColumn("fingerprint", fingerprint(F.col("text"))))
+    rows = with_next(texts)  # whose texts are shuffled; fingerprints, two thirds as long, are rather computed where they are needed
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("tail", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - tail as int))"), F.expr("left(next.text, tail)")))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), F.col("next.fingerprint").alias("next_fingerprint"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(fingerprint(F.col(c)).alias(n) for c, n in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next.text", "next_fingerprint"))))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
