@@ -61,8 +61,19 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, n_tokens, bin, offset of every document."""
+    import public_tokenizers
+
+    from palimpsest.llm.packing import document_sizes, pack_documents
+    from palimpsest.llm.shared import written
+
+    sizes = document_sizes(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True)
+    return pack_documents(written(sizes, "sizes"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_records, op4_fingerprints, op5_chat_formatting, op6_token_counts)}
+    return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_records, op4_fingerprints, op5_chat_formatting, op6_token_counts, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
