@@ -61,6 +61,13 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page."""
+    from palimpsest.llm.html_extract import extract_pages
+
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, n_tokens, bin, offset of every document."""
     import public_tokenizers
@@ -73,7 +80,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_records, op4_fingerprints, op5_chat_formatting, op6_token_counts, op8_best_fit_packing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_records, op4_fingerprints, op5_chat_formatting, op6_token_counts, op7_html_extraction, op8_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
