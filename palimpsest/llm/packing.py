@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.shared import dealt, slices, utf8
@@ -123,16 +124,17 @@ def _sizes(batches: Iterator[pa.RecordBatch], tokenizer: str, by_word: bool, end
 
     encoder = _encoder(tokenizer, by_word)
     for batch in slices(batches, 200):
-        n = np.fromiter((len(ids) + end for ids in encoder.encode(utf8(batch.column(3)))), np.int64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(n)], names=["doc_id", "source", "cluster", "n_tokens"])
+        texts = utf8(batch.column(2))
+        n = np.fromiter((len(ids) + end for ids in encoder.encode(texts)), np.int64, batch.num_rows)
+        plain = [b" ".join(t.lower().split()) if t else b"" for t in texts]
+        cluster = pa.array([xxhash.xxh3_64_intdigest(t) - (1 << 63) if t else None for t in plain], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cluster, pa.array(n)], names=["doc_id", "source", "cluster", "n_tokens"])
 
 
 def document_sizes(docs: DataFrame, tokenizer: str, by_word: bool = False, end_tokens: int = 1) -> DataFrame:
-    """doc_id, source, cluster (a hash of the text in lower case with single spaces), n_tokens with ``end_tokens`` after each text.
+    """doc_id, source, cluster (a hash of the text with A-Z in lower case and single spaces), n_tokens with ``end_tokens`` after each text.
 
     A null text is empty and, like an empty one, has no cluster.
     """
-    plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    cluster = F.when(plain != "", F.xxhash64(plain))
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), cluster.alias("cluster"), F.col("text").cast("string"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     return rows.mapInArrow(lambda it: _sizes(it, tokenizer, by_word, end_tokens), "doc_id long, source string, cluster long, n_tokens long")
