@@ -38,24 +38,26 @@ LEXICONS = (
     "disgusting clown filth filthy pig creep freak",
     "fuck fucking shit bitch bastard asshole cunt dick",
 )
-#: Pattern voters.
-PATTERNS = (
-    rb"\byou(?:'re| are| r)\s+(?:a|an|such|so|just)\b",
-    rb"\b(?:shut up|go to hell|drop dead|kill yourself|i hate you|hate you all)\b",
-    rb"[!?]{4,}|\b[A-Z]{4,}\s+[A-Z]{4,}\s+[A-Z]{4,}\b",
-)
+#: Pattern voters, over texts in lower case: an insulting address, a phrase, shouting.
+ADDRESS = re.compile(rb"\byou(?:'re| are| r)\s+(?:a|an|such|so|just)\b")
+PHRASES = (b"shut up", b"go to hell", b"drop dead", b"kill yourself", b"hate you")
+SHOUTS = (b"!!!!", b"????", b"?!?!", b"!?!?")
+PATTERNS = (lambda t: b"you" in t and bool(ADDRESS.search(t)), lambda t: any(p in t for p in PHRASES), lambda t: any(p in t for p in SHOUTS))
 VOTERS = len(LEXICONS) + len(PATTERNS) + MINED_VOTERS
 
 _LEXICON = {w.encode(): i for i, words in enumerate(LEXICONS) for w in words.split()}
 _WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")  # letters, and bytes above ASCII
-_PATTERN = re.compile(b"|".join(b"(%s)" % p for p in PATTERNS))
 
 
-def slots(word: bytes) -> tuple[int, ...]:
-    """The slots of a word: itself and its stems of four, five and six characters."""
+def names(word: bytes) -> list[str]:
+    """The features of a word: its stems of four, five and six characters, and itself after an equals sign."""
     text = word.decode("utf-8", "replace")
-    names = {"=" + text} | {f"{n}{text[:n]}" for n in (4, 5, 6) if len(text) >= n}
-    return tuple({xxhash.xxh3_64_intdigest(n.encode()) & (SLOTS - 1) for n in names})
+    return [text[:n] for n in (4, 5, 6) if len(text) >= n] + ["=" + text]
+
+
+def slot(name: str) -> int:
+    """The slot that a feature is counted in."""
+    return xxhash.xxh3_64_intdigest(name.encode()) & (SLOTS - 1)
 
 
 def words(text: bytes | None) -> set[bytes]:
@@ -68,7 +70,7 @@ def in_training(doc_id) -> object:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 != 0
 
 
-_slots = Memo(slots, 200_000)
+_slots = Memo(lambda w: tuple({slot(n) for n in names(w)}), 200_000)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,36 +104,52 @@ def _certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(best + chunk * (SLOTS // CHUNKS), pa.int64()), pa.array((low * pos)[best]), pa.array(pos[best]), pa.array([n1] * len(best), pa.int64()), pa.array([n0] * len(best), pa.int64())], names=["slot", "gain", "pos", "n1", "n0"])
 
 
+def _named(batches: Iterator[pa.RecordBatch], number: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """The features whose slots are mined."""
+    found: set[str] = set()
+    for batch in batches:
+        for text in utf8(batch.column(0)):
+            found.update(n for w in words(text) for n in names(w) if slot(n) in number)
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found))], names=["name"])
+
+
 @dataclass
 class Votes:
-    """What a text is voted on by: slot to its number, and that to a voter."""
+    """What a text is voted on by: each mined feature has the number of its slot, and that is dealt to a voter."""
 
-    number: dict[int, int]
+    number: dict[str, int]
+    n: int
 
     def __post_init__(self) -> None:
-        self.of_word = Memo(self._of_word, 300_000)
+        self.of_token = Memo(self._of_token, 300_000)
 
     def __reduce__(self):
-        return Votes, (self.number,)
+        return Votes, (self.number, self.n)
 
-    def _of_word(self, word: bytes) -> tuple[tuple[int, ...], int]:
-        found = tuple(self.number[s] for s in slots(word) if s in self.number)
-        votes = 0
-        if word in _LEXICON:
-            votes |= 1 << _LEXICON[word]
+    def _of_token(self, token: bytes) -> tuple[tuple[int, ...], int]:
+        found, votes = set(), 0
+        for word in _WORD.findall(token):
+            if word in _LEXICON:
+                votes |= 1 << _LEXICON[word]
+            text = word.decode("utf-8", "replace")
+            for name in (text[:4], text[:5], text[:6], "=" + text):
+                if name in self.number:
+                    found.add(self.number[name])
         for f in found:
             votes |= 1 << (len(LEXICONS) + len(PATTERNS) + f % MINED_VOTERS)
-        return found, votes
+        return tuple(found), votes
 
     def __call__(self, text: bytes | None) -> tuple[set[int], int]:
-        """The mined slots in a text, and the bits of the voters that vote toxic."""
-        found, votes = set(), 0
-        for slot_ids, bits in map(self.of_word.__getitem__, words(text)):
-            if bits:
-                votes |= bits
-                found.update(slot_ids)
-        for m in _PATTERN.finditer(text or b""):
-            votes |= 1 << (len(LEXICONS) + m.lastindex - 1)
+        """The numbers of the mined slots in a text, and the bits of the voters that vote toxic."""
+        found, votes, text = set(), 0, (text or b"").lower()
+        for numbers, voted in set(map(self.of_token.__getitem__, text.split())):
+            if voted:
+                votes |= voted
+                found.update(numbers)
+        for i, pattern in enumerate(PATTERNS):
+            if pattern(text):
+                votes |= 1 << (len(LEXICONS) + i)
         return found, votes
 
 
@@ -211,7 +229,7 @@ class Classifier:
     def score(self, text: bytes | None) -> float:
         """Between 0 and 1, higher for toxic; empty texts get the score of a text without any feature."""
         found, voted = self.votes(text)
-        n = len(self.votes.number)
+        n = self.votes.n
         z = self.weights[-1] + sum(self.weights[f] for f in found) + sum(self.weights[n + v] for v in range(VOTERS) if voted >> v & 1)
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
@@ -244,7 +262,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     rows = written(texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "labelled")  # at most ``sample`` ids are broadcast
     mined = rows.mapInArrow(_counts, "chunk int, counts binary, n0 long, n1 long").repartition(CHUNKS, "chunk").mapInArrow(_certain, "slot long, gain double, pos long, n1 long, n0 long")
     best = [r["slot"] for r in mined.orderBy(F.desc("gain"), "slot").limit(MINED).collect()]
-    votes = spark.sparkContext.broadcast(Votes({s: i for i, s in enumerate(best)}))
+    number = {s: i for i, s in enumerate(best)}
+    named = rows.where("toxic = 1").select("text").mapInArrow(lambda it: _named(it, number), "name string").distinct().collect()  # features of the sample's toxic rows
+    votes = spark.sparkContext.broadcast(Votes({r["name"]: number[slot(r["name"])] for r in named}, len(best)))
     counted = texts.select("text").mapInArrow(lambda it: _patterns(it, votes.value), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()  # at most 2^16 rows
     known = rows.mapInArrow(lambda it: _sample_votes(it, votes.value), "toxic int, pattern long, found array<int>").collect()
     y, patterns = np.array([r["toxic"] for r in known], float), np.array([r["pattern"] for r in known], np.int64)
