@@ -27,7 +27,7 @@ from palimpsest.llm.shared import Memo, slices, utf8, written
 
 SLOTS, CHUNKS = 1 << 22, 64
 SAMPLE = 30_000  # labelled rows that are learnt from, at most
-LIFT = 8  # how many times as frequent among toxic rows a slot is at least
+LIFT = 20  # how many times as frequent among toxic rows a slot is at least
 MINED = 4000  # slots that are kept, at most
 MINED_VOTERS = 9
 
@@ -87,7 +87,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slots of a chunk whose log-odds are certainly above log LIFT, with a bound of two standard errors."""
+    """The slots of a chunk whose log-odds are above log LIFT, and above a quarter of it by two standard errors."""
     total: dict[int, np.ndarray] = {}
     n: dict[int, list[int]] = {}
     for batch in batches:
@@ -99,7 +99,7 @@ def _certain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n0, n1 = n[chunk]
         odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
         low = odds - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        best = np.flatnonzero((pos >= 3) & (low > math.log(LIFT)))
+        best = np.flatnonzero((pos >= 3) & (low > math.log(LIFT / 4)) & (odds > math.log(LIFT)))
         best = best[np.argsort(-(low * pos)[best], kind="stable")][:MINED]
         yield pa.RecordBatch.from_arrays([pa.array(best + chunk * (SLOTS // CHUNKS), pa.int64()), pa.array((low * pos)[best]), pa.array(pos[best]), pa.array([n1] * len(best), pa.int64()), pa.array([n0] * len(best), pa.int64())], names=["slot", "gain", "pos", "n1", "n0"])
 
