@@ -356,15 +356,15 @@ def platform_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.platform_stats(_scans(spark, sf_dir), spark.read.parquet(f"{sf_dir}/customer.parquet"))
 
 
-@_query(f"SELECT id, user_id, created_at FROM ({SCANS}) s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= 5")
+@_query(f"SELECT id, user_id FROM ({SCANS}) s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= 5")
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.retain(_scans(spark, sf_dir), 5).select("id", "user_id", "created_at")
+    return H.retain(_scans(spark, sf_dir), 5).select("id", "user_id")
 
 
-@_query(f"SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN CAST(7 AS BIGINT) END ELSE user_id END AS user_id FROM ({SCANS}) s")
+@_query(f"SELECT id, CASE WHEN id % 3 = 0 THEN CASE WHEN id % 2 = 0 THEN CAST(7 AS BIGINT) ELSE CAST(-1 AS BIGINT) END ELSE user_id END AS user_id FROM ({SCANS}) s")
 def claim_guest(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir).withColumn("user_id", F.when(F.col("id") % 3 != 0, F.col("user_id")))
-    return H.claim(scans, scans.where("id % 2 = 0").select("token", F.lit(7).cast("long").alias("claimed_by"))).select("id", "user_id")
+    return H.claim(scans, scans.where("id % 2 = 0").select("token", F.lit(7).cast("long").alias("claimed_by"))).select("id", F.coalesce("user_id", F.lit(-1).cast("long")).alias("user_id"))
 
 
 @_query(f"SELECT id, token FROM ({SCANS}) s WHERE id % 4 <> 0")
