@@ -113,8 +113,10 @@ def span_features(tokens: list[tuple[int, int, str]], i: int, j: int) -> list[st
     gaps = sum(a[1] < b[0] for a, b in zip(tokens[i : j - 1], tokens[i + 1 : j], strict=True))
     marks = "".join(sorted({w for w in words if not w.isalnum()}))
     alphas = sum(w.isalpha() and w not in ("at", "dot") for w in words)
+    if alphas and not sign:
+        return None
     groups = [len(w) for w in words if w.isdigit()]
-    out = ["bias", f"digits={min(len(digits), 20)}", f"groups={'-'.join(map(str, groups[:6]))}", f"n_groups={min(len(groups), 6)}", f"marks={marks}", f"alphas={min(alphas, 3)}", f"gaps={min(gaps, 4)}", f"plus={first == '+'}", f"paren={first == '('}"]
+    out = ["address" if sign else "number", f"digits={min(len(digits), 20)}", f"groups={'-'.join(map(str, groups[:6]))}", f"n_groups={min(len(groups), 6)}", f"marks={marks}", f"alphas={min(alphas, 3)}", f"gaps={min(gaps, 4)}", f"plus={first == '+'}", f"paren={first == '('}"]
     if not alphas and 12 <= len(digits) <= 19:
         out.append(f"luhn={luhn(digits)}")
     if not alphas and not sign:
@@ -131,6 +133,10 @@ def span_features(tokens: list[tuple[int, int, str]], i: int, j: int) -> list[st
     return out
 
 
+#: Added to the scores of a segment: only an address can be an email, only a number anything else.
+_ONLY = {"address": np.array([0.0, -1e6, -1e6, -1e6]), "number": np.array([-1e6, 0.0, 0.0, 0.0])}
+
+
 class Field:
     """A semi-Markov conditional random field over the kinds and single outside tokens (label 0)."""
 
@@ -140,8 +146,8 @@ class Field:
         self.outside = np.zeros(3)
         self.moves = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
 
-    def segments(self, tokens: list, grow: bool = False) -> list[list[tuple[int, np.ndarray]]]:
-        """For each end the candidates: start and feature numbers."""
+    def segments(self, tokens: list, grow: bool = False) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each end the candidates: start, feature numbers, and what bars kinds."""
         out: list[list] = [[] for _ in range(len(tokens) + 1)]
         for i in range(len(tokens)):
             for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
@@ -150,7 +156,7 @@ class Field:
                     if grow:
                         for n in names:
                             self.index.setdefault(n, len(self.index))
-                    out[j].append((i, np.array([self.index[n] for n in names if n in self.index], np.int64)))
+                    out[j].append((i, np.array([self.index[n] for n in names if n in self.index], np.int64), _ONLY[names[0]]))
         return out
 
     @staticmethod
@@ -166,8 +172,8 @@ class Field:
             into = score[e - 1] + self.moves[:, 0]
             y = int(into.argmax())
             score[e, 0], back[e, 0] = into[y] + self.outside[self._plain(tokens[e - 1])], (e - 1, y)
-            for s, feats in segments[e]:
-                values = self.w[feats].sum(0)
+            for s, feats, only in segments[e]:
+                values = self.w[feats].sum(0) + only
                 into = score[s][:, None] + self.moves[:, 1:]
                 ys = into.argmax(0)
                 for kind in range(k):
@@ -191,13 +197,13 @@ class Field:
         for _ in range(rounds):
             for tokens, segments, gold in made:
                 n = len(tokens)
-                values = [[self.w[f].sum(0) for _, f in segments[e]] for e in range(n + 1)]
+                values = [[self.w[f].sum(0) + only for _, f, only in segments[e]] for e in range(n + 1)]
                 plain = [self._plain(t) for t in tokens]
                 a, b = np.full((n + 1, k + 1), -np.inf), np.full((n + 1, k + 1), -np.inf)
                 a[0, 0] = 0.0
                 for e in range(1, n + 1):
                     a[e, 0] = np.logaddexp.reduce(a[e - 1] + self.moves[:, 0]) + self.outside[plain[e - 1]]
-                    for (s, _), v in zip(segments[e], values[e], strict=True):
+                    for (s, *_), v in zip(segments[e], values[e], strict=True):
                         a[e, 1:] = np.logaddexp(a[e, 1:], np.logaddexp.reduce(a[s][:, None] + self.moves[:, 1:], 0) + v)
                 total = np.logaddexp.reduce(a[n])
                 g_o, g_m, g_w = np.zeros(3), np.zeros_like(self.moves), {}
@@ -208,7 +214,7 @@ class Field:
                     g_o[plain[e - 1]] -= p.sum()
                     g_m[:, 0] -= p
                     b[e - 1] = np.logaddexp(b[e - 1], into)
-                    for (s, feats), v in zip(segments[e], values[e], strict=True):
+                    for (s, feats, _), v in zip(segments[e], values[e], strict=True):
                         into = self.moves[:, 1:] + v + b[e, 1:]
                         p = np.exp(a[s][:, None] + into - total)
                         g_m[:, 1:] -= p
@@ -219,7 +225,7 @@ class Field:
                         b[s] = np.logaddexp(b[s], np.logaddexp.reduce(into, 1))
                 e, y = 0, 0
                 by_start = {s: (end, kind) for s, end, kind in gold}
-                where = {(s, end): feats for end in range(n + 1) for s, feats in segments[end]}
+                where = {(s, end): feats for end in range(n + 1) for s, feats, _ in segments[end]}
                 while e < n:
                     if e in by_start and (e, by_start[e][0]) in where:
                         end, kind = by_start[e]

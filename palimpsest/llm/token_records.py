@@ -24,6 +24,7 @@ import json
 import os
 import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -114,7 +115,9 @@ class TextEncoder:
     def _encode_words(self, words: list[bytes]) -> None:
         texts = [w.decode() for w in words]
         # letters, or letters and marks after them, are one or two units of the tokenizer, whose last token says that it ends
-        units = [1 if t.isalpha() else 2 if _MARKED.fullmatch(t) else 0 for t in texts]
+        # (as the tokenizer sees them: lower-casing may part a letter into a letter and an accent)
+        seen = (t if t.isascii() else unicodedata.normalize("NFC", t).lower() for t in texts)
+        units = [1 if t.isalpha() else 2 if _MARKED.fullmatch(t) else 0 for t in seen]
         plain = [i for i, u in enumerate(units) if u] if len(self.ends) else []
         out: list = [None] * len(words)
         for at in range(0, len(plain), 5000):
