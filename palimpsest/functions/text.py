@@ -56,7 +56,7 @@ def visible(t: Column) -> Column:
 
 def bytesize(n: Column) -> Column:
     """A size in B, KB or MB."""
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.bround(n / 1024).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.concat(F.format_number(F.bround(n / (1 << 20), 1), "0.0"), F.lit(" MB")))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(F.bround(n / 1024).cast("long").cast("string"), F.lit(" KB"))).otherwise(F.concat(F.bround(n / (1 << 20), 1).cast("string"), F.lit(" MB")))
 
 
 def pct(v: Column) -> Column:
@@ -83,19 +83,16 @@ def injection_hits(t: Column) -> Column:
     before matches. Texts that match no phrase are passed over by one look.
     """
     empty = "array<struct<order:int,start:int,ord:int,end:int,label:string,weight:int,match:string>>"
+    # an array of the patterns keeps the expression small: detectors use it often, and Spark plans each use
+    lexicon = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(_MATCH[p]).alias("p"), F.lit(w).alias("weight"), F.lit(label).alias("label")) for i, (p, w, label) in enumerate(X.PHRASES)))
+    found = F.transform(lexicon, lambda x: F.struct(x.alias("x"), F.regexp_extract_all(t, x["p"], F.lit(0)).alias("m"), F.split(t, x["p"], -1).alias("g")))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
 
-    def of(ord_: int, pattern: str, weight: int, label: str) -> Column:
-        p = F.lit(_MATCH[pattern])
-        pair = F.array(F.struct(F.regexp_extract_all(t, p, F.lit(0)).alias("m"), F.split(t, _MATCH[pattern], -1).alias("g")))
-        total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
+    def hits_of(s: Column) -> Column:
+        start = lambda i: total(F.slice(s["g"], 1, i + 1)) + total(F.slice(s["m"], 1, i))
+        return F.transform(s["m"], lambda m, i: F.struct((-s["x"]["weight"]).alias("order"), start(i).alias("start"), s["x"]["ord"].alias("ord"), (start(i) + F.length(m)).alias("end"), s["x"]["label"].alias("label"), s["x"]["weight"].alias("weight"), strip(m).alias("match")))
 
-        def hit(s: Column, x: Column, i: Column) -> Column:
-            start = total(F.slice(s["g"], 1, i + 1)) + total(F.slice(s["m"], 1, i))
-            return F.struct(F.lit(-weight).alias("order"), start.alias("start"), F.lit(ord_).alias("ord"), (start + F.length(x)).alias("end"), F.lit(label).alias("label"), F.lit(weight).alias("weight"), strip(x).alias("match"))
-
-        return F.flatten(F.transform(pair, lambda s: F.transform(s["m"], lambda x, i: hit(s, x, i))))
-
-    hits = F.concat(*(of(i, *p) for i, p in enumerate(X.PHRASES)))
+    hits = F.flatten(F.transform(F.filter(found, lambda s: F.size(s["m"]) > 0), hits_of))
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["label"] == b["label"])
     unique = F.transform(F.array(hits), lambda hs: F.filter(hs, lambda h: ~F.exists(hs, lambda g: same(g, h) & (g["ord"] < h["ord"]))))[0]
     return F.when(t.rlike(ANY_PHRASE), F.sort_array(unique)).otherwise(F.expr(f"cast(array() as {empty})"))

@@ -59,9 +59,9 @@ def read_traces(spark: SparkSession, folder: str) -> Trace:
 
 
 def read_files(spark: SparkSession, paths: str, max_bytes: int = 20 << 20) -> DataFrame:
-    """Files as rows: doc_id and sha256 (of the content), filename, bytes, status (empty, too_large or ok), content."""
+    """Files as rows: doc_id and sha256 (of the content), filename, bytes, status (too_large or ok), content. Spark gives no row for an empty file."""
     files = spark.read.format("binaryFile").load(paths)
-    status = F.when(F.col("length") == 0, "empty").when(F.col("length") > max_bytes, "too_large").otherwise("ok")
+    status = F.when(F.col("length") > max_bytes, "too_large").otherwise("ok")
     sha = F.sha2("content", 256)
     return files.select(sha.alias("doc_id"), sha.alias("sha256"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"), status.alias("status"), "content")
 

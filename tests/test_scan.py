@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import geometry as G
 from palimpsest.functions import text as T
 from palimpsest.operators.classify import classify, page_texts
-from palimpsest.operators.detectors import find
+from palimpsest.operators.detectors import DETECTORS, find
 from palimpsest.operators.history import retain, user_stats
 from palimpsest.operators.score import score_findings
 from palimpsest.plans import queries as plans
@@ -67,26 +67,33 @@ def test_hits_and_offsets(spark):
     assert one(spark, T.injection_hits(F.lit("Led a team of five engineers and shipped on time."))) == []
 
 
-@pytest.mark.parametrize(
-    ("span", "expected"),
-    [
-        ({"type": 3}, {("invisible_render_mode", "critical")}),
-        ({"opacity": None}, set()), ({"opacity": 0.02}, {("transparent_text", "critical")}), ({"opacity": 0.08}, {("transparent_text", "high")}), ({"opacity": 0.0801}, set()),
-        ({"color": [1.0, 1.0, 1.0]}, {("low_contrast_text", "critical")}), ({"color": [0.55, 0.55, 0.55], "size": 8.0}, set()),
-        ({"size": 1.99}, {("micro_type", "critical")}), ({"size": 2.0}, {("micro_type", "high")}), ({"size": 3.5}, set()), ({"size": 0.0}, set()), ({"size": 1.0, "text": "abc"}, set()),
-        ({"bbox": {"x0": 50.0, "y0": 900.0, "x1": 200.0, "y1": 911.0}}, {("offpage_text", "critical")}), ({"bbox": None}, set()),
-        ({"layer": " secret "}, {("hidden_layer", "high")}), ({"layer": "open"}, set()),
-    ],
-)
-def test_runs(spark, span, expected):
-    row = run("some text here")
-    assert codes(spark, [row | span], hidden_layers=[{"doc_id": "d", "name": "secret"}]) == expected
-
-
-@pytest.mark.parametrize(("seqno", "opacity", "width", "hit"), [(6, None, 200.0, True), (5, None, 200.0, False), (6, 0.0, 200.0, True), (6, 0.94, 200.0, False), (6, 0.95, 200.0, True), (6, None, 187.0, False)])
-def test_covers(spark, seqno, opacity, width, hit):
-    cover = {"doc_id": "d", "page": 0, "cover_ord": 0, "seqno": seqno, "rect": {"x0": 50.0, "y0": 90.0, "x1": width, "y1": 120.0}, "fill_opacity": opacity, "fill": [1.0]}
-    assert (("covered_text", "high") in codes(spark, [run("some text here")], covers=[cover])) is hit
+RUNS = [
+    ({"type": 3}, {("invisible_render_mode", "critical")}),
+    ({"opacity": None}, set()), ({"opacity": 0.02}, {("transparent_text", "critical")}), ({"opacity": 0.08}, {("transparent_text", "high")}), ({"opacity": 0.0801}, set()),
+    ({"color": [1.0, 1.0, 1.0]}, {("low_contrast_text", "critical")}), ({"color": [0.55, 0.55, 0.55], "size": 8.0}, set()),
+    ({"size": 1.99}, {("micro_type", "critical")}), ({"size": 2.0}, {("micro_type", "high")}), ({"size": 3.5}, set()), ({"size": 0.0, "bbox": None}, set()), ({"size": 1.0, "text": "abc"}, set()),
+    ({"bbox": {"x0": 50.0, "y0": 900.0, "x1": 200.0, "y1": 911.0}}, {("offpage_text", "critical")}), ({"bbox": None}, set()),
+    ({"layer": " secret "}, {("hidden_layer", "high")}), ({"layer": "open"}, set()),
+]
+COVERS = [(6, None, 200.0, True), (5, None, 200.0, False), (6, 0.0, 200.0, True), (6, 0.94, 200.0, False), (6, 0.95, 200.0, True), (6, None, 187.0, False)]
+
+
+def test_runs_and_covers(spark):
+    """Each case is a document of its own."""
+    spans, expected, covers = [], {}, []
+    for i, (span, codes_) in enumerate(RUNS):
+        spans.append(run("some text here", doc_id=f"r{i}") | span)
+        expected[f"r{i}"] = codes_
+    for i, (seqno, opacity, right, hit) in enumerate(COVERS):
+        spans.append(run("some text here", doc_id=f"c{i}"))
+        covers.append({"doc_id": f"c{i}", "page": 0, "cover_ord": 0, "seqno": seqno, "rect": {"x0": 50.0, "y0": 90.0, "x1": right, "y1": 120.0}, "fill_opacity": opacity, "fill": [1.0]})
+        expected[f"c{i}"] = {("covered_text", "high")} if hit else set()
+    layers = [{"doc_id": f"r{i}", "name": "secret"} for i in range(len(RUNS))]
+    info = [{"doc_id": d, "page": 0, "box": BOX, "image_share": 0.0} for d in expected]
+    got = {d: set() for d in expected}
+    for r in find(prepare(trace(spark, spans, covers=covers, hidden_layers=layers, page_info=info)), tuple(n for n, _, _ in DETECTORS[:7])).select("doc_id", "code", "severity").collect():
+        got[r["doc_id"]].add((r["code"], r["severity"]))
+    assert got == expected
 
 
 def test_recognised_text_is_low(spark):
@@ -105,14 +112,15 @@ def test_carriers(spark):
 
 
 def test_characters(spark):
-    assert codes(spark, [run("a​b")]) == {("invisible_unicode", "medium")}
-    assert codes(spark, [run("a" + "​" * 12)]) == {("invisible_unicode", "high")}
-    assert codes(spark, [run("a‮b")]) == {("bidi_override", "high")}
-    assert codes(spark, [run("Привет дорогой друг")]) == set()
-    assert codes(spark, [run("see https://exаmple.com now")]) == {("homoglyph", "high")}
-    assert codes(spark, [run("tab\tline\nend\r")]) == set()
-    assert codes(spark, [run("a\x00b")]) == {("encoding_anomaly", "medium")}
-    assert codes(spark, [run("")]) == set() and codes(spark, [run("")]) == {("encoding_anomaly", "medium")}
+    cases = {
+        "a\u200bb": {("invisible_unicode", "medium")}, "a" + "\u200b" * 12: {("invisible_unicode", "high")}, "a\u202eb": {("bidi_override", "high")},
+        "Привет дорогой друг": set(), "see https://ex\u0430mple.com now": {("homoglyph", "high")}, "tab\tline\nend\r": set(), "a\x00b": {("encoding_anomaly", "medium")}, "\ue000\ue001": set(), "\ue000\ue001\ue002": {("encoding_anomaly", "medium")},
+    }
+    texts = spark.createDataFrame([(t, t) for t in cases], "doc_id string, text string")
+    got = {t: set() for t in cases}
+    for r in find(prepare(trace_of_texts(texts)), ("unicode_smuggling", "homoglyph", "encoding_anomaly")).select("doc_id", "code", "severity").collect():
+        got[r["doc_id"]].add((r["code"], r["severity"]))
+    assert got == cases
 
 
 def test_report_and_hidden_phrase(spark):
@@ -140,7 +148,8 @@ def test_history(spark):
 def test_sources(spark, tmp_path):
     (tmp_path / "a.bin").write_bytes(b"x")
     (tmp_path / "b.bin").write_bytes(b"")
-    assert {r["status"] for r in read_files(spark, str(tmp_path)).select("status").collect()} == {"ok", "empty"}
+    (tmp_path / "c.bin").write_bytes(b"xyz")
+    assert {(r["filename"], r["status"]) for r in read_files(spark, str(tmp_path), max_bytes=2).select("filename", "status").collect()} == {("a.bin", "ok"), ("c.bin", "too_large")}
     shares = image_share(spark.createDataFrame([("d", 0, 100.0, 70.0), ("d", 0, 100.0, 70.0), ("d", 1, 0.0, 0.0)], "doc_id string, page int, page_area double, image_area double"))
     assert {r["image_share"] for r in shares.collect()} == {1.0}
 
