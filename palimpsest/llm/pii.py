@@ -320,9 +320,17 @@ def _find(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Record
 
 
 def fit_field(docs: DataFrame, labelled: int = LABELLED) -> Field:
-    """A field trained on at most ``labelled`` documents (those first by a hash of their text) with a digit and an at-sign or plus, or a long number."""
-    sample = docs.select(F.col("text").cast("string").alias("text")).where(F.length("text") < 20_000).where(F.col("text").rlike(r"[0-9]@|@[a-z]|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]"))
-    return train([r[0] for r in sample.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(labelled).collect()])
+    """A field trained on at most ``labelled`` distinct texts (those first by their hash) with a digit and an at-sign or plus, or a long number.
+
+    Hashes are chosen first and alone; the driver gets only the chosen texts, of under 20,000 characters each.
+    """
+    hashed = docs.select(F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    fits = (F.length("text") < 20_000) & F.col("text").rlike(r"[0-9]@|@[a-z]|\+[0-9]|[0-9]{12}|[0-9]\.[0-9]+\.[0-9]")
+    chosen = hashed.where(fits).select("h").distinct().orderBy("h").limit(labelled).collect()
+    if not chosen:
+        return train([])
+    texts = hashed.where(F.col("h") <= chosen[-1]["h"]).where(fits).groupBy("h").agg(F.min("text").alias("text"))
+    return train([r["text"] for r in texts.orderBy("h").collect()])
 
 
 def find_personal_data(docs: DataFrame, labelled: int = LABELLED) -> DataFrame:
