@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, functions as F
 from palimpsest.llm.shared import slices
 
 KINDS = ("email", "ip", "card", "phone")
-LONGEST = 14  # tokens of an entity
+LONGEST = 24  # tokens of an entity
 AROUND = 4  # tokens of a window beside its digits and signs
+CUT = 400  # tokens after which a run ends at the next plain word
 LABELLED = 300  # documents that the field is trained on, at most
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -34,6 +35,12 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\S")
+# an at-sign or what stands for one, and the domain after it, with dots or what stands for them
+_AT = r"(?:@|[\[({<]\s?at\s?[\])}>]|\bat\b(?=[^\n]{1,70}\bdot\b))"
+_DOT = r"(?:\.|\s?[\[({<]\s?(?:dot|\.)\s?[\])}>]\s?|\s{1,3}dot\s{1,3})"
+_MARK = re.compile(f"[0-9]+|(?P<sign>{_AT})", re.I)
+_TAIL = re.compile(rf"{_AT}\s{{0,3}}[\w-]+(?:{_DOT}[\w-]+)*", re.I)
+_ADDRESS = re.compile(rf"[\w.%+-]+\s?(?:@|[\[({{<]\s?at\s?[\])}}>]|(?<=\s)at(?=\s))\s?[\w-]+(?:{_DOT}[\w-]+)+", re.I)
 
 Span = tuple[int, int, str]
 
@@ -72,26 +79,39 @@ def base_spans(text: str) -> list[Span]:
 
 
 def windows(text: str) -> Iterator[list[tuple[int, int, str]]]:
-    """The tokens (start, end, text) around digits and at-signs, in runs; tokens of a run follow each other in the text."""
-    marks = [m.start() for m in re.finditer(r"[0-9]+|@|\bat\b(?=[^\n]{1,40}\bdot\b)", text)]
-    last = -1
+    """The tokens (start, end, text) around digits and signs, in runs; tokens of a run follow each other in the text.
+
+    A run holds the whole of what it touches: what is written together before a mark, the domain after a
+    sign, and all marks that have few tokens between them.
+    """
+    last = 0
     run: list = []
-    for mark in marks:
+    for m in _MARK.finditer(text):
+        mark = m.start()
         if mark < last:
             continue
-        low = max(0, last if run else 0, mark - 60)
-        before = [(m.start(), m.end(), m[0]) for m in _TOKEN.finditer(text, low, mark)][-AROUND:]
-        if run and (not before or before[0][0] > last + 60 or len(run) > 400):
+        head = mark
+        while m["sign"] and head > last and text[head - 1].isspace():
+            head -= 1
+        while head > last and (text[head - 1] in _LOCAL or text[head - 1].isalnum()):
+            head -= 1
+        low = max(last, head - 60)
+        before = [(t.start(), t.end(), t[0]) for t in _TOKEN.finditer(text, low, mark)]
+        kept = before[-AROUND - sum(t[0] >= head for t in before) :]
+        if run and (low > last or len(kept) < len(before) or (len(run) > CUT and run[-1][2].isalpha() and run[-1][2].lower() not in ("at", "dot"))):
             yield run
             run = []
-        run += [t for t in before if t[0] >= last]
-        end = mark
-        for m in _TOKEN.finditer(text, mark, min(len(text), mark + 80)):
-            run.append((m.start(), m.end(), m[0]))
-            end = m.end()
-            if not any(c.isdigit() or c in "@.+()-" for c in m[0]) and m[0].lower() not in ("at", "dot"):
+        run += kept
+        tail = mark
+        for t in _TOKEN.finditer(text, mark):
+            if t.start() >= max(mark + 80, tail):
+                break
+            run.append((t.start(), t.end(), t[0]))
+            last = t.end()
+            if whole := _TAIL.match(text, t.start()):
+                tail = whole.end()
+            if last > tail and not any(c.isdigit() or c in "@.+()-/[]" for c in t[0]) and t[0].lower() not in ("at", "dot"):
                 break
-        last = end
     if run:
         yield run
 
@@ -126,6 +146,13 @@ def span_features(tokens: list[tuple[int, int, str]], i: int, j: int) -> list[st
     if sign:
         at = words.index("@") if "@" in words else words.index("at", 1)
         out.append(f"address={any(w in ('.', 'dot') for w in words[at:])},{words[at]},{alphas > 1},{last.isalpha()}")
+        plain = "".join(f" {t[2]}" if n and tokens[i + n - 1][1] < t[0] else t[2] for n, t in enumerate(tokens[i:j]))
+        form = bool(_ADDRESS.fullmatch(plain))
+        more = [t[2].lower() if k[1] == t[0] else f" {t[2].lower()}" for k, t in zip(tokens[j - 1 : j + 3], tokens[j : j + 4])]
+        more = bool(re.match(_DOT + "[^ ]|-[^ ]", "".join(more)))
+        joins = i > 0 and tokens[i - 1][1] == tokens[i][0] and tokens[i - 1][2][-1] in _LOCAL
+        out += [f"form={form}", f"more={more}", f"form={form},more={more},joins={joins}", f"form={form},more={more},{words[at]},{words[at - 1] == '['}"]
+        out += [f"inside={form}"] * (j - i)  # each token, as each token outside counts too
     before, after = tokens[max(0, i - 3) : i], tokens[j : j + 1]
     out += [f"cue={k}" for k in {_CUE[t[2].lower()] for t in before if t[2].lower() in _CUE}]
     out.append(f"left={bool(before) and before[-1][1] == tokens[i][0] and (before[-1][2].isalnum() or before[-1][2] in '@+-_%=/')}")
@@ -264,7 +291,8 @@ def _variants(kind: str, text: str, rng: random.Random) -> Iterator[tuple[str, b
         yield ".".join(text.split(".")[:3]), False
     elif kind == "email":
         local, _, domain = text.partition("@")
-        yield f"{local} at {domain.replace('.', ' dot ')}" if rng.random() < 0.5 else f"{local} [at] {domain}", True
+        yield f"{local} at {domain.replace('.', ' dot ')}", True
+        yield f"{local} [at] {domain}", True
         yield rng.choice([f"@{local}", f"{local} at {local} dot", domain]), False
 
 
@@ -279,15 +307,15 @@ def train(texts: list[str], seed: int = 7) -> Field:
                 made = lead + written_as + right
                 s, e = len(lead), len(lead) + len(written_as)
                 for tokens in windows(made):
-                    gold = []
-                    if real and tokens[0][0] <= s and tokens[-1][1] >= e:
-                        inner = [i for i, t in enumerate(tokens) if s <= t[0] and t[1] <= e]
-                        if inner:
-                            gold.append((inner[0], inner[-1] + 1, KINDS.index(kind)))
-                    for bs, be, bk in base_spans(made):
-                        inner = [i for i, t in enumerate(tokens) if bs <= t[0] and t[1] <= be]
+                    gold, broken = [], False
+                    spans = [(s, e, kind)] * real + base_spans(made)
+                    for bs, be, bk in spans:
+                        inner = [i for i, t in enumerate(tokens) if bs < t[1] and t[0] < be]
                         if inner and not any(a < inner[-1] + 1 and inner[0] < b for a, b, _ in gold):
+                            broken |= tokens[inner[0]][0] != bs or tokens[inner[-1]][1] != be
                             gold.append((inner[0], inner[-1] + 1, KINDS.index(bk)))
+                    if broken:  # a span that starts or ends inside a token
+                        continue
                     if len(tokens) <= 80:
                         examples.append((tokens, gold))
     rng.shuffle(examples)
@@ -313,7 +341,7 @@ def _find(batches: Iterator[pa.RecordBatch], field: Field) -> Iterator[pa.Record
     for batch in slices(batches, 1000):
         rows = []
         for text in batch.column(1).to_pylist():
-            base, spans = all_spans(text, field) if text and _ANY.search(text) else ([], [])
+            base, spans = all_spans(text, field) if text else ([], [])
             rows.append((*(sum(k == kind for *_, k in base) for kind in KINDS), hashlib.sha256(write(base).encode()).hexdigest(), write(spans)))
         columns = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), pa.array(columns[4]), pa.array(columns[5])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
@@ -349,7 +377,7 @@ def _redact(batches: Iterator[pa.RecordBatch], field: Field, at: int) -> Iterato
     for batch in slices(batches, 1000):
         out = []
         for text in batch.column(at).to_pylist():
-            if text and _ANY.search(text):
+            if text:
                 parts, low = [], 0
                 for s, e, kind in all_spans(text, field)[1]:
                     if e > low:

@@ -312,6 +312,30 @@ def test_personal_data(spark, odd, none):
     assert find_personal_data(odd).count() == len(ODD) and find_personal_data(none).count() == 0 and redact(odd).columns == odd.columns
 
 
+def test_personal_data_of_other_forms(spark):
+    from palimpsest.llm.pii import _variants, find_personal_data, redact, windows
+
+    names = ["jane", "max.mustermann", "a_b-c.d", "mary.lou_smith-jones"]
+    hosts = ["example.org", "mail.example.co.uk", "my-host.example.org"]
+    data = [(i, f"some words {names[i % 4]}@{hosts[i % 3]} and +1 (212) 555-01{i:02d} or 10.0.0.{i} card 4111 1111 1111 1111 end", "en", "s", 1) for i in range(40)]
+    forms = [(f"{n} at {h.replace('.', ' dot ')}", "email") for n in names for h in hosts] + [(f"{n} [at] {h}", "email") for n in names for h in hosts]
+    forms += [(sign.join(["4111", "1111", "1111", "1111"]), "card") for sign in (".", "  ", "/")]
+    forms += [(x, "phone") for x in ("(212) 555-0199", "212-555-0199", "212.555.0199", "(212) 555 0199", "212 555 0199")]
+    rng = __import__("random").Random(2)
+    for value, kind in (("jane@example.org", "email"), ("4111 1111 1111 1111", "card"), ("+1 212 555 0199", "phone")):
+        forms += [(x, kind) for _ in range(30) for x, real in _variants(kind, value, rng) if real and x != value]
+    plain = ["we met at noon by the dot on the map", "look at this [at] all", "at home"]
+    asked = [(1000 + i, f"they wrote {x} and then left", "en", "s", 1) for i, (x, _) in enumerate(forms)] + [(3000 + i, x, "en", "s", 1) for i, x in enumerate(plain)]
+    for _, text, *_ in asked:
+        assert all(a[1] <= b[0] and not text[a[1] : b[0]].strip() for w in windows(text) for a, b in itertools.pairwise(w)), text
+    docs = spark.createDataFrame(data + asked, DOC)
+    spans = {r["doc_id"]: r["spans"] for r in find_personal_data(docs).collect()}
+    assert [(x, spans[1000 + i]) for i, (x, _) in enumerate(forms)] == [(x, f"{k}:11:{11 + len(x)}") for x, k in forms]
+    assert [spans[3000 + i] for i in range(len(plain))] == [""] * len(plain)
+    texts = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert all(texts[1000 + i] == f"they wrote [{k.upper()}] and then left" for i, (_, k) in enumerate(forms))
+
+
 def test_toxicity(spark, odd, none):
     from palimpsest.llm.toxicity import scored, without_toxic
 
