@@ -1,12 +1,12 @@
 """Main text of web pages by wrapper induction.
 
 Every page becomes a DOM tree and that a skeleton, in which neighbouring siblings of one kind (tag and
-class) are one node. The skeletons of a host are aligned with that of its first page by simple
-tree matching. A node whose text is the same on nearly all distinct pages of the host is template, a
+class) are one node. The skeletons of a host are aligned with its most frequent one by simple
+tree matching. A node whose text is the same on nearly all distinct articles of the host is template, a
 node whose text varies is a slot. The text of a page is what its content element holds: the largest
 <article>, else <main>, else the part of <body> with most of the slots' text; without elements that are
 not main text by their tag or class (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments) and without template.
+scripts, comments) and, where no tag says what the main text is, without template.
 
 Skeletons hold digests, no text. They are all that is joined by host, so a host with a third of all pages
 is no burden: its votes are counted before they are shuffled, and the join of its pages is one that
@@ -209,10 +209,15 @@ def matching(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
+def _is_marked(x: Node) -> bool:
+    """Whether an element says itself that it is the main text; it has no template then."""
+    return x.tag in ("article", "main") or "articlebody" in x.words
+
+
 def content_element(top: Node, template: frozenset) -> Node:
     """The element whose text is the page's main text."""
     visible = lambda x: not any(excluded(y, False) for y in _up(x))
-    length = lambda x: len(extract(x, template, x.tag in ("article", "main")))
+    length = lambda x: len(extract(x, frozenset() if _is_marked(x) else template, x.tag in ("article", "main")))
     for want in (lambda x: x.tag == "article" or "articlebody" in x.words, lambda x: x.tag == "main" or "main" in x.words):
         if found := [x for x in _finds(top, want) if visible(x)]:
             return found[0] if len(found) == 1 else max(found, key=length)
@@ -269,13 +274,34 @@ def main_text(source: str, template: frozenset = frozenset()) -> str:
     if template:
         skeleton(top)
     node = content_element(top, template)
-    return extract(node, template, node is not top)
+    return extract(node, frozenset() if _is_marked(node) else template, node is not top)
+
+
+def article(top: Node) -> int:
+    """A digest that near copies of an article share: of the first of its highest headings and of its longest block."""
+    node = content_element(top, frozenset())
+    inside = node is not top
+    blocks = extract(node, frozenset(), inside).split("\n\n")
+    headings = _finds(node, lambda x: x.tag in ("h1", "h2", "h3") and not any(y is not node and excluded(y, inside) for y in _up(x)))
+    first = min(headings, key=lambda x: x.tag, default=None)
+    title = extract(first, frozenset(), inside) if first else ""
+    return xxhash.xxh3_64_intdigest(json.dumps([title, max(blocks, key=len)])) >> 1
+
+
+def _shape(tree: list) -> list:
+    return [tree[0], [_shape(t) for t in tree[2]]]
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, 500):
-        trees = [json.dumps(skeleton(parse(x or "")), separators=(",", ":")) for x in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees), pa.array([json.loads(t)[1] for t in trees], pa.int64())], names=["key", "host", "tree", "digest"])
+        trees, shapes, articles = [], [], []
+        for x in batch.column(2).to_pylist():
+            top = parse(x or "")
+            tree = skeleton(top)
+            trees.append(json.dumps(tree, separators=(",", ":")))
+            shapes.append(xxhash.xxh3_64_intdigest(json.dumps(_shape(tree))) >> 1 if tree[1] else None)
+            articles.append(article(top))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees, pa.string()), pa.array(shapes, pa.int64()), pa.array(articles, pa.int64())], names=["key", "host", "tree", "shape", "article"])
 
 
 def _digests(tree: list) -> list[int]:
@@ -325,14 +351,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.9) -> DataFrame:
     """key and template (numbers of its skeleton's nodes) of the pages that have template, of rows (key, host, html).
 
-    A node is template when at least ``min_pages`` distinct pages of its host have it and ``min_share`` of
-    them with the same text; exact copies of a page count once.
+    A node is template when at least ``min_pages`` distinct articles of its host have it and ``min_share`` of
+    them with the same text; copies and near copies of an article count once. Pages without text are
+    no layout to align with.
     """
-    trees = written(pages.mapInArrow(_skeletons, "key long, host string, tree string, digest long"), "skeletons")
-    first = trees.groupBy("host").agg(F.min("key").alias("key"))
+    trees = written(pages.mapInArrow(_skeletons, "key long, host string, tree string, shape long, article long"), "skeletons")
+    distinct = trees.groupBy("host", "article").agg(F.min(F.struct("key", "shape")).alias("page")).select("host", "page.*")
+    shapes = distinct.where("shape is not null").groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("key").alias("key"))
+    first = shapes.groupBy("host").agg(F.max_by("key", F.struct("n", "shape")).alias("key"))
     first = written(trees.join(first.select("key"), "key", "left_semi").groupBy("host").agg(F.min("tree").alias("first")), "first-skeletons")
-    distinct = trees.groupBy("host", "digest").agg(F.min("key").alias("key")).select("key")
-    votes = trees.join(distinct, "key", "left_semi").join(first, "host").select("host", "tree", "first").mapInArrow(_votes, "host string, node int, digest long")
+    votes = trees.join(distinct.select("key"), "key", "left_semi").join(first, "host").select("host", "tree", "first").mapInArrow(_votes, "host string, node int, digest long")
     nodes = votes.groupBy("host", "node", "digest").count().groupBy("host", "node").agg(F.sum("count").alias("n"), F.max_by("digest", F.struct("count", "digest")).alias("digest"), F.max("count").alias("most"))
     constant = nodes.where((F.col("n") >= min_pages) & (F.col("most") >= min_share * F.col("n"))).groupBy("host").agg(F.collect_list(F.struct("node", "digest")).alias("constant"))  # at most a skeleton's nodes
     return trees.join(first.join(constant, "host"), "host").select("key", "tree", "first", "constant").mapInArrow(_templates, "key long, template array<int>")

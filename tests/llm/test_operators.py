@@ -284,6 +284,26 @@ def test_html(spark):
     assert sorted(matching(["r", 1, [leaf("a"), leaf("b"), leaf("c")]], ["r", 1, [leaf("a"), leaf("c")]])) == [(0, 0), (1, 1), (3, 2)]
 
 
+def test_html_of_near_copies_and_odd_first_pages(spark):
+    from palimpsest.llm.html_extract import extract_pages, templates
+
+    story = "<h1>One story</h1><p>The first long paragraph of it.</p><p>A second one.</p>"
+    near = [(i, f"https://{host}/{i}", f"<body><div class=top><p>Welcome to the site</p></div>{a}{story}<p>Day {i}</p>{b}<div class=end><p>All rights kept</p></div>") for host, a, b, at in (("tag.example", "<article>", "</article>", 0), ("plain.example", "<div id=c>", "</div>", 100)) for i in range(at, at + 20)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(near, "page_id long, url string, html string")).collect()}
+    for i, text in got.items():
+        whole = f"One story\n\nThe first long paragraph of it.\n\nA second one.\n\nDay {i}"
+        assert text == whole if i < 100 else whole in text, (i, text)
+    # a marked article keeps what all articles of a host have in common
+    same = [(i, f"https://s.example/{i}", f"<body><article><h1>Story {i}</h1><p>{'text ' * 9}{i}</p><p>Said in all of them.</p></article>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in extract_pages(spark.createDataFrame(same, "page_id long, url string, html string")).collect()}
+    assert all(got[i].endswith("Said in all of them.") for i in range(12))
+    page = lambda i: f"<body><div class=top><p>Welcome to the site</p></div><div id=c><h2>Story {i}</h2><p>{'text ' * (i + 5)}{i}</p></div><div class=end><p>All rights kept</p></div>"
+    firsts = ("", None, "<table><tr><td>another layout</table>")
+    site = [(100 * h + i, f"h{h}", page(i) if i else firsts[h]) for h in range(3) for i in range(13)]
+    found = {r["key"]: r["template"] for r in templates(spark.createDataFrame(site, "key long, host string, html string")).collect()}
+    assert sorted(found) == [100 * h + i for h in range(3) for i in range(1, 13)] and all(len(t) >= 2 for t in found.values())
+
+
 def test_base_spans():
     from palimpsest.llm.pii import KINDS, base_spans, luhn
 
