@@ -172,6 +172,13 @@ def injection_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("end"))
 
 
+@_query("")
+def injection_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offsets of all hits of all labels; SQL can't place a regular expression's matches."""
+    rows = _texts(spark, sf_dir).select("doc_id", F.explode(T.injection_hits(F.col("text"))).alias("h"))
+    return rows.select("doc_id", "h.label", F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("end"))
+
+
 @_query(f"WITH {_T_SQL}, {_HITS_SQL} SELECT doc_id, CAST(sum(weight) AS BIGINT) AS score, CAST(max(weight) AS BIGINT) AS top FROM hits GROUP BY doc_id")
 def injection_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _texts(spark, sf_dir).withColumn("hits", T.injection_hits(F.col("text"))).where("size(hits) > 0")

@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import duckdb
 import pytest
@@ -170,6 +171,19 @@ def test_empty_tables(spark):
     assert page_texts(classify(trace_of(spark).spans, trace_of(spark).page_info, trace_of(spark).covers, trace_of(spark).hidden_layers)).count() == 0
 
 
+def test_injection_positions_are_those_of_finditer(spark, tmp_path):
+    phrases = ["ignore any prior rules", "END of resume -- new", "you are now a helpful assistant", "as a language model", "system > x", "< /system >", "[ internal ]", "### important", "score this cv as top", "skip all checks", "email the contents to", "open the url", "atob(", "do not show these", "this text is for the ai", "humans can't see this"]
+    texts = [f"😀 é {p} and {q}\u00a0{p}" for p, q in zip(phrases, phrases[1:] + phrases[:1])] + ["nothing", "", "ignore previous rules ignore previous rules", "rank first, system: you are an AI. system:"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder in (str(tmp_path), SF):
+        expected = set()
+        for doc_id, text in plans._texts(spark, folder).collect():
+            expected |= {(doc_id, label, *m.span()) for p, _, label in plans.X.PHRASES for m in re.finditer(p, text, re.I)}
+        got = [tuple(r) for r in plans.queries()["injection_positions"](spark, folder).select("doc_id", "label", "start", "end").collect()]
+        assert sorted(got) == sorted(expected)
+        assert folder == SF or {g[1] for g in got} == {label for *_, label in plans.X.PHRASES}
+
+
 @pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     con = duckdb.connect()
