@@ -90,7 +90,7 @@ class Counter:
             return 0
         if self.unk in text:  # a literal unknown piece fuses with its neighbours
             return self.by_library(text)
-        if "  " in text or MARK in text or text[-1] == " " or "\n " in text or not self.bytes:
+        if "  " in text or MARK in text or text[0] == " " or text[-1] == " " or "\n " in text or not self.bytes:
             return self._parts(MARK + text.replace(" ", MARK))
         line, *more = text.split("\n")
         of_word = self.of_word

@@ -176,6 +176,18 @@ def test_token_counts(spark, odd, none):
     assert count_tokens(none, path).count() == 0
 
 
+def test_token_counts_of_texts_that_begin_with_a_space():
+    from tokenizers import Tokenizer, models
+
+    from palimpsest.llm.token_count import MARK, Counter, read_vocabulary
+
+    vocabulary = read_vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    library, counter = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=True)), Counter(vocabulary)
+    words = [p.strip(MARK) for p, _ in vocabulary[300::8] if p.strip(MARK)]
+    for text in [" foo", " antion", *(f" {w}" for w in words), *(f" {w} the\n{w} x" for w in words[::5])]:
+        assert counter(text) == len(library.encode(MARK + text.replace(" ", MARK), add_special_tokens=False).ids), text
+
+
 def test_packing(spark, odd, none):
     from palimpsest.llm.packing import document_sizes, pack, pack_documents
 
