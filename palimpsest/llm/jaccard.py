@@ -224,19 +224,20 @@ _STARS = "a long, b long, column long, n int, own int"
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (column, block, own, id, n): each class of a block with the first class, in the order of the stream, that may link with it.
+    """Of (column, block, late, own, id, n): each class of a block with the first class, in the order of the stream, that may link with it.
 
     The leaders of each block of a cut column are rows too: without b, but with their column.
     """
     at, leaders = None, []
     for batch in batches:
         rows = []
-        for c, block, own, x, n in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+        for c, block, own, x, n in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5)), strict=True):
             if (c, block) != at:
                 at, leaders = (c, block), []
             for y, m, most in leaders:
                 if 9 * min(n - own, most) >= 4 * (n + m):  # 9 * overlap >= 4 * (n + m) is the threshold
-                    rows.append((x, y, None, None, None))
+                    if x != y:
+                        rows.append((x, y, None, None, None))
                     break
             else:
                 if len(leaders) < LEADERS:
@@ -250,39 +251,54 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (column, i, j, block, n, id, room, component), sorted by column, i and j: the pairs of block i with block j, of two components, that the bounds allow."""
 
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, i, j, block, n, x, room, comp = (np.concatenate([r.column(k).to_numpy() for r in rows]) for k in range(8))
+    def few(i: int, j: int, rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        for at, (block, n, x, room, comp) in enumerate(rows):
+            for other, m, y, space, part in rows[at + 1 :]:
+                # the shorter one is found by fewer columns
+                if comp != part and (i == j or block != other) and (9 * room >= 8 * n if n <= m else 9 * space >= 8 * m) and 9 * min(room, space) >= 4 * (n + m):
+                    yield (x, y) if x < y else (y, x)
+
+    def many(i: int, j: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        block, n, x, room, comp = columns
         left = np.flatnonzero(block == i)
-        right = left if i[0] == j[0] else np.flatnonzero(block == j)
+        right = left if i == j else np.flatnonzero(block == j)
         right = right[np.argsort(n[right], kind="stable")]
         sizes = n[right]
         for k in range(0, len(left), 256):
             p = left[k : k + 256]
             q = right[np.searchsorted(5 * sizes, 4 * n[p].min()) : np.searchsorted(4 * sizes, 5 * n[p].max(), "right")]
-            held = np.where(n[p][:, None] <= n[q], 9 * room[p][:, None] >= 8 * n[p][:, None], 9 * room[q] >= 8 * n[q])  # the shorter one is found by fewer columns
+            held = np.where(n[p][:, None] <= n[q], 9 * room[p][:, None] >= 8 * n[p][:, None], 9 * room[q] >= 8 * n[q])
             ok = held & (comp[p][:, None] != comp[q]) & (9 * np.minimum(room[p][:, None], room[q]) >= 4 * (n[p][:, None] + n[q]))
-            if i[0] == j[0]:
+            if i == j:
                 ok &= x[p][:, None] < x[q]
             r, c = np.nonzero(ok)
             if len(r):
                 a, b = x[p[r]], x[q[c]]
                 yield _batch("a long, b long", np.minimum(a, b), np.maximum(a, b))
 
+    def pairs(key: tuple, parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        columns = parts[0] if len(parts) == 1 else [np.concatenate(c) for c in zip(*parts, strict=True)]
+        if len(columns[0]) > 32:
+            yield from many(key[1], key[2], columns)
+        elif found := list(few(key[1], key[2], list(zip(*(c.tolist() for c in columns), strict=True)))):
+            yield _batch("a long, b long", *zip(*found, strict=True))
+
     held, at = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = np.stack([batch.column(k).to_numpy() for k in range(3)])
+        columns = [c.to_numpy() for c in batch.columns]
+        keys = np.stack(columns[:3])
         cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             key = tuple(keys[:, a].tolist())
             if key != at:
                 if held:
-                    yield from pairs(held)
+                    yield from pairs(at, held)
                 held, at = [], key
-            held.append(batch.slice(a, b - a))
+            held.append([c[a:b] for c in columns[3:]])
     if held:
-        yield from pairs(held)
+        yield from pairs(at, held)
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,16 +349,20 @@ def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     entries = entries.withColumn("own", F.col("at") + 1 - F.row_number().over(W.partitionBy("id").orderBy("at")))
     entries = scratch.written(entries.select("column", "block", "id", "n", "own", (F.col("n") - F.col("at")).alias("room")), "jaccard-entries")
 
-    led = "column", "block", "own", "id", "n"
-    stars = scratch.written(dealt(entries.select(*led), ["column", "block"], "own", "id").mapInArrow(_leaders, _STARS), "jaccard-stars")
-    # the leaders of a cut column's blocks lead each other
-    heads = stars.where("b is null").select("column", F.lit(-1).alias("block"), "own", F.col("a").alias("id"), "n")
-    heads = dealt(heads, "column", "own", "id").mapInArrow(_leaders, _STARS)
-    first = stars.where("b is not null").select("a", "b").unionByName(heads.select("a", "b"))
+    def led(df: DataFrame) -> DataFrame:
+        return dealt(df.select("column", "block", "late", "own", "id", "n"), ["column", "block"], "late", "own", "id").mapInArrow(_leaders, _STARS)
+
+    # the leaders of a cut column's blocks are led by those of the whole column, which each block gets
+    late = entries.withColumn("late", F.lit(True))
+    heads = scratch.written(led(late.where("block >= 0")).where("b is null"), "jaccard-heads")
+    heads = scratch.written(led(heads.select("column", F.lit(0).alias("block"), F.lit(True).alias("late"), "own", F.col("a").alias("id"), "n")).where("b is null"), "jaccard-heads")
+    blocks = entries.where("block >= 0").select("column", "block").distinct()
+    early = heads.join(blocks, "column").select("column", "block", F.lit(False).alias("late"), "own", F.col("a").alias("id"), "n")
+    first = led(late.select(*early.columns).unionByName(early)).where("b is not null").select("a", "b")
     first = scratch.written(first.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "jaccard-pairs")
     links = scratch.written(_verified(first, classes, docs), "jaccard-links")
     joined = scratch.written(connected(links, "a", "b"), "jaccard-components")
-    scratch.drop(stars, first)
+    scratch.drop(heads, first)
 
     named = entries.join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     mixed = named.groupBy("column").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max(F.expr("9L * room >= 8L * n")).alias("held"), F.count("*").alias("size")).where("low <> high and held")

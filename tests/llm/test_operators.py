@@ -109,6 +109,31 @@ def test_jaccard_components(spark, odd, none):
     assert one_of_each(odd).columns == odd.columns and {r[0] for r in rows(one_of_each(odd), "doc_id")} == {None, 1, 2, 3, 4, 6, 8}
 
 
+def test_jaccard_components_of_frequent_columns(spark, monkeypatch):
+    """Near copies by the hundred: their columns are cut into blocks, and blocks of the second product into squares."""
+    from palimpsest.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SQUARE", 40)
+    rng = np.random.default_rng(15)
+    bases = [[f"w{x}" for x in rng.integers(0, 4000, 40)] for _ in range(3)]
+    bases.append(bases[0][:32] + [f"z{x}" for x in range(8)])  # shares most of the first one's words
+    data = []
+    for i in range(900):
+        words = list(bases[0 if i % 3 else i % 4])
+        for at in rng.integers(0, len(words), i % 3):
+            words[at] = f"c{rng.integers(0, 3000)}"
+        data.append((int(rng.integers(0, 10**6)) * 1000 + i, " ".join(words)))
+    got = rows(jaccard.jaccard_components(spark.createDataFrame(data, "doc_id long, text string")), "doc_id", "n_shingles", "component_id")
+    assert got == brute_components(data) and 2 < len({r[2] for r in got}) < 800
+
+
+def test_one_of_each_keeps_one_row(spark):
+    from palimpsest.llm.jaccard import one_of_each
+
+    data = [(None, "a b c d e f", "x"), (7, "a b c d e f", "x"), (7, "a b c d e f", "y"), (3, "A B c d e f", "z"), (None, "q r s t u v", "x"), (None, "q r s t u v", "x"), (5, "", "x"), (5, "", "x"), (6, None, "x")]
+    assert rows(one_of_each(spark.createDataFrame(data, "doc_id long, text string, k1 string")), "doc_id", "text") == [(3, "A B c d e f"), (5, ""), (5, ""), (6, None), (None, "q r s t u v")]
+
+
 def test_components(spark):
     from palimpsest.llm.components import connected
 
