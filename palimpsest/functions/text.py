@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, functions as F
 
 from palimpsest.functions import lexicon as X
 
-_MATCH = {p: "(?iU)" + p.replace(r"\s", X.WS) for p, _, _ in X.PHRASES}
-ANY_PHRASE = "(?iU)" + "|".join(f"(?:{p.replace(chr(92) + 's', X.WS)})" for p, _, _ in X.PHRASES)
+_MATCH = ["(?iU)" + p.replace(r"\s", X.WS) for p, _, _ in X.PHRASES]
 
 
 def strip(t: Column) -> Column:
@@ -80,19 +82,24 @@ def injection_hits(t: Column) -> Column:
 
     All matches of each pattern that don't overlap each other count; of equal spans under one label the
     first pattern's stays. Offsets are code points, end exclusive: the lengths of what stands between and
-    before matches. Texts that match no phrase are passed over by one look.
+    before matches. A pattern looks only at texts that hold words which each of its matches holds.
     """
-    empty = "array<struct<order:int,start:int,ord:int,end:int,label:string,weight:int,match:string>>"
-    # an array of the patterns keeps the expression small: detectors use it often, and Spark plans each use
-    lexicon = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(_MATCH[p]).alias("p"), F.lit(w).alias("weight"), F.lit(label).alias("label")) for i, (p, w, label) in enumerate(X.PHRASES)))
-    found = F.transform(lexicon, lambda x: F.struct(x.alias("x"), F.regexp_extract_all(t, x["p"], F.lit(0)).alias("m"), F.split(t, x["p"], -1).alias("g")))
+    holds = lambda low, groups: reduce(and_, (reduce(or_, (F.contains(low, F.lit(w)) for w in ws)) for ws in groups))
+    asked = lambda x: F.filter(F.array(*(F.when(x["odd"] | holds(x["low"], g), F.lit(i)) for i, g in enumerate(X.NEEDLES))), lambda i: i.isNotNull())
+    # transform over an array of one binds a name, so that what it holds is made once
+    patterns = F.transform(F.array(F.struct(F.lower(t).alias("low"), t.rlike(X.UNCASED).alias("odd"))), asked)[0]
+    # each pattern is a literal, so that it is compiled once
+    of = lambda i, make: F.coalesce(*(F.when(i == n, make(F.lit(p))) for n, p in enumerate(_MATCH)))
+    found = F.transform(patterns, lambda i: F.struct(i.alias("ord"), of(i, lambda p: F.regexp_extract_all(t, p, F.lit(0))).alias("m")))
+    found = F.transform(F.filter(found, lambda s: F.size(s["m"]) > 0), lambda s: F.struct(s["ord"], s["m"], of(s["ord"], lambda p: F.split(t, p, -1)).alias("g")))
+    weights, labels = F.array(*(F.lit(w) for _, w, _ in X.PHRASES)), F.array(*(F.lit(label) for _, _, label in X.PHRASES))
     total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
 
     def hits_of(s: Column) -> Column:
         start = lambda i: total(F.slice(s["g"], 1, i + 1)) + total(F.slice(s["m"], 1, i))
-        return F.transform(s["m"], lambda m, i: F.struct((-s["x"]["weight"]).alias("order"), start(i).alias("start"), s["x"]["ord"].alias("ord"), (start(i) + F.length(m)).alias("end"), s["x"]["label"].alias("label"), s["x"]["weight"].alias("weight"), strip(m).alias("match")))
+        weight, label = F.get(weights, s["ord"]), F.get(labels, s["ord"])
+        return F.transform(s["m"], lambda m, i: F.struct((-weight).alias("order"), start(i).alias("start"), s["ord"].alias("ord"), (start(i) + F.length(m)).alias("end"), label.alias("label"), weight.alias("weight"), strip(m).alias("match")))
 
-    hits = F.flatten(F.transform(F.filter(found, lambda s: F.size(s["m"]) > 0), hits_of))
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["label"] == b["label"])
-    unique = F.transform(F.array(hits), lambda hs: F.filter(hs, lambda h: ~F.exists(hs, lambda g: same(g, h) & (g["ord"] < h["ord"]))))[0]
-    return F.when(t.rlike(ANY_PHRASE), F.sort_array(unique)).otherwise(F.expr(f"cast(array() as {empty})"))
+    unique = F.transform(F.array(F.flatten(F.transform(found, hits_of))), lambda hs: F.filter(hs, lambda h: ~F.exists(hs, lambda g: same(g, h) & (g["ord"] < h["ord"]))))[0]
+    return F.coalesce(F.sort_array(unique), F.expr("cast(array() as array<struct<order:int,start:int,ord:int,end:int,label:string,weight:int,match:string>>)"))

@@ -18,18 +18,19 @@ def measured(spans: DataFrame, page_info: DataFrame) -> DataFrame:
     s = spans.join(info, ["doc_id", "page"], "left")
     fg, bg = G.normal_colour(F.col("color"), F.col("colorspace")), F.coalesce(F.col("bg"), F.expr(WHITE))
     own = G.area(F.col("bbox"))
-    return s.select("*", G.effective_size(F.col("size"), F.col("ascender"), F.col("descender"), F.col("bbox")).alias("eff_size"), G.contrast(fg, bg).alias("ratio"), G.hex_colour(fg).alias("hex"), F.when(own > 0, G.overlap(F.col("bbox"), F.col("box")) / own).alias("visible"))
+    return s.select("*", G.effective_size(F.col("size"), F.col("ascender"), F.col("descender"), F.col("bbox")).alias("eff_size"), G.contrast(fg, bg).alias("ratio"), G.hex_colour(fg).alias("hex"), G.hex_colour(bg).alias("bg_hex"), F.when(own > 0, G.overlap(F.col("bbox"), F.col("box")) / own).alias("visible"))
 
 
 def covered(spans: DataFrame, covers: DataFrame) -> DataFrame:
-    """(span columns, cover): spans that a cover drawn later overlaps by 0.92 or more, each with the first such cover.
+    """(doc_id, page, span_ord, cover): spans that a cover drawn later overlaps by 0.92 or more, each with the first such cover.
 
-    Equal on document and page, so a join that Spark sorts and, where a page is skewed, splits.
+    Only what the test reads of a run is joined. Equal on document and page, so a join that Spark sorts and, where a page is skewed, splits.
     """
-    c = opaque(covers).select("doc_id", "page", F.col("seqno").alias("cover_seqno"), "cover_ord", "rect")
-    pairs = spans.where("bbox is not null").join(c, ["doc_id", "page"]).where((F.col("cover_seqno") > F.col("seqno")) & (G.area(F.col("bbox")) > 0) & (G.overlap(F.col("bbox"), F.col("rect")) >= 0.92 * G.area(F.col("bbox"))))
-    first = pairs.groupBy("doc_id", "page", "span_ord").agg(F.min(F.struct("cover_ord", "cover_seqno", "rect")).alias("cover"))
-    return spans.join(first, ["doc_id", "page", "span_ord"])
+    fill = G.hex_colour(G.normal_colour(F.col("fill"), F.lit(None).cast("int")))
+    c = opaque(covers).select("doc_id", "page", F.col("seqno").alias("cover_seqno"), "cover_ord", "rect", fill.alias("hex"))
+    runs = spans.select("doc_id", "page", "span_ord", "seqno", "bbox").where("bbox is not null")
+    pairs = runs.join(c, ["doc_id", "page"]).where((F.col("cover_seqno") > F.col("seqno")) & (G.area(F.col("bbox")) > 0) & (G.overlap(F.col("bbox"), F.col("rect")) >= 0.92 * G.area(F.col("bbox"))))
+    return pairs.groupBy("doc_id", "page", "span_ord").agg(F.min(F.struct("cover_ord", "cover_seqno", "rect", "hex")).alias("cover"))
 
 
 def classify(spans: DataFrame, page_info: DataFrame, covers: DataFrame, hidden_layers: DataFrame) -> DataFrame:
@@ -37,8 +38,7 @@ def classify(spans: DataFrame, page_info: DataFrame, covers: DataFrame, hidden_l
     s = measured(spans, page_info)
     off = hidden_layers.select("doc_id", strip(F.col("name")).alias("off_name")).where("off_name <> ''").distinct().withColumn("layer_off", F.lit(True))
     s = s.withColumn("off_name", strip(F.coalesce("layer", F.lit("")))).join(off, ["doc_id", "off_name"], "left").withColumn("layer_off", F.coalesce("layer_off", F.lit(False)))
-    first = covered(spans, covers).select("doc_id", "page", "span_ord", "cover")
-    s = s.join(first, ["doc_id", "page", "span_ord"], "left")
+    s = s.join(covered(spans, covers), ["doc_id", "page", "span_ord"], "left")
     two = lambda c: F.format_string("%.2f", F.bround(c, 2))
     clear = F.coalesce(F.col("opacity") <= 0.08, F.lit(False))
     tests = (
@@ -74,3 +74,31 @@ def background(pixels: DataFrame, *keys: str) -> DataFrame:
     """The most frequent colour of rows (keys, ord, r, g, b), channels rounded to two digits; of equals the one that comes first."""
     seen = pixels.select(*keys, "ord", *(F.round(c, 2).alias(c) for c in "rgb")).groupBy(*keys, "r", "g", "b").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
     return seen.groupBy(*keys).agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("first"))).alias("bg"))
+
+
+def backgrounds(spans: DataFrame, page_info: DataFrame, pixels: DataFrame, scale: float = 1.0) -> DataFrame:
+    """Spans with ``bg``: the most frequent colour of the pixels below each.
+
+    ``pixels`` has the raster of each page as rows (doc_id, page, x, y, r, g, b), channels 0 to 1, with ``scale`` pixels a
+    point. A run's window is its box and two pixels around it, looked at in steps of a 24th of its width and a
+    12th of its height; runs that share a window share its colour. A run without a box, and one whose window is outside the
+    raster, gets the most frequent colour of its page (in steps of a 40th), and white where there is no raster or one of four pixels at most.
+    """
+    size = pixels.groupBy("doc_id", "page").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
+    place = pixels.select("doc_id", "page", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "r", "g", "b", (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("ord"))
+    side = lambda v, low: ((v - low) * F.lit(scale)).cast("int")
+    b, box = F.col("bbox"), F.col("box")
+    window = F.when(b.isNotNull(), F.struct(
+        F.greatest(F.lit(0), side(b["x0"], box["x0"]) - 2).alias("x0"), F.greatest(F.lit(0), side(b["y0"], box["y0"]) - 2).alias("y0"),
+        F.least(F.col("width"), side(b["x1"], box["x0"]) + 2).alias("x1"), F.least(F.col("height"), side(b["y1"], box["y0"]) + 2).alias("y1")))
+    named = spans.drop("bg").join(page_info.select("doc_id", "page", "box"), ["doc_id", "page"], "left").join(size, ["doc_id", "page"], "left").withColumn("window", window)
+    step = lambda n, by: F.greatest(F.lit(1), F.floor(n / by).cast("int"))
+    w = F.col("window")
+    windows = named.where((w["x1"] - w["x0"] >= 1) & (w["y1"] - w["y0"] >= 1)).select("doc_id", "page", "window").distinct()
+    points = windows.select("doc_id", "page", "window", F.explode(F.sequence(w["x0"], w["x1"] - 1, step(w["x1"] - w["x0"], 24))).alias("x"))
+    points = points.select("doc_id", "page", "window", "x", F.explode(F.sequence(w["y0"], w["y1"] - 1, step(w["y1"] - w["y0"], 12))).alias("y"))
+    below = background(points.join(place, ["doc_id", "page", "x", "y"]), "doc_id", "page", "window")
+    coarse = place.join(size.where("width > 4 and height > 4"), ["doc_id", "page"]).where((F.col("x") % step(F.col("width"), 40) == 0) & (F.col("y") % step(F.col("height"), 40) == 0))
+    whole = background(coarse, "doc_id", "page").withColumnRenamed("bg", "page_bg")
+    out = named.join(below, ["doc_id", "page", "window"], "left").join(whole, ["doc_id", "page"], "left").withColumn("bg", F.coalesce("bg", "page_bg", F.expr(WHITE)))
+    return out.select(*(c for c in spans.columns if c != "bg"), "bg")

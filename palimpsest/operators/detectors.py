@@ -1,15 +1,19 @@
-"""The detectors: each reads a ``Scan`` and returns findings in one schema.
+"""The detectors: what they look for in a ``Scan``, and the findings in one schema.
 
-Their order is part of the result (reports list findings by it), and no detector depends on another one.
+A detector is a list of rules over runs, over texts or over carried files. All rules over one relation
+are tested in one pass: each row is given the array of its findings, which is then exploded, so a scan with
+all detectors reads runs once and texts once. The order of the detectors is part of the result (reports list
+findings by it), and no detector depends on another one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from palimpsest.functions import geometry as G
 from palimpsest.functions import lexicon as X
 from palimpsest.functions import text as T
 from palimpsest.sources.traces import Trace
@@ -27,6 +31,38 @@ class Scan:
     sources: DataFrame
 
 
+#: Names and what they look for, in the order of reports, with the codes of their findings and what each says.
+DETECTORS: tuple[tuple[str, str, dict[str, str]], ...] = (
+    ("invisible_render_mode", "Runs drawn without ink", {"invisible_render_mode": "The run is laid out but no ink is put down for it. Extractors don't look at ink."}),
+    ("transparent_text", "Runs that are nearly transparent", {"transparent_text": "Next to nothing of the run shows, on screen or on paper. Extractors don't look at opacity."}),
+    ("low_contrast_text", "Runs in the colour of what is behind them", {"low_contrast_text": "A reader needs a ratio of about 4.5 to 1, and sees nothing below about 1.2 to 1."}),
+    ("micro_type", "Type too small to read", {"micro_type": "Below three points type is a grey line to a reader, and text like any other to an extractor."}),
+    ("offpage_text", "Runs outside the page", {"offpage_text": "What lies beyond the page is neither shown nor printed, but it is extracted."}),
+    ("covered_text", "Runs under a shape drawn later", {"covered_text": "A shape without gaps was drawn over the run. Extractors read what is drawn, not what is left of it."}),
+    ("hidden_layer", "Runs on layers that are off", {"hidden_layer": "Viewers leave the layer out, most extractors don't."}),
+    ("metadata_payload", "Instructions in metadata", {"metadata_payload": "No page shows metadata, but it is often put before the text that a model gets."}),
+    ("annotation_payload", "Instructions and unseen text in annotations", {"annotation_payload": "Annotations are no part of a page, may be hidden by a flag, and are often extracted with it."}),
+    ("form_field_payload", "Instructions and unseen text in form fields", {"form_field_payload": "Values and hints of fields are extracted even where the field is hidden or has no size."}),
+    ("embedded_file", "Files inside the document", {"embedded_file": "A file inside a document passes filters that look at its pages."}),
+    ("active_content", "Scripts and automatic actions", {"active_content": "The document wants to run or open something. One that is only read has no need to."}),
+    ("unicode_smuggling", "Invisible, direction and tag characters", {
+        "invisible_unicode": "Characters without width stay in extracted text, where they hide content or part words that a filter looks for.",
+        "bidi_override": "What is read on the page and what is stored can be two different sentences.",
+        "tag_smuggling": "Tag characters stand for ASCII and show nothing at all.",
+    }),
+    ("homoglyph", "Look-alike characters in Latin words", {"homoglyph": "Letters of other scripts that look like Latin ones make an address that isn't what it seems."}),
+    ("injection", "Phrases addressed to a model", {
+        "injection_hidden": "It addresses a model and stands where no reader sees it.",
+        "injection_visible": "It addresses a model but stands in plain sight: worth a look, no proof.",
+    }),
+    ("layer_mismatch", "Pages whose text is hidden in part", {"layer_mismatch": "Nearly all text of an ordinary page is there to be read."}),
+    ("encoding_anomaly", "Control and private-use characters", {"encoding_anomaly": "Nobody types such characters. They evade filters or are left over from a generated payload."}),
+)
+CODES = {code: (i, name, detail) for i, (name, _, codes) in enumerate(DETECTORS) for code, detail in codes.items()}
+#: The codes that look for phrases.
+_PHRASES = ("metadata_payload", "annotation_payload", "form_field_payload", "injection_hidden", "injection_visible")
+
+
 def _sev(*cases: tuple[Column, str], default: str) -> Column:
     out = F.lit(default)
     for test, name in reversed(cases):
@@ -34,101 +70,57 @@ def _sev(*cases: tuple[Column, str], default: str) -> Column:
     return out
 
 
-def _found(df: DataFrame, code: str, severity: Column | str, title: Column | str, technique: str, evidence: Column, page: Column | None = None, bbox: Column | None = None, extra: Column | None = None, order: Column | None = None, detail: str = "") -> DataFrame:
+def _finding(code: str, test: Column, severity: Column | str, title: Column | str, technique: Column | str, evidence: Column, extra: Column, order: Column) -> Column:
+    """A finding where the test holds, else null."""
     text = lambda c: F.lit(c) if isinstance(c, str) else c
-    return df.select(
-        "doc_id", F.lit(code).alias("code"), text(severity).alias("severity"), text(title).alias("title"), F.lit(detail).alias("detail"), F.lit(technique).alias("technique"), T.clip(evidence).alias("evidence"),
-        (page if page is not None else F.lit(None)).cast("int").alias("page"), (bbox if bbox is not None else F.lit(None)).cast("array<double>").alias("bbox"),
-        F.to_json(extra if extra is not None else F.struct()).alias("extra"), (order if order is not None else F.lit(0)).cast("long").alias("order"),
-    )
-
-
-def _box() -> Column:
-    return F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")).otherwise(F.array())
-
-
-def _run(df: DataFrame, code: str, severity: Column | str, title: Column | str, technique: str, extra: Column) -> DataFrame:
-    df = df.where(~T.is_blank(F.col("text")))
-    return _found(df, code, severity, title, technique, F.col("text"), F.col("page"), _box(), extra, F.col("page") * F.lit(1 << 20) + F.col("span_ord"))
-
-
-def invisible_render_mode(s: Scan) -> DataFrame:
-    """Runs drawn without ink; on a scanned page (images on more than 0.6 of it) that is what text recognition adds."""
-    return _run(s.spans.where("type = 3"), "invisible_render_mode", _sev((F.coalesce(F.col("image_share"), F.lit(0.0)) > 0.6, "low"), default="critical"), "Text drawn without ink", "render mode", F.struct("font", "size"))
-
-
-def transparent_text(s: Scan) -> DataFrame:
-    """Runs of opacity 0.08 or less."""
-    return _run(s.spans.where("opacity <= 0.08D"), "transparent_text", _sev((F.col("opacity") <= 0.02, "critical"), default="high"), "Transparent text", "opacity", F.struct("opacity"))
-
-
-def low_contrast_text(s: Scan) -> DataFrame:
-    """Runs with ink whose contrast with their background is below 1.6."""
-    return _run(s.spans.where("type <> 3 and ratio < 1.6D"), "low_contrast_text", _sev((F.col("ratio") < 1.12, "critical"), (F.col("ratio") < 1.35, "high"), default="medium"), "Text in the colour of its background", "colour", F.struct("ratio", "hex"))
-
-
-def micro_type(s: Scan) -> DataFrame:
-    """Runs with ink below 3.5 points, of four code points at least."""
-    rows = s.spans.where((F.col("type") != 3) & (F.col("eff_size") > 0) & (F.col("eff_size") < 3.5) & (F.length(T.strip(F.col("text"))) >= 4))
-    return _run(rows, "micro_type", _sev((F.col("eff_size") < 2.0, "critical"), default="high"), "Type too small to read", "size", F.struct("eff_size"))
-
-
-def offpage_text(s: Scan) -> DataFrame:
-    """Runs of which less than 0.35 is on the page."""
-    return _run(s.spans.where("visible < 0.35D"), "offpage_text", _sev((F.col("visible") < 0.02, "critical"), default="high"), "Text outside the page", "position", F.struct("visible"))
-
-
-def covered_text(s: Scan) -> DataFrame:
-    """Runs with ink that a shape drawn later covers."""
-    return _run(s.spans.where("type <> 3 and cover is not null"), "covered_text", "high", "Text under an opaque shape", "draw order", F.struct("cover.rect"))
-
-
-def hidden_layer(s: Scan) -> DataFrame:
-    """Runs on a layer that is switched off."""
-    return _run(s.spans.where("layer_off"), "hidden_layer", "high", "Text on a layer that is off", "layer", F.struct("layer"))
+    fields = {"code": F.lit(code), "severity": text(severity), "title": text(title), "detail": F.lit(CODES[code][2]), "technique": text(technique), "evidence": T.clip(evidence), "extra": F.to_json(extra), "order": order.cast("long")}
+    return F.when(test, F.struct(*(F.coalesce(v, F.lit("")).alias(k) if k not in ("extra", "order") else v.alias(k) for k, v in fields.items())))
 
 
-def _with_hits(df: DataFrame) -> DataFrame:
-    df = df.withColumn("hits", T.injection_hits(F.coalesce(F.col("text"), F.lit(""))))
-    return df.withColumn("top", F.coalesce(F.get("hits", F.lit(0))["weight"], F.lit(0)))
+def _told(*parts: Column | str) -> Column:
+    """Parts of a title, one after the other; null parts are left out."""
+    return F.concat_ws("", *(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
-def _few(n: int) -> Column:
-    return F.transform(F.slice("hits", 1, n), lambda h: F.struct(h["label"], h["weight"], h["start"], h["end"], h["match"]))
+def _fixed(c: Column, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", F.bround(c, digits))
 
 
-def metadata_payload(s: Scan) -> DataFrame:
-    """Metadata fields, XMP among them, that address a model."""
-    fields = s.trace.metadata.select("doc_id", "key", F.col("value").alias("text")).unionByName(s.trace.docs.select("doc_id", F.lit("xmp").alias("key"), F.col("xmp").alias("text")))
-    return _found(_with_hits(fields).where("size(hits) > 0"), "metadata_payload", _sev((F.col("top") >= X.CONFIRMED, "critical"), default="medium"), F.concat(F.lit("Instructions in the metadata field "), "key"), "metadata", F.col("text"), extra=F.struct("key", _few(4).alias("hits")), order=F.crc32("key"))
+def _found(df: DataFrame, findings: list[Column]) -> DataFrame:
+    rows = df.select("doc_id", F.col("page").cast("int").alias("page"), F.col("bbox").cast("array<double>").alias("bbox"), F.explode(F.filter(F.array(*findings), lambda f: f.isNotNull())).alias("f"))
+    return rows.select(*(c if c in ("doc_id", "page", "bbox") else f"f.{c}" for c in FINDING))
 
 
-def annotation_payload(s: Scan) -> DataFrame:
-    """Annotations that address a model, or hold text and are not shown."""
-    full = F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("content", "title", "subject")))
-    rows = _with_hits(s.trace.annots.withColumn("text", full).withColumn("unseen", F.coalesce(F.col("flags").bitwiseAND(2 | 32) != 0, F.lit(False)))).where(~T.is_blank(F.col("text")))
-    hit = F.size("hits") > 0
-    return _found(rows.where(hit | F.col("unseen")), "annotation_payload", _sev((hit & F.col("unseen"), "critical"), (hit, "high"), default="medium"), "Text in an annotation", "annotation", F.col("text"), F.col("page"), F.col("bbox"), F.struct("type", "flags", _few(4).alias("hits")), F.col("page"))
+# runs -------------------------------------------------------------------------------------------------------
 
 
-def form_field_payload(s: Scan) -> DataFrame:
-    """Form fields that address a model, or hold text and are hidden (by flag or by an area below 1)."""
-    full = F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in ("name", "value", "tooltip")))
-    side = lambda i: F.coalesce(F.get("bbox", F.lit(i)), F.lit(0.0))
-    unseen = F.coalesce(F.col("field_flags").bitwiseAND(2) != 0, F.lit(False)) | (F.abs((side(2) - side(0)) * (side(3) - side(1))) < 1.0)
-    rows = _with_hits(s.trace.widgets.withColumn("text", full).withColumn("unseen", unseen)).where(~T.is_blank(F.col("text")))
-    hit = F.size("hits") > 0
-    return _found(rows.where(hit | F.col("unseen")), "form_field_payload", _sev((hit, "high"), default="low"), "Text in a form field", "form field", F.col("text"), F.col("page"), F.col("bbox"), F.struct("name", _few(4).alias("hits")), F.col("page"))
+def _run_findings(wanted: set[str]) -> Iterator[Column]:
+    text, size = F.col("text"), F.bround("eff_size", 2)
+    order = F.col("page") * F.lit(1 << 20) + F.col("span_ord")
+    inked = F.col("type") != 3
+    share = F.coalesce(F.col("image_share"), F.lit(0.0))
+    rules = {
+        "invisible_render_mode": (~inked, _sev((share > 0.6, "low"), default="critical"), F.when(share > 0.6, "Text without ink on a scanned page").otherwise("Text drawn without ink"), "render mode", F.struct("font", size.alias("size"))),
+        "transparent_text": (F.col("opacity") <= 0.08, _sev((F.col("opacity") <= 0.02, "critical"), default="high"), _told("Text at ", T.pct(F.col("opacity")), " opacity"), "opacity", F.struct(F.bround("opacity", 3).alias("opacity"))),
+        "low_contrast_text": (inked & (F.col("ratio") < 1.6), _sev((F.col("ratio") < 1.12, "critical"), (F.col("ratio") < 1.35, "high"), default="medium"), _told("Text at ", _fixed(F.col("ratio"), 2), ":1 to what is behind it"), "colour", F.struct(F.bround("ratio", 3).alias("ratio"), F.col("hex").alias("fg"), F.col("bg_hex").alias("bg"), size.alias("size"))),
+        "micro_type": (inked & (F.col("eff_size") > 0) & (F.col("eff_size") < 3.5) & (F.length(T.strip(text)) >= 4), _sev((F.col("eff_size") < 2.0, "critical"), default="high"), _told("Text of ", _fixed(F.col("eff_size"), 2), "pt"), "size", F.struct(size.alias("size"), "font")),
+        "offpage_text": (F.col("visible") < 0.35, _sev((F.col("visible") < 0.02, "critical"), default="high"), "Text outside the page", "position", F.struct(F.bround("visible", 3).alias("visible_fraction"), F.array("box.x0", "box.y0", "box.x1", "box.y1").alias("page_box"))),
+        "covered_text": (inked & F.col("cover").isNotNull(), "high", "Text under an opaque shape", "draw order", F.struct(F.col("cover.hex").alias("cover_fill"), F.array("cover.rect.x0", "cover.rect.y0", "cover.rect.x1", "cover.rect.y1").alias("cover_rect"))),
+        "hidden_layer": (F.col("layer_off"), "high", _told("Text on the layer “", T.strip(F.col("layer")), "”, which is off"), "layer", F.struct(T.strip(F.col("layer")).alias("layer"))),
+    }
+    for code, (test, severity, title, technique, extra) in rules.items():
+        if code in wanted:
+            yield _finding(code, test, severity, title, technique, text, extra, order)
 
 
-def embedded_file(s: Scan) -> DataFrame:
-    """Files inside the document."""
-    return _found(s.trace.attachments, "embedded_file", "medium", F.concat(F.lit("Embedded file "), F.coalesce("name", F.lit(""))), "attachment", F.coalesce("name", F.lit("")), extra=F.struct("name", "size", "desc"), order=F.crc32(F.coalesce("name", F.lit(""))))
+def _of_runs(s: Scan, wanted: set[str]) -> DataFrame:
+    box = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")).otherwise(F.array())
+    findings = list(_run_findings(wanted))
+    kept = s.spans.where(~T.is_blank(F.col("text"))).withColumn("bbox", box)
+    return _found(kept, findings)
 
 
-def active_content(s: Scan) -> DataFrame:
-    """Scripts and actions that run on opening."""
-    return _found(s.trace.actions, "active_content", "high", F.coalesce("title", F.lit("")), "active content", F.coalesce("evidence", F.lit("")), extra=F.struct("technique"), order=F.crc32(F.coalesce("title", F.lit(""))))
+# texts ------------------------------------------------------------------------------------------------------
 
 
 def top_characters(text: Column, characters: str, n: int = 4) -> Column:
@@ -137,108 +129,135 @@ def top_characters(text: Column, characters: str, n: int = 4) -> Column:
     return F.transform(F.slice(F.sort_array(F.filter(each, lambda x: x["count"] > 0)), 1, n), lambda x: F.struct(x["char"], x["count"]))
 
 
-def _source(df: DataFrame, code: str, severity: Column | str, title: str, technique: str, evidence: Column, extra: Column) -> DataFrame:
-    return _found(df, code, severity, title, technique, evidence, F.col("page"), None, extra, F.crc32("source"))
+def _listed(top: Column) -> Column:
+    return F.array_join(F.transform(top, lambda x: F.concat(x["char"], F.lit(" ×"), x["count"].cast("string"))), ", ")
 
 
-def invisible_unicode(s: Scan) -> DataFrame:
-    """Characters without width; from twelve on it is no accident."""
-    rows = s.sources.withColumn("n", T.count_of(F.col("text"), X.INVISIBLE)).where("n > 0")
-    return _source(rows, "invisible_unicode", _sev((F.col("n") < 12, "medium"), default="high"), "Invisible characters", "unicode", T.visible(F.col("text")), F.struct("source", "n", top_characters(F.col("text"), X.INVISIBLE).alias("top")))
-
-
-def bidi_override(s: Scan) -> DataFrame:
-    """Characters that turn the direction of text."""
-    rows = s.sources.withColumn("n", T.count_of(F.col("text"), X.BIDI)).where("n > 0")
-    return _source(rows, "bidi_override", "high", "Direction overrides", "unicode", T.visible(F.col("text")), F.struct("source", "n", top_characters(F.col("text"), X.BIDI).alias("top")))
-
-
-def tag_smuggling(s: Scan) -> DataFrame:
-    """ASCII written in tag characters, which show nothing."""
-    rows = s.sources.withColumn("n", F.regexp_count("text", F.lit(X.TAGS)).cast("long")).where("n > 0").withColumn("decoded", T.decode_tags(F.col("text")))
-    shown = F.when(T.is_blank(F.col("decoded")), F.concat(F.col("n").cast("string"), F.lit(" tag characters"))).otherwise(F.col("decoded"))
-    return _source(rows, "tag_smuggling", "critical", "Text in tag characters", "unicode", shown, F.struct("source", "n", "decoded"))
+_WS = X.WS[1:-1]
+#: A token of a text that holds a look-alike; nothing is tried again inside a token.
+_ODD_TOKEN = f"(?<![^{_WS}])[^{_WS}{X.LOOKALIKE}]*+[{X.LOOKALIKE}][^{_WS}]*+"
 
 
 def mixed_tokens(text: Column, targets: Column) -> Column:
     """Tokens of four code points or more with look-alikes among Latin letters: array of (token, plain, target)."""
-    tokens = F.regexp_extract_all(text, F.lit(f"[^{X.WS[1:-1]}]{{4,}}"), F.lit(0))
-    odd = F.filter(tokens, lambda t: (T.unmask(t) != t) & t.rlike("[A-Za-z]"))
+    odd = F.filter(F.regexp_extract_all(text, F.lit(_ODD_TOKEN), F.lit(0)), lambda t: (F.length(t) >= 4) & t.rlike("[A-Za-z]"))
     return F.transform(odd, lambda t: F.struct(t.alias("token"), T.unmask(t).alias("plain"), F.exists(targets, lambda u: F.contains(u, t)).alias("target")))
 
 
-def homoglyph(s: Scan) -> DataFrame:
-    """Words that mix look-alikes with Latin letters; worse in an address."""
-    rows = s.sources.where(F.translate("text", X.LOOKALIKE, "") != F.col("text")).withColumn("odd", mixed_tokens(F.col("text"), T.addresses(F.col("text")))).where("size(odd) > 0")
-    aimed = F.filter("odd", lambda x: x["target"])
-    shown = F.slice(F.when(F.size(aimed) > 0, aimed).otherwise(F.col("odd")), 1, 5)
-    return _source(rows, "homoglyph", _sev((F.size(aimed) > 0, "high"), default="medium"), "Look-alike characters", "unicode", F.array_join(F.transform(shown, lambda x: F.concat(x["token"], F.lit(" reads "), x["plain"])), ", "), F.struct("source", shown.alias("tokens")))
-
-
-def injection_hidden(s: Scan) -> DataFrame:
-    """Pages whose hidden text addresses a model."""
-    rows = _with_hits(s.pages.withColumn("full", F.col("text")).withColumn("text", F.col("hidden_text"))).where("size(hits) > 0")
-    score = F.aggregate("hits", F.lit(0), lambda a, h: a + h["weight"])
-    return _found(rows, "injection_hidden", "critical", "Hidden instructions to a model", "prompt injection", F.get("hits", F.lit(0))["match"], F.col("page"), None, F.struct(score.alias("score"), _few(8).alias("hits"), T.clip(F.col("hidden_text"), 2000).alias("full")), F.col("page") * 2)
-
-
-def injection_visible(s: Scan) -> DataFrame:
-    """Pages that address a model in phrases that their hidden text doesn't hold."""
-    rows = _with_hits(s.pages).withColumn("hits", F.filter("hits", lambda h: ~F.contains(F.col("hidden_text"), h["match"]))).where("size(hits) > 0").withColumn("top", F.get("hits", F.lit(0))["weight"])
-    return _found(rows, "injection_visible", _sev((F.col("top") >= X.CONFIRMED, "high"), (F.col("top") >= X.SUSPECT, "medium"), default="low"), "Instructions to a model in plain sight", "prompt injection", F.get("hits", F.lit(0))["match"], F.col("page"), None, F.struct(_few(8).alias("hits")), F.col("page") * 2 + 1)
-
-
-def layer_mismatch(s: Scan) -> DataFrame:
-    """Pages with 200 characters of ink or more of which 40, and 0.12, are hidden."""
-    rows = s.pages.withColumn("total", T.ink(F.col("text"))).withColumn("unseen", T.ink(F.col("hidden_text"))).withColumn("share", F.try_divide("unseen", "total")).where("total >= 200 and unseen >= 40 and share >= 0.12D")
-    return _found(rows, "layer_mismatch", _sev((F.col("share") > 0.3, "high"), default="medium"), F.concat(T.pct(F.col("share")), F.lit(" of the page's text is hidden")), "comparison", F.col("hidden_text"), F.col("page"), None, F.struct("total", "unseen", "share"), F.col("page"))
-
-
-def encoding_anomaly(s: Scan) -> DataFrame:
-    """Control characters, or three private-use characters."""
-    rows = s.sources.withColumn("controls", F.regexp_count("text", F.lit(X.CONTROLS)).cast("long")).withColumn("private", F.regexp_count("text", F.lit(X.PRIVATE_USE)).cast("long")).where("controls >= 1 or private >= 3")
-    return _source(rows, "encoding_anomaly", "medium", "Characters that hide content", "encoding", T.visible(F.col("text")), F.struct("source", "controls", "private"))
-
-
-def _both(*fs: Callable[[Scan], DataFrame]) -> Callable[[Scan], DataFrame]:
-    def run(s: Scan) -> DataFrame:
-        out = fs[0](s)
-        for f in fs[1:]:
-            out = out.unionByName(f(s))
-        return out
-
-    return run
+def _text_findings(wanted: set[str]) -> Iterator[Column]:
+    text, source, kind = F.col("text"), F.col("source"), F.col("kind")
+    order = F.crc32(source)
+    shown = kind != "hidden"
+    first, hit = F.get("hits", F.lit(0)), F.size("hits") > 0
+    top = F.coalesce(first["weight"], F.lit(0))
+    few = lambda hits, n: F.transform(F.slice(hits, 1, n), lambda h: F.struct(h["label"], h["weight"], h["start"], h["end"], h["match"])).alias("hits")
+
+    def characters(code: str, of: str, severity: Column | str, title: Column | str) -> Column:
+        tops = top_characters(text, of)
+        return _finding(code, shown & (T.count_of(text, of) > 0), severity, title, "unicode", _listed(tops), F.struct(source.alias("where"), T.count_of(text, of).alias("n"), tops.alias("top")), order)
+
+    if "metadata_payload" in wanted:
+        yield _finding("metadata_payload", (kind == "metadata") & hit, _sev((top >= X.CONFIRMED, "critical"), default="medium"), _told("Instructions in the metadata field ", F.col("name")), "metadata", text, F.struct(F.col("name").alias("key"), few("hits", 4)), F.crc32("name"))
+    if "annotation_payload" in wanted:
+        unseen = F.col("unseen")
+        title = F.when(unseen, F.lit("Text in an annotation that isn't shown")).otherwise(_told("Instructions in an annotation of type ", F.col("name")))
+        yield _finding("annotation_payload", (kind == "annotation") & (hit | unseen), _sev((hit & unseen, "critical"), (hit, "high"), default="medium"), title, F.when(unseen, "annotation (hidden)").otherwise("annotation"), text, F.struct(F.col("name").alias("type"), unseen.alias("hidden"), few("hits", 4)), F.col("page"))
+    if "form_field_payload" in wanted:
+        name = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("unnamed"))
+        yield _finding("form_field_payload", (kind == "field") & (hit | F.col("unseen")), _sev((hit, "high"), default="low"), _told("Text in the form field “", name, "”"), "form field", text, F.struct(F.col("name").alias("field"), F.col("unseen").alias("hidden"), few("hits", 4)), F.col("page"))
+    if "invisible_unicode" in wanted:
+        n = T.count_of(text, X.INVISIBLE)
+        yield characters("invisible_unicode", X.INVISIBLE, _sev((n < 12, "medium"), default="high"), _told(n.cast("string"), " characters without width in ", source))
+    if "bidi_override" in wanted:
+        yield characters("bidi_override", X.BIDI, "high", "Characters that turn the direction of text")
+    if "tag_smuggling" in wanted:
+        n, decoded = F.regexp_count(text, F.lit(X.TAGS)).cast("long"), T.decode_tags(text)
+        evidence = F.when(T.is_blank(decoded), F.concat(n.cast("string"), F.lit(" tag characters"))).otherwise(decoded)
+        yield _finding("tag_smuggling", shown & text.rlike(X.TAGS), "critical", "ASCII in tag characters", "unicode", evidence, F.struct(source.alias("where"), n.alias("n"), T.clip(decoded, 1000).alias("decoded")), order)
+    if "homoglyph" in wanted:
+        odd = F.col("odd")
+        aimed = F.filter(odd, lambda x: x["target"])
+        few_odd = F.slice(F.when(F.size(aimed) > 0, aimed).otherwise(odd), 1, 5)
+        title = F.when(F.size(aimed) > 0, "Look-alike characters in an address").otherwise(_told(F.size(odd).cast("string"), " words with look-alike characters"))
+        yield _finding("homoglyph", F.size(odd) > 0, _sev((F.size(aimed) > 0, "high"), default="medium"), title, "unicode", F.array_join(F.transform(few_odd, lambda x: F.concat(x["token"], F.lit(" reads "), x["plain"])), "; "), F.struct(source.alias("where"), F.size(odd).alias("n"), few_odd.alias("tokens")), order)
+    if "injection_hidden" in wanted:
+        score = F.aggregate("hits", F.lit(0), lambda a, h: a + h["weight"])
+        yield _finding("injection_hidden", (kind == "hidden") & hit, "critical", _told("Hidden instructions to a model: ", F.lower(first["label"])), "prompt injection", T.clip(first["match"], 300), F.struct(score.alias("score"), few("hits", 8), T.clip(text, 2000).alias("full")), F.col("page") * 2)
+    if "injection_visible" in wanted:
+        seen = F.filter("hits", lambda h: ~F.contains(F.col("hidden_text"), h["match"]))
+        first_seen = F.get(seen, F.lit(0))
+        most = F.coalesce(first_seen["weight"], F.lit(0))
+        yield _finding("injection_visible", (kind == "page") & (F.size(seen) > 0), _sev((most >= X.CONFIRMED, "high"), (most >= X.SUSPECT, "medium"), default="low"), _told("Instructions to a model in plain sight: ", F.lower(first_seen["label"])), "prompt injection", T.clip(first_seen["match"], 300), F.struct(few(seen, 8)), F.col("page") * 2 + 1)
+    if "layer_mismatch" in wanted:
+        total, unseen = T.ink(text), T.ink(F.col("hidden_text"))
+        share = F.try_divide(unseen, total)
+        likely = (kind == "page") & (F.length(F.col("hidden_text")) >= 40)
+        yield _finding("layer_mismatch", likely & (total >= 200) & (unseen >= 40) & (share >= 0.12), _sev((share > 0.3, "high"), default="medium"), _told(T.pct(share), " of the page's text is hidden"), "comparison", _told(unseen.cast("string"), " hidden characters of ", total.cast("string")), F.struct(total.alias("total"), unseen.alias("unseen"), F.bround(share, 4).alias("share")), F.col("page"))
+    if "encoding_anomaly" in wanted:
+        controls, private = F.regexp_count(text, F.lit(X.CONTROLS)).cast("long"), F.regexp_count(text, F.lit(X.PRIVATE_USE)).cast("long")
+        evidence = F.concat_ws(" and ", F.when(controls > 0, F.concat(controls.cast("string"), F.lit(" control characters"))), F.when(private >= 3, F.concat(private.cast("string"), F.lit(" private-use characters"))))
+        yield _finding("encoding_anomaly", shown & (text.rlike(X.CONTROLS) | (private >= 3)), "medium", _told("Odd characters in ", source), "encoding", evidence, F.struct(source.alias("where"), controls.alias("controls"), private.alias("private")), order)
+
+
+def _of_texts(s: Scan, wanted: set[str]) -> DataFrame:
+    rows = s.sources
+    if "injection_hidden" in wanted:  # the hidden text of a page is a row of its own
+        hidden = F.struct(F.lit("hidden").alias("kind"), F.col("hidden_text").alias("text"))
+        both = F.array(F.struct("kind", "text"), F.when((F.col("kind") == "page") & ~T.is_blank(F.col("hidden_text")), hidden))
+        rest = [c for c in rows.columns if c not in ("kind", "text")]
+        rows = rows.select(*rest, F.explode(F.filter(both, lambda x: x.isNotNull())).alias("x")).select(*rest, "x.kind", "x.text")
+    kinds = {"metadata_payload": "metadata", "annotation_payload": "annotation", "form_field_payload": "field", "injection_hidden": "hidden", "injection_visible": "page"}
+    if asked := [kinds[c] for c in _PHRASES if c in wanted]:
+        # a page's hidden text is part of its text: without a phrase in that there is none in it
+        rows = rows.withColumn("hits", F.when(F.col("kind").isin(asked), T.injection_hits(F.col("text"))))
+    if "homoglyph" in wanted:
+        aim = F.when(F.col("text").rlike(f"[{X.LOOKALIKE}]") & (F.col("kind") != "hidden"), mixed_tokens(F.col("text"), F.array()))
+        rows = rows.withColumn("odd", aim).withColumn("odd", F.when(F.size("odd") > 0, mixed_tokens(F.col("text"), T.addresses(F.col("text")))))
+    return _found(rows, list(_text_findings(wanted)))
+
+
+# what documents carry -----------------------------------------------------------------------------------------
+
+
+def _carried(df: DataFrame, finding: Column) -> DataFrame:
+    return _found(df.withColumn("page", F.lit(None).cast("int")).withColumn("bbox", F.lit(None).cast("array<double>")), [finding])
+
+
+def _embedded_file(s: Scan) -> DataFrame:
+    name = F.coalesce("name", F.lit(""))
+    size = F.coalesce("size", F.lit(0).cast("long")).cast("string")
+    return _carried(s.trace.attachments, _finding("embedded_file", F.lit(True), "medium", _told("The file “", name, "” is inside the document"), "attachment", _told(name, ", ", size, " bytes"), F.struct("name", "size", "desc"), F.crc32(name)))
+
+
+def _active_content(s: Scan) -> DataFrame:
+    title = F.coalesce("title", F.lit(""))
+    return _carried(s.trace.actions, _finding("active_content", F.lit(True), "high", title, F.coalesce("technique", F.lit("active content")), F.coalesce("evidence", F.lit("")), F.struct("title", "technique", "evidence"), F.crc32(title)))
+
+
+_RUNS = set(list(CODES)[:7])
+_TEXTS = set(CODES) - _RUNS - {"embedded_file", "active_content"}
+
+
+def _codes(scan: Scan, wanted: set[str]) -> DataFrame:
+    parts: list[tuple[set[str], Callable[[], DataFrame]]] = [
+        (_RUNS & wanted, lambda: _of_runs(scan, wanted)), (_TEXTS & wanted, lambda: _of_texts(scan, wanted)),
+        ({"embedded_file"} & wanted, lambda: _embedded_file(scan)), ({"active_content"} & wanted, lambda: _active_content(scan)),
+    ]
+    out = None
+    for needed, part in parts:
+        if needed:
+            out = part() if out is None else out.unionByName(part())
+    return out
 
 
-#: Name, what it looks for, and the detector, in the order of reports.
-DETECTORS: tuple[tuple[str, str, Callable[[Scan], DataFrame]], ...] = (
-    ("invisible_render_mode", "Runs drawn without ink", invisible_render_mode),
-    ("transparent_text", "Runs that are nearly transparent", transparent_text),
-    ("low_contrast_text", "Runs in the colour of what is behind them", low_contrast_text),
-    ("micro_type", "Type too small to read", micro_type),
-    ("offpage_text", "Runs outside the page", offpage_text),
-    ("covered_text", "Runs under a shape drawn later", covered_text),
-    ("hidden_layer", "Runs on layers that are off", hidden_layer),
-    ("metadata_payload", "Instructions in metadata", metadata_payload),
-    ("annotation_payload", "Instructions and unseen text in annotations", annotation_payload),
-    ("form_field_payload", "Instructions and unseen text in form fields", form_field_payload),
-    ("embedded_file", "Files inside the document", embedded_file),
-    ("active_content", "Scripts and automatic actions", active_content),
-    ("unicode_smuggling", "Invisible, direction and tag characters", _both(invisible_unicode, bidi_override, tag_smuggling)),
-    ("homoglyph", "Look-alike characters in Latin words", homoglyph),
-    ("injection", "Phrases addressed to a model", _both(injection_hidden, injection_visible)),
-    ("layer_mismatch", "Pages whose text is hidden in part", layer_mismatch),
-    ("encoding_anomaly", "Control and private-use characters", encoding_anomaly),
-)
+def detector(code: str) -> Callable[[Scan], DataFrame]:
+    """The findings of one code of a scan."""
+    return lambda scan: _codes(scan, {code})
 
 
 def find(scan: Scan, only: tuple[str, ...] = ()) -> DataFrame:
     """The findings of all detectors (or of these), with detector, detector_ord and weight."""
+    wanted = {c for c, (_, name, _) in CODES.items() if not only or name in only}
     weight = F.coalesce(*(F.when(F.col("severity") == k, F.lit(v)) for k, v in X.WEIGHTS.items()))
-    out = None
-    for i, (name, _, detector) in enumerate(DETECTORS):
-        if only and name not in only:
-            continue
-        part = detector(scan).withColumn("detector", F.lit(name)).withColumn("detector_ord", F.lit(i)).withColumn("weight", weight)
-        out = part if out is None else out.unionByName(part)
-    return out
+    of = lambda i, kind: F.coalesce(*(F.when(F.col("code").isin([c for c in CODES if CODES[c][i] == v]), F.lit(v)) for v in dict.fromkeys(CODES[c][i] for c in CODES))).cast(kind)
+    return _codes(scan, wanted).withColumn("detector", of(1, "string")).withColumn("detector_ord", of(0, "int")).withColumn("weight", weight)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from palimpsest.functions.lexicon import RETENTION
 
@@ -35,13 +35,31 @@ def platform_stats(scans: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def claim(scans: DataFrame, claims: DataFrame) -> DataFrame:
-    """Scans without a user that a user claims by their token, rows (token, claimed_by), get that user."""
-    return scans.join(claims, "token", "left").withColumn("user_id", F.coalesce("user_id", "claimed_by")).select(*scans.columns)
+    """Scans without a user that users claim by their token, rows (token, claimed_by), get the user; of several the one with the smallest id."""
+    first = claims.where("token is not null").groupBy("token").agg(F.min("claimed_by").alias("claimed_by"))
+    return scans.join(first, "token", "left").withColumn("user_id", F.coalesce("user_id", "claimed_by")).select(*scans.columns)
 
 
 def delete(scans: DataFrame, gone: DataFrame) -> DataFrame:
-    """The scans but those that rows (token, user_id) name."""
-    return scans.join(gone, ["token", "user_id"], "left_anti").select(*scans.columns)
+    """The scans but those that rows (token, user_id) name; a null user_id names a guest's scan."""
+    gone = gone.select(F.col("token").alias("gone_token"), F.col("user_id").alias("gone_user"))
+    return scans.join(gone, (scans["token"] == gone["gone_token"]) & scans["user_id"].eqNullSafe(gone["gone_user"]), "left_anti")
+
+
+def by_token(scans: DataFrame, token: str) -> DataFrame:
+    """The scan with a token, with its report."""
+    return scans.where(F.col("token") == token)
+
+
+def by_id(scans: DataFrame, scan_id: int) -> DataFrame:
+    """The scan with an id, with its report."""
+    return scans.where(F.col("id") == scan_id)
+
+
+def guest_tokens(tokens: Column, token: Column, n: int = 10) -> Column:
+    """A guest's tokens with one more: the last ``n``, the newest last."""
+    all_of = F.array_append(F.coalesce(tokens, F.array().cast("array<string>")), token)
+    return F.slice(all_of, F.greatest(F.size(all_of) - (n - 1), F.lit(1)), n)
 
 
 def save(scans: DataFrame, new: DataFrame, n: int = RETENTION) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from palimpsest.functions import lexicon as X
 from palimpsest.functions.text import is_blank
@@ -59,19 +59,50 @@ def overlays(spans: DataFrame) -> DataFrame:
     return rows.select("doc_id", "page", "span_ord", low(F.col("bbox.x0") - F.col("box.x0"), w).alias("left"), low(F.col("bbox.y0") - F.col("box.y0"), h).alias("top"), size(F.col("bbox.x1") - F.col("bbox.x0"), w).alias("width"), size(F.col("bbox.y1") - F.col("bbox.y0"), h).alias("height"))
 
 
-def reports(trace: Trace) -> DataFrame:
-    """One row for each document, unreadable ones too: filename, sha256, ok, score, verdict, counts, hidden_text, findings."""
+#: What is said of documents that can't be read, by status.
+ERRORS = {"too_large": "The file is larger than the limit.", "encrypted": "The document is protected by a password.", "unreadable": "The file could not be opened."}
+
+
+def _said(key: Column, words: dict[str, str]) -> Column:
+    return F.coalesce(*(F.when(key == k, F.lit(v)) for k, v in words.items()))
+
+
+def page_views(s: Scan) -> DataFrame:
+    """(doc_id, pages): for each page of a document number, hidden_chars, total_chars, overlays and model_view, in order."""
+    views = model_view(s.spans).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("place", "text", "hidden", "reasons", "size", "bbox"))).alias("model_view"))
+    boxes = overlays(s.spans).groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("span_ord", "left", "top", "width", "height"))).alias("overlays"))
+    pages = s.pages.join(views, ["doc_id", "page"], "left").join(boxes, ["doc_id", "page"], "left")
+    page = F.struct((F.col("page") + 1).alias("number"), "hidden_chars", F.col("chars").alias("total_chars"), "overlays", "model_view")
+    return pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
+
+
+def reports(trace: Trace, views: bool = True) -> DataFrame:
+    """One row for each document, unreadable ones too.
+
+    filename, sha256, bytes, ok, error, score, verdict with label and blurb, counts of runs, characters and severities, hidden_text,
+    metadata, findings, detectors with their hits, and with ``views`` the pages. What an unreadable document has none of is 0 or empty.
+    """
     s = prepare(trace)
-    findings = find(s).persist()
-    listed = ranked(findings).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "code", "detector", "severity", "weight", "title", "detail", "technique", "evidence", "page", "bbox", "extra"))).alias("findings"))
+    findings = find(s)
+    item = F.struct("rank", "code", "detector", "severity", "weight", "title", "detail", "technique", "evidence", "page", "bbox", "extra")
+    listed = ranked(findings).groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("findings"))
+    # scores, counts and detectors' hits are taken from the list, so findings are made once
+    each = listed.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.code", "f.severity", "f.weight", "f.detector")
     totals = s.pages.groupBy("doc_id").agg(F.count("*").alias("pages_scanned"), F.sum("n_runs").alias("runs"), F.sum("n_hidden_runs").alias("hidden_runs"), F.sum("chars").alias("chars"), F.sum("hidden_chars").alias("hidden_chars"))
+    metadata = trace.metadata.where("key is not null and value <> ''").groupBy("doc_id", "key").agg(F.min("value").alias("value")).groupBy("doc_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("metadata"))
     out = trace.docs.select("doc_id", "filename", "sha256", "bytes", "page_count", F.coalesce("status", F.lit("ok")).alias("status"), "warnings")
-    for part in (totals, score_findings(findings).drop("findings"), severity_counts(findings, "doc_id"), document_hidden_text(s.pages), listed):
+    parts = [totals, score_findings(each).drop("findings"), severity_counts(each, "doc_id"), document_hidden_text(s.pages), metadata, listed]
+    for part in parts + [page_views(s)] * views:
         out = out.join(part, "doc_id", "left")
     ok = F.col("status") == "ok"
     zero = ("pages_scanned", "runs", "hidden_runs", "chars", "hidden_chars", "score", "total", *X.SEVERITIES)
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).withColumn("hidden_share", F.bround(F.coalesce(F.try_divide("hidden_chars", "chars"), F.lit(0.0)), 4))
-    return out.withColumn("ok", ok).withColumn("verdict", F.when(~ok, "error").otherwise(F.coalesce("verdict", F.lit("clean")))).withColumn("hidden_text", F.coalesce("hidden_text", F.lit("")))
+    hits = lambda name: F.coalesce(F.size(F.filter("findings", lambda f: f["detector"] == name)), F.lit(0))
+    runs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(info).alias("info"), F.greatest(hits(n), F.lit(0)).alias("hits")) for n, info, _ in DETECTORS))
+    error = F.when(~ok, F.coalesce(_said(F.col("status"), ERRORS), F.concat(F.lit("The file could not be read: "), "status")))
+    out = out.withColumn("ok", ok).withColumn("error", error).withColumn("verdict", F.when(~ok, "error").otherwise(F.coalesce("verdict", F.lit("clean"))))
+    out = out.withColumn("label", _said(F.col("verdict"), {k: v for k, (v, _) in X.VERDICTS.items()})).withColumn("blurb", F.coalesce("error", _said(F.col("verdict"), {k: v for k, (_, v) in X.VERDICTS.items()})))
+    return out.withColumn("detectors", F.when(ok, runs)).withColumn("hidden_text", F.coalesce("hidden_text", F.lit("")))
 
 
 def report_json(report: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 RECT = "struct<x0:double,y0:double,x1:double,y1:double>"
 SCHEMAS = {
@@ -95,18 +95,30 @@ def script_actions(actions: DataFrame, script_objects: DataFrame) -> DataFrame:
 
 
 def text_sources(trace: Trace, pages: DataFrame) -> DataFrame:
-    """(doc_id, source, page, text): every channel of a document that holds text; blank ones are left out."""
+    """Every channel of a document that holds text, blank ones are left out: doc_id, source, page, text.
+
+    Beside these what detectors ask of a channel: kind (page, metadata, annotation, field), name (of a metadata
+    field or form field, type of an annotation), unseen (whether an annotation or form field is not shown), bbox, hidden_text (of a page).
+    """
     from palimpsest.functions.text import is_blank
 
-    full = lambda *cs: F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in cs))
+    full = lambda *cs: F.concat_ws(" ", *(F.nullif(F.col(c), F.lit("")) for c in cs)).alias("text")
     number = (F.col("page") + 1).cast("string")
-    none = F.lit(None).cast("int").alias("page")
+    none = {"page": "int", "name": "string", "unseen": "boolean", "bbox": "array<double>", "hidden_text": "string"}
+    side = lambda i: F.coalesce(F.get("bbox", F.lit(i)), F.lit(0.0))
+    flagged = lambda c, bits: F.coalesce(F.col(c).bitwiseAND(bits) != 0, F.lit(False))
+
+    def rows(df: DataFrame, kind: str, source: Column, text: Column, **more: Column) -> DataFrame:
+        rest = [(more[c] if c in more else F.lit(None)).cast(t).alias(c) for c, t in none.items()]
+        return df.select("doc_id", source.alias("source"), rest[0], text.alias("text"), F.lit(kind).alias("kind"), *rest[1:])
+
+    col = F.col
     parts = (
-        pages.select("doc_id", F.concat(F.lit("page "), number).alias("source"), "page", "text"),
-        trace.metadata.select("doc_id", F.concat(F.lit("metadata/"), "key").alias("source"), none, F.col("value").alias("text")),
-        trace.docs.select("doc_id", F.lit("XMP metadata").alias("source"), none, F.col("xmp").alias("text")),
-        trace.annots.select("doc_id", F.concat(F.lit("annotation on page "), number).alias("source"), "page", full("content", "title", "subject").alias("text")),
-        trace.widgets.select("doc_id", F.concat(F.lit("form field on page "), number).alias("source"), "page", full("name", "value", "tooltip").alias("text")),
+        rows(pages, "page", F.concat(F.lit("page "), number), col("text"), page=col("page"), hidden_text=col("hidden_text") if "hidden_text" in pages.columns else F.lit("")),
+        rows(trace.metadata, "metadata", F.concat(F.lit("metadata/"), "key"), col("value"), name=col("key")),
+        rows(trace.docs, "metadata", F.lit("XMP metadata"), col("xmp"), name=F.lit("xmp")),
+        rows(trace.annots, "annotation", F.concat(F.lit("annotation on page "), number), full("content", "title", "subject"), page=col("page"), name=col("type"), unseen=flagged("flags", 2 | 32), bbox=col("bbox")),
+        rows(trace.widgets, "field", F.concat(F.lit("form field on page "), number), full("value", "tooltip"), page=col("page"), name=col("name"), unseen=flagged("field_flags", 2) | (F.abs((side(2) - side(0)) * (side(3) - side(1))) < 1.0), bbox=col("bbox")),
     )
     out = parts[0]
     for p in parts[1:]:
