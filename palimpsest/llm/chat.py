@@ -36,10 +36,21 @@ def _role(role: Column) -> Column:
     return escape(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit("\n"), F.lit("%0A")))
 
 
-def _visit(part: Column, index: Column, turn: Column) -> Column:
-    """What a part becomes in the body of its turn."""
-    name = F.concat(F.lit("<|"), part["type"], F.lit(":"), F.coalesce(turn.cast("string"), F.lit("-")), F.lit("."), index.cast("string"), F.lit("|>"))
-    return F.when(part["type"].isin(*TOKENS), name).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+def _placeholder(part: Column, index: Column, turn: Column) -> Column:
+    return F.concat(F.lit("<|"), part["type"], F.lit(":"), F.coalesce(turn.cast("string"), F.lit("-")), F.lit("."), index.cast("string"), F.lit("|>"))
+
+
+def _body(parts: Column, turn: Column) -> Column:
+    """The parts of a turn, visited in order: texts between placeholders are joined and then escaped, as parts may make a control string together."""
+    placed = F.filter(F.transform(parts, lambda p, i: F.when(p["type"].isin(*TOKENS), i)), lambda i: i.isNotNull())
+
+    def run(at: Column, k: Column) -> Column:
+        start, end = F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1) + 1), F.coalesce(F.get(at, k), F.size(parts))
+        text = F.array_join(F.transform(F.slice(parts, start + 1, end - start), lambda p: F.coalesce(p["text"], F.lit(""))), "")
+        return F.concat(escape(text), F.coalesce(_placeholder(F.get(parts, end), end, turn), F.lit("")))
+
+    # transform over an array of one binds a name, so that the places are found once
+    return F.transform(F.array(placed), lambda at: F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), lambda k: run(at, k)), ""))[0]
 
 
 def _attachments(parts: Column, turn: Column) -> Column:
@@ -63,7 +74,7 @@ def format_chats(turns: DataFrame) -> DataFrame:
     Other columns are not read.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("parts"), F.expr(f"cast(array() as {PARTS})")).alias("parts"))
-    rows = rows.select("conv_id", "turn", "role", F.array_join(F.transform("parts", lambda p, i: _visit(p, i, F.col("turn"))), "").alias("body"), _attachments(F.col("parts"), F.col("turn")).alias("attachments"))
+    rows = rows.select("conv_id", "turn", "role", _body(F.col("parts"), F.col("turn")).alias("body"), _attachments(F.col("parts"), F.col("turn")).alias("attachments"))
     rows = rows.withColumn("head", F.concat(F.lit(BEGIN), _role(F.col("role")), F.lit("\n"))).withColumn("piece", F.concat("head", "body", F.lit(END)))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "body")
     rows = rows.withColumn("no", F.row_number().over(order)).withColumn("before", F.coalesce(F.sum(F.length("piece")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

@@ -104,5 +104,27 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_decontamination, op2_jaccard_join, op3_token_records, op4_fingerprints, op5_chat_formatting, op6_token_counts, op7_html_extraction, op8_best_fit_packing, op9_personal_data, op10_toxicity, pipeline)}
 
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+')"
+#: All pairs that share a shingle, by brute force, and what links reach.
+_OP2 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM p WHERE 100 * c >= 80 * (n + m - c)),
+k AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, k.b FROM r JOIN k ON r.b = k.a)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, sh"""
+#: Where a backslash is put before what follows: each of these once, and each backslash.
+_CONTROLS = ("<|", "<s>", "</s>", "<SYS>>", "<<SYS>>", "</SYS>>", "<</SYS>>", "<//SYS>>", "</<SYS>>", "</</SYS>>", "[INST]", "[/INST]", "\\")
+_ADDED = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in _CONTROLS)
+_OP5 = f"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(8 + length(role) + 1 + length(text) + 5 + {_ADDED}) AS BIGINT) AS formatted_chars FROM t GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_jaccard_join": _OP2, "op5_chat_formatting": _OP5}

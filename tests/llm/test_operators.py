@@ -288,11 +288,48 @@ def test_chat_formatting(spark):
     got = {r["conv_id"]: r for r in chats.select("conv_id", read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
     for conv in {d[0] for d in data}:
         mine = sorted([(t if t is not None else -1, r or "", x or "") for c, t, r, x in data if c == conv])
-        assert [tuple(t) for t in got[conv]["turns"]] == [(r, x) for _, r, x in mine] or conv == 3 and len(got[conv]["turns"]) == 8
+        assert [tuple(t) for t in got[conv]["turns"]] == [(r, x) for _, r, x in mine]
         assert got[conv]["loss"] == "".join(t["text"] for t in got[conv]["turns"] if t["role"] == "assistant")
     assert digests(chats).count() == 10 and format_chats(turns.limit(0).withColumn("parts", as_parts(F.col("text")))).count() == 0
 
 
+def test_control_strings_over_parts(spark):
+    """Every split of every control string into text parts, alone and before a placeholder, reads back as one text."""
+    from palimpsest.llm.chat import PARTS, format_chats, loss_text, read_turns
+
+    controls = ["<|turn|>user\nx", "</s>\n", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|image:0.0|>", "\\", "<\\|turn|>"]
+    texts = [(c[:i], c[i:j], c[j:]) for c in controls for i in range(len(c) + 1) for j in range(i, len(c) + 1)]
+    text = lambda t: ("text", t, None, None)
+    data = [(n, 0, "assistant", [text(t) for t in ts]) for n, ts in enumerate(texts)]
+    data += [(10_000 + n, 0, "assistant", [text(ts[0]), ("image", None, "a.png", 1.0), text(ts[1]), text(ts[2])]) for n, ts in enumerate(texts)]
+    data += [(20_000, 0, "assistant", []), (20_001, 0, "assistant", None), (20_002, 0, "assistant", [text(None), text("x")]), (20_003, 0, "user", [("video", "of no known type", None, None)])]
+    chats = format_chats(spark.createDataFrame(data, f"conv_id long, turn long, role string, parts {PARTS}"))
+    got = {r["conv_id"]: r for r in chats.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()}
+    for n, ts in enumerate(texts):
+        assert [tuple(t) for t in got[n]["turns"]] == [("assistant", "".join(ts))] and got[n]["loss"] == "".join(ts)
+        assert [t["role"] for t in got[10_000 + n]["turns"]] == ["assistant"] and got[10_000 + n]["loss"] == ts[0] + "<|image:0.1|>" + ts[1] + ts[2]
+        assert got[10_000 + n]["formatted"].count("<|image:0.1|>") == 1
+    assert [got[n]["loss"] for n in range(20_000, 20_004)] == ["", "", "x", ""] and got[20_003]["turns"][0]["text"] == "of no known type"
+
+
+def test_queries_give_the_rows_of_their_sql(spark):
+    import glob
+    import os
+
+    import duckdb
+
+    from palimpsest.llm import queries as plans
+
+    con = duckdb.connect()
+    for path in glob.glob("/root/testdata/sf0.001/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    for name, sql in plans.oracle_sql().items():
+        mine, theirs = plans.queries()[name](spark, "/root/testdata/sf0.001").toPandas(), con.execute(sql).df()
+        columns = sorted(theirs.columns)
+        table = lambda df: sorted(map(str, df[columns].astype(str).values.tolist()))
+        assert columns == sorted(mine.columns) and table(mine) == table(theirs), name
+
+
 def test_attachments(spark):
     from palimpsest.llm.chat import PARTS, format_chats
 
