@@ -3,14 +3,17 @@
 Every page becomes a DOM tree and that a skeleton, in which neighbouring siblings of one kind (tag and
 class) are one node. The skeletons of a host are aligned with its most frequent one by simple
 tree matching. A node whose text is the same on nearly all distinct articles of the host is template, a
-node whose text varies is a slot. The text of a page is what its content element holds: the largest
-<article>, else <main>, else the part of <body> with most of the slots' text; without elements that are
-not main text by their tag or class (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, comments) and, where no tag says what the main text is, without template.
+node whose text varies is a slot. Where a page marks its main text (<article>, else <main>), that is
+where its slots are looked for; elsewhere it is the part of <body> with most of the slots' text.
+
+What is no main text inside it (menus, sidebars, notices, adverts, forms, comments) is told by evidence:
+by a tag that is nothing else, by a class that says nothing else, or by a class that only may say so together
+with what the alignment or the links say: that its text is template, or is mostly links. Where no
+tag marks the main text, template is left out altogether.
 
 Skeletons hold digests, no text. They are all that is joined by host, so a host with a third of all pages
 is no burden: its votes are counted before they are shuffled, and the join of its pages is one that
-Spark splits.
+Spark splits. No walk is recursive, so the depth of a page is no limit.
 """
 
 from __future__ import annotations
@@ -18,7 +21,9 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
@@ -27,12 +32,17 @@ from pyspark.sql import DataFrame, functions as F
 from palimpsest.llm.shared import slices, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg textarea title select object math canvas video audio".split())
+RAW = frozenset("script style noscript template iframe svg textarea title select canvas video audio".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
-#: Elements that are not main text, by tag, and by a word of their class, id or role.
-NOT_TEXT = frozenset("nav footer aside form button menu dialog head label input".split())
-NOT_TEXT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments reply replies respond disqus pagination pager widget toolbar masthead login search skip copyright alert complementary contentinfo".split())
+#: Elements that hold text of their own: a class word alone takes none of them away.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption summary dt dd td th tr table tbody article".split())
+#: Elements that are not main text, by their tag; by a word of their class, id or role; by a word that may have another meaning.
+NOT_TEXT = frozenset("nav footer aside form button menu dialog head input".split())
+NOT_TEXT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsored promo sidebar navbar navigation breadcrumb breadcrumbs cookie cookies gdpr newsletter disqus pagination pager masthead popup modal complementary contentinfo".split())
+PERHAPS_WORDS = frozenset("sponsor promotion banner menu nav footer consent notice overlay subscribe subscription signup share sharing social related recommended recommendations comment comments reply replies respond widget toolbar login search skip copyright alert dialog".split())
 HEAD_WORDS = frozenset("header topbar".split())
+#: Words of classes that say where an element is, not what.
+PLACE_WORDS = frozenset("area bar block body box bottom buttons center clearfix col column container content desktop entry fixed form global grid group icons inner item items js left link links list main media message mobile module outer page panel post posts primary right row secondary section site sticky text thread top wrap wrapper hidden".split())
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
@@ -42,20 +52,29 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its tag, class words, children (nodes and texts) and parent."""
+    """An element: its tag, class words, children (nodes and texts) and parent; ``number`` is that of its skeleton's node, ``member`` its own in the run of that."""
 
-    __slots__ = ("tag", "words", "children", "parent", "number", "kind")
+    __slots__ = ("tag", "words", "children", "parent", "number", "kind", "member")
 
     def __init__(self, tag: str, words: frozenset, kind: str, parent: Node | None) -> None:
         self.tag, self.words, self.kind, self.parent = tag, words, kind, parent
         self.children: list = []
-        self.number = -1
+        self.number = self.member = -1
 
 
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed elements end where HTML says or with their parent; raw elements are left out."""
     top = node = Node("html", frozenset(), "html", None)
     at, n = 0, len(source)
+    opened: Counter = Counter()  # elements of each tag that are open
+
+    def close(x: Node) -> Node:
+        y = node
+        while y is not x.parent:
+            opened[y.tag] -= 1
+            y = y.parent
+        return x.parent
+
     while at < n:
         m = _TOKEN.search(source, at)
         if not m:
@@ -70,10 +89,10 @@ def parse(source: str) -> Node:
         tag = tag.lower()
         if m[1]:  # an end tag closes the nearest element of its name, but an inline one none beyond a block
             x = node
-            while x is not top and x.tag != tag and (tag in BLOCK or x.tag not in BLOCK):
+            while opened[tag] and x is not top and x.tag != tag and (tag in BLOCK or x.tag not in BLOCK):
                 x = x.parent
             if x is not top and x.tag == tag:
-                node = x.parent
+                node = close(x)
             elif tag == "p":
                 node.children.append(Node("p", frozenset(), "p", node))
             continue
@@ -87,12 +106,12 @@ def parse(source: str) -> Node:
         if tag in BLOCK or tag in CLOSES:
             closes = CLOSES.get(tag, "").split() or ["p"]
             x, found = node, None
-            while x is not top and (x.tag in closes or x.tag not in BLOCK or x.tag == "p"):
+            while (opened["p"] or any(opened[c] for c in closes)) and x is not top and (x.tag in closes or x.tag not in BLOCK or x.tag == "p"):
                 if x.tag in closes or (x.tag == "p" and tag in BLOCK):
                     found = x
                 x = x.parent
             if found:
-                node = found.parent
+                node = close(found)
         words, kind = frozenset(), tag
         if "=" in m[3] or "hidden" in m[3]:
             attrs = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(m[3])}
@@ -102,106 +121,273 @@ def parse(source: str) -> Node:
         node.children.append(new)
         if tag not in VOID and not m[3].endswith("/"):
             node = new
+            opened[tag] += 1
     return top
 
 
-def _finds(node: Node, want) -> list[Node]:
+def _all(node: Node) -> Iterator[Node]:
+    """The element and those below it, in page order."""
+    stack = [node]
+    while stack:
+        x = stack.pop()
+        yield x
+        stack += [c for c in reversed(x.children) if isinstance(c, Node)]
+
+
+def _up(x: Node | None) -> Iterator[Node]:
+    while x is not None:
+        yield x
+        x = x.parent
+
+
+def text_of(node: Node) -> str:
+    """All text below a node, with white space as it is."""
     out, stack = [], [node]
     while stack:
         x = stack.pop()
-        for c in reversed(x.children):
-            if isinstance(c, Node):
-                stack.append(c)
-        if want(x):
+        if isinstance(x, str):
             out.append(x)
-    return out
+        else:
+            stack += reversed(x.children)
+    return " ".join(out)
 
 
-def _is_content(x: Node) -> bool:
-    return x.tag in ("article", "main") or "main" in x.words or "articlebody" in x.words
+def _links(node: Node) -> bool:
+    """Whether half of the text below a node, or more, is that of links."""
+    total = linked = 0
+    stack = [(node, False)]
+    while stack:
+        x, inside = stack.pop()
+        if isinstance(x, str):
+            n = len("".join(x.split()))
+            total, linked = total + n, linked + n * inside
+        else:
+            stack += [(c, inside or x.tag == "a") for c in x.children]
+    return total > 0 and 2 * linked >= total
+
+
+@dataclass
+class Page:
+    """A parsed page: its tree, the numbers of its template nodes, and the elements that mark its main text (outermost ones)."""
+
+    top: Node
+    template: frozenset
+    marked: list[Node]
+    holds: Counter  # how many marked elements are in an element
+
+    @staticmethod
+    def of(top: Node, template: frozenset = frozenset()) -> Page:
+        articles = [x for x in _all(top) if x.tag == "article" or "articlebody" in x.words]
+        chosen = {id(x): x for x in articles or [x for x in _all(top) if x.tag == "main" or "main" in x.words]}
+        outer, holds = [], Counter()
+        for x in chosen.values():
+            above = []
+            for y in _up(x.parent):
+                if id(y) in chosen:
+                    break
+                above.append(id(y))
+            else:
+                outer.append(x)
+                holds.update(above)
+        return Page(top, template, outer, holds)
+
+    def excluded(self, x: Node, inside: bool) -> bool:
+        """Whether an element is no main text; ``inside`` the main text a header is its own."""
+        if x.tag in NOT_TEXT or "hidden" in x.words or (not inside and x.tag == "header"):
+            return True
+        if not x.words or x.tag in ("html", "body") or (self.marked and self.holds[id(x)] == len(self.marked)):
+            return False
+        perhaps = PERHAPS_WORDS if inside else PERHAPS_WORDS | HEAD_WORDS
+        if not x.words & (NOT_TEXT_WORDS | perhaps):
+            return False
+        holder = x.tag not in TEXT or x.tag == "article"
+        says_nothing_else = x.words <= NOT_TEXT_WORDS | perhaps | PLACE_WORDS
+        if holder and (x.words & NOT_TEXT_WORDS or says_nothing_else) or says_nothing_else and x.words & NOT_TEXT_WORDS:
+            return True
+        return self.constant(x) or _links(x)
+
+    def constant(self, x: Node) -> bool:
+        """Whether an element is template, with its run or alone."""
+        return x.number in self.template or (x.member + 1) * MEMBER + x.number in self.template
+
+    def kept(self, node: Node, inside: bool, template: bool) -> Iterator[Node | str | None]:
+        """What is main text below a node, in page order: texts, elements as they begin, and None where a block ends."""
+        stack: list = [node]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str) or x is None:
+                yield x
+            elif x is node or not (self.excluded(x, inside) or (template and self.constant(x))):
+                yield x
+                if x.tag in BLOCK:
+                    stack.append(None)
+                stack += reversed(x.children)
+
+    def content(self) -> list[tuple[Node, bool]]:
+        """The elements that hold the main text, in page order, and whether each marks it itself."""
+        marks = set(map(id, self.marked))
+        found, stack = [], [self.top]
+        while stack:
+            x = stack.pop()
+            if x is not self.top and self.excluded(x, False):
+                continue
+            if id(x) in marks:
+                found.append((x, True))
+            else:
+                stack += [c for c in reversed(x.children) if isinstance(c, Node)]
+        return found or [(self._densest(), False)]
+
+    def _densest(self) -> Node:
+        """The innermost block that still has 0.7 of the text of the one around it, and so on from the page."""
+        size: Counter = Counter()
+        open_: list[Node] = []
+        for x in self.kept(self.top, False, True):
+            if isinstance(x, Node):
+                if x.tag in BLOCK or x is self.top:
+                    open_.append(x)
+            elif x is None:
+                last = open_.pop()
+                if open_:
+                    size[id(open_[-1])] += size[id(last)]
+            elif open_:
+                size[id(open_[-1])] += len(x.strip())
+        while len(open_) > 1:
+            last = open_.pop()
+            size[id(open_[-1])] += size[id(last)]
+        node = self.top
+        while size[id(node)]:
+            inner = [c for c in node.children if isinstance(c, Node) and c.tag in BLOCK and c.tag != "p"]
+            best = max(inner, key=lambda c: size[id(c)], default=None)
+            if best is None or size[id(best)] < 0.7 * size[id(node)]:
+                break
+            node = best
+        return node
+
+    def blocks(self) -> list[str]:
+        """The blocks of the main text."""
+        out: list[str] = []
+        words: list[str] = []
+
+        def flush() -> None:
+            if words:
+                if text := _SPACE.sub(" ", entities.unescape("".join(words))).strip():
+                    out.append(text)
+                words.clear()
+
+        for node, mark in self.content():
+            for x in self.kept(node, mark or node is not self.top, not mark):
+                if isinstance(x, str):
+                    words.append(x)
+                elif x is None or x.tag in BLOCK:
+                    flush()
+                elif x.tag == "br":
+                    words.append(" ")
+            flush()
+        return out
 
 
-def excluded(x: Node, inside: bool) -> bool:
-    """Whether an element is no main text, by its tag and class; ``inside`` the content element a header is its own."""
-    if x.tag in NOT_TEXT or "hidden" in x.words or (not inside and x.tag == "header"):
-        return True
-    if (x.words & NOT_TEXT_WORDS or (not inside and x.words & HEAD_WORDS)) and x.tag not in ("html", "body"):
-        return not _finds(x, lambda y: y is not x and y.tag in ("article", "main"))
-    return False
+def main_text(source: str, template: frozenset = frozenset()) -> str:
+    """The main text of a page, given the numbers of its template nodes."""
+    top = parse(source)
+    if template:
+        skeleton(top)
+    return "\n\n".join(Page.of(top, template).blocks())
 
 
-def text_of(node: Node) -> str:
-    """All text below a node, with white space as it is."""
-    return " ".join(c if isinstance(c, str) else text_of(c) for c in node.children)
+#: A skeleton in preorder: kind, digest of the text and parent of each node, and the digests of the elements of each run of several.
+Skeleton = tuple[list[str], list[int], list[int], list[list[int]]]
+MEMBER = 1 << 32  # an element of a run, from 1 on, times this and the number of its run's node is the number of it alone
+WIDEST = 64  # children of a node of a skeleton; where there are more, those of a tag are one
 
 
-def skeleton(top: Node) -> list:
-    """[kind, digest of its text, children]; nodes are numbered in order, elements of one run share a number."""
-    count = [0]
+def _digest(x: object) -> int:
+    return xxhash.xxh3_64_intdigest(json.dumps(x)) >> 1 if x else 0
 
-    def of(run: list[Node]) -> list:
-        number = count[0]
-        count[0] += 1
-        own, groups = [], []
-        for x in run:
-            x.number = number
+
+def skeleton(top: Node) -> Skeleton:
+    """The skeleton of a page. Elements of one run get the number of its node."""
+    kinds: list[str] = []
+    parents: list[int] = []
+    texts: list[str] = []
+    members: list[list[int]] = []
+    stack = [([top], -1)]
+    while stack:
+        run, parent = stack.pop()
+        number = len(kinds)
+        kinds.append(run[0].kind)
+        parents.append(parent)
+        own: list[str] = []
+        groups: list[list[Node]] = []
+        members.append([_digest(" ".join(text_of(x).split())) for x in run] if len(run) > 1 else [])
+        for k, x in enumerate(run):
+            x.number, x.member = number, k if len(run) > 1 else -1
+            last = None
             for c in x.children:
                 if isinstance(c, str):
                     own.append(c)
                 elif c.tag not in BLOCK:
                     own.append(text_of(c))
-                elif groups and groups[-1][-1].kind == c.kind and groups[-1][-1].parent is x:
-                    groups[-1].append(c)
+                elif last and last[-1].kind == c.kind:
+                    last.append(c)
                 else:
-                    groups.append([c])
-        below = [of(g) for g in groups]
-        plain = " ".join(" ".join(own).split())
-        digest = xxhash.xxh3_64_intdigest(json.dumps([plain, [b[1] for b in below]])) >> 1 if plain or any(b[1] for b in below) else 0
-        return [run[0].kind, digest, below]
-
-    return of([top])
+                    last = [c]
+                    groups.append(last)
+        texts.append(" ".join(" ".join(own).split()))
+        if len(groups) > WIDEST:
+            by_tag: dict = {}
+            for g in groups:
+                by_tag.setdefault(g[0].tag, []).extend(g)
+            groups = list(by_tag.values())
+        stack += [(g, number) for g in reversed(groups)]
+    below: list[list[int]] = [[] for _ in kinds]
+    digests = [0] * len(kinds)
+    for i in range(len(kinds) - 1, -1, -1):
+        if texts[i] or any(below[i]):
+            digests[i] = _digest([texts[i], below[i][::-1]])
+        if i:
+            below[parents[i]].append(digests[i])
+    return kinds, digests, parents, members
+
+
+def _children(tree: Skeleton) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in tree[0]]
+    for i, p in enumerate(tree[2]):
+        if p >= 0:
+            out[p].append(i)
+    return out
 
 
-def matching(a: list, b: list) -> list[tuple[int, int]]:
+def matching(a: Skeleton, b: Skeleton) -> list[tuple[int, int]]:
     """Simple tree matching: pairs of node numbers of ``a`` and ``b`` in a largest mapping that keeps roots, order and kinds."""
-    memo: dict[tuple[int, int], tuple] = {}
-    size: dict[int, int] = {}
-
-    def nodes(t: list) -> int:
-        if id(t) not in size:
-            size[id(t)] = 1 + sum(map(nodes, t[2]))
-        return size[id(t)]
-
-    def weight(x: list, y: list) -> int:
-        if x[0] != y[0]:
-            return 0
-        key = id(x), id(y)
-        if key not in memo:
-            m = [[0] * (len(y[2]) + 1) for _ in range(len(x[2]) + 1)]
-            for i, p in enumerate(x[2], 1):
-                for j, q in enumerate(y[2], 1):
-                    m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + weight(p, q))
-            memo[key] = m[-1][-1] + 1, m
-        return memo[key][0]
-
-    out = []
-    stack = [(a, b, 0, 0)]
+    ka, kb, ca, cb = a[0], b[0], _children(a), _children(b)
+    if ka[0] != kb[0]:
+        return []
+    best: dict[tuple[int, int], list[list[int]]] = {}
+    weight = lambda x, y: best[x, y][-1][-1] + 1 if ka[x] == kb[y] else 0
+    stack = [(0, 0, False)]
     while stack:
-        x, y, nx, ny = stack.pop()
-        if not weight(x, y):
+        x, y, ready = stack.pop()
+        if (x, y) in best:
             continue
-        out.append((nx, ny))
-        m = memo[id(x), id(y)][1]
-        px, py = [nx + 1], [ny + 1]
-        for t, p in ((x, px), (y, py)):
-            for c in t[2]:
-                p.append(p[-1] + nodes(c))
-        i, j = len(x[2]), len(y[2])
+        if not ready:
+            stack.append((x, y, True))
+            stack += [(p, q, False) for p in ca[x] for q in cb[y] if ka[p] == kb[q] and (p, q) not in best]
+            continue
+        m = [[0] * (len(cb[y]) + 1) for _ in range(len(ca[x]) + 1)]
+        for i, p in enumerate(ca[x], 1):
+            for j, q in enumerate(cb[y], 1):
+                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + weight(p, q))
+        best[x, y] = m
+    out, pairs = [], [(0, 0)]
+    while pairs:
+        x, y = pairs.pop()
+        out.append((x, y))
+        m, i, j = best[x, y], len(ca[x]), len(cb[y])
         while i and j:
-            w = weight(x[2][i - 1], y[2][j - 1])
+            w = weight(ca[x][i - 1], cb[y][j - 1])
             if w and m[i][j] == m[i - 1][j - 1] + w:
                 i, j = i - 1, j - 1
-                stack.append((x[2][i], y[2][j], px[i], py[j]))
+                pairs.append((ca[x][i], cb[y][j]))
             elif m[i][j] == m[i - 1][j]:
                 i -= 1
             else:
@@ -209,87 +395,15 @@ def matching(a: list, b: list) -> list[tuple[int, int]]:
     return out
 
 
-def _is_marked(x: Node) -> bool:
-    """Whether an element says itself that it is the main text; it has no template then."""
-    return x.tag in ("article", "main") or "articlebody" in x.words
-
-
-def content_element(top: Node, template: frozenset) -> Node:
-    """The element whose text is the page's main text."""
-    visible = lambda x: not any(excluded(y, False) for y in _up(x))
-    length = lambda x: len(extract(x, frozenset() if _is_marked(x) else template, x.tag in ("article", "main")))
-    for want in (lambda x: x.tag == "article" or "articlebody" in x.words, lambda x: x.tag == "main" or "main" in x.words):
-        if found := [x for x in _finds(top, want) if visible(x)]:
-            return found[0] if len(found) == 1 else max(found, key=length)
-    node = top
-    total = length(node)
-    while total:
-        inner = [c for c in node.children if isinstance(c, Node) and c.tag in BLOCK and c.tag != "p" and not excluded(c, False) and c.number not in template]
-        best = max(inner, key=length, default=None)
-        if best is None or length(best) < 0.7 * total:
-            break
-        node = best
-    return node
-
-
-def _up(x: Node | None) -> Iterator[Node]:
-    while x is not None:
-        yield x
-        x = x.parent
-
-
-def extract(node: Node, template: frozenset, inside: bool) -> str:
-    """The blocks below a node, joined by blank lines."""
-    blocks: list[str] = []
-    words: list[str] = []
-
-    def flush() -> None:
-        if words:
-            text = _SPACE.sub(" ", entities.unescape("".join(words))).strip()
-            if text:
-                blocks.append(text)
-            words.clear()
-
-    stack: list = [node]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, str):
-            words.append(x)
-        elif x is None:
-            flush()
-        elif x.tag == "br":
-            words.append(" ")
-        elif x is node or not (excluded(x, inside) or x.number in template):
-            if x.tag in BLOCK:
-                flush()
-                stack.append(None)
-            stack += reversed(x.children)
-    flush()
-    return "\n\n".join(blocks)
-
-
-def main_text(source: str, template: frozenset = frozenset()) -> str:
-    """The main text of a page, given the numbers of its template nodes."""
-    top = parse(source)
-    if template:
-        skeleton(top)
-    node = content_element(top, template)
-    return extract(node, frozenset() if _is_marked(node) else template, node is not top)
-
-
 def article(top: Node) -> int:
     """A digest that near copies of an article share: of the first of its highest headings and of its longest block."""
-    node = content_element(top, frozenset())
-    inside = node is not top
-    blocks = extract(node, frozenset(), inside).split("\n\n")
-    headings = _finds(node, lambda x: x.tag in ("h1", "h2", "h3") and not any(y is not node and excluded(y, inside) for y in _up(x)))
-    first = min(headings, key=lambda x: x.tag, default=None)
-    title = extract(first, frozenset(), inside) if first else ""
-    return xxhash.xxh3_64_intdigest(json.dumps([title, max(blocks, key=len)])) >> 1
-
-
-def _shape(tree: list) -> list:
-    return [tree[0], [_shape(t) for t in tree[2]]]
+    page = Page.of(top)
+    title = ("h9", "")
+    for node, mark in page.content():
+        for x in page.kept(node, mark or node is not top, not mark):
+            if isinstance(x, Node) and x.tag in ("h1", "h2", "h3") and x.tag < title[0]:
+                title = x.tag, " ".join(text_of(x).split())
+    return _digest([title[1], max(page.blocks(), key=len, default="")])
 
 
 def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,47 +413,40 @@ def _skeletons(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = parse(x or "")
             tree = skeleton(top)
             trees.append(json.dumps(tree, separators=(",", ":")))
-            shapes.append(xxhash.xxh3_64_intdigest(json.dumps(_shape(tree))) >> 1 if tree[1] else None)
+            shapes.append(_digest([tree[0], tree[2]]) if tree[1][0] else None)
             articles.append(article(top))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(trees, pa.string()), pa.array(shapes, pa.int64()), pa.array(articles, pa.int64())], names=["key", "host", "tree", "shape", "article"])
 
 
-def _digests(tree: list) -> list[int]:
-    out, stack = [], [tree]
-    while stack:
-        t = stack.pop()
-        out.append(t[1])
-        stack += reversed(t[2])
-    return out
-
-
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (host, tree, first tree of the host): the digest of each node that is aligned with one of the first tree."""
+    """Of (host, tree, first tree of the host): for each node that is aligned with one of the first tree its digest, and once each those of its run's elements."""
     for batch in slices(batches, 1000):
-        hosts, nodes, found = [], [], []
+        rows = []
         for host, tree, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             tree = json.loads(tree)
-            own = _digests(tree)
             for x, y in matching(tree, json.loads(first)):
-                if own[x]:
-                    hosts.append(host)
-                    nodes.append(y)
-                    found.append(own[x])
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array(found, pa.int64())], names=["host", "node", "digest"])
+                if tree[1][x]:
+                    rows.append((host, y, tree[1][x], True))
+                    rows += [(host, y, d, False) for d in {*tree[3][x]} - {0}]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["host", "node", "digest", "whole"])
 
 
 def _templates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (key, tree, first tree, [node, digest] of its template): the page's own nodes that are template."""
+    """Of (key, tree, first tree, [node, digest] of its template): the page's own nodes and elements of runs that are template."""
     for batch in slices(batches, 1000):
         keys, numbers = [], []
         for key, tree, first, constant in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             same = {(c["node"], c["digest"]) for c in constant}
-            tree = json.loads(tree)
-            own = _digests(tree)
-            if mine := [x for x, y in matching(tree, json.loads(first)) if (y, own[x]) in same]:
+            tree, mine = json.loads(tree), []
+            for x, y in matching(tree, json.loads(first)):
+                if (y, tree[1][x]) in same:
+                    mine.append(x)
+                mine += [(k + 1) * MEMBER + x for k, d in enumerate(tree[3][x]) if (y, d) in same]
+            if mine:
                 keys.append(key)
                 numbers.append(mine)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.list_(pa.int32()))], names=["key", "template"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.list_(pa.int64()))], names=["key", "template"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +459,7 @@ def templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.9) ->
     """key and template (numbers of its skeleton's nodes) of the pages that have template, of rows (key, host, html).
 
     A node is template when at least ``min_pages`` distinct articles of its host have it and ``min_share`` of
-    them with the same text; copies and near copies of an article count once. Pages without text are
+    them with the same text, and so is an element of a run that they all have; copies and near copies of an article count once. Pages without text are
     no layout to align with.
     """
     trees = written(pages.mapInArrow(_skeletons, "key long, host string, tree string, shape long, article long"), "skeletons")
@@ -360,10 +467,11 @@ def templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.9) ->
     shapes = distinct.where("shape is not null").groupBy("host", "shape").agg(F.count("*").alias("n"), F.min("key").alias("key"))
     first = shapes.groupBy("host").agg(F.max_by("key", F.struct("n", "shape")).alias("key"))
     first = written(trees.join(first.select("key"), "key", "left_semi").groupBy("host").agg(F.min("tree").alias("first")), "first-skeletons")
-    votes = trees.join(distinct.select("key"), "key", "left_semi").join(first, "host").select("host", "tree", "first").mapInArrow(_votes, "host string, node int, digest long")
-    nodes = votes.groupBy("host", "node", "digest").count().groupBy("host", "node").agg(F.sum("count").alias("n"), F.max_by("digest", F.struct("count", "digest")).alias("digest"), F.max("count").alias("most"))
-    constant = nodes.where((F.col("n") >= min_pages) & (F.col("most") >= min_share * F.col("n"))).groupBy("host").agg(F.collect_list(F.struct("node", "digest")).alias("constant"))  # at most a skeleton's nodes
-    return trees.join(first.join(constant, "host"), "host").select("key", "tree", "first", "constant").mapInArrow(_templates, "key long, template array<int>")
+    votes = trees.join(distinct.select("key"), "key", "left_semi").join(first, "host").select("host", "tree", "first").mapInArrow(_votes, "host string, node int, digest long, whole boolean")
+    votes = written(votes.groupBy("host", "node", "digest").agg(F.count("*").alias("most"), F.count_if("whole").alias("whole")), "votes")
+    nodes = votes.groupBy("host", "node").agg(F.sum("whole").alias("n")).where(F.col("n") >= min_pages)
+    constant = votes.join(nodes, ["host", "node"]).where(F.col("most") >= min_share * F.col("n")).groupBy("host").agg(F.collect_list(F.struct("node", "digest")).alias("constant"))  # what nearly all pages of a host have
+    return trees.join(first.join(constant, "host"), "host").select("key", "tree", "first", "constant").mapInArrow(_templates, "key long, template array<long>")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
