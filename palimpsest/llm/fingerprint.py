@@ -5,31 +5,43 @@ their separators, so they make up the whole text. A paragraph's digest is the SH
 text, a section's that of its paragraphs' digests and the root that of the sections'. The
 fingerprint writes the tree down:
 
-    root | section ; paragraph : leaves , paragraph : leaves / section ; ...
+    root | section ; paragraph : n : sketch , paragraph : n : sketch / section ; ...
 
-with 64 hex digits for the root, 16 for each inner node and 8 (a CRC-32) for each leaf, which is
-a run of up to three words that ends early at the end of a sentence. Equal roots are equal
-texts; where they differ, branches whose digests differ locate the edits, and the leaves say how
-much of two texts is alike.
+with 64 hex digits for the root, 16 for each inner node, the number of distinct leaves of the
+paragraph (a leaf is a run of up to three words that ends early at the end of a sentence) and the
+SKETCH smallest CRC-32 of them, 8 hex digits each, so a paragraph takes a bounded size. Equal roots are
+equal texts; where they differ, branches whose digests differ locate the edits, and only their
+sketches are compared to say how much of two texts is alike.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _LEAF = r"(?:[^\s.!?]+\s+){0,2}[^\s]+"
-CELLS = 4096
+SKETCH = 64
+FAN = 64  # parts that a part of the ids is cut into
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is made once: transform over an array of one binds it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; that of null is that of the empty text."""
-    paragraph = lambda p: F.struct(F.sha2(p, 256).alias("digest"), F.array_join(F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda w: F.lpad(F.lower(F.hex(F.crc32(w))), 8, "0")), "").alias("leaves"))
+    hexed = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
+    sketch = lambda ls: F.concat(F.size(ls).cast("string"), F.lit(":"), F.array_join(F.transform(F.slice(F.sort_array(ls), 1, SKETCH), hexed), ""))
+    leaves = lambda p: F.array_distinct(F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda w: F.crc32(w)))
+    paragraph = lambda p: F.struct(F.sha2(p, 256).alias("digest"), _bound(leaves(p), sketch).alias("sketch"))
     digests = lambda nodes: F.sha2(F.array_join(F.transform(nodes, lambda n: n["digest"]), ""), 256)
-    section = lambda ps: F.struct(digests(ps).alias("digest"), F.array_join(F.transform(ps, lambda p: F.concat(F.left(p["digest"], F.lit(16)), F.lit(":"), p["leaves"])), ",").alias("below"))
+    section = lambda ps: F.struct(digests(ps).alias("digest"), F.array_join(F.transform(ps, lambda p: F.concat(F.left(p["digest"], F.lit(16)), F.lit(":"), p["sketch"])), ",").alias("below"))
     sections = F.transform(F.split(F.coalesce(text, F.lit("")), "(?<=\n\n)"), lambda s: F.transform(F.filter(F.split(s, "(?<=\n)"), lambda p: p != ""), paragraph))
     tree = lambda ss: F.concat(digests(ss), F.lit("|"), F.array_join(F.transform(ss, lambda s: F.concat(F.left(s["digest"], F.lit(16)), F.lit(";"), s["below"])), "/"))
-    # transform over an array of one binds a name, so that the inner tree is computed once
-    return F.transform(F.array(F.transform(sections, section)), tree)[0]
+    return _bound(F.transform(sections, section), tree)
 
 
 def root(fp: Column) -> Column:
@@ -37,15 +49,49 @@ def root(fp: Column) -> Column:
     return F.left(fp, F.lit(64))
 
 
-def _leaves(fp: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.array_join(F.regexp_extract_all(fp, F.lit(":([0-9a-f]*)"), F.lit(1)), ""), F.lit("[0-9a-f]{8}"), F.lit(0)))
+def _sections(fp: Column) -> Column:
+    """Sections as (digest, what is below)."""
+    return F.transform(F.split(F.substring(fp, F.lit(66), F.length(fp)), "/"), lambda s: F.struct(F.left(s, F.lit(16)).alias("digest"), F.substring(s, F.lit(18), F.length(s)).alias("below")))
+
+
+def _paragraphs(sections: Column) -> Column:
+    """The paragraphs of sections as (digest, n, sketch)."""
+    below = F.flatten(F.transform(sections, lambda s: F.split(s["below"], ",")))
+    part = lambda p, i: F.coalesce(F.get(F.split(p, ":"), F.lit(i)), F.lit(""))
+    return F.transform(F.filter(below, lambda p: p != ""), lambda p: F.struct(part(p, 0).alias("digest"), part(p, 1).cast("long").alias("n"), part(p, 2).alias("sketch")))
+
+
+def _sum(nodes: Column) -> Column:
+    return F.aggregate(nodes, F.lit(0).cast("long"), lambda t, p: t + p["n"])
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of two fingerprints: 1 for equal roots, else twice the common leaves by the leaves of both, below 1; 0 for nothing in common."""
-    x, y = _leaves(a), _leaves(b)
-    share = 2.0 * F.size(F.array_intersect(x, y)) / (F.size(x) + F.size(y))
-    return F.when(root(a) == root(b), 1.0).otherwise(F.coalesce(F.least(share, F.lit(1.0 - 1e-9)), F.lit(0.0)))
+    """Of two fingerprints: 1 for equal roots, else twice the common leaves by the leaves of both, below 1; 0 for nothing in common.
+
+    Sections, then paragraphs, whose digests the other text has are common as they are. Of the others' leaves the sketches tell the
+    share that both have, each looked at up to where all sketches that don't hold all leaves reach.
+    """
+    names = lambda nodes: F.transform(nodes, lambda n: n["digest"])
+    unlike = lambda nodes, theirs: F.filter(nodes, lambda n: ~F.array_contains(theirs, n["digest"]))
+    parted = lambda p: _bound(F.struct(names(p["a"]).alias("a"), names(p["b"]).alias("b")), lambda d: F.struct(unlike(p["a"], d["b"]).alias("a"), unlike(p["b"], d["a"]).alias("b")))
+    both = lambda of, p: F.struct(of(p["a"]).alias("a"), of(p["b"]).alias("b"))
+    leaves = lambda ps: F.array_distinct(F.flatten(F.transform(ps, lambda p: F.regexp_extract_all(p["sketch"], F.lit("[0-9a-f]{8}"), F.lit(0)))))
+    reach = lambda ps: F.coalesce(F.array_min(F.transform(F.filter(ps, lambda p: p["n"] > SKETCH), lambda p: F.right(p["sketch"], F.lit(8)))), F.lit("ffffffff"))
+
+    def rest(r: Column) -> Column:
+        """Common leaves of paragraphs that the other text lacks: the share of the leaves of both that are in both, times their number."""
+        upto = F.least(reach(r["a"]), reach(r["b"]))
+        seen = _bound(F.struct(leaves(r["a"]).alias("a"), leaves(r["b"]).alias("b"), upto.alias("upto")), lambda s: both(lambda x: F.filter(x, lambda h: h <= s["upto"]), s))
+        share = _bound(seen, lambda s: F.coalesce(F.try_divide(F.size(F.array_intersect(s["a"], s["b"])), F.size(s["a"]) + F.size(s["b"])), F.lit(0.0)))
+        return share * (_sum(r["a"]) + _sum(r["b"]))
+
+    def compared(s: Column) -> Column:
+        n = _sum(_paragraphs(s["a"])) + _sum(_paragraphs(s["b"]))
+        unlike_paragraphs = _bound(_bound(_bound(s, parted), lambda k: both(_paragraphs, k)), parted)
+        return _bound(unlike_paragraphs, lambda r: F.try_divide(n - _sum(r["a"]) - _sum(r["b"]) + 2.0 * rest(r), n))
+
+    share = _bound(F.struct(_sections(a).alias("a"), _sections(b).alias("b")), compared)
+    return F.when(root(a) == root(b), 1.0).otherwise(F.greatest(F.lit(0.0), F.coalesce(F.least(share, F.lit(1.0 - 1e-9)), F.lit(0.0))))
 
 
 def edits(a: Column, b: Column) -> Column:
@@ -58,30 +104,37 @@ def edits(a: Column, b: Column) -> Column:
     return F.flatten(F.filter(parts, lambda p: p.isNotNull()))
 
 
-def with_next(df: DataFrame, rows_in_part: int = 5000) -> DataFrame:
-    """``doc_id`` and the columns after it, with ``next``: those columns of the row with the next smaller doc_id (after the last: of the first).
+def _part(df: DataFrame, parts: int) -> Column:
+    """The number of the part that a row's doc_id is in, of about so many parts of like sizes with rising ids; -1 for null.
 
-    Rows with equal doc_id follow each other by text, rows with a null one come last. Ids are dealt
-    to parts of neighbouring ids by the counts of 4096 equal ranges, and the first row of each part is
-    also dealt to the part before it, so no window holds all rows.
+    Parts are cut at approximate quantiles, FAN at a time, so that no spread of ids makes large ones.
+    """
+    part = F.lit(0)
+    for _ in range(math.ceil(math.log(max(parts, 1), FAN) - 1e-9)):
+        cuts = df.where("doc_id is not null").groupBy(part.alias("part")).agg(F.percentile_approx("doc_id", [i / FAN for i in range(1, FAN)], 100 * FAN).alias("cuts")).collect()  # a row for each part
+        table: list[list[int]] = [[] for _ in range(1 + max((r["part"] for r in cuts), default=0))]
+        for r in cuts:
+            table[r["part"]] = sorted(set(r["cuts"]))
+        own = F.get(F.from_json(F.lit(json.dumps(table)), "array<array<bigint>>"), part)
+        part = part * FAN + F.size(F.filter(own, lambda c: c < F.col("doc_id")))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part)
+
+
+def with_next(df: DataFrame, rows_in_part: int = 5000, **made: Column) -> DataFrame:
+    """Rows (doc_id, text) with the columns ``made`` of text, and ``next``: text and these of the row with the next smaller doc_id (after the last: of the first).
+
+    Rows with equal doc_id follow each other by text, rows with a null one come last. Rows are dealt to parts of
+    neighbouring ids, and the first row of each part is also dealt to the part before it, so no window holds all rows.
     """
-    spark, rest = df.sparkSession, [c for c in df.columns if c != "doc_id"]
-    low, high = df.agg(F.min("doc_id").cast("double"), F.max("doc_id").cast("double")).first()
-    scale = CELLS / (high - low) if low is not None and high > low else 0.0
-    cell = F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - F.lit(low)) * F.lit(scale)), F.lit(CELLS - 1)), F.lit(0)).cast("int") if low is not None else F.lit(0)
-    counts = df.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max("doc_id").alias("top")).collect()  # at most 4096 rows
-    part_of, tops, part, size = [0] * CELLS, {}, 0, 0
-    at = 0
-    for row in sorted(counts):
-        part_of[at : row["cell"] + 1] = [part] * (row["cell"] + 1 - at)
-        at, size, tops[part] = row["cell"] + 1, size + row["n"], row["top"]
-        if size >= rows_in_part:
-            part, size = part + 1, 0
-    dealt = df.withColumn("part", F.element_at(F.array(*map(F.lit, part_of)), cell + 1))
-    last = max(tops, default=0)
-    heads = spark.createDataFrame([(t, p + 1 if p < last else 0, p == last) for p, t in tops.items()], "top long, to int, wraps boolean")
+    spark, rest = df.sparkSession, ["text", *made]
+    part = _part(df, math.ceil(df.count() / rows_in_part))
+    found = sorted(df.groupBy(part.alias("part")).agg(F.max("doc_id").alias("top")).collect())  # a row for each part
+    dealt = df.withColumn("part", part)
+    # the row after a part's last one is the first of the part below it, and after all the first of the highest part
+    to = [(top, found[i + 1][0] if i + 1 < len(found) else found[0][0], i + 1 == len(found)) for i, (_, top) in enumerate(found)]
+    heads = spark.createDataFrame(to, "top long, to int, wraps boolean")
     heads = df.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top"))).withColumn("rn", F.row_number().over(W.partitionBy("to", "wraps").orderBy("text"))).where("rn = 1")
-    both = dealt.withColumn("wraps", F.lit(False)).withColumn("head", F.lit(False)).unionByName(heads.select("doc_id", *rest, F.col("to").alias("part"), "wraps", F.lit(True).alias("head")))
+    both = dealt.withColumn("wraps", F.lit(False)).withColumn("head", F.lit(False)).unionByName(heads.select("doc_id", "text", F.col("to").alias("part"), "wraps", F.lit(True).alias("head"))).withColumns(made)
     order = W.partitionBy("part").orderBy("wraps", F.desc_nulls_last("doc_id"), "text", "head")
     return both.withColumn("next", F.lead(F.struct(*rest)).over(order)).where("not head").select("doc_id", *rest, "next")
 
@@ -94,8 +147,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     single row is its own next one; an empty table gives no rows; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(texts)  # whose texts are shuffled; fingerprints, two thirds as long, are rather computed where they are needed
+    rows = with_next(texts, fingerprint=fingerprint(F.col("text")))  # one of each text: it is shuffled with it
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("tail", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - tail as int))"), F.expr("left(next.text, tail)")))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *(fingerprint(F.col(c)).alias(n) for c, n in (("text", "fingerprint"), ("edited", "edited_fingerprint"), ("next.text", "next_fingerprint"))))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), F.col("next.fingerprint").alias("next_fingerprint"))
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
