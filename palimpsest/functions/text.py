@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -71,10 +72,16 @@ def display_time(seconds: Column, pattern: str = "dd MMM yyyy, HH:mm") -> Column
     return F.date_format(F.timestamp_seconds(seconds), pattern)
 
 
-def addresses(t: Column) -> Column:
-    """The URLs and email addresses in a text."""
-    of = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
-    return F.array_union(of("(?iU)" + X.URL.replace(r"\s", X.WS[1:-1])), of("(?U)" + X.EMAIL))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once: transform over an array of one binds it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def addresses(tokens: Column) -> Column:
+    """The URLs and email addresses in tokens without white space."""
+    of = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    likely = lambda t: F.contains(t, F.lit("://")) | F.contains(F.lower(t), F.lit("www.")) | F.contains(t, F.lit("@"))
+    return F.array_distinct(F.flatten(F.transform(F.filter(tokens, likely), lambda t: F.concat(of(t, "(?iU)" + X.URL.replace(r"\s", X.WS[1:-1])), of(t, "(?U)" + X.EMAIL)))))
 
 
 def injection_hits(t: Column) -> Column:
@@ -86,8 +93,7 @@ def injection_hits(t: Column) -> Column:
     """
     holds = lambda low, groups: reduce(and_, (reduce(or_, (F.contains(low, F.lit(w)) for w in ws)) for ws in groups))
     asked = lambda x: F.filter(F.array(*(F.when(x["odd"] | holds(x["low"], g), F.lit(i)) for i, g in enumerate(X.NEEDLES))), lambda i: i.isNotNull())
-    # transform over an array of one binds a name, so that what it holds is made once
-    patterns = F.transform(F.array(F.struct(F.lower(t).alias("low"), t.rlike(X.UNCASED).alias("odd"))), asked)[0]
+    patterns = bound(F.struct(F.lower(t).alias("low"), t.rlike(X.UNCASED).alias("odd")), asked)
     # each pattern is a literal, so that it is compiled once
     of = lambda i, make: F.coalesce(*(F.when(i == n, make(F.lit(p))) for n, p in enumerate(_MATCH)))
     found = F.transform(patterns, lambda i: F.struct(i.alias("ord"), of(i, lambda p: F.regexp_extract_all(t, p, F.lit(0))).alias("m")))
@@ -101,5 +107,5 @@ def injection_hits(t: Column) -> Column:
         return F.transform(s["m"], lambda m, i: F.struct((-weight).alias("order"), start(i).alias("start"), s["ord"].alias("ord"), (start(i) + F.length(m)).alias("end"), label.alias("label"), weight.alias("weight"), strip(m).alias("match")))
 
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["label"] == b["label"])
-    unique = F.transform(F.array(F.flatten(F.transform(found, hits_of))), lambda hs: F.filter(hs, lambda h: ~F.exists(hs, lambda g: same(g, h) & (g["ord"] < h["ord"]))))[0]
+    unique = bound(F.flatten(F.transform(found, hits_of)), lambda hs: F.filter(hs, lambda h: ~F.exists(hs, lambda g: same(g, h) & (g["ord"] < h["ord"]))))
     return F.coalesce(F.sort_array(unique), F.expr("cast(array() as array<struct<order:int,start:int,ord:int,end:int,label:string,weight:int,match:string>>)"))

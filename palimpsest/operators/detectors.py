@@ -133,15 +133,17 @@ def _listed(top: Column) -> Column:
     return F.array_join(F.transform(top, lambda x: F.concat(x["char"], F.lit(" ×"), x["count"].cast("string"))), ", ")
 
 
-_WS = X.WS[1:-1]
-#: A token of a text that holds a look-alike; nothing is tried again inside a token.
-_ODD_TOKEN = f"(?<![^{_WS}])[^{_WS}{X.LOOKALIKE}]*+[{X.LOOKALIKE}][^{_WS}]*+"
+def mixed_tokens(text: Column) -> Column:
+    """Tokens of four code points or more with look-alikes among Latin letters: array of (token, plain, target), null where there is none.
 
-
-def mixed_tokens(text: Column, targets: Column) -> Column:
-    """Tokens of four code points or more with look-alikes among Latin letters: array of (token, plain, target)."""
-    odd = F.filter(F.regexp_extract_all(text, F.lit(_ODD_TOKEN), F.lit(0)), lambda t: (F.length(t) >= 4) & t.rlike("[A-Za-z]"))
-    return F.transform(odd, lambda t: F.struct(t.alias("token"), T.unmask(t).alias("plain"), F.exists(targets, lambda u: F.contains(u, t)).alias("target")))
+    ``target`` says whether the token is part of an address of the text. Addresses hold no white space, so they are looked for in tokens.
+    """
+    odd = lambda ts: F.filter(ts, lambda t: (T.unmask(t) != t) & t.rlike("[A-Za-z]"))
+    told = lambda odd, urls: F.transform(odd, lambda t: F.struct(t.alias("token"), T.unmask(t).alias("plain"), F.exists(urls, lambda u: F.contains(u, t)).alias("target")))
+    aimed = lambda x: F.when(F.size(x["odd"]) > 0, T.bound(T.addresses(x["tokens"]), lambda urls: told(x["odd"], urls)))
+    tokens = F.regexp_extract_all(text, F.lit(f"[^{X.WS[1:-1]}]{{4,}}"), F.lit(0))
+    found = T.bound(tokens, lambda ts: T.bound(F.struct(odd(ts).alias("odd"), ts.alias("tokens")), aimed))
+    return F.when(F.translate(text, X.LOOKALIKE, "") != text, found)
 
 
 def _text_findings(wanted: set[str]) -> Iterator[Column]:
@@ -152,9 +154,12 @@ def _text_findings(wanted: set[str]) -> Iterator[Column]:
     top = F.coalesce(first["weight"], F.lit(0))
     few = lambda hits, n: F.transform(F.slice(hits, 1, n), lambda h: F.struct(h["label"], h["weight"], h["start"], h["end"], h["match"])).alias("hits")
 
-    def characters(code: str, of: str, severity: Column | str, title: Column | str) -> Column:
-        tops = top_characters(text, of)
-        return _finding(code, shown & (T.count_of(text, of) > 0), severity, title, "unicode", _listed(tops), F.struct(source.alias("where"), T.count_of(text, of).alias("n"), tops.alias("top")), order)
+    def characters(code: str, of: str, severity: Callable[[Column], Column | str], title: Callable[[Column], Column | str]) -> Column:
+        def told(these: Column) -> Column:  # the text without all others
+            n, tops = F.length(these).cast("long"), top_characters(these, of)
+            return _finding(code, F.lit(True), severity(n), title(n), "unicode", _listed(tops), F.struct(source.alias("where"), n.alias("n"), tops.alias("top")), order)
+
+        return F.when(shown & (T.count_of(text, of) > 0), T.bound(F.regexp_replace(text, f"[^{of}]", ""), told))
 
     if "metadata_payload" in wanted:
         yield _finding("metadata_payload", (kind == "metadata") & hit, _sev((top >= X.CONFIRMED, "critical"), default="medium"), _told("Instructions in the metadata field ", F.col("name")), "metadata", text, F.struct(F.col("name").alias("key"), few("hits", 4)), F.crc32("name"))
@@ -166,10 +171,9 @@ def _text_findings(wanted: set[str]) -> Iterator[Column]:
         name = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("unnamed"))
         yield _finding("form_field_payload", (kind == "field") & (hit | F.col("unseen")), _sev((hit, "high"), default="low"), _told("Text in the form field “", name, "”"), "form field", text, F.struct(F.col("name").alias("field"), F.col("unseen").alias("hidden"), few("hits", 4)), F.col("page"))
     if "invisible_unicode" in wanted:
-        n = T.count_of(text, X.INVISIBLE)
-        yield characters("invisible_unicode", X.INVISIBLE, _sev((n < 12, "medium"), default="high"), _told(n.cast("string"), " characters without width in ", source))
+        yield characters("invisible_unicode", X.INVISIBLE, lambda n: _sev((n < 12, "medium"), default="high"), lambda n: _told(n.cast("string"), " characters without width in ", source))
     if "bidi_override" in wanted:
-        yield characters("bidi_override", X.BIDI, "high", "Characters that turn the direction of text")
+        yield characters("bidi_override", X.BIDI, lambda n: "high", lambda n: "Characters that turn the direction of text")
     if "tag_smuggling" in wanted:
         n, decoded = F.regexp_count(text, F.lit(X.TAGS)).cast("long"), T.decode_tags(text)
         evidence = F.when(T.is_blank(decoded), F.concat(n.cast("string"), F.lit(" tag characters"))).otherwise(decoded)
@@ -211,8 +215,7 @@ def _of_texts(s: Scan, wanted: set[str]) -> DataFrame:
         # a page's hidden text is part of its text: without a phrase in that there is none in it
         rows = rows.withColumn("hits", F.when(F.col("kind").isin(asked), T.injection_hits(F.col("text"))))
     if "homoglyph" in wanted:
-        aim = F.when(F.col("text").rlike(f"[{X.LOOKALIKE}]") & (F.col("kind") != "hidden"), mixed_tokens(F.col("text"), F.array()))
-        rows = rows.withColumn("odd", aim).withColumn("odd", F.when(F.size("odd") > 0, mixed_tokens(F.col("text"), T.addresses(F.col("text")))))
+        rows = rows.withColumn("odd", F.when(F.col("kind") != "hidden", mixed_tokens(F.col("text"))))
     return _found(rows, list(_text_findings(wanted)))
 
 
