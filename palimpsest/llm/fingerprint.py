@@ -5,13 +5,14 @@ their separators, so they make up the whole text. A paragraph's digest is the SH
 text, a section's that of its paragraphs' digests and the root that of the sections'. The
 fingerprint writes the tree down:
 
-    root | section ; paragraph : n : sketch , paragraph : n : sketch / section ; ...
+    root level | section ; paragraph : n : leaves , paragraph : n : leaves / section ; ...
 
-with 64 hex digits for the root, 16 for each inner node, the number of distinct leaves of the
-paragraph (a leaf is a run of up to three words that ends early at the end of a sentence) and the
-SKETCH smallest CRC-32 of them, 8 hex digits each, so a paragraph takes a bounded size. Equal roots are
+with 64 hex digits for the root, 16 for each inner node, and the number of distinct leaves of the
+paragraph (a leaf is a run of up to three words that ends early at the end of a sentence). Of the leaves
+those are written down, as 8 hex digits, whose CRC-32 is below 2^(32 - level); the level is the least that leaves about
+LEAVES of a text, so beside its inner nodes a fingerprint has a bounded size. Equal roots are
 equal texts; where they differ, branches whose digests differ locate the edits, and only their
-sketches are compared to say how much of two texts is alike.
+leaves are compared to say how much of two texts is alike.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 _LEAF = r"(?:[^\s.!?]+\s+){0,2}[^\s]+"
-SKETCH = 64
+LEAVES = 256
 FAN = 64  # parts that a part of the ids is cut into
 
 
@@ -31,17 +32,28 @@ def _bound(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _limit(level: Column) -> Column:
+    """2^(32 - level)."""
+    return F.floor(F.lit(2.0**32) / F.pow(F.lit(2.0), level))
+
+
 def fingerprint(text: Column) -> Column:
     """The fingerprint of a text; that of null is that of the empty text."""
     hexed = lambda n: F.lpad(F.lower(F.hex(n)), 8, "0")
-    sketch = lambda ls: F.concat(F.size(ls).cast("string"), F.lit(":"), F.array_join(F.transform(F.slice(F.sort_array(ls), 1, SKETCH), hexed), ""))
     leaves = lambda p: F.array_distinct(F.transform(F.regexp_extract_all(p, F.lit(_LEAF), F.lit(0)), lambda w: F.crc32(w)))
-    paragraph = lambda p: F.struct(F.sha2(p, 256).alias("digest"), _bound(leaves(p), sketch).alias("sketch"))
-    digests = lambda nodes: F.sha2(F.array_join(F.transform(nodes, lambda n: n["digest"]), ""), 256)
-    section = lambda ps: F.struct(digests(ps).alias("digest"), F.array_join(F.transform(ps, lambda p: F.concat(F.left(p["digest"], F.lit(16)), F.lit(":"), p["sketch"])), ",").alias("below"))
+    paragraph = lambda p: F.struct(F.sha2(p, 256).alias("digest"), leaves(p).alias("leaves"))
     sections = F.transform(F.split(F.coalesce(text, F.lit("")), "(?<=\n\n)"), lambda s: F.transform(F.filter(F.split(s, "(?<=\n)"), lambda p: p != ""), paragraph))
-    tree = lambda ss: F.concat(digests(ss), F.lit("|"), F.array_join(F.transform(ss, lambda s: F.concat(F.left(s["digest"], F.lit(16)), F.lit(";"), s["below"])), "/"))
-    return _bound(F.transform(sections, section), tree)
+    digests = lambda nodes: F.sha2(F.array_join(F.transform(nodes, lambda n: n["digest"]), ""), 256)
+    total = lambda ss: F.aggregate(ss, F.lit(0), lambda t, ps: t + F.aggregate(ps, F.lit(0), lambda u, p: u + F.size(p["leaves"])))
+    level = lambda ss: F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(total(ss), F.lit(1)) / LEAVES))).cast("int")
+
+    def tree(x: Column) -> Column:
+        limit = _limit(x["level"])
+        node = lambda p: F.concat_ws(":", F.left(p["digest"], F.lit(16)), F.size(p["leaves"]).cast("string"), F.array_join(F.transform(F.filter(p["leaves"], lambda h: h < limit), hexed), ""))
+        section = lambda ps: F.struct(digests(ps).alias("digest"), F.array_join(F.transform(ps, node), ",").alias("below"))
+        return _bound(F.transform(x["sections"], section), lambda ss: F.concat(digests(ss), F.lpad(x["level"].cast("string"), 2, "0"), F.lit("|"), F.array_join(F.transform(ss, lambda s: F.concat(F.left(s["digest"], F.lit(16)), F.lit(";"), s["below"])), "/")))
+
+    return _bound(sections, lambda ss: _bound(F.struct(ss.alias("sections"), level(ss).alias("level")), tree))
 
 
 def root(fp: Column) -> Column:
@@ -51,14 +63,14 @@ def root(fp: Column) -> Column:
 
 def _sections(fp: Column) -> Column:
     """Sections as (digest, what is below)."""
-    return F.transform(F.split(F.substring(fp, F.lit(66), F.length(fp)), "/"), lambda s: F.struct(F.left(s, F.lit(16)).alias("digest"), F.substring(s, F.lit(18), F.length(s)).alias("below")))
+    return F.transform(F.split(F.substring(fp, F.lit(68), F.length(fp)), "/"), lambda s: F.struct(F.left(s, F.lit(16)).alias("digest"), F.substring(s, F.lit(18), F.length(s)).alias("below")))
 
 
 def _paragraphs(sections: Column) -> Column:
-    """The paragraphs of sections as (digest, n, sketch)."""
+    """The paragraphs of sections as (digest, n, leaves)."""
     below = F.flatten(F.transform(sections, lambda s: F.split(s["below"], ",")))
     part = lambda p, i: F.coalesce(F.get(F.split(p, ":"), F.lit(i)), F.lit(""))
-    return F.transform(F.filter(below, lambda p: p != ""), lambda p: F.struct(part(p, 0).alias("digest"), part(p, 1).cast("long").alias("n"), part(p, 2).alias("sketch")))
+    return F.transform(F.filter(below, lambda p: p != ""), lambda p: F.struct(part(p, 0).alias("digest"), part(p, 1).cast("long").alias("n"), part(p, 2).alias("leaves")))
 
 
 def _sum(nodes: Column) -> Column:
@@ -68,20 +80,20 @@ def _sum(nodes: Column) -> Column:
 def likeness(a: Column, b: Column) -> Column:
     """Of two fingerprints: 1 for equal roots, else twice the common leaves by the leaves of both, below 1; 0 for nothing in common.
 
-    Sections, then paragraphs, whose digests the other text has are common as they are. Of the others' leaves the sketches tell the
-    share that both have, each looked at up to where all sketches that don't hold all leaves reach.
+    Sections, then paragraphs, whose digests the other text has are common as they are. Of the others' leaves the share that both
+    have is that of those that are written down in both fingerprints' range.
     """
     names = lambda nodes: F.transform(nodes, lambda n: n["digest"])
     unlike = lambda nodes, theirs: F.filter(nodes, lambda n: ~F.array_contains(theirs, n["digest"]))
     parted = lambda p: _bound(F.struct(names(p["a"]).alias("a"), names(p["b"]).alias("b")), lambda d: F.struct(unlike(p["a"], d["b"]).alias("a"), unlike(p["b"], d["a"]).alias("b")))
     both = lambda of, p: F.struct(of(p["a"]).alias("a"), of(p["b"]).alias("b"))
-    leaves = lambda ps: F.array_distinct(F.flatten(F.transform(ps, lambda p: F.regexp_extract_all(p["sketch"], F.lit("[0-9a-f]{8}"), F.lit(0)))))
-    reach = lambda ps: F.coalesce(F.array_min(F.transform(F.filter(ps, lambda p: p["n"] > SKETCH), lambda p: F.right(p["sketch"], F.lit(8)))), F.lit("ffffffff"))
+    level = F.greatest(F.substring(a, 65, 2), F.substring(b, 65, 2)).cast("int")
+    limit = F.when(level == 0, F.lit("g")).otherwise(F.lpad(F.lower(F.hex(_limit(level))), 8, "0"))
+    leaves = lambda ps, low: F.filter(F.array_distinct(F.flatten(F.transform(ps, lambda p: F.regexp_extract_all(p["leaves"], F.lit("[0-9a-f]{8}"), F.lit(0))))), lambda h: h < low)
 
     def rest(r: Column) -> Column:
         """Common leaves of paragraphs that the other text lacks: the share of the leaves of both that are in both, times their number."""
-        upto = F.least(reach(r["a"]), reach(r["b"]))
-        seen = _bound(F.struct(leaves(r["a"]).alias("a"), leaves(r["b"]).alias("b"), upto.alias("upto")), lambda s: both(lambda x: F.filter(x, lambda h: h <= s["upto"]), s))
+        seen = _bound(limit, lambda low: both(lambda ps: leaves(ps, low), r))
         share = _bound(seen, lambda s: F.coalesce(F.try_divide(F.size(F.array_intersect(s["a"], s["b"])), F.size(s["a"]) + F.size(s["b"])), F.lit(0.0)))
         return share * (_sum(r["a"]) + _sum(r["b"]))
 
@@ -134,9 +146,11 @@ def with_next(df: DataFrame, rows_in_part: int = 5000, **made: Column) -> DataFr
     to = [(top, found[i + 1][0] if i + 1 < len(found) else found[0][0], i + 1 == len(found)) for i, (_, top) in enumerate(found)]
     heads = spark.createDataFrame(to, "top long, to int, wraps boolean")
     heads = df.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("top"))).withColumn("rn", F.row_number().over(W.partitionBy("to", "wraps").orderBy("text"))).where("rn = 1")
-    both = dealt.withColumn("wraps", F.lit(False)).withColumn("head", F.lit(False)).unionByName(heads.select("doc_id", "text", F.col("to").alias("part"), "wraps", F.lit(True).alias("head"))).withColumns(made)
+    both = dealt.withColumn("wraps", F.lit(False)).withColumn("head", F.lit(False)).unionByName(heads.select("doc_id", "text", F.col("to").alias("part"), "wraps", F.lit(True).alias("head")))
     order = W.partitionBy("part").orderBy("wraps", F.desc_nulls_last("doc_id"), "text", "head")
-    return both.withColumn("next", F.lead(F.struct(*rest)).over(order)).where("not head").select("doc_id", *rest, "next")
+    # what is made of texts is made after the shuffle, and follows them by a second window over the same order
+    both = both.withColumn("next_text", F.lead("text").over(order)).withColumns(made).withColumns({f"next_{c}": F.lead(c).over(order) for c in made})
+    return both.where("not head").select("doc_id", *rest, F.struct(*(F.col(f"next_{c}").alias(c) for c in rest)).alias("next"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -147,7 +161,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     single row is its own next one; an empty table gives no rows; other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = with_next(texts, fingerprint=fingerprint(F.col("text")))  # one of each text: it is shuffled with it
+    rows = with_next(texts, fingerprint=fingerprint(F.col("text")))
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("tail", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - tail as int))"), F.expr("left(next.text, tail)")))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), F.col("next.fingerprint").alias("next_fingerprint"))
