@@ -6,8 +6,8 @@ fixed number of voters. The votes on all documents are counted by pattern of vot
 most); the label model, a two-class mixture, takes from these counts the accuracy of each voter and,
 from what pairs of voters do together beyond that, their correlations, by which correlated voters
 share their weight. Its posteriors on a bounded sample of labelled rows (whose labels say which class is
-the toxic one, and how frequent it is) are the labels of a logistic classifier over the
-mined slots and the voters, which scores every whole text.
+the toxic one, how frequent it is, and are one more vote, as right as the others find them) are the
+labels of a logistic classifier over the mined slots and the voters, which scores every whole text.
 """
 
 from __future__ import annotations
@@ -161,8 +161,14 @@ class LabelModel:
     weights: np.ndarray
     prior: float
 
-    def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """The probability of toxic for rows of votes (0 or 1)."""
+    def posterior(self, patterns: np.ndarray, labels: np.ndarray | None = None) -> np.ndarray:
+        """The probability of toxic for rows of votes (0 or 1), and of labels where they are given: a label is one more vote, right as often as votes agree with it."""
+        if labels is not None and len(labels):
+            p = self.posterior(patterns)
+            right = np.array([np.clip((w @ labels + 1) / (w.sum() + 2), 0.01, 0.99) for w in (1 - p, p)])
+            told = np.where(labels > 0, np.log(right[1]) - np.log(right[0]), np.log1p(-right[1]) - np.log1p(-right[0]))
+            z = np.log(np.clip(p, 1e-12, 1)) - np.log(np.clip(1 - p, 1e-12, 1)) + told
+            return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         r = self.rates
         on, off = np.log(r[1]) - np.log(r[0]), np.log1p(-r[1]) - np.log1p(-r[0])
         z = math.log(self.prior / (1 - self.prior)) + (patterns * on + (1 - patterns) * off) @ self.weights
@@ -273,7 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
         return Classifier(votes.value, np.append(np.zeros(len(best) + VOTERS), math.log(0.1 / 0.9)))
     on = bits(patterns)
     found = [[*r["found"], *(len(best) + np.flatnonzero(on[i])).tolist()] for i, r in enumerate(known)]
-    return Classifier(votes.value, fit_linear(found, model.posterior(on), len(best) + VOTERS))
+    return Classifier(votes.value, fit_linear(found, model.posterior(on, y), len(best) + VOTERS))
 
 
 def _score(batches: Iterator[pa.RecordBatch], classifier: Classifier, at: int) -> Iterator[pa.RecordBatch]:
