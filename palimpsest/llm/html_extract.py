@@ -470,7 +470,7 @@ def templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.9) ->
     votes = trees.join(distinct.select("key"), "key", "left_semi").join(first, "host").select("host", "tree", "first").mapInArrow(_votes, "host string, node int, digest long, whole boolean")
     votes = written(votes.groupBy("host", "node", "digest").agg(F.count("*").alias("most"), F.count_if("whole").alias("whole")), "votes")
     nodes = votes.groupBy("host", "node").agg(F.sum("whole").alias("n")).where(F.col("n") >= min_pages)
-    constant = votes.join(nodes, ["host", "node"]).where(F.col("most") >= min_share * F.col("n")).groupBy("host").agg(F.collect_list(F.struct("node", "digest")).alias("constant"))  # what nearly all pages of a host have
+    constant = votes.where(F.col("most") >= min_share * min_pages).join(nodes, ["host", "node"]).where(F.col("most") >= min_share * F.col("n")).groupBy("host").agg(F.collect_list(F.struct("node", "digest")).alias("constant"))  # what nearly all pages of a host have
     return trees.join(first.join(constant, "host"), "host").select("key", "tree", "first", "constant").mapInArrow(_templates, "key long, template array<long>")
 
 

@@ -39,7 +39,7 @@ from palimpsest.llm.shared import Scratch, dealt, flat_utf8, row_key, slices
 WORDS = 5  # words in a shingle
 SLOTS, CHUNKS = 1 << 22, 64  # of the count sketch
 ROWS = 256  # documents in a block of a column, for leaders
-SQUARE = 2048  # entries of a block in the second product
+SQUARE = 512  # entries of a block in the second product
 PAIRS = 64  # pairs that a leader's text is shipped for at once
 LEADERS = 64  # of a column; a class that finds none is left to the second product, which takes every pair
 _PIECE = 1 << 20  # bytes that are hashed at a time
