@@ -23,11 +23,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from palimpsest.llm.shared import Memo, slices, utf8, written
 
-SCHEMA = "doc_id long, item_id long, item_tokens int, covered_tokens int, n_tiles int, coverage double"
-ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_tokens", pa.int32()), ("covered_tokens", pa.int32()), ("n_tiles", pa.int32()), ("coverage", pa.float64())])
+SCHEMA = "doc_id long, text_id long, item_tokens int, covered_tokens int, n_tiles int, coverage double"
+ARROW = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("item_tokens", pa.int32()), ("covered_tokens", pa.int32()), ("n_tiles", pa.int32()), ("coverage", pa.float64())])
 
 _OTHER = re.compile(r"[\W_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+SEEDS = 4_000_000  # that are looked at at once
 OUTSIDE, NOTHING = 0, -1  # the id of a word that no item has, and of a token without letters or digits
 
 
@@ -120,6 +121,50 @@ def tiles(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], k: in
     return out
 
 
+def _entries(low: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The numbers low, low + 1, ... of each, as many as there are."""
+    return np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+
+
+def _pieces(many: np.ndarray) -> Iterator[slice]:
+    """Slices whose sums are SEEDS at most, or of one."""
+    at, ends = 0, np.cumsum(many)
+    while at < len(many):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SEEDS, "right")))
+        yield slice(at, to)
+        at = to
+
+
+def _seeds(where: np.ndarray, low: np.ndarray, many: np.ndarray, doc: np.ndarray, index: Index, k: int, min_coverage: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Positions, items and places in items of the seeds, all of a document and an item together, about SEEDS at a time.
+
+    A document with more of them is first asked which items have enough seeds to be covered, and these are taken in turn.
+    """
+    _, item, at = index.seeds[k]
+    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    sums = np.add.reduceat(many, first)
+    to = np.r_[first[1:], len(doc)]
+    for part in _pieces(sums):
+        span = slice(first[part.start], to[part.stop - 1])
+        if sums[part].sum() <= SEEDS:
+            entry = _entries(low[span], many[span])
+            yield np.repeat(where[span], many[span]), item[entry], at[entry]
+            continue
+        counts = np.zeros(len(index.items), np.int64)
+        for piece in _pieces(many[span]):
+            counts += np.bincount(item[_entries(low[span][piece], many[span][piece])], minlength=len(counts))
+        asked = np.flatnonzero(counts * k >= min_coverage * index.lengths)
+        for chosen in _pieces(counts[asked]):
+            wanted = np.zeros(len(counts), bool)
+            wanted[asked[chosen]] = True
+            found = []
+            for piece in _pieces(many[span]):
+                entry = _entries(low[span][piece], many[span][piece])
+                keep = wanted[item[entry]]
+                found.append((np.repeat(where[span][piece], many[span][piece])[keep], item[entry][keep], at[entry][keep]))
+            yield tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _scan(batches: Iterator[pa.RecordBatch], index: Index, min_coverage: float) -> Iterator[pa.RecordBatch]:
     ids_of = Memo(lambda w: index.vocabulary.get(t, OUTSIDE) if (t := normal(w)) else NOTHING, 200_000)
     for batch in slices(batches, 2000):
@@ -135,7 +180,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, min_coverage: float)
         flat = np.concatenate(parts)
         ends = np.cumsum([len(x) for x in parts])[1::2]
         out = []
-        for k, (hashes, item, at) in index.seeds.items():
+        for k, (hashes, _, _) in index.seeds.items():
             h = rolling(flat, k)
             valid = np.ones(len(h), bool)
             for j in range(k):
@@ -146,21 +191,21 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, min_coverage: float)
             where, low, many = where[many > 0], low[many > 0], many[many > 0]
             if not len(where):
                 continue
-            entry = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            pos, items, starts = np.repeat(where, many), item[entry], at[entry]
-            doc = np.searchsorted(ends, pos, "right")
-            pair = doc * len(index.items) + items
-            order = np.argsort(pair, kind="stable")
-            pair, pos, starts, doc, items = pair[order], pos[order], starts[order], doc[order], items[order]
-            cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-            for a, b in zip(cuts, [*cuts[1:], len(pair)], strict=True):
-                n = int(index.lengths[items[a]])
-                if (b - a) * k < min_coverage * n or len(np.unique(starts[a:b])) * k < min_coverage * n:
-                    continue  # its tiles can't cover enough
-                found = tiles(flat, index.items[items[a]], list(zip(pos[a:b].tolist(), starts[a:b].tolist(), strict=True)), k)
-                covered = sum(t[2] for t in found)
-                if covered >= min_coverage * n:
-                    out.append((docs[doc[a]], index.item_ids[items[a]], n, covered, len(found), covered / n))
+            doc = np.searchsorted(ends, where, "right")
+            for pos, items, starts in _seeds(where, low, many, doc, index, k, min_coverage):
+                doc = np.searchsorted(ends, pos, "right")
+                pair = doc * len(index.items) + items
+                order = np.argsort(pair, kind="stable")
+                pair, pos, starts, doc, items = pair[order], pos[order], starts[order], doc[order], items[order]
+                cuts = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+                for a, b in zip(cuts, [*cuts[1:], len(pair)], strict=True):
+                    n = int(index.lengths[items[a]])
+                    if (b - a) * k < min_coverage * n or len(np.unique(starts[a:b])) * k < min_coverage * n:
+                        continue  # its tiles can't cover enough
+                    found = tiles(flat, index.items[items[a]], list(zip(pos[a:b].tolist(), starts[a:b].tolist(), strict=True)), k)
+                    covered = sum(t[2] for t in found)
+                    if covered >= min_coverage * n:
+                        out.append((docs[doc[a]], index.item_ids[items[a]], n, covered, len(found), covered / n))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t.type) for c, t in zip(zip(*out, strict=True), ARROW, strict=True)], schema=ARROW)
 
@@ -178,22 +223,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_tile: int = 4, min_c
     a null doc_id or item_id stays null in the pair; repeated rows give repeated pairs; other
     columns are not read.
     """
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text"))
+    found, texts = _matched(docs, items, min_tile, min_coverage, block_mb)
+    return found.join(texts, "text_id").join(items, "item_text").select("doc_id", "item_id", "item_tokens", "covered_tokens", "n_tiles", "coverage")
+
+
+def _matched(docs: DataFrame, items: DataFrame, min_tile: int = 4, min_coverage: float = 0.5, block_mb: float = 8.0) -> tuple[DataFrame, DataFrame]:
+    """The matches of documents with the distinct texts of the items, by text_id, and (text_id, item_text)."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    distinct = written(items.where("item_text is not null").select("item_text").distinct().select(F.monotonically_increasing_id().alias("text_id"), "item_text"), "benchmark-texts")
+    size = distinct.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / (block_mb * 1e6)))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
     for b in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
-        block = spark.sparkContext.broadcast(Index(sorted(((r[0], (r[1] or "").encode()) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])), min_tile))
+        rows = distinct.where(F.pmod(F.xxhash64("text_id"), F.lit(n_blocks)) == b).collect()  # about block_mb
+        block = spark.sparkContext.broadcast(Index(sorted((r[0], r[1].encode()) for r in rows), min_tile))
         pairs = texts.mapInArrow(lambda it, block=block: _scan(it, block.value, min_coverage), SCHEMA)
         out = pairs if out is None else out.unionByName(pairs)
-    return out
+    return out, distinct
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents, with all their columns, that hold no benchmark item; rows with the same doc_id (or none) go together."""
     key = f"row_{uuid.uuid4().hex[:8]}"
-    hit = written(contaminated(docs, benchmark, **options).select(F.col("doc_id").alias(key)).distinct(), "contaminated")
+    found, _ = _matched(docs, benchmark.select(F.col("text").cast("string").alias("item_text")), **options)
+    hit = written(found.select(F.col("doc_id").alias(key)).distinct(), "contaminated")
     return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit[key]), "left_anti")

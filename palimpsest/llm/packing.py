@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of token sequences into bins of a fixed capacity.
 
-Documents are dealt to shards by a hash of doc_id, as many as make shards of a bounded size, and
+Documents are dealt to shards by a hash, as many as make shards of a bounded size, and
 each shard is packed by best fit in order of falling size. Its bins stand in order of their
 residual; a successor search goes from the tightest bin that has room to wider ones until it finds
 one that the document is compatible with. Every bin carries bitmaps: one of the duplicate clusters
@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from palimpsest.llm.shared import dealt, slices, utf8
+from palimpsest.llm.shared import dealt, slices, utf8, written
 
 OUT = "doc_id long, piece int, n_tokens long, bin string, offset long"
 
@@ -114,8 +114,9 @@ def pack_documents(sizes: DataFrame, capacity: int = 8192, max_per_source: int =
     table gives an empty result. Other columns are not read.
     """
     rows = sizes.select(F.col("doc_id").cast("long"), F.col("n_tokens").cast("long"), F.col("cluster").cast("long"), F.col("source").cast("string")).where("n_tokens > 0")
+    rows = written(rows.withColumn("salt", F.monotonically_increasing_id()), "sizes")  # which is fixed by this
     n = math.ceil(rows.count() / shard_rows) or 1
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens", "source"), F.lit(n)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(n)))
     return dealt(rows.select("shard", "doc_id", "n_tokens", "cluster", "source"), "shard", "doc_id", "n_tokens", "cluster", "source").mapInArrow(lambda it: _pack(it, capacity, max_per_source), OUT)
 
 

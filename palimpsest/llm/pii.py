@@ -27,6 +27,7 @@ LONGEST = 24  # tokens of an entity
 AROUND = 4  # tokens of a window beside its digits and signs
 CUT = 400  # tokens after which a run ends at the next plain word
 LABELLED = 300  # documents that the field is trained on, at most
+SPANS, TOKENS, EXAMPLES = 2, 80, 600  # of each of them at most so many base matches, windows of so many tokens, and so many windows in all
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -82,7 +83,8 @@ def windows(text: str) -> Iterator[list[tuple[int, int, str]]]:
     """The tokens (start, end, text) around digits and signs, in runs; tokens of a run follow each other in the text.
 
     A run holds the whole of what it touches: what is written together before a mark, the domain after a
-    sign, and all marks that have few tokens between them.
+    sign, and all marks that have few tokens between them. It begins with tokens of the 60 characters before a mark's word, and goes on to tokens
+    that begin within 80 characters of one: a form with a longer gap in it is no candidate.
     """
     last = 0
     run: list = []
@@ -297,10 +299,10 @@ def _variants(kind: str, text: str, rng: random.Random) -> Iterator[tuple[str, b
 
 
 def train(texts: list[str], seed: int = 7) -> Field:
-    """A field trained on windows around the base matches of the texts."""
+    """A field trained on windows around base matches of the texts: SPANS of each at most, EXAMPLES windows of up to TOKENS tokens in all."""
     rng, examples = random.Random(seed), []
     for text in texts:
-        for start, end, kind in base_spans(text)[:2]:
+        for start, end, kind in base_spans(text)[:SPANS]:
             left, right = text[max(0, start - 50) : start], text[end : end + 40]
             for written_as, real in _variants(kind, text[start:end], rng):
                 lead = left if rng.random() < 0.7 else f"{left} {rng.choice(CUES[kind])}: " if real else left
@@ -316,11 +318,11 @@ def train(texts: list[str], seed: int = 7) -> Field:
                             gold.append((inner[0], inner[-1] + 1, KINDS.index(bk)))
                     if broken:  # a span that starts or ends inside a token
                         continue
-                    if len(tokens) <= 80:
+                    if len(tokens) <= TOKENS:
                         examples.append((tokens, gold))
     rng.shuffle(examples)
     field = Field()
-    field.fit(examples[:600])
+    field.fit(examples[:EXAMPLES])
     return field
 
 

@@ -73,10 +73,9 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from palimpsest.llm.packing import document_sizes, pack_documents
-    from palimpsest.llm.shared import written
 
     sizes = document_sizes(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), by_word=True)
-    return pack_documents(written(sizes, "sizes"))
+    return pack_documents(sizes)
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ An Aho-Corasick automaton over the vocabulary lists every piece that ends at a c
 programming carries the best score and the piece count of each prefix, never the pieces. The
 tie rules are those of the tokenizers library's Unigram model: of equally good segmentations of a
 prefix the one whose last piece begins first stays; a character that no single-character piece
-covers costs the lowest score less ten; neighbouring unknown characters fuse, and with byte
-fallback they count as many tokens as they have bytes.
+covers costs the lowest score less ten; neighbouring unknown characters, and unknown pieces that the text
+holds literally, fuse, and with byte fallback they count as many tokens as they have bytes, unless they are a piece.
 
 As in sentencepiece, a text begins with a space and spaces become the mark U+2581. No piece
 holds a mark after another character or a line feed, so the words of a text (with the mark before
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from palimpsest.llm.shared import Memo, slices
 
 MARK = "▁"
+_BEFORE_MARKS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -61,7 +62,8 @@ class Counter:
         n = len(text)
         if not n:
             return 0
-        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        best, count = [0.0] * (n + 1), [0] * (n + 1)
+        run: list[int | None] = [None] * (n + 1)  # where the run of unknown pieces that ends here begins
         found: list[list[tuple[int, float]]] = [[] for _ in range(n)]
         for end, match in self.matches.iter(text):
             found[end].append(match)
@@ -75,21 +77,21 @@ class Counter:
             if ch not in self.single and (top is None or best[end] + self.unk_score > top):
                 top, start, is_unknown = best[end] + self.unk_score, end, True
             best[end + 1] = top
-            unknown[end + 1] = is_unknown
-            if not is_unknown:
-                count[end + 1] = count[start] + 1
-            elif self.bytes:
-                count[end + 1] = count[end] + len(ch.encode())
+            if is_unknown or (end + 1 - start == len(self.unk) and text.startswith(self.unk, start)):
+                first = start if run[start] is None else run[start]
+                run[end + 1] = first
+                fused = text[first : end + 1]
+                count[end + 1] = count[first] + (len(fused.encode()) if self.bytes and fused not in self.score else 1)
             else:
-                count[end + 1] = count[end] + (not unknown[end])
+                count[end + 1] = count[start] + 1
         return count[n]
 
     def __call__(self, text: str | None) -> int:
         """The tokens of a whole text; null and empty texts have none."""
         if not text:
             return 0
-        if self.unk in text:  # a literal unknown piece fuses with its neighbours
-            return self.by_library(text)
+        if self.unk in text:  # a literal unknown piece fuses with its neighbours, over line feeds too
+            return sum(self.viterbi(x) for x in _BEFORE_MARKS.findall(MARK + text.replace(" ", MARK)))
         if "  " in text or MARK in text or text[0] == " " or text[-1] == " " or "\n " in text or not self.bytes:
             return self._parts(MARK + text.replace(" ", MARK))
         line, *more = text.split("\n")
@@ -102,7 +104,7 @@ class Counter:
 
     def _parts(self, marked: str) -> int:
         if not self.bytes:  # unknown characters fuse over line feeds
-            return sum(self.viterbi(x) for x in re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", marked))
+            return sum(self.viterbi(x) for x in _BEFORE_MARKS.findall(marked))
         return sum(self.of_part[x] for x in _PARTS.findall(marked))
 
     @property
@@ -117,15 +119,6 @@ class Counter:
 
     of_bare = of_part
 
-    def by_library(self, text: str) -> int:
-        """The count by the tokenizers library, for texts that hold the unknown piece literally."""
-        from tokenizers import Tokenizer, models
-
-        vocabulary = list(self.score.items())
-        vocabulary.sort(key=lambda p: p[0] != self.unk)
-        model = Tokenizer(models.Unigram(vocabulary, unk_id=0, byte_fallback=self.bytes))
-        return len(model.encode(MARK + text.replace(" ", MARK), add_special_tokens=False).ids)
-
 
 #: One for a worker process, so that its tasks share what it knows.
 _counter = functools.lru_cache(1)(lambda path: Counter(read_vocabulary(path)))

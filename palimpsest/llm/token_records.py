@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import functools
 import json
+import math
 import os
 import re
 import struct
@@ -174,7 +175,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, by_word: b
     filesystem.create_dir(root, recursive=True)
     name = f"{root}/{shard:06d}-{uuid.uuid4().hex}"
     end = [] if end_id is None else [end_id]
-    entries, offset, n_tokens = [], 0, 0
+    entries, index, n_records, offset, n_tokens = [], [], 0, 0, 0
     with filesystem.open_output_stream(f"{name}.records") as out:
         for batch in slices(batches, 200):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(utf8(batch.column(1))), strict=True):
@@ -184,25 +185,32 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, by_word: b
                 entries.append((doc_id or 0, doc_id is None, offset, len(payload) // encoder.width))
                 offset += len(record)
                 n_tokens += len(payload) // encoder.width
-    if entries:
+            index.append(np.array(entries, INDEX).tobytes())
+            n_records += len(entries)
+            entries.clear()
+    if n_records:
         with filesystem.open_output_stream(f"{name}.index") as out:
-            out.write(MAGIC + struct.pack("<Q", encoder.width) + np.array(entries, INDEX).tobytes())
-        yield pa.RecordBatch.from_pylist([{"shard": shard, "records": f"{name}.records", "index": f"{name}.index", "n_records": len(entries), "n_tokens": n_tokens}])
+            out.write(MAGIC + struct.pack("<Q", encoder.width) + b"".join(index))
+        yield pa.RecordBatch.from_pylist([{"shard": shard, "records": f"{name}.records", "index": f"{name}.index", "n_records": n_records, "n_tokens": n_tokens}])
 
 
-def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, by_word: bool = False, end_id: int | None = None) -> DataFrame:
+def write_records(docs: DataFrame, tokenizer: str, folder: str | None = None, by_word: bool = False, end_id: int | None = None, shard_mb: int = 64) -> DataFrame:
     """Write the ids of every whole text as record files in ascending order of doc_id, and return their manifest.
 
     One row for each shard: shard, records and index (paths), n_records, n_tokens. ``tokenizer``
     is a file of the tokenizers library that every executor can read, ``by_word`` as in
     ``TextEncoder``, and ``end_id`` closes each document. ``folder`` (by default a new one in the shared folder) may be in any store that pyarrow
-    opens. A null text is empty; a row with a null doc_id comes first and is marked in the index;
-    rows with equal doc_id are ordered by text; an empty table writes no shard. Other columns
-    are not read.
+    opens. A shard holds about ``shard_mb`` MB of text or less, however large the table is, and there are no fewer shards than
+    shuffle partitions. A null text is empty; a row with a null doc_id comes first and is marked in the index; rows with
+    equal doc_id are ordered by a hash of their text and may be in several shards; an empty table writes no shard. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "token-records")
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(math.ceil(size / (shard_mb * 1e6)), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = texts.withColumn("order", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "order").sortWithinPartitions("doc_id", "order", "text").select("doc_id", "text")
     return written(texts.mapInArrow(lambda it: _write(it, folder, tokenizer, by_word, end_id), MANIFEST), "token-manifest")
 
 
