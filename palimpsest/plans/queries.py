@@ -342,6 +342,67 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.report_json(S.reports(R.trace_of_texts(_texts(spark, sf_dir))))
 
 
+# what reports and displays are made of -----------------------------------------------
+
+@_query("SELECT doc_id, page, CASE WHEN max(page_area) <= 0 THEN 1.0 ELSE least(1.0, round(sum(abs(image_area)) / max(page_area), 6)) END AS image_share FROM (SELECT l_orderkey AS doc_id, CAST(l_linenumber % 3 AS BIGINT) AS page, CASE WHEN l_orderkey % 11 = 0 THEN 0.0 ELSE 1000.0 END AS page_area, CASE WHEN l_linenumber % 2 = 0 THEN -8 ELSE 8 END * l_quantity AS image_area FROM lineitem) GROUP BY doc_id, page")
+def image_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = _table(spark, sf_dir, "SELECT l_orderkey AS doc_id, CAST(l_linenumber % 3 AS BIGINT) AS page, CAST(CASE WHEN l_orderkey % 11 = 0 THEN 0 ELSE 1000 END AS DOUBLE) AS page_area, CASE WHEN l_linenumber % 2 = 0 THEN -8 ELSE 8 END * l_quantity AS image_area FROM lineitem")
+    return R.image_share(images).withColumn("image_share", F.round("image_share", 6))
+
+
+@_query(f"WITH {_SPANS_SQL}, v AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY round_even(y0, 1), round_even(x0, 1), span_key) AS place, CASE WHEN {_REASONS_SQL} <> '' THEN '  [HIDDEN] ' ELSE repeat(' ', 11) END || text AS line FROM s), p AS (SELECT doc_id, page, '----- page ' || (page + 1) || ' -----' || chr(10) || string_agg(line, chr(10) ORDER BY place) || chr(10) AS t FROM v GROUP BY doc_id, page) SELECT doc_id, string_agg(t, chr(10) ORDER BY page) AS text FROM p GROUP BY doc_id")
+def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.report_text(_scan_of_spans(spark, sf_dir).spans)
+
+
+@_query(f"WITH {_SPANS_SQL}, p AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY span_key) AS t FROM s WHERE {_REASONS_SQL} <> '' GROUP BY doc_id, page) SELECT doc_id, string_agg(t, chr(10) ORDER BY page) AS hidden_text FROM p GROUP BY doc_id")
+def document_hidden_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.document_hidden_text(C.page_texts(_scan_of_spans(spark, sf_dir).spans))
+
+
+@_query(f"WITH {_SPANS_SQL} SELECT s.doc_id, s.span_key, CAST(c.seqno AS BIGINT) AS seqno, c.x1, c.y1 FROM s JOIN ({COVERS}) c ON c.doc_id = s.doc_id AND c.page = s.page WHERE c.seqno > s.seqno AND (s.x1 - s.x0) * (s.y1 - s.y0) > 0 AND c.x1 > c.x0 AND c.y1 > c.y0 AND greatest(0.0, least(s.x1, c.x1) - greatest(s.x0, c.x0)) * greatest(0.0, least(s.y1, c.y1) - greatest(s.y0, c.y0)) >= 0.92 * ((s.x1 - s.x0) * (s.y1 - s.y0)) QUALIFY row_number() OVER (PARTITION BY s.doc_id, s.page, s.span_key ORDER BY c.seqno, c.x1, c.y1) = 1")
+def first_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = _scan_of_spans(spark, sf_dir).spans.where("cover is not null")
+    return spans.select("doc_id", F.col("span_ord").alias("span_key"), F.col("cover.cover_seqno").cast("long").alias("seqno"), "cover.rect.x1", "cover.rect.y1")
+
+
+@_query(f"WITH c AS (SELECT unnest([{', '.join(str(ord(c)) for c in X.INVISIBLE)}]) AS code), n AS (SELECT doc_id, code, length(text) - length(replace(text, chr(code), '')) AS n, strpos(text, chr(code)) AS first FROM ({PLANTED}) p, c), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM n WHERE n > 0) SELECT doc_id, string_agg('U+' || lpad(upper(to_hex(code)), 4, '0') || ' ×' || n, ', ' ORDER BY k) AS evidence FROM r WHERE k <= 4 GROUP BY doc_id")
+def top_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.detector("invisible_unicode")(_scan_of_texts(spark, sf_dir)).select("doc_id", "evidence")
+
+
+@_query("SELECT id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN CAST(round_even(n / 1024.0, 0) AS BIGINT) || ' KB' ELSE round_even(n / 1048576.0, 1) || ' MB' END AS size, CAST(round_even(share * 100, 0) AS INT) || '%' AS share, strftime(make_timestamp((1500000000 + id * 3600) * 1000000), '%d %b %Y, %H:%M') AS at FROM (SELECT o_orderkey AS id, o_orderkey * o_custkey * 7 AS n, CAST(o_custkey % 997 AS DOUBLE) / 997 AS share FROM orders)")
+def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "SELECT o_orderkey AS id, o_orderkey * o_custkey * 7 AS n, CAST(o_custkey % 997 AS DOUBLE) / 997 AS share FROM orders")
+    return rows.select("id", T.bytesize(F.col("n")).alias("size"), T.pct(F.col("share")).alias("share"), T.display_time(F.col("id") * 3600 + 1500000000).alias("at"))
+
+
+_CHANNELS = "SELECT p_partkey AS doc_id, p_partkey % 3 AS kind, CAST(p_size AS DOUBLE) / 50 AS a, CAST(p_partkey % 7 AS DOUBLE) / 6 AS b, CAST(p_partkey % 5 AS DOUBLE) / 4 AS c, CAST(p_partkey % 4 AS DOUBLE) / 5 AS k FROM part"
+
+
+@_query(f"WITH rgb AS (SELECT doc_id, CASE kind WHEN 0 THEN a WHEN 1 THEN a ELSE greatest(0.0, 1 - least(1.0, a + k)) END AS r, CASE kind WHEN 0 THEN a WHEN 1 THEN b ELSE greatest(0.0, 1 - least(1.0, b + k)) END AS g, CASE kind WHEN 0 THEN a WHEN 1 THEN c ELSE greatest(0.0, 1 - least(1.0, c + k)) END AS b FROM ({_CHANNELS}) t), lin AS (SELECT doc_id, r, g, b, list_transform([r, g, b], lambda u: CASE WHEN u <= 0.04045 THEN u / 12.92 ELSE pow((u + 0.055) / 1.055, 2.4) END) AS l FROM rgb) SELECT doc_id, '#' || array_to_string(list_transform([r, g, b], lambda u: lpad(to_hex(CAST(round_even(u * 255, 0) AS BIGINT)), 2, '0')), '') AS hex, round(1.05 / (0.2126 * l[1] + 0.7152 * l[2] + 0.0722 * l[3] + 0.05), 6) AS ratio FROM lin")
+def colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey, RGB and CMYK colours, and their contrast with white."""
+    t = _table(spark, sf_dir, _CHANNELS)
+    channels = F.when(F.col("kind") == 0, F.array("a")).when(F.col("kind") == 1, F.array("a", "b", "c")).otherwise(F.array("a", "b", "c", "k"))
+    colour = G.normal_colour(channels, F.element_at(F.array(F.lit(1), F.lit(3), F.lit(4)), F.col("kind").cast("int") + 1))
+    return t.withColumn("colour", colour).select("doc_id", G.hex_colour(F.col("colour")).alias("hex"), F.round(G.contrast(F.col("colour"), F.expr(C.WHITE)), 6).alias("ratio"))
+
+
+_PIXELS = "SELECT l_orderkey AS doc_id, l_linenumber AS x, l_linenumber % 3 + 4 * (l_linenumber % 2) AS y, min(l_tax) AS grey FROM lineitem GROUP BY l_orderkey, l_linenumber"
+_WINDOWS = "SELECT o_orderkey AS doc_id, CAST(o_custkey % 9 AS DOUBLE) AS x0, CAST(o_custkey % 7 AS DOUBLE) AS y0, CAST(o_custkey % 9 + 1 AS DOUBLE) AS x1, CAST(o_custkey % 7 + 1 AS DOUBLE) AS y1 FROM orders"
+
+
+@_query(f"WITH px AS ({_PIXELS}), size AS (SELECT doc_id, max(x) + 1 AS w, max(y) + 1 AS h FROM px GROUP BY doc_id), win AS (SELECT o.doc_id, greatest(0, o.x0 - 2) AS x0, greatest(0, o.y0 - 2) AS y0, least(w, o.x1 + 2) AS x1, least(h, o.y1 + 2) AS y1, w, h FROM ({_WINDOWS}) o LEFT JOIN size USING (doc_id)), below AS (SELECT win.doc_id, round(grey, 2) AS g, count(*) AS n, min(y * 1048576 + x) AS first FROM win JOIN px ON px.doc_id = win.doc_id AND x >= x0 AND x < x1 AND y >= y0 AND y < y1 GROUP BY win.doc_id, round(grey, 2) QUALIFY row_number() OVER (PARTITION BY win.doc_id ORDER BY n DESC, first) = 1), whole AS (SELECT px.doc_id, round(grey, 2) AS g, count(*) AS n, min(y * 1048576 + x) AS first FROM px JOIN size ON size.doc_id = px.doc_id AND w > 4 AND h > 4 GROUP BY px.doc_id, round(grey, 2) QUALIFY row_number() OVER (PARTITION BY px.doc_id ORDER BY n DESC, first) = 1) SELECT win.doc_id, coalesce(below.g, whole.g, 1.0) AS bg FROM win LEFT JOIN below ON below.doc_id = win.doc_id LEFT JOIN whole ON whole.doc_id = win.doc_id")
+def backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour below each run, from the pixels of its page."""
+    page = F.lit(0).alias("page")
+    pixels = _table(spark, sf_dir, _PIXELS).select("doc_id", page, "x", "y", *(F.col("grey").alias(c) for c in "rgb"))
+    runs = _table(spark, sf_dir, _WINDOWS).select("doc_id", page, F.struct("x0", "y0", "x1", "y1").alias("bbox"), F.lit(None).cast("struct<r:double,g:double,b:double>").alias("bg"))
+    info = runs.select("doc_id", "page", F.expr("named_struct('x0', 0D, 'y0', 0D, 'x1', 12D, 'y1', 8D)").alias("box"))
+    return C.backgrounds(runs, info, pixels).select("doc_id", F.col("bg.r").alias("bg"))
+
+
 # history -------------------------------------------------------------------------
 
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -380,6 +441,25 @@ def delete_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.delete(scans, scans.where("id % 4 = 0").select("token", "user_id")).select("id", "token")
 
 
+@_query(f"SELECT id, user_id FROM (SELECT id, user_id, created_at FROM ({SCANS}) s UNION ALL SELECT id + 10000000, user_id, created_at FROM ({SCANS}) s WHERE id % 5 = 0) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= 5")
+def save_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = _scans(spark, sf_dir)
+    return H.save(scans, scans.where("id % 5 = 0").withColumn("id", F.col("id") + 10000000), 5).select("id", "user_id")
+
+
+@_query(f"SELECT id, user_id, verdict FROM ({SCANS}) s WHERE token = 't7' OR id = 12")
+def scan_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = _scans(spark, sf_dir)
+    return H.by_token(scans, "t7").unionByName(H.by_id(scans, 12)).select("id", "user_id", "verdict")
+
+
+@_query("SELECT c_custkey AS id, array_to_string(list_append(list_transform(range(greatest(1, n - 8), n + 1), lambda i: 't' || i), 'new'), ' ') AS tokens FROM (SELECT c_custkey, c_custkey % 14 AS n FROM customer)")
+def guest_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "SELECT c_custkey, CAST(c_custkey % 14 AS INT) AS n FROM customer")
+    tokens = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.lit("t"), i.cast("string"))))
+    return rows.select(F.col("c_custkey").alias("id"), F.array_join(H.guest_tokens(tokens, F.lit("new")), " ").alias("tokens"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
