@@ -20,27 +20,47 @@ from palimpsest.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null and empty texts have no toxic feature and stay; rows that repeat are judged alike; a null doc_id is as good as
+    another; an empty table, or one without labels, loses nothing. Other columns are carried along whatever their names.
+    """
     return without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays."""
+    """Of each group of near duplicates one row stays, that with the smallest doc_id (a null one only where there is no other).
+
+    Rows that repeat are a group, of rows that share the smallest doc_id any one stays; texts without words are in no group and all stay. An empty
+    table gives an empty one. Other columns are carried along whatever their names.
+    """
     return one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, and with them rows of the same doc_id (of none, where such a row holds one).
+
+    Null, empty and wordless texts hold none, and null, empty and wordless items are held by none; rows and items may repeat. An empty
+    table, or an empty benchmark, loses nothing. Other columns are carried along whatever their names.
+    """
     return clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data become their kind in brackets; n_chars follows."""
+    """Spans of personal data become their kind in brackets; n_chars follows the text (null for null).
+
+    Every row stays, with other columns as they are; of spans that overlap the first is replaced, and the rest of the other with it. Null and
+    empty texts stay so, rows that repeat are redacted alike. An empty table gives an empty one.
+    """
     return redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, piece, n_tokens, bin, offset."""
+    """doc_id, piece, n_tokens, bin, offset: where each piece of each document is packed, with an end token after each document.
+
+    A null or empty text is its end token alone; rows that repeat are packed each, and as they are of one cluster never into one
+    bin (but for empty ones, which have no cluster); a null source is a source like others. An empty table gives an empty one.
+    """
     sizes = document_sizes(docs, public_tokenizers.path("word_bpe_49k.json"), by_word=True)
     return pack_documents(sizes)
 
@@ -53,7 +73,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: A learnt classifier, a learnt field and a tokenizer are beyond SQL; tests/llm has brute-force versions.
+#: A learnt classifier, a learnt field and a tokenizer are beyond SQL; tests/llm has a brute-force version of each stage.
 ORACLE_SQL = None
 
 
