@@ -678,6 +678,239 @@ def test_toxicity(spark, odd, none):
     assert without_toxic(odd, labels_df).columns == odd.columns
 
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def test_query_op1(spark, documents):
+    """Every pair of a document and an item, with seeds by brute force."""
+    from palimpsest.llm.decontaminate import tiles, tokens
+    from palimpsest.llm.queries import op1_decontamination
+
+    items = {r["item_id"]: tokens((r["text"] or "").encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    expected = []
+    for doc_id, text in documents.items():
+        words = tokens(text.encode())
+        places = {}
+        for i in range(len(words)):
+            places.setdefault(tuple(words[i : i + 4]), []).append(i)
+        for item_id, item in items.items():
+            k = min(4, len(item))
+            seeds = [(i, j) for j in range(len(item) - k + 1) for i in (places.get(tuple(item[j : j + 4]), []) if k == 4 else [i for i in range(len(words)) if words[i : i + k] == item])]
+            if k and seeds:
+                covered = sum(t[2] for t in tiles(np.array(words, object), np.array(item, object), seeds, k))
+                if 2 * covered >= len(item):
+                    expected.append((doc_id, item_id, len(item), covered))
+    assert rows(op1_decontamination(spark, SF), "doc_id", "item_id", "item_tokens", "covered_tokens") == sorted(expected)
+
+
+def test_query_op3(spark, documents):
+    from tokenizers import Tokenizer
+
+    from palimpsest.llm.queries import op3_token_records
+
+    tokenizer, start, expected = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
+    for doc_id in sorted(documents):
+        ids = [*tokenizer.encode(documents[doc_id], add_special_tokens=False).ids, 2]
+        expected.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert rows(op3_token_records(spark, SF), "doc_id", "start", "n_tokens", "ids_crc32") == expected
+
+
+def test_query_op4(spark, documents):
+    from palimpsest.llm.queries import op4_fingerprints
+
+    order, expected = sorted(documents, reverse=True), []
+    for doc_id, after in zip(order, order[1:] + order[:1], strict=True):
+        text = documents[doc_id]
+        k = len(text) // 3
+        edited = text[: len(text) - k] + documents[after][:k]
+        expected.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), _brute_fingerprint(text), _brute_fingerprint(edited)))
+    got = op4_fingerprints(spark, SF)
+    assert rows(got, "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint") == sorted(expected)
+    assert 0.55 < got.agg(F.avg("near_edited")).first()[0] < 0.75 and got.agg(F.avg("near_next")).first()[0] < 0.1
+
+
+def test_query_op6(spark, documents):
+    from tokenizers import Tokenizer, models
+
+    from palimpsest.llm.queries import op6_token_counts
+    from palimpsest.llm.token_count import MARK, read_vocabulary
+
+    library = Tokenizer(models.Unigram(read_vocabulary(public_tokenizers.path("piece_bpe_32k.model")), unk_id=0, byte_fallback=True))
+    count = lambda t: len(library.encode(MARK + t.replace(" ", MARK), add_special_tokens=False).ids) if t else 0
+    assert rows(op6_token_counts(spark, SF), "doc_id", "n_tokens") == sorted((i, count(t)) for i, t in documents.items())
+
+
+def test_query_op7(spark):
+    """The given pages mark one article each, of headings and paragraphs."""
+    import html
+
+    from palimpsest.llm.queries import op7_html_extraction
+
+    expected = []
+    for page_id, source in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect():
+        blocks = re.split(r"</?(?:h[1-6]|p|div|ul|li|blockquote)\b[^>]*>", re.search(r"<article[^>]*>(.*?)</article>", source, re.S)[1])
+        blocks = [" ".join(html.unescape(re.sub(r"<(?!br)[^>]*>", "", b).replace("<br>", " ")).split()) for b in blocks]
+        expected.append((page_id, "\n\n".join(b for b in blocks if b)))
+    got = op7_html_extraction(spark, SF)
+    assert rows(got, "page_id", "text") == sorted(expected) and got.where("n_chars <> length(text)").count() == 0
+
+
+def test_query_op8(spark, documents):
+    from tokenizers import Tokenizer
+
+    from palimpsest.llm.queries import op8_best_fit_packing
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes, bins = {}, {}
+    for r in op8_best_fit_packing(spark, SF).collect():
+        sizes[r["doc_id"]] = sizes.get(r["doc_id"], 0) + r["n_tokens"]
+        bins.setdefault(r["bin"], []).append((r["offset"], r["n_tokens"]))
+    assert sizes == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in documents.items()}
+    for held in bins.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(held)) and sum(n for _, n in held) <= 8192
+
+
+def test_query_op9(spark, documents):
+    from palimpsest.llm.pii import luhn
+    from palimpsest.llm.queries import op9_personal_data
+
+    kinds = ("email", "ip", "card", "phone")
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    expected = []
+    for doc_id, text in documents.items():
+        found = [(m.span(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+        found += [(m.span(), "ip") for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+        found += [(m.span(), "card") for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and luhn(digits(m[0]))]
+        found += [(m.span(), "phone") for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+        found.sort(key=lambda x: (x[0][0], kinds.index(x[1])))
+        written = [f"{k}:{s}:{e}" for (s, e), k in found]
+        expected.append((doc_id, *(sum(k == kind for _, k in found) for kind in kinds), hashlib.sha256(",".join(written).encode()).hexdigest(), set(written)))
+    got = sorted(tuple(r) for r in op9_personal_data(spark, SF).select("doc_id", *(f"n_{k}" for k in kinds), "base_sha256", "spans").collect())
+    assert [r[:6] for r in got] == [r[:6] for r in sorted(expected)] and all(b[6] <= set(a[6].split(",")) for a, b in zip(got, sorted(expected), strict=True))
+
+
+def test_query_op10(spark, documents):
+    from palimpsest.llm.queries import op10_toxicity
+
+    got = op10_toxicity(spark, SF).collect()
+    assert {r["doc_id"]: r["held_out"] for r in got} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in documents}
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A small corpus with planted toxic texts, copies, benchmark items and personal data, and the odd rows; a folder with its labels and benchmark."""
+    rng = np.random.default_rng(77)
+    words = lambda n: [f"w{x}" for x in rng.integers(0, 900, n)]
+    item = " ".join(f"b{i}" for i in range(30))
+    data, labels = [], []
+    for i in range(400):
+        text = words(50)
+        if i % 8 == 0:
+            text[int(rng.integers(0, 50))] = f"grumpf{i % 5}"
+        if i % 40 == 7:
+            text += item.split()
+        if i % 10 == 3:
+            text += [f"mail{i}@host.example.org", "or", "+1 (212) 555-0134"]
+        if i % 25 == 4 and i > 25:
+            text = data[i - 21][1].split()[:-1] + ["changed"]
+        data.append((i + 100, " ".join(text), "en", f"s{i % 4}", 1))
+        labels.append((i + 100, 1, int(i % 8 == 0)))
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return spark.createDataFrame(data + ODD, DOC), folder, item
+
+
+def _plain(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is None, x) for x in r))
+
+
+def test_stage_toxicity(spark, corpus):
+    import corpus_pipeline
+    from palimpsest.llm.toxicity import fit
+
+    docs, folder, _ = corpus
+    model = fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    expected = [r for r in _plain(docs) if model.score((r[1] or "").encode()) < 0.5]
+    assert _plain(corpus_pipeline.toxicity(spark, docs, folder)) == expected
+    assert len(docs.collect()) - len(expected) == 50 and not any("grumpf" in (r[1] or "") for r in expected)
+
+
+def test_stage_near_duplicates(spark, corpus):
+    import corpus_pipeline
+
+    docs, folder, _ = corpus
+    data = _plain(docs)
+    ids = [r[2] for r in brute_components([(i, r[1]) for i, r in enumerate(data)])]  # by place
+    groups = {}
+    for r, group in zip(data, ids, strict=True):
+        groups.setdefault(group, []).append(r)
+    kept = _plain(corpus_pipeline.near_duplicates(spark, docs, folder))
+    smallest = [min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()]
+    assert sorted(map(str, (r[0] for r in kept))) == sorted(map(str, smallest)) and set(kept) <= set(data) and len(kept) < len(data) - 10
+
+
+def test_stage_decontamination(spark, corpus):
+    import corpus_pipeline
+
+    docs, folder, item = corpus
+    expected = [r for r in _plain(docs) if item not in (r[1] or "")]
+    assert _plain(corpus_pipeline.decontamination(spark, docs, folder)) == expected and len(expected) == 400 + len(ODD) - 10
+
+
+def test_stage_personal_data(spark, corpus):
+    import corpus_pipeline
+    from palimpsest.llm.pii import all_spans, fit_field
+
+    docs, folder, _ = corpus
+    field = fit_field(docs)
+    expected = []
+    for doc_id, text, lang, source, _ in docs.collect():
+        for s, e, kind in reversed(all_spans(text or "", field)[1]):
+            text = text[:s] + f"[{kind.upper()}]" + text[e:]
+        expected.append((doc_id, text, lang, source, None if text is None else len(text)))
+    got = corpus_pipeline.personal_data(spark, docs, folder)
+    assert got.schema == docs.schema and _plain(got) == sorted(expected, key=lambda r: tuple((x is None, x) for x in r))
+    assert sum("[EMAIL] or [PHONE]" in (r[1] or "") for r in expected) == 40
+
+
+def test_stage_packing(spark, corpus):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    docs, folder, _ = corpus
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    total = sum(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
+    placed = corpus_pipeline.packing(spark, docs, folder).collect()
+    bins = {}
+    for r in placed:
+        bins.setdefault(r["bin"], []).append((r["offset"], r["n_tokens"]))
+    assert sum(r["n_tokens"] for r in placed) == total and {r["doc_id"] for r in placed} == {r[0] for r in docs.collect()}
+    for held in bins.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(held)) and sum(n for _, n in held) <= 8192
+
+
+def test_stages_on_empty_and_odd_tables(spark, corpus, odd, none):
+    import corpus_pipeline
+
+    _, folder, _ = corpus
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, folder)
+        assert out.count() == 0, name
+        if name != "packing":
+            assert out.columns == none.columns and stage(spark, odd, folder).columns == odd.columns, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
