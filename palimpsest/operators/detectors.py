@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -86,7 +87,17 @@ def _fixed(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", F.bround(c, digits))
 
 
-def _found(df: DataFrame, findings: list[Column]) -> DataFrame:
+@lru_cache(32)
+def _made(make: Callable, wanted: frozenset, application: str) -> tuple[Column, ...]:
+    """The columns of ``make(wanted)``. They name no table, so an application makes them once, however many micro-batches it scans."""
+    return tuple(make(wanted))
+
+
+def _columns(df: DataFrame, make: Callable, wanted: set[str] = frozenset()) -> tuple[Column, ...]:
+    return _made(make, frozenset(wanted), df.sparkSession.sparkContext.applicationId)
+
+
+def _found(df: DataFrame, findings: tuple[Column, ...]) -> DataFrame:
     rows = df.select("doc_id", F.col("page").cast("int").alias("page"), F.col("bbox").cast("array<double>").alias("bbox"), F.explode(F.filter(F.array(*findings), lambda f: f.isNotNull())).alias("f"))
     return rows.select(*(c if c in ("doc_id", "page", "bbox") else f"f.{c}" for c in FINDING))
 
@@ -115,7 +126,7 @@ def _run_findings(wanted: set[str]) -> Iterator[Column]:
 
 def _of_runs(s: Scan, wanted: set[str]) -> DataFrame:
     box = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")).otherwise(F.array())
-    findings = list(_run_findings(wanted))
+    findings = _columns(s.spans, _run_findings, wanted)
     kept = s.spans.where(~T.is_blank(F.col("text"))).withColumn("bbox", box)
     return _found(kept, findings)
 
@@ -203,6 +214,14 @@ def _text_findings(wanted: set[str]) -> Iterator[Column]:
         yield _finding("encoding_anomaly", shown & (text.rlike(X.CONTROLS) | (private >= 3)), "medium", _told("Odd characters in ", source), "encoding", evidence, F.struct(source.alias("where"), controls.alias("controls"), private.alias("private")), order)
 
 
+def _hits(_: frozenset) -> Iterator[Column]:
+    yield T.injection_hits(F.col("text"))
+
+
+def _mixed(_: frozenset) -> Iterator[Column]:
+    yield mixed_tokens(F.col("text"))
+
+
 def _of_texts(s: Scan, wanted: set[str]) -> DataFrame:
     rows = s.sources
     if "injection_hidden" in wanted:  # the hidden text of a page is a row of its own
@@ -213,17 +232,17 @@ def _of_texts(s: Scan, wanted: set[str]) -> DataFrame:
     kinds = {"metadata_payload": "metadata", "annotation_payload": "annotation", "form_field_payload": "field", "injection_hidden": "hidden", "injection_visible": "page"}
     if asked := [kinds[c] for c in _PHRASES if c in wanted]:
         # a page's hidden text is part of its text: without a phrase in that there is none in it
-        rows = rows.withColumn("hits", F.when(F.col("kind").isin(asked), T.injection_hits(F.col("text"))))
+        rows = rows.withColumn("hits", F.when(F.col("kind").isin(asked), _columns(rows, _hits)[0]))
     if "homoglyph" in wanted:
-        rows = rows.withColumn("odd", F.when(F.col("kind") != "hidden", mixed_tokens(F.col("text"))))
-    return _found(rows, list(_text_findings(wanted)))
+        rows = rows.withColumn("odd", F.when(F.col("kind") != "hidden", _columns(rows, _mixed)[0]))
+    return _found(rows, _columns(rows, _text_findings, wanted))
 
 
 # what documents carry -----------------------------------------------------------------------------------------
 
 
 def _carried(df: DataFrame, finding: Column) -> DataFrame:
-    return _found(df.withColumn("page", F.lit(None).cast("int")).withColumn("bbox", F.lit(None).cast("array<double>")), [finding])
+    return _found(df.withColumns({"page": F.lit(None).cast("int"), "bbox": F.lit(None).cast("array<double>")}), (finding,))
 
 
 def _embedded_file(s: Scan) -> DataFrame:

@@ -167,15 +167,24 @@ def injection_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "h.label", F.col("h.weight").cast("long").alias("weight"), "h.match").agg(F.count("*").alias("n"))
 
 
-@_query(f"WITH {_T_SQL} SELECT doc_id, CAST(strpos(text, 'Ignore all previous') - 1 AS BIGINT) AS start, CAST(strpos(text, 'Ignore all previous') - 1 + 31 AS BIGINT) AS \"end\" FROM t WHERE doc_id % 9 = 0")
+#: The matches of each pattern with what stands between them: their lengths are the offsets. Of equal spans under one label one counts.
+_PLACES_SQL = (
+    "parts AS (" + " UNION ALL ".join(f"SELECT doc_id, {_Q(label)} AS label, {w} AS weight, regexp_extract_all(text, {_Q('(?i)' + p)}, 0) AS m, regexp_split_to_array(text, {_Q('(?i)' + p)}) AS g FROM t" for p, w, label in X.PHRASES) + "), "
+    "each AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM parts WHERE len(m) > 0), "
+    "places AS (SELECT DISTINCT doc_id, label, weight, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start, length(m[k]) AS n FROM each)"
+)
+
+
+@_query(f"WITH {_T_SQL}, {_PLACES_SQL} SELECT doc_id, label, max(CAST(weight AS BIGINT)) AS weight, start, CAST(start + n AS BIGINT) AS \"end\" FROM places GROUP BY doc_id, label, start, n")
 def injection_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _texts(spark, sf_dir).select("doc_id", F.explode(T.injection_hits(F.col("text"))).alias("h")).where("h.label = 'Instruction override' and doc_id % 9 = 0")
-    return rows.select("doc_id", F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("end"))
+    """The offsets and weights of all hits of all documents."""
+    rows = _texts(spark, sf_dir).select("doc_id", F.explode(T.injection_hits(F.col("text"))).alias("h"))
+    return rows.select("doc_id", "h.label", F.col("h.weight").cast("long").alias("weight"), F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("end"))
 
 
-@_query("")
+@_query(f"WITH {_T_SQL}, {_PLACES_SQL} SELECT DISTINCT doc_id, label, start, CAST(start + n AS BIGINT) AS \"end\" FROM places")
 def injection_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The offsets of all hits of all labels; SQL can't place a regular expression's matches."""
+    """The offsets of all hits of all labels."""
     rows = _texts(spark, sf_dir).select("doc_id", F.explode(T.injection_hits(F.col("text"))).alias("h"))
     return rows.select("doc_id", "h.label", F.col("h.start").cast("long").alias("start"), F.col("h.end").cast("long").alias("end"))
 
