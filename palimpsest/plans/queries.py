@@ -345,6 +345,22 @@ def detector_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.detector_runs(_span_findings(spark, sf_dir)).drop("detector_ord")
 
 
+_TEXT_FINDINGS = " UNION ALL ".join(f"SELECT doc_id, '{code}' AS code, {severity} AS severity FROM ({SQL[name]}) x" for code, name, severity in (
+    ("invisible_unicode", "invisible_unicode", "severity"), ("bidi_override", "bidi_override", "severity"), ("tag_smuggling", "tag_smuggling", "'critical'"), ("homoglyph", "homoglyph", "severity"), ("encoding_anomaly", "encoding_anomaly", "'medium'"),
+    ("injection_visible", "injection_score", f"CASE WHEN top >= {X.CONFIRMED} THEN 'high' WHEN top >= {X.SUSPECT} THEN 'medium' ELSE 'low' END"),
+))
+_LABELS = " ".join(f"WHEN '{k}' THEN '{label}'" for k, (label, _) in X.VERDICTS.items())
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE severity = '{k}') AS {k}" for k in X.SEVERITIES)
+
+
+@_query(f"WITH f AS ({_TEXT_FINDINGS}), e AS (SELECT doc_id, code, severity, {_WEIGHT} AS weight, row_number() OVER (PARTITION BY doc_id, code ORDER BY {_ORD}) AS k FROM f), z AS (SELECT doc_id, count(*) AS total, {_COUNTS}, CAST(least(100, round_even(sum(weight * CASE k WHEN 1 THEN 20 WHEN 2 THEN 8 ELSE 3 END) / 20.0, 0)) AS INT) AS score FROM e GROUP BY doc_id), r AS (SELECT doc_id, CAST({_INK('text')} AS BIGINT) AS chars, coalesce(total, 0) AS total, {', '.join(f'coalesce({k}, 0) AS {k}' for k in X.SEVERITIES)}, coalesce(score, 0) AS score FROM ({PLANTED}) p LEFT JOIN z USING (doc_id)), v AS (SELECT *, CASE WHEN score >= 70 THEN 'poisoned' WHEN score >= 35 THEN 'suspicious' WHEN score >= 12 THEN 'review' ELSE 'clean' END AS verdict FROM r) SELECT *, CASE verdict {_LABELS} END AS label, total AS hits FROM v")
+def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, verdict, counts and detectors' hits of the reports of all documents as texts of one page."""
+    report = S.reports(R.trace_of_texts(_texts(spark, sf_dir)), views=False)
+    hits = F.aggregate("detectors", F.lit(0), lambda n, d: n + d["hits"]).cast("long")
+    return report.select(F.col("doc_id").cast("long").alias("doc_id"), "chars", "total", *X.SEVERITIES, "score", "verdict", "label", hits.alias("hits"))
+
+
 @_query("")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reports of all documents as texts of one page, with every detector."""
