@@ -240,6 +240,9 @@ def _matched(docs: DataFrame, items: DataFrame, min_tile: int = 4, min_coverage:
         rows = distinct.where(F.pmod(F.xxhash64("text_id"), F.lit(n_blocks)) == b).collect()  # about block_mb
         block = spark.sparkContext.broadcast(Index(sorted((r[0], r[1].encode()) for r in rows), min_tile))
         pairs = texts.mapInArrow(lambda it, block=block: _scan(it, block.value, min_coverage), SCHEMA)
+        if n_blocks > 1:  # one block at a time is held
+            pairs = written(pairs, "tiles")
+            block.destroy()
         out = pairs if out is None else out.unionByName(pairs)
     return out, distinct
 

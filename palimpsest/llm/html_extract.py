@@ -39,10 +39,10 @@ TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption summary
 #: Elements that are not main text, by their tag; by a word of their class, id or role; by a word that may have another meaning.
 NOT_TEXT = frozenset("nav footer aside form button menu dialog head input".split())
 NOT_TEXT_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsored promo sidebar navbar navigation breadcrumb breadcrumbs cookie cookies gdpr newsletter disqus pagination pager masthead popup modal complementary contentinfo".split())
-PERHAPS_WORDS = frozenset("sponsor promotion banner menu nav footer consent notice overlay subscribe subscription signup share sharing social related recommended recommendations comment comments reply replies respond widget toolbar login search skip copyright alert dialog".split())
+PERHAPS_WORDS = frozenset("sponsor promotion banner menu nav footer consent notice overlay subscribe subscription signup share sharing social related recommended recommendations comment commentlist comments reply replies respond widget toolbar login search skip copyright alert dialog".split())
 HEAD_WORDS = frozenset("header topbar".split())
-#: Words of classes that say where an element is, not what.
-PLACE_WORDS = frozenset("area bar block body box bottom buttons center clearfix col column container content desktop entry fixed form global grid group icons inner item items js left link links list main media message mobile module outer page panel post posts primary right row secondary section site sticky text thread top wrap wrapper hidden".split())
+#: Words of classes that say where an element is, or of whom or how much, not what.
+PLACE_WORDS = frozenset("also article articles blog count email facebook first follow header heading icon label last latest like more news next options popular previous print reader readers recent stories story title tools twitter user users visitor whatsapp you your area bar block body box bottom buttons center clearfix col column container content desktop entry fixed form global grid group icons inner item items js left link links list main media message mobile module outer page panel post posts primary right row secondary section site sticky text thread top wrap wrapper hidden".split())
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)

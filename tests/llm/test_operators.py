@@ -466,7 +466,7 @@ def test_html_keeps_what_one_word_of_a_class_might_deny(spark):
 
     assert main_text("<article>One</article><aside>no</aside><article>Two two</article>") == "One\n\nTwo two"
     assert main_text('<article><p class="social policy">A</p><div class="share-price">B 12</div><p class="notice">C</p><math>x</math><label>D</label></article>') == "A\n\nB 12\n\nC\n\nx D".replace("x D", "xD")
-    drop = ['<div class="share-bar">s</div>', '<ul class="related"><li>r</li></ul>', '<section id="comments"><p>nice</p></section>', '<article class="comment">c</article>', '<div class="ad slot-7">buy</div>', '<p class="advert">buy</p>', '<div class="notice">n</div>', "<form><label>l</label></form>", '<div class="share-price"><a>see prices</a></div>', '<div role="search">q</div>', "<nav>m</nav>", '<div class="widget newsletter">w</div>']
+    drop = ['<div class="share-bar">s</div>', '<ul class="related"><li>r</li></ul>', '<section id="comments"><p>nice</p></section>', '<article class="comment">c</article>', '<div class="ad slot-7">buy</div>', '<p class="advert">buy</p>', '<div class="notice">n</div>', "<form><label>l</label></form>", '<div class="share-price"><a>see prices</a></div>', '<div role="search">q</div>', "<nav>m</nav>", '<div class="widget newsletter">w</div>', '<div class="user-comments"><p>nice</p></div>', '<div class="related-stories">r</div>', '<ol class="commentlist"><li>c</li></ol>']
     assert [main_text(f"<article><p>Text</p>{d}</article>") for d in drop] == ["Text"] * len(drop)
     assert main_text('<div class="sidebar-left"><article><p>Text</p></article></div>') == "Text"
     # what every page of a host has, under a class that may say so, is none of an article; what varies is
