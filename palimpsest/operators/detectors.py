@@ -98,8 +98,9 @@ def _columns(df: DataFrame, make: Callable, wanted: set[str] = frozenset()) -> t
 
 
 def _found(df: DataFrame, findings: tuple[Column, ...]) -> DataFrame:
-    rows = df.select("doc_id", F.col("page").cast("int").alias("page"), F.col("bbox").cast("array<double>").alias("bbox"), F.explode(F.filter(F.array(*findings), lambda f: f.isNotNull())).alias("f"))
-    return rows.select(*(c if c in ("doc_id", "page", "bbox") else f"f.{c}" for c in FINDING))
+    rows = df.select("doc_id", "page", "bbox", F.explode(F.filter(F.array(*findings), lambda f: f.isNotNull())).alias("f"))
+    own = {"doc_id": F.col("doc_id"), "page": F.col("page").cast("int").alias("page"), "bbox": F.col("bbox").cast("array<double>").alias("bbox")}
+    return rows.select(*(own.get(c, F.col(f"f.{c}")) for c in FINDING))
 
 
 # runs -------------------------------------------------------------------------------------------------------
@@ -204,10 +205,12 @@ def _text_findings(wanted: set[str]) -> Iterator[Column]:
         most = F.coalesce(first_seen["weight"], F.lit(0))
         yield _finding("injection_visible", (kind == "page") & (F.size(seen) > 0), _sev((most >= X.CONFIRMED, "high"), (most >= X.SUSPECT, "medium"), default="low"), _told("Instructions to a model in plain sight: ", F.lower(first_seen["label"])), "prompt injection", T.clip(first_seen["match"], 300), F.struct(few(seen, 8)), F.col("page") * 2 + 1)
     if "layer_mismatch" in wanted:
-        total, unseen = T.ink(text), T.ink(F.col("hidden_text"))
-        share = F.try_divide(unseen, total)
-        likely = (kind == "page") & (F.length(F.col("hidden_text")) >= 40)
-        yield _finding("layer_mismatch", likely & (total >= 200) & (unseen >= 40) & (share >= 0.12), _sev((share > 0.3, "high"), default="medium"), _told(T.pct(share), " of the page's text is hidden"), "comparison", _told(unseen.cast("string"), " hidden characters of ", total.cast("string")), F.struct(total.alias("total"), unseen.alias("unseen"), F.bround(share, 4).alias("share")), F.col("page"))
+        def compared(x: Column) -> Column:  # both inks are counted once
+            total, unseen = x["total"], x["unseen"]
+            share = F.try_divide(unseen, total)
+            return _finding("layer_mismatch", (total >= 200) & (unseen >= 40) & (share >= 0.12), _sev((share > 0.3, "high"), default="medium"), _told(T.pct(share), " of the page's text is hidden"), "comparison", _told(unseen.cast("string"), " hidden characters of ", total.cast("string")), F.struct(total.alias("total"), unseen.alias("unseen"), F.bround(share, 4).alias("share")), F.col("page"))
+
+        yield F.when((kind == "page") & (F.length(F.col("hidden_text")) >= 40), T.bound(F.struct(T.ink(text).alias("total"), T.ink(F.col("hidden_text")).alias("unseen")), compared))
     if "encoding_anomaly" in wanted:
         controls, private = F.regexp_count(text, F.lit(X.CONTROLS)).cast("long"), F.regexp_count(text, F.lit(X.PRIVATE_USE)).cast("long")
         evidence = F.concat_ws(" and ", F.when(controls > 0, F.concat(controls.cast("string"), F.lit(" control characters"))), F.when(private >= 3, F.concat(private.cast("string"), F.lit(" private-use characters"))))
