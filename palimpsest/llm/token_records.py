@@ -43,7 +43,7 @@ INDEX = np.dtype([("doc_id", "<i8"), ("no_id", "u1"), ("offset", "<u8"), ("n_ids
 MANIFEST = "shard long, records string, index string, n_records long, n_tokens long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long, shard long, offset long"
 
-_MARKED = re.compile(r"[^\W\d_]+[!-/:-@\[-^`{-~]+")
+_MARKED = re.compile(r"(\w+)[!-/:-@\[-^`{-~]+")
 
 
 def masked(data: bytes) -> int:
@@ -118,15 +118,17 @@ class TextEncoder:
         # letters, or letters and marks after them, are one or two units of the tokenizer, whose last token says that it ends
         # (as the tokenizer sees them: lower-casing may part a letter into a letter and an accent)
         seen = (t if t.isascii() else unicodedata.normalize("NFC", t).lower() for t in texts)
-        units = [1 if t.isalpha() else 2 if _MARKED.fullmatch(t) else 0 for t in seen]
+        units = [1 if t.isalpha() else 2 if (m := _MARKED.fullmatch(t)) and m[1].isalpha() else 0 for t in seen]
         plain = [i for i, u in enumerate(units) if u] if len(self.ends) else []
         out: list = [None] * len(words)
         for at in range(0, len(plain), 5000):
             part = plain[at : at + 5000]
             ids = np.array(self._ids(" ".join(texts[i] for i in part)), np.uint32)
-            cuts = np.flatnonzero(self.ends[ids])[np.cumsum([units[i] for i in part]) - 1] + 1
+            ends, last = np.flatnonzero(self.ends[ids]) + 1, np.cumsum([units[i] for i in part])
+            if len(ends) != last[-1]:  # the tokenizer takes another view of some word (a letter that it doesn't know), so each word is encoded alone
+                continue
             start = 0
-            for i, end in zip(part, cuts.tolist(), strict=True):
+            for i, end in zip(part, ends[last - 1].tolist(), strict=True):
                 out[i] = ids[start:end]
                 start = end
         for i, x in enumerate(out):
