@@ -84,12 +84,35 @@ def addresses(tokens: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(tokens, likely), lambda t: F.concat(of(t, "(?iU)" + X.URL.replace(r"\s", X.WS[1:-1])), of(t, "(?U)" + X.EMAIL)))))
 
 
+def running_total(xs: Column) -> Column:
+    """Of an array of numbers the sums up to each one, itself included.
+
+    Spark has no running fold over an array, and one that appends copies what it has at every step. Here each of eight rounds adds seven values
+    that are 1, 8, 64 and so on places before, so a round is linear and an array needs a round for each octal digit of its length (16 million at most).
+    """
+    def adding(by: int) -> Callable[[Column], Column]:
+        def added(a: Column) -> Column:
+            before = lambda i, k: F.coalesce(F.get(a, i - by * k), F.lit(0))
+            return F.when(F.size(a) > by, F.transform(a, lambda x, i: reduce(lambda s, k: s + before(i, k), range(1, 8), x))).otherwise(a)
+
+        return added
+
+    return reduce(bound, (adding(8**step) for step in range(8)), xs)
+
+
+def places(matches: Column, between: Column) -> Column:
+    """(start, end, match) of matches that don't overlap, from what a pattern matches and what stands between, in code points, end exclusive."""
+    lengths = F.zip_with(F.slice(between, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m))
+    place = lambda end, m: F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("match"))
+    return F.zip_with(running_total(lengths), matches, place)
+
+
 def injection_hits(t: Column) -> Column:
     """Phrases addressed to a model: array of (order, start, ord, end, label, weight, match), the weightiest first.
 
     All matches of each pattern that don't overlap each other count; of equal spans under one label the
-    first pattern's stays. Offsets are code points, end exclusive: the lengths of what stands between and
-    before matches. A pattern looks only at texts that hold words which each of its matches holds.
+    first pattern's stays. Offsets are code points, end exclusive: running totals of what stands between and of
+    matches, so a text with many hits takes time in proportion to them. A pattern looks only at texts that hold words which each of its matches holds.
     """
     holds = lambda low, groups: reduce(and_, (reduce(or_, (F.contains(low, F.lit(w)) for w in ws)) for ws in groups))
     asked = lambda x: F.filter(F.array(*(F.when(x["odd"] | holds(x["low"], g), F.lit(i)) for i, g in enumerate(X.NEEDLES))), lambda i: i.isNotNull())
@@ -97,15 +120,21 @@ def injection_hits(t: Column) -> Column:
     # each pattern is a literal, so that it is compiled once
     of = lambda i, make: F.coalesce(*(F.when(i == n, make(F.lit(p))) for n, p in enumerate(_MATCH)))
     found = F.transform(patterns, lambda i: F.struct(i.alias("ord"), of(i, lambda p: F.regexp_extract_all(t, p, F.lit(0))).alias("m")))
-    found = F.transform(F.filter(found, lambda s: F.size(s["m"]) > 0), lambda s: F.struct(s["ord"], s["m"], of(s["ord"], lambda p: F.split(t, p, -1)).alias("g")))
+    found = F.transform(F.filter(found, lambda s: F.size(s["m"]) > 0), lambda s: F.struct(s["ord"], places(s["m"], of(s["ord"], lambda p: F.split(t, p, -1))).alias("at")))
     weights, labels = F.array(*(F.lit(w) for _, w, _ in X.PHRASES)), F.array(*(F.lit(label) for _, _, label in X.PHRASES))
-    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
 
     def hits_of(s: Column) -> Column:
-        start = lambda i: total(F.slice(s["g"], 1, i + 1)) + total(F.slice(s["m"], 1, i))
         weight, label = F.get(weights, s["ord"]), F.get(labels, s["ord"])
-        return F.transform(s["m"], lambda m, i: F.struct((-weight).alias("order"), start(i).alias("start"), s["ord"].alias("ord"), (start(i) + F.length(m)).alias("end"), label.alias("label"), weight.alias("weight"), strip(m).alias("match")))
+        return F.transform(s["at"], lambda h: F.struct(h["start"], h["end"], label.alias("label"), s["ord"].alias("ord"), weight.alias("weight"), h["match"]))
 
     same = lambda a, b: (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["label"] == b["label"])
-    unique = bound(F.flatten(F.transform(found, hits_of)), lambda hs: F.filter(hs, lambda h: ~F.exists(hs, lambda g: same(g, h) & (g["ord"] < h["ord"]))))
-    return F.coalesce(F.sort_array(unique), F.expr("cast(array() as array<struct<order:int,start:int,ord:int,end:int,label:string,weight:int,match:string>>)"))
+    # equal spans stand side by side once sorted
+    unique = bound(F.sort_array(F.flatten(F.transform(found, hits_of))), lambda hs: F.filter(hs, lambda h, i: (i == 0) | ~same(F.get(hs, i - 1), h)))
+    told = F.transform(unique, lambda h: F.struct((-h["weight"]).alias("order"), h["start"], h["ord"], h["end"], h["label"], h["weight"], strip(h["match"]).alias("match")))
+    return F.coalesce(F.sort_array(told), F.expr("cast(array() as array<struct<order:int,start:int,ord:int,end:int,label:string,weight:int,match:string>>)"))
+
+
+def not_within(hits: Column, text: Column) -> Column:
+    """The hits whose match isn't part of a text; each distinct match is looked for once."""
+    others = F.filter(F.array_distinct(F.transform(hits, lambda h: h["match"])), lambda m: ~F.contains(text, m))
+    return bound(others, lambda ms: F.filter(hits, lambda h: F.array_contains(ms, h["match"])))

@@ -200,7 +200,7 @@ def _text_findings(wanted: set[str]) -> Iterator[Column]:
         score = F.aggregate("hits", F.lit(0), lambda a, h: a + h["weight"])
         yield _finding("injection_hidden", (kind == "hidden") & hit, "critical", _told("Hidden instructions to a model: ", F.lower(first["label"])), "prompt injection", T.clip(first["match"], 300), F.struct(score.alias("score"), few("hits", 8), T.clip(text, 2000).alias("full")), F.col("page") * 2)
     if "injection_visible" in wanted:
-        seen = F.filter("hits", lambda h: ~F.contains(F.col("hidden_text"), h["match"]))
+        seen = T.not_within(F.col("hits"), F.col("hidden_text"))
         first_seen = F.get(seen, F.lit(0))
         most = F.coalesce(first_seen["weight"], F.lit(0))
         yield _finding("injection_visible", (kind == "page") & (F.size(seen) > 0), _sev((most >= X.CONFIRMED, "high"), (most >= X.SUSPECT, "medium"), default="low"), _told("Instructions to a model in plain sight: ", F.lower(first_seen["label"])), "prompt injection", T.clip(first_seen["match"], 300), F.struct(few(seen, 8)), F.col("page") * 2 + 1)
