@@ -64,7 +64,7 @@ def bytesize(n: Column) -> Column:
 
 def pct(v: Column) -> Column:
     """A share in per cent."""
-    return F.concat(F.coalesce(F.bround(v * 100).cast("int"), F.lit(0)).cast("string"), F.lit("%"))
+    return F.concat(F.coalesce(F.bround(v * 100).try_cast("int"), F.lit(0)).cast("string"), F.lit("%"))
 
 
 def display_time(seconds: Column, pattern: str = "dd MMM yyyy, HH:mm") -> Column:

@@ -43,7 +43,7 @@ def classify(spans: DataFrame, page_info: DataFrame, covers: DataFrame, hidden_l
     clear = F.coalesce(F.col("opacity") <= 0.08, F.lit(False))
     tests = (
         (F.col("type") == 3, F.lit("no ink (render mode 3)")),
-        (clear, F.concat(F.bround(F.col("opacity") * 100).cast("int").cast("string"), F.lit("% opacity"))),
+        (clear, F.concat(F.bround(F.col("opacity") * 100).try_cast("int").cast("string"), F.lit("% opacity"))),
         ((F.col("eff_size") > 0) & (F.col("eff_size") < 3.5), F.concat(two(F.col("eff_size")), F.lit("pt type"))),
         (F.col("visible") < 0.35, F.lit("outside the page")),
         ((F.col("type") != 3) & ~clear & (F.col("ratio") < 1.6), F.concat(two(F.col("ratio")), F.lit(":1 contrast"))),

@@ -1,15 +1,19 @@
 """The detectors: what they look for in a ``Scan``, and the findings in one schema.
 
-A detector is a list of rules over runs, over texts or over carried files. All rules over one relation
+A detector is a list of rules over runs, texts, attachments or actions. All rules over one relation
 are tested in one pass: each row is given the array of its findings, which is then exploded, so a scan with
 all detectors reads runs once and texts once. The order of the detectors is part of the result (reports list
-findings by it), and no detector depends on another one.
+findings by it), and no detector depends on another one. ``register`` adds detectors of a caller's own; their rules join
+the pass of their relation.
+
+Each rule is tried: one that throws on a row makes no finding there and leaves all others, and ``evaluate`` says which
+detector it was (``failed``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -60,6 +64,54 @@ DETECTORS: tuple[tuple[str, str, dict[str, str]], ...] = (
     ("encoding_anomaly", "Control and private-use characters", {"encoding_anomaly": "Nobody types such characters. They evade filters or are left over from a generated payload."}),
 )
 CODES = {code: (i, name, detail) for i, (name, _, codes) in enumerate(DETECTORS) for code, detail in codes.items()}
+#: What a scan has that rules read, a row each.
+RELATIONS = ("runs", "texts", "attachments", "actions")
+
+
+@dataclass(frozen=True)
+class Detector:
+    """A detector: its name, what it looks for, the codes of its findings with what each says, and its rules over one of ``RELATIONS``.
+
+    ``rules`` gives a column for each rule (``finding`` makes them), which is a finding or null. What the columns may name is
+    what the relation has: runs as ``classify`` gives them, texts as ``text_sources`` does, attachments and actions as in traces.
+    The detectors that are built in have no rules here, as theirs share what they read.
+    """
+
+    name: str
+    info: str
+    codes: dict[str, str] = field(hash=False)
+    relation: str = ""
+    rules: Callable[[], Iterable[Column]] | None = field(default=None, hash=False)
+
+
+_REGISTRY: list[Detector] = [Detector(name, info, codes) for name, info, codes in DETECTORS]
+
+
+def registered() -> tuple[Detector, ...]:
+    """All detectors in the order of reports."""
+    return tuple(_REGISTRY)
+
+
+def register(detector: Detector, before: str | None = None) -> Detector:
+    """Add a detector, last or before another one. Its name and codes must be new, and its rules over a relation that there is."""
+    if detector.relation not in RELATIONS or detector.rules is None:
+        raise ValueError(f"{detector.name}: rules over one of {RELATIONS} are needed")
+    taken = {d.name for d in _REGISTRY} | {c for d in _REGISTRY for c in d.codes}
+    if clash := taken & {detector.name, *detector.codes}:
+        raise ValueError(f"{detector.name}: {sorted(clash)} are taken")
+    at = next(i for i, d in enumerate(_REGISTRY) if d.name == before) if before else len(_REGISTRY)
+    _REGISTRY.insert(at, detector)
+    return detector
+
+
+def unregister(name: str) -> None:
+    """Take a detector of a caller's own away."""
+    found = next(d for d in _REGISTRY if d.name == name)
+    if found.rules is None:
+        raise ValueError(f"{name} is built in")
+    _REGISTRY.remove(found)
+
+
 #: The codes that look for phrases.
 _PHRASES = ("metadata_payload", "annotation_payload", "form_field_payload", "injection_hidden", "injection_visible")
 
@@ -71,13 +123,17 @@ def _sev(*cases: tuple[Column, str], default: str) -> Column:
     return out
 
 
-def _finding(code: str, test: Column, severity: Column | str, title: Column | str, technique: Column | str, evidence: Column, extra: Column, order: Column) -> Column:
-    """A finding where the test holds, else null."""
+def finding(code: str, test: Column, severity: Column | str, title: Column | str, technique: Column | str, evidence: Column, extra: Column, order: Column, detail: str = "") -> Column:
+    """A finding where the test holds, else null. ``extra`` is a struct of whatever else is to be told; ``order`` is that of findings of one code on one page."""
     text = lambda c: F.lit(c) if isinstance(c, str) else c
-    fields = {"code": F.lit(code), "severity": text(severity), "title": text(title), "detail": F.lit(CODES[code][2]), "technique": text(technique), "evidence": T.clip(evidence), "extra": F.to_json(extra), "order": order.cast("long")}
+    fields = {"code": F.lit(code), "severity": text(severity), "title": text(title), "detail": F.lit(detail), "technique": text(technique), "evidence": T.clip(evidence), "extra": F.to_json(extra), "order": order.cast("long")}
     return F.when(test, F.struct(*(F.coalesce(v, F.lit("")).alias(k) if k not in ("extra", "order") else v.alias(k) for k, v in fields.items())))
 
 
+def _finding(code: str, *parts) -> Column:
+    return finding(code, *parts, detail=CODES[code][2])
+
+
 def _told(*parts: Column | str) -> Column:
     """Parts of a title, one after the other; null parts are left out."""
     return F.concat_ws("", *(F.lit(p) if isinstance(p, str) else p for p in parts))
@@ -97,10 +153,28 @@ def _columns(df: DataFrame, make: Callable, wanted: set[str] = frozenset()) -> t
     return _made(make, frozenset(wanted), df.sparkSession.sparkContext.applicationId)
 
 
-def _found(df: DataFrame, findings: tuple[Column, ...]) -> DataFrame:
-    rows = df.select("doc_id", "page", "bbox", F.explode(F.filter(F.array(*findings), lambda f: f.isNotNull())).alias("f"))
+_OWN = ("code", "severity", "title", "detail", "technique", "evidence", "extra", "order")
+_JSON = ", ".join(f"{c} {'long' if c == 'order' else 'string'}" for c in _OWN)
+
+
+def _tried(value: Column) -> Column:
+    """A finding as JSON, ``{}`` for none, and null where making it throws."""
+    return F.decode(F.try_to_binary(F.to_json(F.struct(value.alias("f"))), F.lit("UTF-8")), "UTF-8")
+
+
+def _found(df: DataFrame, findings: Iterable[tuple[str, Column]]) -> DataFrame:
+    """The findings of rows, by pairs (name of the detector, rule), and a row with ``failed`` for each rule that threw."""
+    tried = F.array(*(F.struct(F.lit(name).alias("detector"), _tried(rule).alias("j")) for name, rule in findings))
+    rows = df.select("doc_id", "page", "bbox", F.explode(F.filter(tried, lambda t: t["j"].isNull() | (t["j"] != "{}"))).alias("t"))
+    rows = rows.select("doc_id", "page", "bbox", "t.detector", F.col("t.j").isNull().alias("failed"), F.from_json("t.j", f"f struct<{_JSON}>").alias("j"))
     own = {"doc_id": F.col("doc_id"), "page": F.col("page").cast("int").alias("page"), "bbox": F.col("bbox").cast("array<double>").alias("bbox")}
-    return rows.select(*(own.get(c, F.col(f"f.{c}")) for c in FINDING))
+    return rows.select(*(own.get(c, F.col(f"j.f.{c}").alias(c)) for c in FINDING), "detector", "failed")
+
+
+def _named(df: DataFrame, make: Callable, wanted: set[str], more: list[Detector]) -> list[tuple[str, Column]]:
+    """The rules of what is built in, and those of other detectors, with the detectors' names."""
+    order = [c for c in CODES if c in wanted]
+    return [*zip((CODES[c][1] for c in order), _columns(df, make, wanted), strict=True), *((d.name, rule) for d in more for rule in d.rules())]
 
 
 # runs -------------------------------------------------------------------------------------------------------
@@ -125,11 +199,10 @@ def _run_findings(wanted: set[str]) -> Iterator[Column]:
             yield _finding(code, test, severity, title, technique, text, extra, order)
 
 
-def _of_runs(s: Scan, wanted: set[str]) -> DataFrame:
+def _of_runs(s: Scan, wanted: set[str], more: list[Detector]) -> DataFrame:
     box = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")).otherwise(F.array())
-    findings = _columns(s.spans, _run_findings, wanted)
     kept = s.spans.where(~T.is_blank(F.col("text"))).withColumn("bbox", box)
-    return _found(kept, findings)
+    return _found(kept, _named(s.spans, _run_findings, wanted, more))
 
 
 # texts ------------------------------------------------------------------------------------------------------
@@ -225,7 +298,7 @@ def _mixed(_: frozenset) -> Iterator[Column]:
     yield mixed_tokens(F.col("text"))
 
 
-def _of_texts(s: Scan, wanted: set[str]) -> DataFrame:
+def _of_texts(s: Scan, wanted: set[str], more: list[Detector]) -> DataFrame:
     rows = s.sources
     if "injection_hidden" in wanted:  # the hidden text of a page is a row of its own
         hidden = F.struct(F.lit("hidden").alias("kind"), F.col("hidden_text").alias("text"))
@@ -238,51 +311,69 @@ def _of_texts(s: Scan, wanted: set[str]) -> DataFrame:
         rows = rows.withColumn("hits", F.when(F.col("kind").isin(asked), _columns(rows, _hits)[0]))
     if "homoglyph" in wanted:
         rows = rows.withColumn("odd", F.when(F.col("kind") != "hidden", _columns(rows, _mixed)[0]))
-    return _found(rows, _columns(rows, _text_findings, wanted))
+    return _found(rows, _named(rows, _text_findings, wanted, more))
 
 
 # what documents carry -----------------------------------------------------------------------------------------
 
 
-def _carried(df: DataFrame, finding: Column) -> DataFrame:
-    return _found(df.withColumns({"page": F.lit(None).cast("int"), "bbox": F.lit(None).cast("array<double>")}), (finding,))
-
-
-def _embedded_file(s: Scan) -> DataFrame:
+def _embedded_file(_: frozenset) -> Iterator[Column]:
     name = F.coalesce("name", F.lit(""))
     size = F.coalesce("size", F.lit(0).cast("long")).cast("string")
-    return _carried(s.trace.attachments, _finding("embedded_file", F.lit(True), "medium", _told("The file “", name, "” is inside the document"), "attachment", _told(name, ", ", size, " bytes"), F.struct("name", "size", "desc"), F.crc32(name)))
+    yield _finding("embedded_file", F.lit(True), "medium", _told("The file “", name, "” is inside the document"), "attachment", _told(name, ", ", size, " bytes"), F.struct("name", "size", "desc"), F.crc32(name))
 
 
-def _active_content(s: Scan) -> DataFrame:
+def _active_content(_: frozenset) -> Iterator[Column]:
     title = F.coalesce("title", F.lit(""))
-    return _carried(s.trace.actions, _finding("active_content", F.lit(True), "high", title, F.coalesce("technique", F.lit("active content")), F.coalesce("evidence", F.lit("")), F.struct("title", "technique", "evidence"), F.crc32(title)))
+    yield _finding("active_content", F.lit(True), "high", title, F.coalesce("technique", F.lit("active content")), F.coalesce("evidence", F.lit("")), F.struct("title", "technique", "evidence"), F.crc32(title))
+
+
+def _carried(df: DataFrame, make: Callable, wanted: set[str], more: list[Detector]) -> DataFrame:
+    return _found(df.withColumns({"page": F.lit(None).cast("int"), "bbox": F.lit(None).cast("array<double>")}), _named(df, make, wanted, more))
 
 
 _RUNS = set(list(CODES)[:7])
 _TEXTS = set(CODES) - _RUNS - {"embedded_file", "active_content"}
 
 
-def _codes(scan: Scan, wanted: set[str]) -> DataFrame:
-    parts: list[tuple[set[str], Callable[[], DataFrame]]] = [
-        (_RUNS & wanted, lambda: _of_runs(scan, wanted)), (_TEXTS & wanted, lambda: _of_texts(scan, wanted)),
-        ({"embedded_file"} & wanted, lambda: _embedded_file(scan)), ({"active_content"} & wanted, lambda: _active_content(scan)),
-    ]
+def _codes(scan: Scan, wanted: set[str], more: Iterable[Detector] = ()) -> DataFrame:
+    """One pass over each relation that a wanted code or another detector reads."""
+    parts: dict[str, tuple[set[str], Callable]] = {
+        "runs": (_RUNS, lambda w, m: _of_runs(scan, w, m)), "texts": (_TEXTS, lambda w, m: _of_texts(scan, w, m)),
+        "attachments": ({"embedded_file"}, lambda w, m: _carried(scan.trace.attachments, _embedded_file, w, m)),
+        "actions": ({"active_content"}, lambda w, m: _carried(scan.trace.actions, _active_content, w, m)),
+    }
     out = None
-    for needed, part in parts:
-        if needed:
-            out = part() if out is None else out.unionByName(part())
+    for relation, (codes, part) in parts.items():
+        own = [d for d in more if d.relation == relation]
+        if codes & wanted or own:
+            found = part(codes & wanted, own)
+            out = found if out is None else out.unionByName(found)
     return out
 
 
 def detector(code: str) -> Callable[[Scan], DataFrame]:
     """The findings of one code of a scan."""
-    return lambda scan: _codes(scan, {code})
+    return lambda scan: _codes(scan, {code}).where(~F.col("failed")).select(*FINDING)
 
 
-def find(scan: Scan, only: tuple[str, ...] = ()) -> DataFrame:
-    """The findings of all detectors (or of these), with detector, detector_ord and weight."""
-    wanted = {c for c, (_, name, _) in CODES.items() if not only or name in only}
+def evaluate(scan: Scan, only: tuple[str, ...] = ()) -> DataFrame:
+    """The findings of all registered detectors (or of these) with detector, detector_ord, weight, and ``failed``.
+
+    A row where ``failed`` is true says that a rule of the detector threw at that place of the document; all else of it is null.
+    """
+    use = [d for d in _REGISTRY if not only or d.name in only]
     weight = F.coalesce(*(F.when(F.col("severity") == k, F.lit(v)) for k, v in X.WEIGHTS.items()))
-    of = lambda i, kind: F.coalesce(*(F.when(F.col("code").isin([c for c in CODES if CODES[c][i] == v]), F.lit(v)) for v in dict.fromkeys(CODES[c][i] for c in CODES))).cast(kind)
-    return _codes(scan, wanted).withColumn("detector", of(1, "string")).withColumn("detector_ord", of(0, "int")).withColumn("weight", weight)
+    place = F.create_map(*(F.lit(x) for i, d in enumerate(_REGISTRY) for x in (d.name, i)))
+    found = _codes(scan, {c for d in use if d.rules is None for c in d.codes}, [d for d in use if d.rules is not None])
+    return found.withColumn("detector_ord", F.element_at(place, F.col("detector"))).withColumn("weight", weight)
+
+
+def find(scan: Scan, only: tuple[str, ...] = ()) -> DataFrame:
+    """The findings of all registered detectors (or of these), with detector, detector_ord and weight."""
+    return evaluate(scan, only).where(~F.col("failed")).drop("failed")
+
+
+def failures(scan: Scan, only: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, detector, n): at how many places of a document rules of a detector threw."""
+    return evaluate(scan, only).where("failed").groupBy("doc_id", "detector").agg(F.count("*").alias("n"))

@@ -7,22 +7,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from palimpsest.functions import lexicon as X
 from palimpsest.functions.text import is_blank
 from palimpsest.operators.classify import classify, document_hidden_text, page_texts
-from palimpsest.operators.detectors import DETECTORS, Scan, find
+from palimpsest.operators.detectors import Scan, evaluate, find, registered
 from palimpsest.operators.score import score_findings, severity_counts, severity_order
 from palimpsest.sources.traces import Trace, text_sources
 
 
-def prepare(trace: Trace) -> Scan:
-    """Classified spans, page texts and text sources of a trace, over its first 40 pages."""
-    cap = lambda df: df.where(F.col("page") < X.MAX_PAGES)
+def prepare(trace: Trace, max_pages: int | None = X.MAX_PAGES) -> Scan:
+    """Classified spans, page texts and text sources of a trace, over the first pages of each document (None: all pages)."""
+    cap = lambda df: df if max_pages is None else df.where(F.col("page") < max_pages)
     spans = classify(cap(trace.spans), cap(trace.page_info), trace.covers, trace.hidden_layers)
     pages = page_texts(spans)
     return Scan(trace, spans, pages, text_sources(trace, pages))
 
 
-def scan(trace: Trace) -> DataFrame:
+def scan(trace: Trace, max_pages: int | None = X.MAX_PAGES) -> DataFrame:
     """All findings of a trace."""
-    return find(prepare(trace))
+    return find(prepare(trace, max_pages))
 
 
 def ranked(findings: DataFrame) -> DataFrame:
@@ -36,7 +36,7 @@ def ranked(findings: DataFrame) -> DataFrame:
 def detector_runs(findings: DataFrame) -> DataFrame:
     """(detector, detector_ord, hits) for all detectors, those without a finding too."""
     spark = findings.sparkSession
-    names = spark.createDataFrame([(n, i) for i, (n, _, _) in enumerate(DETECTORS)], "detector string, detector_ord int")
+    names = spark.createDataFrame([(d.name, i) for i, d in enumerate(registered())], "detector string, detector_ord int")
     return names.join(findings.groupBy("detector").agg(F.count("*").alias("hits")), "detector", "left").select("detector", "detector_ord", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
@@ -60,7 +60,7 @@ def overlays(spans: DataFrame) -> DataFrame:
 
 
 #: What is said of documents that can't be read, by status.
-ERRORS = {"too_large": "The file is larger than the limit.", "encrypted": "The document is protected by a password.", "unreadable": "The file could not be opened."}
+ERRORS = {"too_large": "The file is larger than the limit.", "empty": "The file is empty.", "encrypted": "The document is protected by a password.", "unreadable": "The file could not be opened."}
 
 
 def _said(key: Column, words: dict[str, str]) -> Column:
@@ -76,16 +76,18 @@ def page_views(s: Scan) -> DataFrame:
     return pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(page)).alias("pages"))
 
 
-def reports(trace: Trace, views: bool = True) -> DataFrame:
+def reports(trace: Trace, views: bool = True, max_pages: int | None = X.MAX_PAGES) -> DataFrame:
     """One row for each document, unreadable ones too.
 
     filename, sha256, bytes, ok, error, score, verdict with label and blurb, counts of runs, characters and severities, hidden_text,
-    metadata, findings, detectors with their hits, and with ``views`` the pages. What an unreadable document has none of is 0 or empty.
+    metadata, findings, detectors with their hits, warnings (the extractor's, and one for each detector that failed), and with ``views`` the pages.
+    What an unreadable document has none of is 0 or empty.
     """
-    s = prepare(trace)
-    findings = find(s)
+    s = prepare(trace, max_pages)
+    findings = evaluate(s)
     item = F.struct("rank", "code", "detector", "severity", "weight", "title", "detail", "technique", "evidence", "page", "bbox", "extra")
-    listed = ranked(findings).groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("findings"))
+    # a rule that threw has no severity, so its row ranks behind all findings
+    listed = ranked(findings).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.when(~F.col("failed"), item))).alias("findings"), F.sort_array(F.collect_set(F.when(F.col("failed"), F.struct("detector_ord", "detector")))).alias("failed"))
     # scores, counts and detectors' hits are taken from the list, so findings are made once
     each = listed.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.code", "f.severity", "f.weight", "f.detector")
     totals = s.pages.groupBy("doc_id").agg(F.count("*").alias("pages_scanned"), F.sum("n_runs").alias("runs"), F.sum("n_hidden_runs").alias("hidden_runs"), F.sum("chars").alias("chars"), F.sum("hidden_chars").alias("hidden_chars"))
@@ -98,10 +100,12 @@ def reports(trace: Trace, views: bool = True) -> DataFrame:
     zero = ("pages_scanned", "runs", "hidden_runs", "chars", "hidden_chars", "score", "total", *X.SEVERITIES)
     out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero}).withColumn("hidden_share", F.bround(F.coalesce(F.try_divide("hidden_chars", "chars"), F.lit(0.0)), 4))
     hits = lambda name: F.coalesce(F.size(F.filter("findings", lambda f: f["detector"] == name)), F.lit(0))
-    runs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(info).alias("info"), F.greatest(hits(n), F.lit(0)).alias("hits")) for n, info, _ in DETECTORS))
+    runs = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(info).alias("info"), F.greatest(hits(n), F.lit(0)).alias("hits")) for n, info in ((d.name, d.info) for d in registered())))
     error = F.when(~ok, F.coalesce(_said(F.col("status"), ERRORS), F.concat(F.lit("The file could not be read: "), "status")))
     out = out.withColumn("ok", ok).withColumn("error", error).withColumn("verdict", F.when(~ok, "error").otherwise(F.coalesce("verdict", F.lit("clean"))))
     out = out.withColumn("label", _said(F.col("verdict"), {k: v for k, (v, _) in X.VERDICTS.items()})).withColumn("blurb", F.coalesce("error", _said(F.col("verdict"), {k: v for k, (_, v) in X.VERDICTS.items()})))
+    failed = F.transform("failed", lambda d: F.concat(F.lit("Detector "), d["detector"], F.lit(" failed.")))
+    out = out.withColumn("warnings", F.concat(F.coalesce("warnings", F.array().cast("array<string>")), F.coalesce(failed, F.array().cast("array<string>")))).drop("failed")
     return out.withColumn("detectors", F.when(ok, runs)).withColumn("hidden_text", F.coalesce("hidden_text", F.lit("")))
 
 

@@ -59,9 +59,14 @@ def read_traces(spark: SparkSession, folder: str) -> Trace:
 
 
 def read_files(spark: SparkSession, paths: str, max_bytes: int = 20 << 20) -> DataFrame:
-    """Files as rows: doc_id and sha256 (of the content), filename, bytes, status (too_large or ok), content. Spark gives no row for an empty file."""
+    """Files as rows: doc_id and sha256 (of the content), filename, bytes, status (too_large, empty, encrypted or ok), content.
+
+    encrypted: a PDF whose last 4096 bytes name an encryption dictionary, as its trailer does. Text that merely looks so doesn't count: only PDFs are asked.
+    """
     files = spark.read.format("binaryFile").load(paths)
-    status = F.when(F.col("length") > max_bytes, "too_large").otherwise("ok")
+    tail = F.decode(F.substring("content", -4096, 4096), "ISO-8859-1")
+    pdf = F.startswith("content", F.lit(b"%PDF-"))
+    status = F.when(F.col("length") > max_bytes, "too_large").when(F.col("length") == 0, "empty").when(pdf & tail.rlike(r"/Encrypt\s+\d+\s+\d+\s+R"), "encrypted").otherwise("ok")
     sha = F.sha2("content", 256)
     return files.select(sha.alias("doc_id"), sha.alias("sha256"), F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("length").alias("bytes"), status.alias("status"), "content")
 
@@ -87,6 +92,23 @@ def image_share(images: DataFrame) -> DataFrame:
     return images.groupBy("doc_id", "page").agg(share.alias("image_share"))
 
 
+def catalog_actions(catalog: DataFrame) -> DataFrame:
+    """Actions from rows (doc_id, key, value) of documents' catalogs: OpenAction where it runs a script or launches something, Names/JavaScript, AA.
+
+    Keys may have a slash before them; null, empty and ``null`` values are none. A key that repeats is an action for each distinct value.
+    """
+    key, value = F.regexp_replace("key", "^/", ""), F.trim("value")
+    runs = F.lower(value).rlike("javascript|/js|/launch")
+    kinds = (
+        ("OpenAction", runs, "The document does something when it is opened", "/OpenAction"),
+        ("Names/JavaScript", F.lit(True), "The document has scripts of its own", "/Names /JavaScript"),
+        ("AA", F.lit(True), "The document reacts to events", "/AA"),
+    )
+    action = F.coalesce(*(F.when((key == k) & test, F.struct(F.lit(title).alias("title"), F.lit(technique).alias("technique"))) for k, test, title, technique in kinds))
+    rows = catalog.where(F.col("value").isNotNull() & ~value.isin("", "null")).select("doc_id", action.alias("a"), F.col("value").alias("evidence")).where("a is not null").distinct()
+    return rows.select("doc_id", "a.title", "a.technique", "evidence")
+
+
 def script_actions(actions: DataFrame, script_objects: DataFrame) -> DataFrame:
     """The actions, and for documents without a JavaScript action one for their script objects (doc_id, n)."""
     has = actions.where(F.col("technique").endswith("JavaScript")).select("doc_id").distinct()
