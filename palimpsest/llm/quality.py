@@ -174,6 +174,7 @@ def _starts(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     """Per group two estimates: medians with the scales of medians, and medians with the moments of signs around them."""
     middle = lambda c, name: F.percentile(c, F.lit(0.5)).alias(name)  # noqa: E731  (of integers in a bounded range: memory is bounded)
     med = scratch.written(vectors.groupBy("keys").agg(*(middle(F.col(q), f"c{q}") for q in _Q)), "medians")
+    # grouped by other keys than the joins', so that Spark may split these where a group is hot
     off = vectors.join(med, "keys").withColumns({q: F.col(q) - F.col(f"c{q}") for q in _Q})
     scales = off.groupBy("keys", *(f"c{q}" for q in _Q)).agg(*(middle(F.abs(q), f"d{q}") for q in _Q))
     scale = [F.greatest(1.4826 * F.col(f"d{q}") / UNIT, F.lit(x)) for q, (_, x) in zip(_Q, STATISTICS, strict=True)]
@@ -182,7 +183,7 @@ def _starts(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     unit = [(F.col(q) - F.col(f"c{q}")) / UNIT / F.col(f"d{q}") for q in _Q]
     long = F.sqrt(sum((u * u for u in unit[1:]), unit[0] * unit[0]))
     signs = vectors.join(scales, "keys").select("keys", *(F.coalesce(F.round(UNIT * F.try_divide(u, long)), F.lit(0)).cast("long").alias(q) for u, q in zip(unit, _Q, strict=True)))
-    signs = signs.groupBy("keys").agg(*_moments()).join(scales, "keys")
+    signs = signs.groupBy(F.struct("keys").alias("group")).agg(*_moments()).withColumn("keys", F.col("group.keys")).join(scales, "keys")
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
