@@ -21,23 +21,63 @@ def measured(spans: DataFrame, page_info: DataFrame) -> DataFrame:
     return s.select("*", G.effective_size(F.col("size"), F.col("ascender"), F.col("descender"), F.col("bbox")).alias("eff_size"), G.contrast(fg, bg).alias("ratio"), G.hex_colour(fg).alias("hex"), G.hex_colour(bg).alias("bg_hex"), F.when(own > 0, G.overlap(F.col("bbox"), F.col("box")) / own).alias("visible"))
 
 
+#: Share of a run's area that a cover must overlap; the least cell, as a power of two of a point, and where coordinates are clipped to.
+COVERED, _FINEST, _FAR = 0.92, -8, 2.0**40
+
+
+def _near(at: Column) -> Column:
+    return F.greatest(F.lit(-_FAR), F.least(F.lit(_FAR), at))
+
+
+def _level(low: Column, high: Column) -> Column:
+    """The power of two whose cells are no smaller than this side."""
+    return F.ceil(F.log2(F.greatest(_near(high) - _near(low), F.lit(2.0**_FINEST)))).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(_near(at) / F.pow(F.lit(2.0), level)).cast("long")
+
+
+def cover_cells(covers: DataFrame) -> DataFrame:
+    """Opaque covers with the cells (lx, ly, cx, cy) that they lie in: four at most, as a cell is no smaller than the cover, by width and height."""
+    r = F.col("rect")
+    fill = G.hex_colour(G.normal_colour(F.col("fill"), F.lit(None).cast("int")))
+    c = opaque(covers).select("doc_id", "page", F.col("seqno").alias("cover_seqno"), "cover_ord", "rect", fill.alias("hex"), _level(r["x0"], r["x1"]).alias("lx"), _level(r["y0"], r["y1"]).alias("ly"))
+    span = lambda low, high, level: F.sequence(_cell(low, level), _cell(high, level))
+    c = c.withColumn("cx", F.explode(span(r["x0"], r["x1"], F.col("lx"))))
+    return c.withColumn("cy", F.explode(span(r["y0"], r["y1"], F.col("ly"))))
+
+
+def run_cells(spans: DataFrame, cells: DataFrame) -> DataFrame:
+    """Runs with an area on pages that have opaque covers, with the cell that their middle is in for each size of cover on the page."""
+    b = F.col("bbox")
+    runs = spans.select("doc_id", "page", "span_ord", "seqno", "bbox").where(G.area(b) > 0)
+    sizes = cells.groupBy("doc_id", "page").agg(F.collect_set(F.struct("lx", "ly")).alias("sizes"))
+    probes = runs.join(sizes, ["doc_id", "page"]).withColumn("l", F.explode("sizes"))
+    x, y = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2
+    return probes.select("doc_id", "page", "span_ord", "seqno", "bbox", "l.lx", "l.ly", _cell(x, F.col("l.lx")).alias("cx"), _cell(y, F.col("l.ly")).alias("cy"))
+
+
 def covered(spans: DataFrame, covers: DataFrame) -> DataFrame:
     """(doc_id, page, span_ord, cover): spans that a cover drawn later overlaps by 0.92 or more, each with the first such cover.
 
-    Only what the test reads of a run is joined. Equal on document and page, so a join that Spark sorts and, where a page is skewed, splits.
+    A spatial join by cells. What overlaps more than half of a run holds its middle, so a run is looked for in one cell, that of its
+    middle, for each size (width and height to the next power of two) that covers of its page have, and a cover is put into the four
+    cells at most of its own size that it lies in. A pair is thus met once at most, pairs are tested only where the middle is near a cover, by a
+    cover's size, and a page with many runs and covers is many cells, which go to many tasks. Runs without an area and covers that hide nothing are out.
     """
-    fill = G.hex_colour(G.normal_colour(F.col("fill"), F.lit(None).cast("int")))
-    c = opaque(covers).select("doc_id", "page", F.col("seqno").alias("cover_seqno"), "cover_ord", "rect", fill.alias("hex"))
-    runs = spans.select("doc_id", "page", "span_ord", "seqno", "bbox").where("bbox is not null")
-    pairs = runs.join(c, ["doc_id", "page"]).where((F.col("cover_seqno") > F.col("seqno")) & (G.area(F.col("bbox")) > 0) & (G.overlap(F.col("bbox"), F.col("rect")) >= 0.92 * G.area(F.col("bbox"))))
+    cells = cover_cells(covers)
+    near = run_cells(spans, cells).join(cells, ["doc_id", "page", "lx", "ly", "cx", "cy"])
+    pairs = near.where((F.col("cover_seqno") > F.col("seqno")) & (G.overlap(F.col("bbox"), F.col("rect")) >= COVERED * G.area(F.col("bbox"))))
     return pairs.groupBy("doc_id", "page", "span_ord").agg(F.min(F.struct("cover_ord", "cover_seqno", "rect", "hex")).alias("cover"))
 
 
 def classify(spans: DataFrame, page_info: DataFrame, covers: DataFrame, hidden_layers: DataFrame) -> DataFrame:
     """Spans with reasons (array of (code, text), in a fixed order), is_hidden, layer_off and cover. (doc_id, page, span_ord) is their key."""
     s = measured(spans, page_info)
-    off = hidden_layers.select("doc_id", strip(F.col("name")).alias("off_name")).where("off_name <> ''").distinct().withColumn("layer_off", F.lit(True))
-    s = s.withColumn("off_name", strip(F.coalesce("layer", F.lit("")))).join(off, ["doc_id", "off_name"], "left").withColumn("layer_off", F.coalesce("layer_off", F.lit(False)))
+    # the layers of a document that are off, as one value, so that runs are joined by document and not dealt anew by layer
+    off = hidden_layers.select("doc_id", strip(F.col("name")).alias("name")).where("name <> ''").groupBy("doc_id").agg(F.collect_set("name").alias("off"))
+    s = s.join(off, "doc_id", "left").withColumn("layer_off", F.coalesce(F.array_contains("off", strip(F.coalesce("layer", F.lit("")))), F.lit(False))).drop("off")
     s = s.join(covered(spans, covers), ["doc_id", "page", "span_ord"], "left")
     two = lambda c: F.format_string("%.2f", F.bround(c, 2))
     clear = F.coalesce(F.col("opacity") <= 0.08, F.lit(False))
