@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from palimpsest.functions import geometry as G
 from palimpsest.functions.text import ink, is_blank, strip
@@ -113,19 +113,52 @@ def document_hidden_text(pages: DataFrame) -> DataFrame:
 def background(pixels: DataFrame, *keys: str) -> DataFrame:
     """The most frequent colour of rows (keys, ord, r, g, b), channels rounded to two digits; of equals the one that comes first."""
     seen = pixels.select(*keys, "ord", *(F.round(c, 2).alias(c) for c in "rgb")).groupBy(*keys, "r", "g", "b").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+    return _most_frequent(seen, *keys)
+
+
+def _most_frequent(seen: DataFrame, *keys: str) -> DataFrame:
     return seen.groupBy(*keys).agg(F.max_by(F.struct("r", "g", "b"), F.struct("n", -F.col("first"))).alias("bg"))
 
 
-def backgrounds(spans: DataFrame, page_info: DataFrame, pixels: DataFrame, scale: float = 1.0) -> DataFrame:
+RASTER = "doc_id string, page int, y int, runs array<struct<x:int,n:int,r:double,g:double,b:double>>"
+
+
+def packed(pixels: DataFrame) -> DataFrame:
+    """Rasters (doc_id, page, y, runs) of pixel rows (doc_id, page, x, y, r, g, b): each line as runs of one colour, with where they begin and how long they are.
+
+    Channels are rounded to two digits, as backgrounds compare them. A pixel that is missing ends a run; of a pixel that repeats the least colour
+    counts. Runs are made by differences of place and rank (equal within a run), so nothing but counts is gathered for a line: a line has as many entries as runs.
+    """
+    one = pixels.select("doc_id", "page", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), *(F.round(c, 2).alias(c) for c in "rgb")).groupBy("doc_id", "page", "y", "x").agg(F.min(F.struct("r", "g", "b")).alias("c"))
+    rank = F.row_number().over(W.partitionBy("doc_id", "page", "y", "c").orderBy("x"))
+    runs = one.withColumn("island", F.col("x") - rank).groupBy("doc_id", "page", "y", "c", "island").agg(F.min("x").alias("x"), F.count("*").cast("int").alias("n"))
+    return runs.groupBy("doc_id", "page", "y").agg(F.sort_array(F.collect_list(F.struct("x", "n", "c.r", "c.g", "c.b"))).alias("runs"))
+
+
+def _seen(lines: DataFrame, low: Column, high: Column, step: Column, *keys: str) -> DataFrame:
+    """(keys, r, g, b, n, first) of lines with their runs: how many of the columns low, low + step, ... below high are in runs of a colour, and the first of them."""
+    def within(run: Column) -> Column:
+        begin, end = F.greatest(run["x"], low), F.least(run["x"] + run["n"], high)
+        first = low + F.ceil((begin - low) / step).cast("int") * step
+        return F.struct(run["r"].alias("r"), run["g"].alias("g"), run["b"].alias("b"), first.alias("x"), F.greatest(F.lit(0), F.ceil((end - first) / step).cast("int")).alias("n"))
+
+    each = lines.select(*keys, "y", F.explode(F.filter(F.transform("runs", within), lambda s: s["n"] > 0)).alias("s"))
+    return each.groupBy(*keys, "s.r", "s.g", "s.b").agg(F.sum("s.n").alias("n"), F.min(F.col("y").cast("long") * (1 << 20) + F.col("s.x")).alias("first"))
+
+
+def backgrounds(spans: DataFrame, page_info: DataFrame, rasters: DataFrame, scale: float = 1.0) -> DataFrame:
     """Spans with ``bg``: the most frequent colour of the pixels below each.
 
-    ``pixels`` has the raster of each page as rows (doc_id, page, x, y, r, g, b), channels 0 to 1, with ``scale`` pixels a
+    ``rasters`` has the raster of each page, packed (``RASTER``) or as pixel rows (doc_id, page, x, y, r, g, b), channels 0 to 1, with ``scale`` pixels a
     point. A run's window is its box and two pixels around it, looked at in steps of a 24th of its width and a
     12th of its height; runs that share a window share its colour. A run without a box, and one whose window is outside the
     raster, gets the most frequent colour of its page (in steps of a 40th), and white where there is no raster or one of four pixels at most.
+
+    A window is met with the lines of the raster that it looks at, and what it sees of a line is counted from the runs it overlaps: no pixel is a row.
     """
-    size = pixels.groupBy("doc_id", "page").agg((F.max("x") + 1).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
-    place = pixels.select("doc_id", "page", F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), "r", "g", "b", (F.col("y").cast("long") * (1 << 20) + F.col("x")).alias("ord"))
+    lines = rasters if "runs" in rasters.columns else packed(rasters)
+    last = F.element_at("runs", -1)
+    size = lines.groupBy("doc_id", "page").agg(F.max(last["x"] + last["n"]).cast("int").alias("width"), (F.max("y") + 1).cast("int").alias("height"))
     side = lambda v, low: ((v - low) * F.lit(scale)).cast("int")
     b, box = F.col("bbox"), F.col("box")
     window = F.when(b.isNotNull(), F.struct(
@@ -135,10 +168,9 @@ def backgrounds(spans: DataFrame, page_info: DataFrame, pixels: DataFrame, scale
     step = lambda n, by: F.greatest(F.lit(1), F.floor(n / by).cast("int"))
     w = F.col("window")
     windows = named.where((w["x1"] - w["x0"] >= 1) & (w["y1"] - w["y0"] >= 1)).select("doc_id", "page", "window").distinct()
-    points = windows.select("doc_id", "page", "window", F.explode(F.sequence(w["x0"], w["x1"] - 1, step(w["x1"] - w["x0"], 24))).alias("x"))
-    points = points.select("doc_id", "page", "window", "x", F.explode(F.sequence(w["y0"], w["y1"] - 1, step(w["y1"] - w["y0"], 12))).alias("y"))
-    below = background(points.join(place, ["doc_id", "page", "x", "y"]), "doc_id", "page", "window")
-    coarse = place.join(size.where("width > 4 and height > 4"), ["doc_id", "page"]).where((F.col("x") % step(F.col("width"), 40) == 0) & (F.col("y") % step(F.col("height"), 40) == 0))
-    whole = background(coarse, "doc_id", "page").withColumnRenamed("bg", "page_bg")
+    looked_at = windows.select("doc_id", "page", "window", F.explode(F.sequence(w["y0"], w["y1"] - 1, step(w["y1"] - w["y0"], 12))).alias("y")).join(lines, ["doc_id", "page", "y"])
+    below = _most_frequent(_seen(looked_at, w["x0"], w["x1"], step(w["x1"] - w["x0"], 24), "doc_id", "page", "window"), "doc_id", "page", "window")
+    coarse = lines.join(size.where("width > 4 and height > 4"), ["doc_id", "page"]).where(F.col("y") % step(F.col("height"), 40) == 0)
+    whole = _most_frequent(_seen(coarse, F.lit(0), F.col("width"), step(F.col("width"), 40), "doc_id", "page"), "doc_id", "page").withColumnRenamed("bg", "page_bg")
     out = named.join(below, ["doc_id", "page", "window"], "left").join(whole, ["doc_id", "page"], "left").withColumn("bg", F.coalesce("bg", "page_bg", F.expr(WHITE)))
     return out.select(*(c for c in spans.columns if c != "bg"), "bg")

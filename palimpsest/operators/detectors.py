@@ -13,6 +13,7 @@ detector it was (``failed``).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -112,6 +113,19 @@ def unregister(name: str) -> None:
     _REGISTRY.remove(found)
 
 
+@contextmanager
+def registering(*detectors: Detector) -> Iterator[None]:
+    """With these detectors registered, and without them after."""
+    try:
+        for d in detectors:
+            register(d)
+        yield
+    finally:
+        for d in detectors:
+            if d in _REGISTRY:
+                unregister(d.name)
+
+
 #: The codes that look for phrases.
 _PHRASES = ("metadata_payload", "annotation_payload", "form_field_payload", "injection_hidden", "injection_visible")
 
@@ -162,12 +176,12 @@ def _tried(value: Column) -> Column:
     return F.decode(F.try_to_binary(F.to_json(F.struct(value.alias("f"))), F.lit("UTF-8")), "UTF-8")
 
 
-def _found(df: DataFrame, findings: Iterable[tuple[str, Column]]) -> DataFrame:
-    """The findings of rows, by pairs (name of the detector, rule), and a row with ``failed`` for each rule that threw."""
+def _found(df: DataFrame, findings: Iterable[tuple[str, Column]], box: Column | None = None) -> DataFrame:
+    """The findings of rows, by pairs (name of the detector, rule), and a row with ``failed`` for each rule that threw. ``box`` says what a finding's bbox is made of."""
     tried = F.array(*(F.struct(F.lit(name).alias("detector"), _tried(rule).alias("j")) for name, rule in findings))
     rows = df.select("doc_id", "page", "bbox", F.explode(F.filter(tried, lambda t: t["j"].isNull() | (t["j"] != "{}"))).alias("t"))
     rows = rows.select("doc_id", "page", "bbox", "t.detector", F.col("t.j").isNull().alias("failed"), F.from_json("t.j", f"f struct<{_JSON}>").alias("j"))
-    own = {"doc_id": F.col("doc_id"), "page": F.col("page").cast("int").alias("page"), "bbox": F.col("bbox").cast("array<double>").alias("bbox")}
+    own = {"doc_id": F.col("doc_id"), "page": F.col("page").cast("int").alias("page"), "bbox": (F.col("bbox") if box is None else box).cast("array<double>").alias("bbox")}
     return rows.select(*(own.get(c, F.col(f"j.f.{c}").alias(c)) for c in FINDING), "detector", "failed")
 
 
@@ -201,8 +215,7 @@ def _run_findings(wanted: set[str]) -> Iterator[Column]:
 
 def _of_runs(s: Scan, wanted: set[str], more: list[Detector]) -> DataFrame:
     box = F.when(F.col("bbox").isNotNull(), F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1")).otherwise(F.array())
-    kept = s.spans.where(~T.is_blank(F.col("text"))).withColumn("bbox", box)
-    return _found(kept, _named(s.spans, _run_findings, wanted, more))
+    return _found(s.spans.where(~T.is_blank(F.col("text"))), _named(s.spans, _run_findings, wanted, more), box)
 
 
 # texts ------------------------------------------------------------------------------------------------------

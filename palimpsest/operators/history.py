@@ -17,7 +17,10 @@ def recent(scans: DataFrame, user_id: int, n: int = 50) -> DataFrame:
 
 
 def retain(scans: DataFrame, n: int = RETENTION) -> DataFrame:
-    """The newest ``n`` scans of each user; those without a user stay."""
+    """The newest ``n`` scans of each user; those without a user stay.
+
+    The limit on the rank is also applied where rows are read (``WindowGroupLimit``, Partial), so of a user no task sends more than ``n`` rows on.
+    """
     rank = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id")))
     kept = scans.where("user_id is not null").withColumn("rank", rank).where(F.col("rank") <= n).drop("rank")
     return kept.unionByName(scans.where("user_id is null"))
@@ -63,8 +66,10 @@ def guest_tokens(tokens: Column, token: Column, n: int = 10) -> Column:
 
 
 def save(scans: DataFrame, new: DataFrame, n: int = RETENTION) -> DataFrame:
-    """The history with new scans, trimmed."""
-    return retain(scans.unionByName(new), n)
+    """The history with new scans, in which users that have new ones are trimmed. Nobody else's scans are ranked or move."""
+    touched = new.where("user_id is not null").select("user_id").distinct()
+    others = scans.join(touched, "user_id", "left_anti").unionByName(new.where("user_id is null"))
+    return others.select(*scans.columns).unionByName(retain(scans.join(touched, "user_id", "left_semi").select(*scans.columns).unionByName(new.where("user_id is not null")), n))
 
 
 def quarantine(scored: DataFrame, from_score: int = 35) -> DataFrame:

@@ -17,9 +17,12 @@ from palimpsest.functions import text as T
 from palimpsest.operators import classify as C
 from palimpsest.operators import detectors as D
 from palimpsest.operators import history as H
-from palimpsest.operators.score import score_findings, severity_counts
+from palimpsest.operators.glyphs import spans_of_glyphs
+from palimpsest.operators.score import score_findings, severity_counts, verdict
 from palimpsest.plans import scan as S
 from palimpsest.sources import traces as R
+from palimpsest.sources.scratch import scratch_folder
+from palimpsest.streaming import history_stream
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark conversations".split()
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -469,7 +472,7 @@ def delete_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"SELECT id, user_id FROM (SELECT id, user_id, created_at FROM ({SCANS}) s UNION ALL SELECT id + 10000000, user_id, created_at FROM ({SCANS}) s WHERE id % 5 = 0) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= 5")
 def save_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
-    return H.save(scans, scans.where("id % 5 = 0").withColumn("id", F.col("id") + 10000000), 5).select("id", "user_id")
+    return H.save(H.retain(scans, 5), scans.where("id % 5 = 0").withColumn("id", F.col("id") + 10000000), 5).select("id", "user_id")
 
 
 @_query(f"SELECT id, user_id, verdict FROM ({SCANS}) s WHERE token = 't7' OR id = 12")
@@ -485,6 +488,109 @@ def guest_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("id"), F.array_join(H.guest_tokens(tokens, F.lit("new")), " ").alias("tokens"))
 
 
+@_query(f"WITH s AS (SELECT id, user_id % 7 AS user_id, created_at FROM ({SCANS}) s) SELECT id, user_id FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= 60")
+def retention_60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 60 scans of each of few users who have many."""
+    return H.retain(_scans(spark, sf_dir).withColumn("user_id", F.col("user_id") % 7)).select("id", "user_id")
+
+
+@_query(f"WITH s AS (SELECT *, CAST(created_at AS TIMESTAMP) AS at FROM ({SCANS}) s), k AS (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS k FROM s) SELECT s.user_id, count(*) AS scans, count(*) FILTER (WHERE verdict IN ('poisoned', 'suspicious')) AS flagged, CAST(sum(findings) AS BIGINT) AS findings, CAST(max(score) AS INT) AS worst, any_value(n.newest) AS newest FROM s JOIN (SELECT user_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY k) AS newest FROM k WHERE k <= 5 GROUP BY user_id) n USING (user_id) GROUP BY s.user_id")
+def history_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and newest scans of each user as a stream of scans leaves them in its state, each scan sent twice."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    stream = spark.readStream.schema(orders.schema).parquet(f"{sf_dir}/orders.parque[t]")  # a pattern may name a file, too
+    score = F.floor("o_totalprice").cast("int") % 101
+    twice = stream.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
+    scans = twice.select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_custkey").cast("long").alias("user_id"), F.concat(F.lit("t"), F.col("o_orderkey").cast("string")).alias("token"), score.alias("score"), verdict(score).alias("verdict"), (F.col("o_orderkey") % 7).cast("long").alias("findings"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+    out = scratch_folder(spark, "histories")
+    history_stream.keep_histories(scans, out, scratch_folder(spark, "history-state"), delay="36500 days", n=5).awaitTermination()
+    return history_stream.histories(spark, out).withColumn("newest", F.array_join("newest", " "))
+
+
+# detectors of a caller's own ----------------------------------------------------------
+
+WIDE = D.Detector("wide_runs", "Runs wider than 40 points", {"wide_run": "A line of one run is rarely as wide."}, "runs", lambda: (D.finding("wide_run", F.col("bbox.x1") - F.col("bbox.x0") > 40, "low", "A wide run", "size", F.col("text"), F.struct((F.col("bbox.x1") - F.col("bbox.x0")).alias("width")), F.col("span_ord")),))
+#: Looks for long texts, and throws on every seventh document.
+LONG = D.Detector("long_texts", "Texts of 2000 characters and more", {"long_text": ""}, "texts", lambda: (D.finding("long_text", F.when(F.col("doc_id") % 7 == 0, F.raise_error(F.lit("cannot look at it")).cast("boolean")).otherwise(F.length("text") >= 2000), "info", "A long text", "size", F.col("text"), F.struct(F.length("text").alias("n")), F.col("page")),))
+
+
+@_query(f"WITH s AS (SELECT DISTINCT * FROM ({SPANS})) SELECT doc_id, 'wide_runs' AS detector, count(*) AS n FROM s WHERE x1 - x0 > 40 GROUP BY doc_id UNION ALL SELECT doc_id, 'micro_type', count(*) FROM s WHERE kind <> 3 AND least(size, abs(y1 - y0)) < 3.5 AND least(size, CASE WHEN abs(y1 - y0) > 0 THEN abs(y1 - y0) ELSE size END) > 0 GROUP BY doc_id UNION ALL SELECT doc_id, 'long_texts', 1 FROM ({PLANTED}) p WHERE doc_id % 7 <> 0 AND length(text) >= 2000")
+def user_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of two detectors that aren't built in, beside one that is."""
+    with D.registering(WIDE, LONG):
+        found = D.find(_scan_of_spans(spark, sf_dir), ("micro_type", "wide_runs")).unionByName(D.find(_scan_of_texts(spark, sf_dir), ("long_texts",)))
+    return found.groupBy("doc_id", "detector").agg(F.count("*").alias("n"))
+
+
+@_query(f"SELECT doc_id, 'long_texts' AS detector, 1 AS n, 0 AS findings FROM ({PLANTED}) p WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'unicode_smuggling', 0, count(*) FROM (SELECT doc_id FROM ({PLANTED}) p WHERE doc_id % 9 IN (1, 3, 4, 7)) GROUP BY doc_id")
+def failed_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where a detector failed, and what another one found all the same."""
+    with D.registering(LONG):
+        rows = D.evaluate(_scan_of_texts(spark, sf_dir), ("unicode_smuggling", "long_texts")).where("failed OR detector = 'unicode_smuggling'")
+    return rows.groupBy("doc_id", "detector").agg(F.count_if("failed").cast("long").alias("n"), F.count_if(~F.col("failed")).cast("long").alias("findings"))
+
+
+# what else a scan reads ------------------------------------------------------------------
+
+@_query(f"SELECT DISTINCT doc_id, unnest(list_concat(regexp_extract_all(text, {_Q('(?i)' + X.URL)}, 0), regexp_extract_all(text, {_Q(X.EMAIL)}, 0))) AS address FROM ({PLANTED}) p")
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URLs and email addresses of every document."""
+    tokens = F.regexp_extract_all("text", F.lit(f"[^{X.WS[1:-1]}]+"), F.lit(0))
+    return _texts(spark, sf_dir).select("doc_id", F.explode(T.addresses(tokens)).alias("address")).distinct()
+
+
+@_query(f"SELECT doc_id, CAST(page AS BIGINT) AS page, count(*) AS n_runs FROM (SELECT DISTINCT doc_id, page, span_key, text FROM ({SPANS.replace('l_linenumber % 3 AS page', 'l_suppkey % 80 AS page')})) WHERE page < 40 GROUP BY doc_id, page")
+def page_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that are scanned of documents with up to 80 of them."""
+    spans = _table(spark, sf_dir, SPANS.replace("l_linenumber % 3 AS page", "l_suppkey % 80 AS page")).select("doc_id", "page", F.col("span_key").alias("span_ord"), "text", F.lit(11.0).alias("size")).distinct()
+    trace = R.trace_of(spark, spans=spans, page_info=spans.select("doc_id", "page").distinct())
+    return S.prepare(trace).pages.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page").cast("long").alias("page"), "n_runs")
+
+
+_CATALOG = "SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'OpenAction' WHEN 1 THEN '/AA' WHEN 2 THEN 'Names/JavaScript' ELSE 'Outlines' END AS key, CASE o_custkey % 5 WHEN 0 THEN '<< /S /JavaScript /JS (app.alert) >>' WHEN 1 THEN '[3 0 R /Fit]' WHEN 2 THEN 'null' WHEN 3 THEN '' ELSE '<< /S /Launch >>' END AS value FROM orders"
+
+
+@_query(f"SELECT DISTINCT doc_id, CASE key WHEN 'OpenAction' THEN '/OpenAction' WHEN '/AA' THEN '/AA' ELSE '/Names /JavaScript' END AS technique, value AS evidence FROM ({_CATALOG}) c WHERE value NOT IN ('', 'null') AND (key IN ('/AA', 'Names/JavaScript') OR key = 'OpenAction' AND (contains(lower(value), 'javascript') OR contains(lower(value), '/js') OR contains(lower(value), '/launch')))")
+def catalog_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What catalogs of documents say that runs."""
+    return R.catalog_actions(_table(spark, sf_dir, _CATALOG)).select("doc_id", "technique", "evidence")
+
+
+@_query(f"SELECT doc_id, 'critical' AS severity FROM ({PLANTED}) p WHERE doc_id % 9 IN (0, 5) AND doc_id % 2 = 0")
+def xmp_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instructions in the XMP packets of documents."""
+    docs = _texts(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", F.col("text").alias("xmp"), F.lit("ok").alias("status"))
+    trace = R.trace_of(spark, docs=docs)
+    found = D.detector("metadata_payload")(D.Scan(trace, None, None, R.text_sources(trace, R.trace_of(spark).spans.select("doc_id", "page", "text", F.lit("").alias("hidden_text")))))
+    return found.where(F.get_json_object("extra", "$.key") == "xmp").select(F.col("doc_id").cast("long").alias("doc_id"), "severity")
+
+
+@_query(f"WITH p AS (SELECT DISTINCT * FROM (SELECT doc_id, x, y, round(grey, 2) AS grey FROM ({_PIXELS}))), k AS (SELECT *, x - row_number() OVER (PARTITION BY doc_id, y, grey ORDER BY x) AS island FROM p) SELECT doc_id, y, count(*) AS runs, CAST(sum(n) AS BIGINT) AS pixels FROM (SELECT doc_id, y, grey, island, count(*) AS n FROM k GROUP BY ALL) GROUP BY doc_id, y")
+def packed_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages' rasters: runs of one colour, and the pixels that they stand for."""
+    pixels = _table(spark, sf_dir, _PIXELS).select("doc_id", F.lit(0).alias("page"), "x", "y", *(F.col("grey").alias(c) for c in "rgb"))
+    count = F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"])
+    return C.packed(pixels).select("doc_id", F.col("y").cast("long").alias("y"), F.size("runs").cast("long").alias("runs"), count.alias("pixels"))
+
+
+_NAMES = "SELECT event_id AS doc_id, CAST(event_id % 3 AS BIGINT) AS page, concat(event_type, ' ', props) AS text FROM events"
+
+
+@_query(f"WITH t AS ({_NAMES}), g AS (SELECT doc_id, page, unnest(range(1, length(text) + 1)) AS i, text FROM t), "
+        "s AS (SELECT doc_id, page, i, substr(text, i, 1) AS c, i // 11 AS seqno, (i // 16) * 12 AS base, (i % 16) * 6 + CASE WHEN i % 5 = 0 THEN 7 ELSE 0 END AS x0 FROM g), "
+        "b AS (SELECT *, CASE WHEN lag(i) OVER w IS NULL OR lag(seqno) OVER w <> seqno OR lag(base) OVER w <> base OR x0 - (lag(x0) OVER w + 6) > 5 OR x0 < lag(x0) OVER w THEN i END AS start FROM s WINDOW w AS (PARTITION BY doc_id, page ORDER BY i)), "
+        "o AS (SELECT *, max(start) OVER (PARTITION BY doc_id, page ORDER BY i ROWS UNBOUNDED PRECEDING) AS span_ord FROM b) "
+        "SELECT doc_id, page, span_ord, string_agg(c, '' ORDER BY i) AS text, CAST(min(x0) AS DOUBLE) AS x0, CAST(max(x0) + 6 AS DOUBLE) AS x1 FROM o GROUP BY doc_id, page, span_ord")
+def glyph_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of text from the glyphs of every event's words, a page each."""
+    each = _table(spark, sf_dir, _NAMES).select("doc_id", "page", "text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("i"))
+    x0 = ((F.col("i") % 16) * 6 + F.when(F.col("i") % 5 == 0, 7).otherwise(0)).cast("double")
+    base = (F.floor(F.col("i") / 16) * 12).cast("double")
+    none = {"type": "int", "ascender": "double", "descender": "double", "opacity": "double", "color": "array<double>", "colorspace": "int", "layer": "string"}
+    glyphs = each.select("doc_id", "page", F.col("i").cast("long").alias("ord"), F.ascii(F.substring(F.col("text"), F.col("i"), F.lit(1))).alias("code"), base.alias("baseline"), x0.alias("x0"), base.alias("y0"), (x0 + 6).alias("x1"), (base + 10).alias("y1"), F.floor(F.col("i") / 11).cast("int").alias("seqno"), F.lit("f").alias("font"), F.lit(10.0).alias("size"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    return spans_of_glyphs(glyphs).select("doc_id", F.col("page").cast("long").alias("page"), "span_ord", "text", "bbox.x0", "bbox.x1")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
