@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: What all glyphs of a run share.
@@ -27,17 +30,23 @@ def spans_of_glyphs(glyphs: DataFrame, gap: float = 0.5, drift: float = 0.1, blo
     g = g.withColumn("style", F.struct(*STYLE)).withColumn("self", F.struct("style", "baseline", "x0", "x1"))
     in_page, in_block = W.partitionBy("doc_id", "page").orderBy("block"), W.partitionBy(*keys).orderBy("ord")
     ends = g.groupBy(*keys).agg(F.max_by("self", "ord").alias("last")).withColumn("before", F.lag("last").over(in_page)).drop("last")
-    g = g.join(ends, keys).withColumn("prior", F.coalesce(F.lag("self").over(in_block), F.col("before")))
+    g = _beside(g, ends, keys).withColumn("prior", F.coalesce(F.lag("self").over(in_block), F.col("before")))
     prior, own = F.col("prior"), F.col("self")
     size = F.coalesce("size", F.lit(0.0))
     yes = lambda c: F.coalesce(c, F.lit(False))
     begins = prior.isNull() | ~prior["style"].eqNullSafe(own["style"]) | yes(F.abs(own["baseline"] - prior["baseline"]) > drift * size) | yes(own["x0"] - prior["x1"] > gap * size) | yes(own["x0"] < prior["x0"])
     g = g.withColumn("begin", F.when(begins, F.col("ord"))).withColumn("open", F.max("begin").over(in_block.rowsBetween(W.unboundedPreceding, 0)))
     left = g.groupBy(*keys).agg(F.max("begin").alias("begin")).withColumn("handed", F.max("begin").over(in_page.rowsBetween(W.unboundedPreceding, -1))).drop("begin")
-    g = g.join(left, keys).withColumn("span_ord", F.coalesce("open", "handed"))
+    g = _beside(g, left, keys).withColumn("span_ord", F.coalesce("open", "handed"))
     return _runs(g)
 
 
+def _beside(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with what ``side`` has for their keys, null ones too."""
+    named = side.select(*(F.col(k).alias(f"{k}_") for k in keys), *(c for c in side.columns if c not in keys))
+    return rows.join(named, reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))).drop(*(f"{k}_" for k in keys))
+
+
 def _character(code: Column) -> Column:
     good = code.between(0, 0xD7FF) | code.between(0xE000, 0x10FFFF)
     # of a code beyond a byte by its UTF-32 form, as chr() stops there
