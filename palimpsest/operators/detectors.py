@@ -299,8 +299,9 @@ def _text_findings(wanted: set[str]) -> Iterator[Column]:
         yield F.when((kind == "page") & (F.length(F.col("hidden_text")) >= 40), T.bound(F.struct(T.ink(text).alias("total"), T.ink(F.col("hidden_text")).alias("unseen")), compared))
     if "encoding_anomaly" in wanted:
         controls, private = F.regexp_count(text, F.lit(X.CONTROLS)).cast("long"), F.regexp_count(text, F.lit(X.PRIVATE_USE)).cast("long")
+        some = text.rlike(X.CONTROLS[:-1] + X.PRIVATE_USE[1:])  # few texts have any of either, so only these are counted
         evidence = F.concat_ws(" and ", F.when(controls > 0, F.concat(controls.cast("string"), F.lit(" control characters"))), F.when(private >= 3, F.concat(private.cast("string"), F.lit(" private-use characters"))))
-        yield _finding("encoding_anomaly", shown & (text.rlike(X.CONTROLS) | (private >= 3)), "medium", _told("Odd characters in ", source), "encoding", evidence, F.struct(source.alias("where"), controls.alias("controls"), private.alias("private")), order)
+        yield _finding("encoding_anomaly", shown & some & (text.rlike(X.CONTROLS) | (private >= 3)), "medium", _told("Odd characters in ", source), "encoding", evidence, F.struct(source.alias("where"), controls.alias("controls"), private.alias("private")), order)
 
 
 def _hits(_: frozenset) -> Iterator[Column]:

@@ -21,6 +21,7 @@ from palimpsest.operators.glyphs import spans_of_glyphs
 from palimpsest.operators.score import score_findings, severity_counts, verdict
 from palimpsest.plans import scan as S
 from palimpsest.sources import traces as R
+from palimpsest.sources.history_table import HistoryTable
 from palimpsest.sources.scratch import scratch_folder
 from palimpsest.streaming import history_stream
 
@@ -475,6 +476,17 @@ def save_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.save(H.retain(scans, 5), scans.where("id % 5 = 0").withColumn("id", F.col("id") + 10000000), 5).select("id", "user_id")
 
 
+@_query(f"WITH s AS (SELECT id, user_id, created_at FROM ({SCANS}) s UNION ALL SELECT id + 10000000, user_id, created_at FROM ({SCANS}) s WHERE id % 5 = 0), k AS (SELECT id, user_id FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) <= 5) SELECT id, user_id FROM k WHERE NOT (user_id % 4 = 0 AND id % 3 = 0)")
+def history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history table that scans are saved to and deleted from, by the buckets of their users."""
+    scans = _scans(spark, sf_dir)
+    table = HistoryTable(spark, scratch_folder(spark, "history-table"), buckets=16)
+    table.create(H.retain(scans, 5))
+    table.save(scans.where("id % 5 = 0").withColumns({"id": F.col("id") + 10000000, "token": F.concat("token", F.lit("n"))}), 5)
+    table.delete(table.read().where("user_id % 4 = 0 AND id % 3 = 0").select("token", "user_id"))
+    return table.read().select("id", "user_id")
+
+
 @_query(f"SELECT id, user_id, verdict FROM ({SCANS}) s WHERE token = 't7' OR id = 12")
 def scan_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _scans(spark, sf_dir)
