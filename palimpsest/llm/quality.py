@@ -30,7 +30,7 @@ MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 #: Name and noise of each statistic.
 STATISTICS = (("word_length", 0.15), ("symbols", 0.3), ("upper", 0.12), ("marks", 0.3), ("digits", 0.12), ("repeated", 0.25), ("repeated_lines", 0.25))
-UNIT, SHARE, TAIL, LEAST, STEPS = 1024, 0.75, 1e-4, 100, 12
+UNIT, SHARE, TAIL, LEAST, STEPS, FILE_ROWS = 1024, 0.75, 1e-4, 100, 12, 50_000
 P = len(STATISTICS)
 _Q = [f"q{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
@@ -205,9 +205,8 @@ def _starts(vectors: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _moments() -> list[Column]:
-    """Sums and sums of products of q, as longs where they can't be too many, else beyond."""
-    wide = lambda c: F.sum(c.cast("decimal(20,0)"))
-    return [F.count("*").alias("n"), *(F.sum(q).alias(f"s{i}") for i, q in enumerate(_Q)), *(wide(F.col(_Q[i]) * F.col(_Q[j])).alias(f"s{i}_{j}") for i, j in _PAIRS)]
+    """Sums and sums of products of q: whole numbers of 24,000 at most, as logarithms of counts are, so a long holds the sums of 10^10 distinct vectors (beyond, Spark would raise)."""
+    return [F.count("*").alias("n"), *(F.sum(q).alias(f"s{i}") for i, q in enumerate(_Q)), *(F.sum(F.col(_Q[i]) * F.col(_Q[j])).alias(f"s{i}_{j}") for i, j in _PAIRS)]
 
 
 def _concentrated(vectors: DataFrame, now: DataFrame, scratch: Scratch) -> DataFrame:
@@ -219,7 +218,7 @@ def _concentrated(vectors: DataFrame, now: DataFrame, scratch: Scratch) -> DataF
     ordered = W.partitionBy("group").orderBy("step")
     within = F.sum("n").over(ordered) - F.col("n") < SHARE * F.sum("n").over(W.partitionBy("group"))
     inner = classes.withColumn("within", within).where("within").groupBy("group").agg(*(F.sum(c).alias(c) for c in _MOMENTS))
-    rows = inner.select("group.keys", "group.start", F.col("n"), *(F.col(c).cast("string" if "_" in c else "long").alias(c) for c in _MOMENTS[1:]))
+    rows = inner.select("group.keys", "group.start", F.col("n"), *_MOMENTS[1:])
     return scratch.written(rows.mapInPandas(_estimates, _ESTIMATE), "estimates")
 
 
@@ -229,7 +228,8 @@ def estimates(stats: DataFrame, scratch: Scratch) -> DataFrame:
     each = each.select(F.explode(_levels(F.col("lang"), F.col("source"))).alias("keys"), *_Q)
     each = scratch.written(each.distinct(), "vectors")
     large = each.groupBy("keys").count().where((F.col("count") >= LEAST) | (F.col("keys.lang") == "*")).select("keys")
-    vectors = scratch.written(each.join(large, "keys"), "vectors")
+    # few files, so that moments are added up within tasks before they move
+    vectors = scratch.written(each.join(large, "keys").coalesce(max(1, each.count() // FILE_ROWS)), "vectors")
     scratch.drop(each)
     now = _starts(vectors, scratch)
     for _ in range(STEPS):
