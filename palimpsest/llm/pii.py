@@ -15,6 +15,7 @@ import hashlib
 import random
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ LONGEST = 24  # tokens of an entity
 AROUND = 4  # tokens of a window beside its digits and signs
 CUT = 400  # tokens after which a run ends at the next plain word
 LABELLED = 300  # documents that the field is trained on, at most
+KNOWN = 100_000  # shapes of candidates whose scores are remembered
 SPANS, TOKENS, EXAMPLES = 2, 80, 600  # of each of them at most so many base matches, windows of so many tokens, and so many windows in all
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -174,18 +176,58 @@ class Field:
         self.w = np.zeros((0, len(KINDS)))
         self.outside = np.zeros(3)
         self.moves = np.zeros((len(KINDS) + 1, len(KINDS) + 1))
+        self.known: dict[tuple, np.ndarray | None] = {}
 
-    def segments(self, tokens: list, grow: bool = False) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """For each end the candidates: start, feature numbers, and what bars kinds."""
-        out: list[list] = [[] for _ in range(len(tokens) + 1)]
+    def candidates(self, tokens: list) -> Iterator[tuple[int, int]]:
+        """The stretches of tokens that may be an entity by what they hold: four ASCII digits and no plain word, or a sign."""
+        low = [t[2].lower() for t in tokens]
+        total = lambda of: [0, *accumulate(of(t[2], w) for t, w in zip(tokens, low, strict=True))]
+        digits, words, signs = total(lambda t, w: len(t) * (t.isascii() and t.isdigit())), total(lambda t, w: w.isalpha() and w not in ("at", "dot")), total(lambda t, w: w in ("at", "@"))
         for i in range(len(tokens)):
-            for j in range(i + 1, min(len(tokens), i + LONGEST) + 1):
-                names = span_features(tokens, i, j)
-                if names is not None:
-                    if grow:
-                        for n in names:
-                            self.index.setdefault(n, len(self.index))
-                    out[j].append((i, np.array([self.index[n] for n in names if n in self.index], np.int64), _ONLY[names[0]]))
+            if tokens[i][2][0].isalnum() or tokens[i][2] in "+(.":
+                last = min(len(tokens), i + LONGEST)
+                for j in range(i + 1, last + 1):
+                    if signs[j] > signs[i] or words[j] == words[i] and digits[j] - digits[i] >= 4:
+                        yield i, j
+                    elif words[j] > words[i] and signs[last] == signs[i]:
+                        break
+
+    def segments(self, tokens: list) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """For each end the candidates: start, feature numbers (new features are numbered), and what bars kinds."""
+        out: list[list] = [[] for _ in range(len(tokens) + 1)]
+        for i, j in self.candidates(tokens):
+            names = span_features(tokens, i, j)
+            if names is not None:
+                for n in names:
+                    self.index.setdefault(n, len(self.index))
+                out[j].append((i, np.array([self.index[n] for n in names], np.int64), _ONLY[names[0]]))
+        return out
+
+    def _value(self, tokens: list, i: int, j: int) -> np.ndarray | None:
+        names = span_features(tokens, i, j)
+        return None if names is None else self.w[[self.index[n] for n in names if n in self.index]].sum(0) + _ONLY[names[0]]
+
+    def scored(self, tokens: list) -> list[tuple[list[int], list[np.ndarray]]]:
+        """For each end the starts of the candidates, and their scores for each kind.
+
+        Features see of a number its length, its check digit and whether parts are octets, so candidates of one shape, with
+        the same neighbours, have one score, which is remembered (in a bounded table).
+        """
+        out: list[tuple] = [([], []) for _ in range(len(tokens) + 1)]
+        shape = ["0" * len(t[2]) if t[2].isascii() and t[2].isdigit() else t[2].lower() for t in tokens]
+        gaps = [a[1] < b[0] for a, b in zip(tokens, tokens[1:], strict=False)]
+        octet = [w[-4:].isdigit() and int(w[-4:]) <= 255 for _, _, w in tokens]
+        for i, j in self.candidates(tokens):
+            low, high = max(0, i - 3), j + 4
+            number = "".join([t[2] for t in tokens[i:j] if t[2].isascii() and t[2].isdigit()])
+            key = (i - low, j - low, tuple(shape[low:high]), tuple(gaps[low : high - 1]), 12 <= len(number) <= 19 and luhn(number), j - i == 7 and all(octet[i:j:2]))
+            if key not in self.known:
+                if len(self.known) > KNOWN:
+                    self.known.clear()
+                self.known[key] = self._value(tokens, i, j)
+            if (value := self.known[key]) is not None:
+                out[j][0].append(i)
+                out[j][1].append(value)
         return out
 
     @staticmethod
@@ -194,21 +236,20 @@ class Field:
 
     def best(self, tokens: list) -> list[tuple[int, int, int]]:
         """The entities (first token, end token, kind) of the best segmentation."""
-        segments, n, k = self.segments(tokens), len(tokens), len(KINDS)
+        segments, n, k = self.scored(tokens), len(tokens), len(KINDS)
         score, back = np.full((n + 1, k + 1), -np.inf), {}
         score[0, 0] = 0.0
         for e in range(1, n + 1):
             into = score[e - 1] + self.moves[:, 0]
             y = int(into.argmax())
             score[e, 0], back[e, 0] = into[y] + self.outside[self._plain(tokens[e - 1])], (e - 1, y)
-            for s, feats, only in segments[e]:
-                values = self.w[feats].sum(0) + only
-                into = score[s][:, None] + self.moves[:, 1:]
-                ys = into.argmax(0)
-                for kind in range(k):
-                    v = into[ys[kind], kind] + values[kind]
-                    if v > score[e, kind + 1]:
-                        score[e, kind + 1], back[e, kind + 1] = v, (s, int(ys[kind]))
+            starts, values = segments[e]
+            if starts:
+                into = score[starts][:, :, None] + self.moves[None, :, 1:]
+                ys, best = into.argmax(1), into.max(1) + values
+                for kind, at in enumerate(best.argmax(0).tolist()):
+                    if best[at, kind] > score[e, kind + 1]:
+                        score[e, kind + 1], back[e, kind + 1] = best[at, kind], (starts[at], int(ys[at, kind]))
         e, y, out = n, int(score[n].argmax()), []
         while e:
             s, before = back[e, y]
@@ -219,7 +260,7 @@ class Field:
 
     def fit(self, examples: list[tuple[list, list[tuple[int, int, int]]]], rounds: int = 6, rate: float = 0.3, l2: float = 1e-3) -> None:
         """Raise the conditional likelihood of the given segmentations by AdaGrad; gradients come from forward and backward sums."""
-        made = [(tokens, self.segments(tokens, grow=True), gold) for tokens, gold in examples]
+        made = [(tokens, self.segments(tokens), gold) for tokens, gold in examples]
         k = len(KINDS)
         self.w = np.zeros((len(self.index), k))
         seen_w, seen_o, seen_m = np.full_like(self.w, 1e-6), np.full(3, 1e-6), np.full_like(self.moves, 1e-6)
@@ -276,6 +317,15 @@ class Field:
                 self.moves += rate * g_m / np.sqrt(seen_m)
 
 
+def _number_row(rng: random.Random) -> str:
+    """Numbers that are nobody's: dates with times, identifiers, bank and article numbers, rows of a table."""
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    return rng.choice([
+        f"{rng.randint(1900, 2099)} {rng.randint(1, 12):02d} {rng.randint(1, 31):02d} {rng.randint(0, 23):02d} {rng.randint(0, 59):02d}", f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 31):02d} {rng.randint(0, 23):02d}:{rng.randint(0, 59):02d}:{n(2)}",
+        f"10.{n(4)} {n(3)} {n(4)} {n(2)} {n(2)}", f"10.{n(4)}/{n(6)}.{n(4)}", f"{rng.choice(['DE', 'FR', 'ES', 'GB'])}{n(2)} {n(4)} {n(4)} {n(4)} {n(4)} {n(2)}", f"978-{n(1)}-{n(4)}-{n(4)}-{n(1)}", f"{n(1)} {n(5)} {n(5)} {n(1)}", f"{n(12)}", " ".join(n(rng.randint(1, 3)) for _ in range(rng.randint(6, 14))), " ".join(f"{n(1)}.{n(2)}" for _ in range(rng.randint(4, 8))),
+    ])
+
+
 def _variants(kind: str, text: str, rng: random.Random) -> Iterator[tuple[str, bool]]:
     """Other ways to write an entity (True) and look-alikes that are none (False)."""
     digits = "".join(c for c in text if c.isdigit())
@@ -287,15 +337,20 @@ def _variants(kind: str, text: str, rng: random.Random) -> Iterator[tuple[str, b
     elif kind == "card":
         yield rng.choice([".", "  ", "/"]).join(digits[i : i + 4] for i in range(0, len(digits), 4)), True
         yield digits[:-1] + str((int(digits[-1]) + rng.randint(1, 9)) % 10), False
+        yield _number_row(rng), False
     elif kind == "ip":
         yield text.replace(".", "-"), False
         yield ".".join(str(rng.randint(256, 999)) for _ in range(4)), False
         yield ".".join(text.split(".")[:3]), False
     elif kind == "email":
-        local, _, domain = text.partition("@")
-        yield f"{local} at {domain.replace('.', ' dot ')}", True
-        yield f"{local} [at] {domain}", True
-        yield rng.choice([f"@{local}", f"{local} at {local} dot", domain]), False
+        letters = lambda low, high: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(low, high)))
+        # names and hosts of any form, not only those that the texts happen to have
+        local = rng.choice([text.partition("@")[0], letters(3, 9), f"{letters(2, 6)}.{letters(3, 8)}", f"{letters(1, 3)}_{letters(3, 6)}", f"{letters(3, 7)}{rng.randint(1, 99)}"])
+        domain = rng.choice([text.partition("@")[2], f"{letters(3, 9)}.{letters(2, 3)}", f"{letters(3, 6)}{rng.randint(1, 9)}.{letters(3, 8)}.{letters(2, 3)}", f"{letters(2, 5)}-{letters(2, 5)}.{letters(2, 4)}"])
+        spoken = lambda t: t.upper() if rng.random() < 0.3 else t
+        yield spoken(f"{local} at {domain.replace('.', ' dot ')}"), True
+        yield spoken(f"{local} {rng.choice(['[at]', '(at)', '{at}'])} {domain.replace('.', rng.choice(['.', ' dot ', ' [dot] ', ' (dot) ']))}"), True
+        yield rng.choice([f"@{local}", f"{local} at {local} dot", domain, f"{letters(3, 7)} at {letters(4, 8)}", f"{letters(3, 6)} at the dot {letters(3, 6)}"]), False
 
 
 def train(texts: list[str], seed: int = 7) -> Field:
