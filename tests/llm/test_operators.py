@@ -797,11 +797,19 @@ def test_query_op9(spark, documents):
 
 
 def test_query_op10(spark, documents):
+    """Folds, ranges, and that scores are what learning left: held-out rows are told apart by labels that no score has seen."""
     from palimpsest.llm.queries import op10_toxicity
 
     got = op10_toxicity(spark, SF).collect()
     assert {r["doc_id"]: r["held_out"] for r in got} == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in documents}
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    score = {documents[r["doc_id"]]: r["score"] for r in got}
+    assert all(abs(r["score"] - score[documents[r["doc_id"]]]) < 1e-12 for r in got)  # equal texts are scored alike
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    for fold in (True, False):
+        one, zero = ([r["score"] for r in got if r["held_out"] == fold and labels.get(r["doc_id"]) == v] for v in (1, 0))
+        pairs = [(a > b) + (a == b) / 2 for a in one for b in zero]
+        assert not pairs or sum(pairs) / len(pairs) > 0.8
 
 
 @pytest.fixture(scope="module")
@@ -834,14 +842,12 @@ def _plain(df):
 
 
 def test_stage_toxicity(spark, corpus):
+    """What was planted goes and all else stays, odd rows too: no score of the model has a part in what is expected."""
     import corpus_pipeline
-    from palimpsest.llm.toxicity import fit
 
     docs, folder, _ = corpus
-    model = fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
-    expected = [r for r in _plain(docs) if model.score((r[1] or "").encode()) < 0.5]
-    assert _plain(corpus_pipeline.toxicity(spark, docs, folder)) == expected
-    assert len(docs.collect()) - len(expected) == 50 and not any("grumpf" in (r[1] or "") for r in expected)
+    expected = [r for r in _plain(docs) if not re.search("grumpf[0-4]", r[1] or "")]
+    assert _plain(corpus_pipeline.toxicity(spark, docs, folder)) == expected and len(docs.collect()) - len(expected) == 50
 
 
 def test_stage_near_duplicates(spark, corpus):
@@ -867,37 +873,62 @@ def test_stage_decontamination(spark, corpus):
 
 
 def test_stage_personal_data(spark, corpus):
+    """By the regular expressions of the base rules, as the corpus holds no other forms (one odd text has an address without a dot in its name)."""
     import corpus_pipeline
-    from palimpsest.llm.pii import all_spans, fit_field
 
     docs, folder, _ = corpus
-    field = fit_field(docs)
     expected = []
     for doc_id, text, lang, source, _ in docs.collect():
-        for s, e, kind in reversed(all_spans(text or "", field)[1]):
-            text = text[:s] + f"[{kind.upper()}]" + text[e:]
+        if text:
+            text = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", text)
+            text = re.sub(r"\+[0-9][ ().0-9-]+[0-9]", lambda m: "[PHONE]" if 9 <= sum(c.isdigit() for c in m[0]) <= 15 else m[0], text)
         expected.append((doc_id, text, lang, source, None if text is None else len(text)))
     got = corpus_pipeline.personal_data(spark, docs, folder)
     assert got.schema == docs.schema and _plain(got) == sorted(expected, key=lambda r: tuple((x is None, x) for x in r))
     assert sum("[EMAIL] or [PHONE]" in (r[1] or "") for r in expected) == 40
 
 
-def test_stage_packing(spark, corpus):
+def plain_packing(rows, capacity=8192, most=8):
+    """Bins as lists of (doc_id, n) by trying every bin: rows (doc_id, n, words, source) in order."""
+    full, left = [], []
+    for i, (doc_id, n, *_) in enumerate(rows):
+        full += [[(doc_id, capacity)]] * (n // capacity)
+        left += [(n % capacity, i)] * (n % capacity > 0)
+    bins = []
+    for n, i in sorted(left, key=lambda x: (-x[0], x[1])):
+        doc_id, _, words, source = rows[i]
+        fits = [(capacity - sum(h[1] for h in b), k) for k, b in enumerate(bins) if capacity - sum(h[1] for h in b) >= n and not (words and any(h[2] == words for h in b)) and sum(h[3] == source for h in b) < most]
+        if not fits:
+            bins.append([])
+        bins[min(fits)[1] if fits else -1].append((doc_id, n, words, source))
+    return full + [[h[:2] for h in b] for b in bins]
+
+
+def _bins(bins):
+    return sorted((sorted(b, key=str) for b in bins), key=str)
+
+
+def _sized(docs):
+    """(doc_id, tokens with the end, words, source) of rows (doc_id, text, source)."""
     from tokenizers import Tokenizer
 
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    return [(i, len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1, (t or "").lower().split(), s) for i, t, s in docs]
+
+
+def test_stage_packing(spark, corpus):
+    """Every bin against trying all bins, in the order of ids: sizes by the library, rows of equal words apart, at most eight of a source."""
     import corpus_pipeline
 
     docs, folder, _ = corpus
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    total = sum(len(tokenizer.encode(r[1] or "", add_special_tokens=False).ids) + 1 for r in docs.collect())
-    placed = corpus_pipeline.packing(spark, docs, folder).collect()
-    bins = {}
+    rows = sorted(_sized([(r["doc_id"], r["text"], r["source"]) for r in docs.collect()]), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    placed, bins = corpus_pipeline.packing(spark, docs, folder).collect(), {}
     for r in placed:
-        bins.setdefault(r["bin"], []).append((r["offset"], r["n_tokens"]))
-    assert sum(r["n_tokens"] for r in placed) == total and {r["doc_id"] for r in placed} == {r[0] for r in docs.collect()}
+        bins.setdefault(r["bin"], []).append((r["offset"], r["doc_id"], r["n_tokens"]))
     for held in bins.values():
-        held.sort()
-        assert held[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in itertools.pairwise(held)) and sum(n for _, n in held) <= 8192
+        held.sort(key=lambda h: h[0])
+        assert held[0][0] == 0 and all(a[0] + a[2] == b[0] for a, b in itertools.pairwise(held))
+    assert _bins([h[1:] for h in held] for held in bins.values()) == _bins(plain_packing(rows))
 
 
 def test_stages_on_empty_and_odd_tables(spark, corpus, odd, none):
