@@ -14,11 +14,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is what the cluster names in ``spark.checkpoint.dir``; only where that is
-    unset (a local session, as in tests) a temporary folder is made and set.
+    It is what the cluster names in ``spark.checkpoint.dir``; only in a local session without that
+    (as in tests) a temporary folder is made and set. On a cluster executors wouldn't see it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.sparkContext.setCheckpointDir(root)
         root = spark.sparkContext.getCheckpointDir()
