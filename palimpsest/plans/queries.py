@@ -132,6 +132,33 @@ def span_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan_of_spans(spark, sf_dir).spans.select("doc_id", F.col("span_ord").alias("span_key"), F.array_join(F.transform("reasons", lambda r: r["code"]), ",").alias("reasons"), F.col("is_hidden").alias("hidden"))
 
 
+_REASON_TEXTS_SQL = """concat_ws('; ', CASE WHEN kind = 3 THEN 'no ink (render mode 3)' END, CASE WHEN opacity <= 0.08 THEN concat(CAST(CAST(round_even(opacity * 100, 0) AS INT) AS VARCHAR), '% opacity') END, CASE WHEN eff_size > 0 AND eff_size < 3.5 THEN concat(format('{:.2f}', round_even(eff_size, 2)), 'pt type') END, CASE WHEN visible < 0.35 THEN 'outside the page' END, CASE WHEN kind <> 3 AND NOT opacity <= 0.08 AND ratio < 1.6 THEN concat(format('{:.2f}', round_even(ratio, 2)), ':1 contrast') END, CASE WHEN layer = 'R' THEN 'layer “R” is off' END, CASE WHEN (doc_id, page, span_key) IN (SELECT (doc_id, page, span_key) FROM cov) THEN 'covered by an opaque shape' END)"""
+
+
+@_query("WITH " + _SPANS_SQL + " SELECT doc_id, span_key, " + _REASON_TEXTS_SQL + " AS reasons FROM s WHERE " + _REASON_TEXTS_SQL + " <> ''")
+def reason_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why runs are hidden, in words."""
+    hidden = _scan_of_spans(spark, sf_dir).spans.where("is_hidden")
+    return hidden.select("doc_id", F.col("span_ord").alias("span_key"), F.array_join(F.transform("reasons", lambda r: r["text"]), "; ").alias("reasons"))
+
+
+_TITLES = {
+    "invisible_render_mode": "CASE WHEN doc_id % 10 / 10.0 > 0.6 THEN 'Text without ink on a scanned page' ELSE 'Text drawn without ink' END",
+    "transparent_text": "concat('Text at ', CAST(CAST(round_even(opacity * 100, 0) AS INT) AS VARCHAR), '% opacity')",
+    "low_contrast_text": "concat('Text at ', format('{:.2f}', round_even(ratio, 2)), ':1 to what is behind it')",
+    "micro_type": "concat('Text of ', format('{:.2f}', round_even(eff_size, 2)), 'pt')",
+    "offpage_text": "'Text outside the page'",
+    "covered_text": "'Text under an opaque shape'",
+    "hidden_layer": "'Text on the layer “R”, which is off'",
+}
+
+
+@_query("WITH " + _SPANS_SQL + " " + " UNION ALL ".join(f"SELECT '{code}' AS code, {title} AS title, count(*) AS n FROM s WHERE {SQL[code][SQL[code].index(' FROM s WHERE ') + 14:SQL[code].index(' GROUP BY ALL')]} GROUP BY ALL" for code, title in _TITLES.items()))
+def finding_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the findings of runs are called, with the figures in their titles, and how often."""
+    return D.find(_scan_of_spans(spark, sf_dir), tuple(_TITLES)).groupBy("code", "title").agg(F.count("*").alias("n"))
+
+
 @_query(f"WITH {_SPANS_SQL} SELECT doc_id, span_key, round(ratio, 6) AS ratio, round(eff_size, 6) AS eff_size, concat('#', repeat(lpad(hex(CAST(round_even(grey * 255, 0) AS BIGINT)), 2, '0'), 3)) AS hex FROM s")
 def contrast_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan_of_spans(spark, sf_dir).spans.select("doc_id", F.col("span_ord").alias("span_key"), F.round("ratio", 6).alias("ratio"), F.round("eff_size", 6).alias("eff_size"), "hex")
@@ -210,6 +237,12 @@ def injection_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.detector("injection_visible")(_scan_of_texts(spark, sf_dir)).select("doc_id", "severity")
 
 
+@_query(f"WITH f AS (SELECT doc_id, severity FROM ({SQL['injection_hidden']}) UNION ALL SELECT doc_id, severity FROM ({SQL['injection_visible']})), z AS (SELECT doc_id, count(*) AS findings, CAST(least(100, sum(CASE severity WHEN 'critical' THEN 34 WHEN 'high' THEN 20 WHEN 'medium' THEN 9 ELSE 3 END)) AS INT) AS score FROM f GROUP BY doc_id) SELECT doc_id, findings, score, CASE WHEN score >= 70 THEN 'poisoned' WHEN score >= 35 THEN 'suspicious' WHEN score >= 12 THEN 'review' ELSE 'clean' END AS verdict FROM z")
+def injection_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents that address a model in what is seen, in what is hidden, or in both."""
+    return score_findings(D.find(_scan_of_texts(spark, sf_dir), ("injection",)))
+
+
 # characters ----------------------------------------------------------------
 
 def _n(characters: str) -> str:
