@@ -73,7 +73,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-#: A learnt classifier, a learnt field and a tokenizer are beyond SQL; tests/llm has a brute-force version of each stage.
+#: A learnt classifier, a learnt field and a tokenizer are beyond SQL; tests/llm holds the other stages against brute-force versions, and toxicity against what was planted.
 ORACLE_SQL = None
 
 
