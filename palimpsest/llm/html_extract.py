@@ -21,7 +21,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -47,31 +47,37 @@ CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th",
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>?", re.S)
 _ATTR = re.compile(r"\b(class|id|role|hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_UNSEEN = re.compile(r"\bstyle\s*=\s*(?:\"[^\"]*?display\s*:\s*none|'[^']*?display\s*:\s*none|display:none)", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its tag, class words, children (nodes and texts) and parent; ``number`` is that of its skeleton's node, ``member`` its own in the run of that."""
+    """An element: its tag, class words, children (nodes and texts) and parent; ``number`` is that of its skeleton's node, ``member`` its own in the run of that.
 
-    __slots__ = ("tag", "words", "children", "parent", "number", "kind", "member")
+    ``near`` is the nearest block (or option) that it is or is in, so that nobody has to walk the inline elements between; ``depth`` counts its ancestors.
+    """
+
+    __slots__ = ("tag", "words", "children", "parent", "number", "kind", "member", "near", "depth")
 
     def __init__(self, tag: str, words: frozenset, kind: str, parent: Node | None) -> None:
         self.tag, self.words, self.kind, self.parent = tag, words, kind, parent
         self.children: list = []
         self.number = self.member = -1
+        self.near = self if parent is None or tag in BLOCK or tag == "option" else parent.near
+        self.depth = parent.depth + 1 if parent else 0
 
 
 def parse(source: str) -> Node:
     """The tree of a page. Unclosed elements end where HTML says or with their parent; raw elements are left out."""
     top = node = Node("html", frozenset(), "html", None)
     at, n = 0, len(source)
-    opened: Counter = Counter()  # elements of each tag that are open
+    opened: dict[str, list[Node]] = defaultdict(list)  # elements of each tag that are open, the innermost last
 
     def close(x: Node) -> Node:
         y = node
         while y is not x.parent:
-            opened[y.tag] -= 1
+            opened[y.tag].pop()
             y = y.parent
         return x.parent
 
@@ -88,10 +94,11 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:  # an end tag closes the nearest element of its name, but an inline one none beyond a block
-            x = node
-            while opened[tag] and x is not top and x.tag != tag and (tag in BLOCK or x.tag not in BLOCK):
-                x = x.parent
-            if x is not top and x.tag == tag:
+            x = opened[tag][-1] if opened[tag] else top
+            block = node.near
+            while block.tag == "option":
+                block = block.parent.near
+            if x is not top and (tag in BLOCK or x.depth > block.depth or block is top):
                 node = close(x)
             elif tag == "p":
                 node.children.append(Node("p", frozenset(), "p", node))
@@ -105,11 +112,11 @@ def parse(source: str) -> Node:
             continue
         if tag in BLOCK or tag in CLOSES:
             closes = CLOSES.get(tag, "").split() or ["p"]
-            x, found = node, None
+            x, found = node.near, None
             while (opened["p"] or any(opened[c] for c in closes)) and x is not top and (x.tag in closes or x.tag not in BLOCK or x.tag == "p"):
                 if x.tag in closes or (x.tag == "p" and tag in BLOCK):
                     found = x
-                x = x.parent
+                x = x.parent.near
             if found:
                 node = close(found)
         words, kind = frozenset(), tag
@@ -117,11 +124,13 @@ def parse(source: str) -> Node:
             attrs = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(m[3])}
             words = frozenset(w for k in ("class", "id", "role", "itemprop") if k in attrs for w in _WORDS.findall(attrs[k].lower())) | ({"hidden"} if "hidden" in attrs else frozenset())
             kind = f"{tag}.{attrs.get('class', '')}" if attrs else tag
+            if "display" in m[3].lower() and _UNSEEN.search(m[3]):
+                words |= {"hidden"}
         new = Node(tag, words, kind, node)
         node.children.append(new)
         if tag not in VOID and not m[3].endswith("/"):
             node = new
-            opened[tag] += 1
+            opened[tag].append(new)
     return top
 
 
