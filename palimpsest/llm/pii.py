@@ -332,7 +332,8 @@ def _variants(kind: str, text: str, rng: random.Random) -> Iterator[tuple[str, b
     yield text, True
     if kind == "phone":
         d = "".join(rng.choice("0123456789") for _ in range(10))
-        yield rng.choice([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"({d[:3]}) {d[3:6]} {d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}"]), True
+        for form in rng.sample([f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}-{d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}", f"({d[:3]}) {d[3:6]} {d[6:]}", f"{d[:3]} {d[3:6]} {d[6:]}"], 3):
+            yield form, True
         yield rng.choice([f"{d[:4]}-{d[4:6]}-{d[6:8]}", f"{d[:4]}.{d[4:6]}", f"{d[:2]}:{d[2:4]}", f"{d[:5]}", f"{d[:8]}", f"{d[:3]} {d[3:6]}"]), False
     elif kind == "card":
         yield rng.choice([".", "  ", "/"]).join(digits[i : i + 4] for i in range(0, len(digits), 4)), True
@@ -345,12 +346,14 @@ def _variants(kind: str, text: str, rng: random.Random) -> Iterator[tuple[str, b
     elif kind == "email":
         letters = lambda low, high: "".join(rng.choice("abcdefghijklmnoprstuvwz") for _ in range(rng.randint(low, high)))
         # names and hosts of any form, not only those that the texts happen to have
-        local = rng.choice([text.partition("@")[0], letters(3, 9), f"{letters(2, 6)}.{letters(3, 8)}", f"{letters(1, 3)}_{letters(3, 6)}", f"{letters(3, 7)}{rng.randint(1, 99)}"])
-        domain = rng.choice([text.partition("@")[2], f"{letters(3, 9)}.{letters(2, 3)}", f"{letters(3, 6)}{rng.randint(1, 9)}.{letters(3, 8)}.{letters(2, 3)}", f"{letters(2, 5)}-{letters(2, 5)}.{letters(2, 4)}"])
         spoken = lambda t: t.upper() if rng.random() < 0.3 else t
-        yield spoken(f"{local} at {domain.replace('.', ' dot ')}"), True
-        yield spoken(f"{local} {rng.choice(['[at]', '(at)', '{at}'])} {domain.replace('.', rng.choice(['.', ' dot ', ' [dot] ', ' (dot) ']))}"), True
+        for _ in range(3):
+            local = rng.choice([text.partition("@")[0], letters(3, 9), f"{letters(2, 6)}.{letters(3, 8)}", f"{letters(1, 3)}_{letters(3, 6)}", f"{letters(3, 7)}{rng.randint(1, 99)}"])
+            domain = rng.choice([text.partition("@")[2], f"{letters(3, 9)}.{letters(2, 3)}", f"{letters(3, 6)}{rng.randint(1, 9)}.{letters(3, 8)}.{letters(2, 3)}", f"{letters(2, 5)}-{letters(2, 5)}.{letters(2, 4)}"])
+            yield spoken(f"{local} at {domain.replace('.', ' dot ')}"), True
+            yield spoken(f"{local} {rng.choice(['[at]', '(at)', '{at}'])} {domain.replace('.', rng.choice(['.', ' dot ', ' [dot] ', ' (dot) ']))}"), True
         yield rng.choice([f"@{local}", f"{local} at {local} dot", domain, f"{letters(3, 7)} at {letters(4, 8)}", f"{letters(3, 6)} at the dot {letters(3, 6)}"]), False
+        yield f"{letters(3, 6)} at the dot {letters(3, 6)}", False
 
 
 def train(texts: list[str], seed: int = 7) -> Field:
