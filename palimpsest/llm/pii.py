@@ -122,6 +122,8 @@ def windows(text: str) -> Iterator[list[tuple[int, int, str]]]:
 
 #: Words that stand before personal data.
 CUES = {"phone": "tel telefon telefono phone call mobile cell fax fon appelez llame".split(), "email": "mail email write contact kontakt correo courriel".split(), "card": "card visa mastercard carte karte kreditkarte tarjeta".split(), "ip": "ip host server address addr".split()}
+#: Small words that no name or host is.
+SMALL = frozenset("the a an of to on by this that my your our and or der die das ein eine le les un une el los una".split())
 _CUE = {w: k for k, ws in CUES.items() for w in ws}
 
 
@@ -156,6 +158,7 @@ def span_features(tokens: list[tuple[int, int, str]], i: int, j: int) -> list[st
         more = bool(re.match(_DOT + "[^ ]|-[^ ]", "".join(more)))
         joins = i > 0 and tokens[i - 1][1] == tokens[i][0] and tokens[i - 1][2][-1] in _LOCAL
         out += [f"form={form}", f"more={more}", f"form={form},more={more},joins={joins}", f"form={form},more={more},{words[at]},{words[at - 1] == '['}"]
+        out.append(f"small={any(w in SMALL for w in words)},form={form}")
         out += [f"inside={form}"] * (j - i)  # each token, as each token outside counts too
     before, after = tokens[max(0, i - 3) : i], tokens[j : j + 1]
     out += [f"cue={k}" for k in {_CUE[t[2].lower()] for t in before if t[2].lower() in _CUE}]
