@@ -261,7 +261,7 @@ class Field:
             e, y = s, before
         return out[::-1]
 
-    def fit(self, examples: list[tuple[list, list[tuple[int, int, int]]]], rounds: int = 6, rate: float = 0.3, l2: float = 1e-3) -> None:
+    def fit(self, examples: list[tuple[list, list[tuple[int, int, int]]]], rounds: int = 10, rate: float = 0.3, l2: float = 1e-3) -> None:
         """Raise the conditional likelihood of the given segmentations by AdaGrad; gradients come from forward and backward sums."""
         made = [(tokens, self.segments(tokens), gold) for tokens, gold in examples]
         k = len(KINDS)
