@@ -41,6 +41,8 @@ SLOTS, CHUNKS = 1 << 22, 64  # of the count sketch
 ROWS = 256  # documents in a block of a column, for leaders
 SQUARE = 512  # entries of a block in the second product
 PAIRS = 64  # pairs that a leader's text is shipped for at once
+MAP = 15  # Spark's bitmaps have 2^15 bits
+ASKED = 1 << 25  # bits that say which texts are asked for; with more texts than that more of the others are shipped beside them
 LEADERS = 64  # of a column; a class that finds none is left to the second product, which takes every pair
 _PIECE = 1 << 20  # bytes that are hashed at a time
 
@@ -208,9 +210,9 @@ def _shared_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(0).to_numpy()
+        col = batch.column("column").to_numpy()
         same = col[1:] == col[:-1]
-        keep = np.r_[False, same] | np.r_[same, False] | (batch.column(1).to_numpy() >= 0)
+        keep = np.r_[False, same] | np.r_[same, False] | (batch.column("block").to_numpy() >= 0)
         if last_col is not None and col[0] == last_col:
             keep[0] = True
             if alone:
@@ -321,15 +323,26 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch("a long, b long", *zip(*rows, strict=True))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _asked_for(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of docs whose key (k1, k2) is among the asked ones, and few others: a bitmap of fixed size, broadcast, keeps the rest from being shuffled."""
+    slot = F.pmod(F.xxhash64("k1", "k2"), F.lit(ASKED))
+    place, bit = F.shiftright(slot, MAP).alias("map"), slot.bitwiseAND((1 << MAP) - 1)
+    maps = asked.groupBy(place).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return docs.withColumn("map", place).join(F.broadcast(maps), "map").where(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1).select(docs.columns)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of classes that are links. A text is shipped once for each pair that it is a of, and once for PAIRS pairs that it is b of."""
     count = pairs.groupBy("b").agg(F.ceil(F.count("*") / PAIRS).alias("cut"))
     pairs = pairs.join(count, "b").select("b", F.pmod(F.xxhash64("a"), F.col("cut")).cast("int").alias("block"), "a")
     asked = pairs.select(F.col("a").alias("id"), "b", "block", "a").unionByName(pairs.select(F.col("b").alias("id"), "b", "block", F.lit(None).cast("long").alias("a")).distinct())
-    rows = asked.select("id").distinct().join(classes.select("id", "k1", "k2"), "id")
+    asked = scratch.written(asked.join(classes.select("id", "k1", "k2"), "id").drop("id"), "jaccard-asked")
     # rows that repeat have one key: one of them is enough
-    texts = docs.join(rows, ["k1", "k2"]).groupBy("id").agg(F.first("text").alias("text"))
-    return dealt(texts.join(asked, "id").select("b", "block", "a", "text"), ["b", "block"], "a").mapInArrow(_linked, "a long, b long")
+    texts = _asked_for(docs.select("k1", "k2", "text"), asked).groupBy("k1", "k2").agg(F.first("text").alias("text"))
+    links = scratch.written(dealt(texts.join(asked, ["k1", "k2"]).select("b", "block", "a", "text"), ["b", "block"], "a").mapInArrow(_linked, "a long, b long"), "jaccard-links")
+    scratch.drop(asked)
+    return links
 
 
 def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -342,12 +355,17 @@ def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
 
     row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "k1", "k2"))
     classes = signed.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("low"), row.alias("row"), F.first("n").cast("int").alias("n"), F.first("columns").alias("columns"), F.first("blocks").alias("blocks"))
-    classes = scratch.written(classes.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "low", "row.k1", "row.k2", "n", "columns", "blocks"), "jaccard-classes")
-    entries = classes.select("id", "n", F.posexplode(F.arrays_zip("columns", "blocks")).alias("at", "e")).select(F.col("e.columns").alias("column"), F.col("e.blocks").alias("block"), "id", "n", "at")
+    wide = scratch.written(classes.select(F.monotonically_increasing_id().alias("id"), "c1", "c2", "low", "row.k1", "row.k2", "n", "columns", "blocks"), "jaccard-classes")
+    rows = scratch.written(signed.drop("columns", "blocks"), "jaccard-rows")
+    classes = scratch.written(wide.drop("columns", "blocks"), "jaccard-classes")
+    scratch.drop(signed)
+    # most entries are of columns that no other class has: what the rest needs besides is joined to it later; with the block last a row compresses best
+    entries = wide.select("id", F.posexplode(F.arrays_zip("columns", "blocks")).alias("at", "e")).select(F.col("e.columns").alias("column"), "id", "at", F.col("e.blocks").alias("block"))
     entries = dealt(entries, ["column", "block"]).mapInArrow(_shared_columns, entries.schema)
     # own: the earlier columns of the class that no other class has
-    entries = entries.withColumn("own", F.col("at") + 1 - F.row_number().over(W.partitionBy("id").orderBy("at")))
+    entries = entries.join(classes.select("id", "n"), "id").withColumn("own", F.col("at") + 1 - F.row_number().over(W.partitionBy("id").orderBy("at")))
     entries = scratch.written(entries.select("column", "block", "id", "n", "own", (F.col("n") - F.col("at")).alias("room")), "jaccard-entries")
+    scratch.drop(wide)
 
     def led(df: DataFrame) -> DataFrame:
         return dealt(df.select("column", "block", "late", "own", "id", "n"), ["column", "block"], "late", "own", "id").mapInArrow(_leaders, _STARS)
@@ -360,7 +378,7 @@ def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     early = heads.join(blocks, "column").select("column", "block", F.lit(False).alias("late"), "own", F.col("a").alias("id"), "n")
     first = led(late.select(*early.columns).unionByName(early)).where("b is not null").select("a", "b")
     first = scratch.written(first.groupBy("a", "b").count().groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), "jaccard-pairs")
-    links = scratch.written(_verified(first, classes, docs), "jaccard-links")
+    links = _verified(first, classes, docs, scratch)
     joined = scratch.written(connected(links, "a", "b"), "jaccard-components")
     scratch.drop(heads, first)
 
@@ -371,14 +389,14 @@ def _components(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     mixed = mixed.select("column", "own_block", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other"), F.col("n").cast("long").alias("n"), "id", F.col("room").cast("long").alias("room"), "comp")
     mixed = mixed.select("column", F.least("own_block", "other").alias("i"), F.greatest("own_block", "other").alias("j"), F.col("own_block").alias("block"), "n", "id", "room", "comp")
     second = scratch.written(dealt(mixed, ["column", "i", "j"]).mapInArrow(_products, "a long, b long").distinct(), "jaccard-pairs")
-    links = scratch.written(links.unionByName(_verified(second, classes, docs)), "jaccard-links")
+    more = _verified(second, classes, docs, scratch)
 
-    joined = connected(links, "a", "b").withColumnRenamed("node", "id")
+    joined = connected(links.unionByName(more), "a", "b").withColumnRenamed("node", "id")
     groups = classes.select("id", "c1", "c2", "low", "k1", "k2").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
     smallest = groups.groupBy("component").agg(F.min("low").alias("component_id"))
     named = scratch.written(groups.join(smallest, "component").select("c1", "c2", "low", "k1", "k2", "component", "component_id"), "jaccard-groups")
-    scratch.drop(classes, entries, second, links)
-    return signed.select("doc_id", "k1", "k2", "n", "c1", "c2"), named
+    scratch.drop(classes, entries, second, links, more)
+    return rows, named
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
