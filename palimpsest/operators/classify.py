@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from palimpsest.functions import geometry as G
@@ -12,13 +15,11 @@ WHITE = "named_struct('r', 1.0D, 'g', 1.0D, 'b', 1.0D)"
 REASONS = ("no_ink", "transparent", "tiny", "off_page", "low_contrast", "layer_off", "covered")
 
 
-def measured(spans: DataFrame, page_info: DataFrame) -> DataFrame:
-    """Spans with what the predicates read: eff_size, ratio, hex, visible (share on the page), box, image_share, span_key."""
-    info = page_info.select("doc_id", "page", "box", "image_share")
-    s = spans.join(info, ["doc_id", "page"], "left")
+def measured(spans: DataFrame) -> DataFrame:
+    """Spans, with box and image_share of their page, with what the predicates read: eff_size, ratio, hex, bg_hex and visible (share on the page)."""
     fg, bg = G.normal_colour(F.col("color"), F.col("colorspace")), F.coalesce(F.col("bg"), F.expr(WHITE))
     own = G.area(F.col("bbox"))
-    return s.select("*", G.effective_size(F.col("size"), F.col("ascender"), F.col("descender"), F.col("bbox")).alias("eff_size"), G.contrast(fg, bg).alias("ratio"), G.hex_colour(fg).alias("hex"), G.hex_colour(bg).alias("bg_hex"), F.when(own > 0, G.overlap(F.col("bbox"), F.col("box")) / own).alias("visible"))
+    return spans.select("*", G.effective_size(F.col("size"), F.col("ascender"), F.col("descender"), F.col("bbox")).alias("eff_size"), G.contrast(fg, bg).alias("ratio"), G.hex_colour(fg).alias("hex"), G.hex_colour(bg).alias("bg_hex"), F.when(own > 0, G.overlap(F.col("bbox"), F.col("box")) / own).alias("visible"))
 
 
 #: Share of a run's area that a cover must overlap; the least cell, as a power of two of a point, and where coordinates are clipped to.
@@ -38,11 +39,16 @@ def _cell(at: Column, level: Column) -> Column:
     return F.floor(_near(at) / F.pow(F.lit(2.0), level)).cast("long")
 
 
+def _solid(covers: DataFrame) -> DataFrame:
+    """(doc_id, page, cover_seqno, cover_ord, rect, hex) of opaque covers."""
+    fill = G.hex_colour(G.normal_colour(F.col("fill"), F.lit(None).cast("int")))
+    return opaque(covers).select("doc_id", "page", F.col("seqno").alias("cover_seqno"), "cover_ord", "rect", fill.alias("hex"))
+
+
 def cover_cells(covers: DataFrame) -> DataFrame:
     """Opaque covers with the cells (lx, ly, cx, cy) that they lie in: four at most, as a cell is no smaller than the cover, by width and height."""
     r = F.col("rect")
-    fill = G.hex_colour(G.normal_colour(F.col("fill"), F.lit(None).cast("int")))
-    c = opaque(covers).select("doc_id", "page", F.col("seqno").alias("cover_seqno"), "cover_ord", "rect", fill.alias("hex"), _level(r["x0"], r["x1"]).alias("lx"), _level(r["y0"], r["y1"]).alias("ly"))
+    c = _solid(covers).select("*", _level(r["x0"], r["x1"]).alias("lx"), _level(r["y0"], r["y1"]).alias("ly"))
     span = lambda low, high, level: F.sequence(_cell(low, level), _cell(high, level))
     c = c.withColumn("cx", F.explode(span(r["x0"], r["x1"], F.col("lx"))))
     return c.withColumn("cy", F.explode(span(r["y0"], r["y1"], F.col("ly"))))
@@ -68,17 +74,74 @@ def covered(spans: DataFrame, covers: DataFrame) -> DataFrame:
     """
     cells = cover_cells(covers)
     near = run_cells(spans, cells).join(cells, ["doc_id", "page", "lx", "ly", "cx", "cy"])
-    pairs = near.where((F.col("cover_seqno") > F.col("seqno")) & (G.overlap(F.col("bbox"), F.col("rect")) >= COVERED * G.area(F.col("bbox"))))
-    return pairs.groupBy("doc_id", "page", "span_ord").agg(F.min(F.struct("cover_ord", "cover_seqno", "rect", "hex")).alias("cover"))
+    pairs = near.where(_hides(F.col("cover_seqno"), F.col("rect")))
+    return pairs.groupBy("doc_id", "page", "span_ord").agg(F.min(F.struct(*_COVER)).alias("cover"))
+
+
+_COVER = ("cover_ord", "cover_seqno", "rect", "hex")
+#: Up to so many covers of a page are told to each of its runs; the runs and covers of other pages are joined by cells.
+FEW = 16
+
+
+def _hides(seqno: Column, rect: Column) -> Column:
+    """Whether a cover, by its place in the order of drawing and its rectangle, hides a run."""
+    return (seqno > F.col("seqno")) & (G.area(F.col("bbox")) > 0) & (G.overlap(F.col("bbox"), rect) >= COVERED * G.area(F.col("bbox")))
+
+
+def covers_of_pages(covers: DataFrame) -> DataFrame:
+    """(doc_id, page, covers): the opaque covers of each page, the first ``FEW`` + 1 at most, so that an array of that length says that there are more than ``FEW``."""
+    rank = F.row_number().over(W.partitionBy("doc_id", "page").orderBy("cover_ord", "cover_seqno"))
+    first = _solid(covers).repartition("doc_id").withColumn("rank", rank).where(F.col("rank") <= FEW + 1)
+    return first.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*_COVER)).alias("covers"))
+
+
+def _on_pages(df: DataFrame, pages: DataFrame) -> DataFrame:
+    """The rows of pages that are among these by a hash of 15 bits, which rows of some other pages are, too: a bitmap of 4 kB is asked where rows are read, so others aren't dealt out."""
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.col("page").cast("long")), F.lit(1 << 15)).cast("int")
+    among = pages.agg(F.bitmap_construct_agg(place.cast("long"))).scalar()
+    byte = F.conv(F.hex(F.substr(among, F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return df.where(F.getbit(byte, place % 8) == 1)
+
+
+def _beside(spans: DataFrame, off: DataFrame, page_info: DataFrame, covers: DataFrame, hits: DataFrame) -> DataFrame:
+    """Spans with ``off`` of their document, ``box``, ``image_share`` and ``covers`` of their page, and their own ``cover``.
+
+    What is said of a document, a page or a run is a row before the runs that it is said of, and runs take over the last such row if it is
+    theirs: all is dealt out by document once and sorted once, where joins would move every run once for each of their keys.
+    """
+    keys = ("doc_id", "page", "span_ord")
+
+    def said(df: DataFrame, place: int, named: dict[str, Column], *of: str) -> DataFrame:
+        key = [(F.col(k) if k in of else F.lit(None)).cast(spans.schema[k].dataType).alias(k) for k in keys]
+        # a null key is nobody's
+        return df.dropna(subset=list(of)).repartition("doc_id").select(*key, F.lit(place).alias("place"), *(c.alias(n) for n, c in named.items()))
+
+    parts = (
+        said(off, 0, {"off": F.col("off")}, "doc_id"),
+        said(page_info, 1, {"info": F.struct("page", "box", "image_share")}, *keys[:2]),
+        said(covers, 2, {"few": F.struct("page", "covers")}, *keys[:2]),
+        said(hits, 3, {"hit": F.struct("page", "span_ord", "cover")}, *keys),
+    )
+    rows = spans.repartition("doc_id").withColumn("place", F.lit(9))
+    for p in parts:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    before = W.partitionBy("doc_id").orderBy("page", "span_ord", "place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in ("off", "info", "few", "hit")}).where("place = 9")
+    mine = lambda c, *of: F.when(reduce(and_, (F.col(f"{c}.{k}") == F.col(k) for k in of)), F.col(c))
+    info = mine("info", "page")
+    return rows.select(*spans.columns, "off", info["box"].alias("box"), info["image_share"].alias("image_share"), mine("few", "page")["covers"].alias("covers"), mine("hit", "page", "span_ord")["cover"].alias("cover"))
 
 
 def classify(spans: DataFrame, page_info: DataFrame, covers: DataFrame, hidden_layers: DataFrame) -> DataFrame:
     """Spans with reasons (array of (code, text), in a fixed order), is_hidden, layer_off and cover. (doc_id, page, span_ord) is their key."""
-    s = measured(spans, page_info)
-    # the layers of a document that are off, as one value, so that runs are joined by document and not dealt anew by layer
+    # the layers of a document that are off, as one value
     off = hidden_layers.select("doc_id", strip(F.col("name")).alias("name")).where("name <> ''").groupBy("doc_id").agg(F.collect_set("name").alias("off"))
-    s = s.join(off, "doc_id", "left").withColumn("layer_off", F.coalesce(F.array_contains("off", strip(F.coalesce("layer", F.lit("")))), F.lit(False))).drop("off")
-    s = s.join(covered(spans, covers), ["doc_id", "page", "span_ord"], "left")
+    told = covers_of_pages(covers)
+    many = told.where(F.size("covers") > FEW)
+    s = _beside(spans, off, page_info, told.where(F.size("covers") <= FEW), covered(_on_pages(spans, many), _on_pages(covers, many)))
+    few = F.when(F.col("span_ord").isNotNull(), F.array_min(F.filter("covers", lambda c: _hides(c["cover_seqno"], c["rect"]))))
+    s = measured(s.withColumn("cover", F.coalesce(few, "cover")).drop("covers"))
+    s = s.withColumn("layer_off", F.coalesce(F.array_contains("off", strip(F.coalesce("layer", F.lit("")))), F.lit(False))).drop("off")
     two = lambda c: F.format_string("%.2f", F.bround(c, 2))
     clear = F.coalesce(F.col("opacity") <= 0.08, F.lit(False))
     tests = (
