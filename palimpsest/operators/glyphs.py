@@ -22,29 +22,31 @@ def spans_of_glyphs(glyphs: DataFrame, gap: float = 0.5, drift: float = 0.1, blo
     that repeat it one counts. Codes that are no characters (negative, surrogates, beyond Unicode) and null become U+FFFD. A null size counts as 0, so then
     any gap ends a run; null places never do.
 
-    Gaps and islands in two steps: within a block of glyphs, and over one row a block, which hands on the last glyph and the open run.
+    Gaps and islands in two steps. Glyphs are dealt out by blocks, once: the last glyph of the block before is put before those of a block, and each block
+    makes pieces of runs. Of the pieces, which are rows of their own, a page's are put together: one that begins no run belongs to the run before. Of glyphs that
+    repeat, the greatest by all their columns counts, so that a block and the one behind it see the same one.
     """
     keys = ["doc_id", "page", "block"]
-    columns = ["doc_id", "page", "ord", "code", "baseline", "x0", "y0", "x1", "y1", *STYLE]
-    g = glyphs.select(*columns).dropDuplicates(["doc_id", "page", "ord"]).withColumn("block", F.floor(F.col("ord") / block))
-    g = g.withColumn("style", F.struct(*STYLE)).withColumn("self", F.struct("style", "baseline", "x0", "x1"))
-    in_page, in_block = W.partitionBy("doc_id", "page").orderBy("block"), W.partitionBy(*keys).orderBy("ord")
-    ends = g.groupBy(*keys).agg(F.max_by("self", "ord").alias("last")).withColumn("before", F.lag("last").over(in_page)).drop("last")
-    g = _beside(g, ends, keys).withColumn("prior", F.coalesce(F.lag("self").over(in_block), F.col("before")))
-    prior, own = F.col("prior"), F.col("self")
-    size = F.coalesce("size", F.lit(0.0))
+    of = ("code", "baseline", "x0", "y0", "x1", "y1", *STYLE)
+    g = glyphs.select("doc_id", "page", F.floor(F.col("ord") / block).alias("block"), "ord", F.struct(*of).alias("g"))
+    # (ord, g) is in the order of glyphs; only the last glyphs of blocks that have one behind them are told
+    behind = F.lead("block").over(W.partitionBy("doc_id", "page").orderBy("block"))
+    ends = g.groupBy(*keys).agg(F.max(F.struct("ord", "g")).alias("last")).withColumn("behind", behind).where("behind is not null")
+    told = ends.select("doc_id", "page", F.col("behind").alias("block"), "last.ord", "last.g", F.lit(True).alias("told"))
+    g = g.withColumn("told", F.lit(False)).unionByName(told).repartition(*keys)
+    g = g.groupBy(*keys, "ord").agg(F.max(F.struct("g", "told")).alias("c")).select(*keys, "ord", "c.g", "c.told")
+    in_block, in_page = W.partitionBy(*keys).orderBy("ord"), W.partitionBy("doc_id", "page").orderBy("block", "open")
+    g = g.withColumn("prior", F.lag("g").over(in_block))
+    prior, own = F.col("prior"), F.col("g")
+    size = F.coalesce(own["size"], F.lit(0.0))
     yes = lambda c: F.coalesce(c, F.lit(False))
-    begins = prior.isNull() | ~prior["style"].eqNullSafe(own["style"]) | yes(F.abs(own["baseline"] - prior["baseline"]) > drift * size) | yes(own["x0"] - prior["x1"] > gap * size) | yes(own["x0"] < prior["x0"])
-    g = g.withColumn("begin", F.when(begins, F.col("ord"))).withColumn("open", F.max("begin").over(in_block.rowsBetween(W.unboundedPreceding, 0)))
-    left = g.groupBy(*keys).agg(F.max("begin").alias("begin")).withColumn("handed", F.max("begin").over(in_page.rowsBetween(W.unboundedPreceding, -1))).drop("begin")
-    g = _beside(g, left, keys).withColumn("span_ord", F.coalesce("open", "handed"))
-    return _runs(g)
-
-
-def _beside(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with what ``side`` has for their keys, null ones too."""
-    named = side.select(*(F.col(k).alias(f"{k}_") for k in keys), *(c for c in side.columns if c not in keys))
-    return rows.join(named, reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))).drop(*(f"{k}_" for k in keys))
+    same = reduce(and_, (prior[c].eqNullSafe(own[c]) for c in STYLE))
+    begins = prior.isNull() | ~same | yes(F.abs(own["baseline"] - prior["baseline"]) > drift * size) | yes(own["x0"] - prior["x1"] > gap * size) | yes(own["x0"] < prior["x0"])
+    g = g.where("not told").withColumn("begin", F.when(begins, F.col("ord"))).withColumn("open", F.max("begin").over(in_block.rowsBetween(W.unboundedPreceding, 0)))
+    pieces = _pieces(g, *keys, "open")
+    # a block's first piece has no beginning of its own where the run goes on
+    pieces = pieces.withColumn("span_ord", F.max("open").over(in_page.rowsBetween(W.unboundedPreceding, 0)))
+    return _runs(pieces)
 
 
 def _character(code: Column) -> Column:
@@ -53,9 +55,17 @@ def _character(code: Column) -> Column:
     return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("�")
 
 
-def _runs(glyphs: DataFrame) -> DataFrame:
-    box = F.struct(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
-    letters = F.sort_array(F.collect_list(F.struct("ord", _character(F.col("code")).alias("c"))))
-    runs = glyphs.groupBy("doc_id", "page", "span_ord").agg(F.any_value("style").alias("style"), box.alias("bbox"), F.array_join(F.transform(letters, lambda x: x["c"]), "").alias("text"))
-    boxed = F.when(F.col("bbox.x0").isNotNull() & F.col("bbox.y0").isNotNull() & F.col("bbox.x1").isNotNull() & F.col("bbox.y1").isNotNull(), F.col("bbox"))
-    return runs.select("doc_id", "page", "span_ord", *(F.col(f"style.{c}").alias(c) for c in STYLE), boxed.alias("bbox"), "text")
+_BOX = {"x0": F.min, "y0": F.min, "x1": F.max, "y1": F.max}
+
+
+def _pieces(glyphs: DataFrame, *keys: str) -> DataFrame:
+    letters = F.sort_array(F.collect_list(F.struct("ord", _character(F.col("g.code")).alias("c"))))
+    style = F.struct(*(F.col(f"g.{c}") for c in STYLE))
+    return glyphs.groupBy(*keys).agg(F.any_value(style).alias("style"), *(f(f"g.{c}").alias(c) for c, f in _BOX.items()), F.array_join(F.transform(letters, lambda x: x["c"]), "").alias("text"))
+
+
+def _runs(pieces: DataFrame) -> DataFrame:
+    texts = F.sort_array(F.collect_list(F.struct("block", "text")))
+    runs = pieces.groupBy("doc_id", "page", "span_ord").agg(F.any_value("style").alias("style"), *(f(c).alias(c) for c, f in _BOX.items()), F.array_join(F.transform(texts, lambda x: x["text"]), "").alias("text"))
+    bbox = F.when(reduce(and_, (F.col(c).isNotNull() for c in _BOX)), F.struct(*_BOX))
+    return runs.select("doc_id", "page", "span_ord", *(F.col(f"style.{c}").alias(c) for c in STYLE), bbox.alias("bbox"), "text")

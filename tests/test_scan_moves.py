@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.operators import classify as C
+from palimpsest.operators.glyphs import GLYPHS, spans_of_glyphs
 from palimpsest.plans import queries as plans
 from palimpsest.sources.traces import SCHEMAS, trace_of
 
@@ -57,3 +58,30 @@ def test_runs_are_moved_once(spark):
         plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin [doc_id" not in plan.split("Union", 1)[0], name
         assert plan.count("hashpartitioning(l_orderkey") == 2, name  # the other one is for pages of many covers, and is empty without any
+
+
+def test_glyphs_are_moved_once(spark):
+    plan = plans.queries()["glyph_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert plan.count("Exchange ") <= 4  # ends of blocks, which block is behind them, glyphs, pieces of runs
+
+
+def test_of_glyphs_that_repeat_all_blocks_see_the_same(spark):
+    """Glyphs that repeat a key but not its place, also where blocks end: the greatest counts, whatever the blocks and the order of rows."""
+    rng = random.Random(8)
+    glyph = lambda page, i, x0: {"doc_id": "d", "page": page, "ord": i, "code": 97 + i % 26, "baseline": 0.0, "x0": x0, "y0": 0.0, "x1": x0 + 6, "y1": 10.0, "seqno": 0, "type": 0, "font": "f", "size": 10.0}
+    rows = [glyph(page, i, float(i * 6 + far)) for page in (0, None) for i in range(40) if i % 17 for far in ([0, 100] if i % 4 == 3 else [0])]
+    kept = {}
+    for r in rows:
+        kept[r["page"], r["ord"]] = max(kept.get((r["page"], r["ord"]), r), r, key=lambda g: g["x0"])
+    expected, last = [], None
+    for (page, i), r in sorted(kept.items(), key=lambda kv: (kv[0][0] is None, kv[0][1])):
+        if last is None or last["page"] != page or r["x0"] - last["x1"] > 5 or r["x0"] < last["x0"]:
+            expected.append([page, i, ""])
+        expected[-1][2] += chr(r["code"])
+        last = r
+    for block in (1, 2, 4, 7, 1 << 16):
+        rng.shuffle(rows)
+        df = spark.createDataFrame([{c: r.get(c) for c in spark.createDataFrame([], GLYPHS).columns} for r in rows], GLYPHS)
+        got = spans_of_glyphs(df, block=block).select("page", "span_ord", "text").collect()
+        assert sorted(map(repr, (list(r) for r in got))) == sorted(map(repr, expected))
