@@ -88,11 +88,10 @@ def _hides(seqno: Column, rect: Column) -> Column:
     return (seqno > F.col("seqno")) & (G.area(F.col("bbox")) > 0) & (G.overlap(F.col("bbox"), rect) >= COVERED * G.area(F.col("bbox")))
 
 
-def covers_of_pages(covers: DataFrame) -> DataFrame:
-    """(doc_id, page, covers): the opaque covers of each page, the first ``FEW`` + 1 at most, so that an array of that length says that there are more than ``FEW``."""
+def first_covers(covers: DataFrame) -> DataFrame:
+    """The first ``FEW`` + 1 opaque covers of each page at most, with ``rank``: a page that has that rank has more than ``FEW``."""
     rank = F.row_number().over(W.partitionBy("doc_id", "page").orderBy("cover_ord", "cover_seqno"))
-    first = _solid(covers).repartition("doc_id").withColumn("rank", rank).where(F.col("rank") <= FEW + 1)
-    return first.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*_COVER)).alias("covers"))
+    return _solid(covers).repartition("doc_id").withColumn("rank", rank).where(F.col("rank") <= FEW + 1)
 
 
 def _on_pages(df: DataFrame, pages: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def _on_pages(df: DataFrame, pages: DataFrame) -> DataFrame:
     return df.where(F.getbit(byte, place % 8) == 1)
 
 
-def _beside(spans: DataFrame, off: DataFrame, page_info: DataFrame, covers: DataFrame, hits: DataFrame) -> DataFrame:
+def _beside(spans: DataFrame, off: DataFrame, page_info: DataFrame, covers: DataFrame, hits: DataFrame, once: bool) -> DataFrame:
     """Spans with ``off`` of their document, ``box``, ``image_share`` and ``covers`` of their page, and their own ``cover``.
 
     What is said of a document, a page or a run is a row before the runs that it is said of, and runs take over the last such row if it is
@@ -117,28 +116,30 @@ def _beside(spans: DataFrame, off: DataFrame, page_info: DataFrame, covers: Data
         return df.dropna(subset=list(of)).repartition("doc_id").select(*key, F.lit(place).alias("place"), *(c.alias(n) for n, c in named.items()))
 
     parts = (
-        said(off, 0, {"off": F.col("off")}, "doc_id"),
+        said(off, 0, {"off": F.col("name")}, "doc_id"),
         said(page_info, 1, {"info": F.struct("page", "box", "image_share")}, *keys[:2]),
-        said(covers, 2, {"few": F.struct("page", "covers")}, *keys[:2]),
+        said(covers, 2, {"few": F.struct(*_COVER)}, *keys[:2]),
         said(hits, 3, {"hit": F.struct("page", "span_ord", "cover")}, *keys),
     )
     rows = spans.repartition("doc_id").withColumn("place", F.lit(9))
     for p in parts:
         rows = rows.unionByName(p, allowMissingColumns=True)
+    # layers and covers are gathered as they come: no more is held than a document's layers and a page's covers
     before = W.partitionBy("doc_id").orderBy("page", "span_ord", "place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(before) for c in ("off", "info", "few", "hit")}).where("place = 9")
+    on_page = W.partitionBy("doc_id", "page").orderBy("span_ord", "place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumns({"info": F.last("info", ignorenulls=True).over(before), "hit": F.last("hit", ignorenulls=True).over(before), "off": F.collect_set("off").over(before), "few": F.collect_list("few").over(on_page)} | ({"prior": F.lag("place").over(W.partitionBy(*keys).orderBy("place"))} if once else {}))
+    rows = rows.where((F.col("place") == 9) & (~F.col("prior").eqNullSafe(F.lit(9)) if once else F.lit(True)))
     mine = lambda c, *of: F.when(reduce(and_, (F.col(f"{c}.{k}") == F.col(k) for k in of)), F.col(c))
     info = mine("info", "page")
-    return rows.select(*spans.columns, "off", info["box"].alias("box"), info["image_share"].alias("image_share"), mine("few", "page")["covers"].alias("covers"), mine("hit", "page", "span_ord")["cover"].alias("cover"))
+    return rows.select(*spans.columns, "off", info["box"].alias("box"), info["image_share"].alias("image_share"), F.when(F.size("few") <= FEW, F.col("few")).alias("covers"), mine("hit", "page", "span_ord")["cover"].alias("cover"))
 
 
-def classify(spans: DataFrame, page_info: DataFrame, covers: DataFrame, hidden_layers: DataFrame) -> DataFrame:
-    """Spans with reasons (array of (code, text), in a fixed order), is_hidden, layer_off and cover. (doc_id, page, span_ord) is their key."""
-    # the layers of a document that are off, as one value
-    off = hidden_layers.select("doc_id", strip(F.col("name")).alias("name")).where("name <> ''").groupBy("doc_id").agg(F.collect_set("name").alias("off"))
-    told = covers_of_pages(covers)
-    many = told.where(F.size("covers") > FEW)
-    s = _beside(spans, off, page_info, told.where(F.size("covers") <= FEW), covered(_on_pages(spans, many), _on_pages(covers, many)))
+def classify(spans: DataFrame, page_info: DataFrame, covers: DataFrame, hidden_layers: DataFrame, once: bool = False) -> DataFrame:
+    """Spans with reasons (array of (code, text), in a fixed order), is_hidden, layer_off and cover. (doc_id, page, span_ord) is their key; with ``once``, of spans that repeat it one counts."""
+    off = hidden_layers.where("name <> ''").select("doc_id", strip(F.col("name")).alias("name"))
+    first = first_covers(covers)
+    many = first.where(F.col("rank") > FEW)
+    s = _beside(spans, off, page_info, first, covered(_on_pages(spans, many), _on_pages(covers, many)), once)
     few = F.when(F.col("span_ord").isNotNull(), F.array_min(F.filter("covers", lambda c: _hides(c["cover_seqno"], c["rect"]))))
     s = measured(s.withColumn("cover", F.coalesce(few, "cover")).drop("covers"))
     s = s.withColumn("layer_off", F.coalesce(F.array_contains("off", strip(F.coalesce("layer", F.lit("")))), F.lit(False))).drop("off")
@@ -163,7 +164,9 @@ def page_texts(classified: DataFrame) -> DataFrame:
     t, key = F.coalesce(F.col("text"), F.lit("")), F.struct("is_hidden", "span_ord", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     joined = lambda xs: F.array_join(F.transform(xs, lambda x: x["text"]), "\n")
     hidden: Column = F.col("is_hidden")
-    pages = classified.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(key)).alias("runs"), F.count("*").alias("n_runs"), F.count_if(hidden).alias("n_hidden_runs"), F.sum(ink(t)).alias("chars"), F.sum(F.when(hidden, ink(t)).otherwise(0)).alias("hidden_chars"))
+    # dealt out anew with little more than their text, so that no task sorts whole runs and gathers texts at a time
+    rows = classified.select("doc_id", "page", "span_ord", "text", "is_hidden").repartition("doc_id", "page")
+    pages = rows.groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(key)).alias("runs"), F.count("*").alias("n_runs"), F.count_if(hidden).alias("n_hidden_runs"), F.sum(ink(t)).alias("chars"), F.sum(F.when(hidden, ink(t)).otherwise(0)).alias("hidden_chars"))
     return pages.select("doc_id", "page", joined(F.col("runs")).alias("text"), joined(F.filter("runs", lambda x: x["is_hidden"])).alias("hidden_text"), "n_runs", "n_hidden_runs", "chars", "hidden_chars")
 
 

@@ -45,7 +45,7 @@ def model_view(spans: DataFrame) -> DataFrame:
     from pyspark.sql import Window as W
 
     order = (F.bround(F.coalesce("bbox.y0", F.lit(0.0)), 1), F.bround(F.coalesce("bbox.x0", F.lit(0.0)), 1), F.col("span_ord"))
-    rows = spans.where(~is_blank(F.col("text"))).withColumn("place", F.row_number().over(W.partitionBy("doc_id", "page").orderBy(*order)))
+    rows = spans.where(~is_blank(F.col("text"))).repartition("doc_id", "page").withColumn("place", F.row_number().over(W.partitionBy("doc_id", "page").orderBy(*order)))
     box = F.when(F.col("bbox").isNotNull(), F.transform(F.array("bbox.x0", "bbox.y0", "bbox.x1", "bbox.y1"), lambda v: F.round(v, 2)))
     return rows.select("doc_id", "page", "place", "text", F.col("is_hidden").alias("hidden"), F.transform("reasons", lambda r: r["text"]).alias("reasons"), F.round("size", 2).alias("size"), box.alias("bbox"))
 

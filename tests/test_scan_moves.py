@@ -85,3 +85,12 @@ def test_of_glyphs_that_repeat_all_blocks_see_the_same(spark):
         df = spark.createDataFrame([{c: r.get(c) for c in spark.createDataFrame([], GLYPHS).columns} for r in rows], GLYPHS)
         got = spans_of_glyphs(df, block=block).select("page", "span_ord", "text").collect()
         assert sorted(map(repr, (list(r) for r in got))) == sorted(map(repr, expected))
+
+
+def test_runs_that_repeat_count_once(spark):
+    rows = _runs(spark, [("a", 0, 1, 0, 0.0, 0.0, 1.0, 1.0, "x"), ("a", 0, 2, 0, 0.0, 0.0, 1.0, 1.0, None), ("b", 1, 1, 0, 0.0, 0.0, 1.0, 1.0, "x")])
+    trace = trace_of(spark, spans=rows.unionByName(rows).unionByName(rows), hidden_layers=spark.createDataFrame([("a", "x")], "doc_id string, name string"))
+    parts = (trace.spans, trace.page_info, trace.covers, trace.hidden_layers)
+    found = lambda **more: sorted(tuple(r) for r in C.classify(*parts, **more).select("doc_id", "span_ord", "layer_off").collect())
+    assert found(once=True) == [("a", 1, True), ("a", 2, False), ("b", 1, False)]
+    assert found() == sorted(3 * found(once=True))
